@@ -16,6 +16,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times, also after the optimizer merges projections."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def round_stat(c: Column | str, digits: int = 2) -> Column:
     return F.round(col(c).cast("decimal(28,8)"), digits).cast("double")
 
@@ -31,7 +36,8 @@ def truthy(c: Column | str) -> Column:
 
 
 def clamp_score(c: Column | str) -> Column:
-    return round_stat(F.greatest(F.lit(0.0), F.least(F.lit(100.0), col(c).cast("double"))))
+    bounded = F.greatest(F.lit(0.0), F.least(F.lit(100.0), col(c).cast("double")))
+    return F.when(col(c).isNotNull(), round_stat(bounded))
 
 
 def risk_from_coverage(c: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casagrid.functions.numbers import col, non_empty, truthy
+from casagrid.functions.numbers import bind, col, non_empty, truthy
 from casagrid.functions.text import fold_text
 
 # Plausible ranges per field.
@@ -42,28 +42,33 @@ AGE_LABELS = {
 }
 
 
-def garage_like() -> Column:
-    title = F.col("_title")
-    return title.rlike(r"(?U)\b(cochera|garage|garaje|cocheras)\b") & ~title.rlike(
-        r"(?U)\b(casa|chalet|depto|departamento|ph|duplex|triplex|monoambiente|ambientes?)\b"
-    )
+GARAGE = r"(?U)^(?![^|]*\b(?:casa|chalet|depto|departamento|ph|duplex|triplex|monoambiente|ambientes?)\b)[^|]*\b(?:cochera|garage|garaje|cocheras)\b"
+COMMERCIAL = r"(?U)\b(?:galpon|deposito|nave|fraccion|industrial)\b"
 
 
-def commercial_like(has_description: bool = True) -> Column:
-    text = F.concat_ws(" ", F.col("_title"), fold_text("description") if has_description else F.lit(""), fold_text("property_type"))
-    return text.rlike(r"(?U)\b(galpon|deposito|nave|fraccion|industrial)\b")
+def advert_kind(has_description: bool = True) -> Column:
+    """1 garage-like, 2 commercial-like, 3 neither. The text is folded once, then tested."""
+    title = F.replace(F.coalesce(F.col("title"), F.lit("")), F.lit("|"), F.lit(" "))
+    text = fold_text(F.concat_ws("|", title, F.col("description") if has_description else F.lit(""), F.col("property_type")))
+    return bind(text, lambda t: F.when(t.rlike(GARAGE), 1).when(t.rlike(COMMERCIAL), 2).otherwise(3))
 
 
 def range_bounds(field: str) -> tuple[Column, Column]:
     low, high = BASE_RANGES[field]
     if field not in AREA_FIELDS:
         return F.lit(low), F.lit(high)
-    lo, hi = F.lit(low), F.lit(high)
+    usual = F.lit(high)
     if field != "covered_area":
-        hi = F.when(F.col("property_type").isin(*LARGE_LAND_TYPES), 100000).otherwise(high)
-    lo = F.when(F.col("_garage"), 8).when(F.col("_commercial"), 10).otherwise(lo)
-    hi = F.when(F.col("_garage"), 100).when(F.col("_commercial"), 100000).otherwise(hi)
-    return lo, hi
+        usual = F.when(F.col("property_type").isin(*LARGE_LAND_TYPES), 100000).otherwise(high)
+    kind = F.col("_kind")
+    return (
+        F.element_at(F.array(F.lit(8), F.lit(10), F.lit(low)), kind),
+        F.element_at(F.array(F.lit(100), F.lit(100000), usual), kind),
+    )
+
+
+def first_nonzero(*fields: str) -> Column:
+    return F.get(F.filter(F.array(*[F.col(f) for f in fields]), lambda v: v != 0), F.lit(0))
 
 
 def valid_value(field: str) -> Column:
@@ -115,22 +120,20 @@ def safe_label(c: Column | str) -> Column:
 
 def curate(df: DataFrame) -> DataFrame:
     """Add the curated metrics once, so that every panel reads them instead of re-deriving them."""
-    df = df.withColumn("_title", fold_text("title"))
-    df = df.withColumns({"_garage": garage_like(), "_commercial": commercial_like("description" in df.columns)})
+    df = df.withColumn("_kind", advert_kind("description" in df.columns))
     df = df.withColumns({f"valid_{f}": valid_value(f) for f in BASE_RANGES if f in df.columns})
     df = df.withColumns(
         {
             "valid_price": valid_price(),
-            "valid_area": F.coalesce(truthy("valid_covered_area"), truthy("valid_total_area"), truthy("valid_land_area")),
+            "valid_area": first_nonzero("valid_covered_area", "valid_total_area", "valid_land_area"),
             "comparable_area": F.when(
                 F.col("property_type") == "land", F.coalesce(truthy("valid_land_area"), F.col("valid_total_area"))
-            ).otherwise(F.coalesce(truthy("valid_covered_area"), truthy("valid_total_area"), F.col("valid_land_area"))),
+            ).otherwise(F.coalesce(first_nonzero("valid_covered_area", "valid_total_area"), F.col("valid_land_area"))),
             "age_band": age_band("age_years"),
         }
     )
-    df = df.withColumn(
-        "price_m2", F.when(F.col("currency") == "USD", price_per_m2(F.col("valid_price"), F.col("valid_area")))
-    )
+    quotient = F.try_divide(F.col("valid_price").cast("decimal(16,2)"), F.col("valid_area").cast("decimal(10,2)"))
+    df = df.withColumn("price_m2", F.when(F.col("currency") == "USD", F.bround(quotient, 2).cast("decimal(18,2)")))
     if "zone_name" in df.columns:
         df = df.withColumn("geo_zone", geo_zone())
-    return df.drop("_title", "_garage", "_commercial")
+    return df.drop("_kind")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from functools import lru_cache
@@ -55,8 +56,8 @@ MULTI = (("…", "..."), ("ﬁ", "fi"), ("ﬂ", "fl"), ("½", "1⁄2"), ("¼", "
 
 def replace_all(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
     """Apply the replacements in order as one fold over a constant array, which keeps generated code small."""
-    rules = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    return F.reduce(rules, c, lambda acc, r: F.replace(acc, r["a"], r["b"]))
+    rules = F.from_json(F.lit(json.dumps(pairs)), "array<array<string>>")
+    return F.reduce(rules, c, lambda acc, r: F.replace(acc, r[0], r[1]))
 
 
 def repair_mojibake(c: Column | str) -> Column:

@@ -6,6 +6,7 @@ import importlib
 
 FAMILIES = (
     "search_queries",
+    "market_queries",
 )
 
 

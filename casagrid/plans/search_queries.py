@@ -66,7 +66,7 @@ facet("search_flood_yes", "F10", {"location_flood_risk": "yes"}, VISIBLE + " and
 facet("search_flood_no", "F10", {"location_flood_risk": "no"}, VISIBLE + " and not in_flood_risk_zone")
 facet("search_features", "F11", {"feature": ["pileta", "Parrilla"]}, VISIBLE + " and (feature_text ilike '%pileta%' or description ilike '%pileta%' or feature_text ilike '%parrilla%' or description ilike '%parrilla%')")
 facet("search_title", "F12", {"title": "COCHERA"}, VISIBLE + " and title ilike '%cochera%'")
-facet("search_words", "F13", {"q": "galpon indust jard"}, VISIBLE + " and strip_accents(lower(concat(' ',title,' | ',description,' | ',address,' | ',locality,' | ',neighborhood,' | ',feature_text))) like '% galpon%' and strip_accents(lower(concat(' ',title))) like '% indust%' and strip_accents(lower(concat(' ',description))) like '% jard%'")
+facet("search_words", "F13", {"q": "galpon indust cred"}, VISIBLE + " and strip_accents(lower(concat(' ',title,' | ',description,' | ',address,' | ',locality,' | ',neighborhood,' | ',feature_text))) like '% galpon%' and strip_accents(lower(concat(' ',title))) like '% indust%' and strip_accents(lower(concat(' ',description))) like '% cred%'")
 facet("search_bounds", "F14,U3", {"south": "-34.65", "west": "-58.69", "north": "-34.60", "east": "-58.62"}, VISIBLE + " and latitude between -34.65 and -34.60 and longitude between -58.69 and -58.62")
 facet(
     "search_polygon",
