@@ -7,6 +7,7 @@ import importlib
 FAMILIES = (
     "search_queries",
     "market_queries",
+    "spatial_queries",
 )
 
 
