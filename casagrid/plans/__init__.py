@@ -8,6 +8,7 @@ FAMILIES = (
     "search_queries",
     "market_queries",
     "spatial_queries",
+    "text_queries",
 )
 
 
