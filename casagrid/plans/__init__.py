@@ -9,6 +9,7 @@ FAMILIES = (
     "market_queries",
     "spatial_queries",
     "text_queries",
+    "lifecycle_queries",
 )
 
 
