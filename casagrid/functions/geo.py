@@ -17,7 +17,7 @@ BOUNDARY_M = 0.5
 def haversine_m(lat1, lon1, lat2, lon2, radius_m: float = EARTH_M) -> Column:
     a1, o1, a2, o2 = (F.radians(col(c)) for c in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((a2 - a1) / 2), F.lit(2.0)) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), F.lit(2.0))
-    return F.asin(F.least(F.lit(1.0), F.sqrt(h))) * F.lit(2.0 * radius_m)
+    return F.asin(F.sqrt(F.when(h > 1.0, F.lit(1.0)).otherwise(h))) * F.lit(2.0 * radius_m)
 
 
 def radius_bbox(lat: float, lon: float, radius_km: float) -> tuple[float, float, float, float]:

@@ -10,6 +10,8 @@ FAMILIES = (
     "spatial_queries",
     "text_queries",
     "lifecycle_queries",
+    "trace_queries",
+    "incident_queries",
 )
 
 
