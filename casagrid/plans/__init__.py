@@ -12,6 +12,7 @@ FAMILIES = (
     "lifecycle_queries",
     "trace_queries",
     "incident_queries",
+    "page_queries",
 )
 
 
