@@ -6,9 +6,9 @@ so that a value such as 12.345 does not depend on its binary expansion.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,16 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once.
+
+    They come out of a generator, so the optimizer does not copy a costly expression into every use of it.
+    Existing columns of the same name are replaced.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], made)
+
+
 def round_stat(c: Column | str, digits: int = 2) -> Column:
     return F.round(col(c).cast("decimal(28,8)"), digits).cast("double")
 

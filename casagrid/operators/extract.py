@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casagrid.functions.address import FLAGS, infer_property_type, normalize_currency, parse_decimal, unescape_html
-from casagrid.functions.numbers import bind, col, non_empty
+from casagrid.functions.numbers import bind, col, non_empty, once
 from casagrid.functions.text import repair_mojibake, squeeze
 from casagrid.functions.urls import absolute_url, external_id, url_domain, url_path
 from casagrid.operators.geocode import is_default_pin, outside_target
@@ -50,7 +50,7 @@ MAX_IMAGES = 30
 
 def page_fields(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Advert fields of each page: identity, title, price, counts, areas, images."""
-    df = pages.withColumn("_text", visible_text(html))
+    df = once(pages, {"_text": visible_text(html)})
     t = F.col("_text")
     images = F.regexp_extract_all(col(html), F.lit(r"""(?is)<img\b[^>]*?\ssrc\s*=\s*["']([^"']+)["']"""), 1)
     cols: dict[str, Column] = {

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casagrid.functions import address as A
-from casagrid.functions.numbers import bind, col, non_empty
+from casagrid.functions.numbers import bind, col, non_empty, once
 from casagrid.functions.text import fold_literal, fold_text, normalize_whitespace, squeeze, text_key
 from casagrid.operators.search import CENTRE_ALIASES, CENTRE_ZONE
 
@@ -69,26 +69,27 @@ def enrich_location(df: DataFrame) -> DataFrame:
     """Detect locality, zone, address and references in the free text and decide how far to trust them."""
     f = F.col
     parts = ("title", "address", "locality", "neighborhood", "description")
-    df = df.withColumn("_text", normalize_whitespace(F.concat_ws(" ", *[non_empty(c) for c in parts])))
-    df = df.withColumn("_folded", fold_text("_text"))
-    df = df.withColumns({"_towns": _named(f("_folded"), LOCALITY_WORDS), "_zones": _named(f("_folded"), ZONE_WORDS)})
-    df = df.withColumns(
+    df = once(df, {"_text": normalize_whitespace(F.concat_ws(" ", *[non_empty(c) for c in parts]))})
+    df = once(df, {"_folded": fold_text("_text")})
+    df = once(df, {"_towns": _named(f("_folded"), LOCALITY_WORDS), "_zones": _named(f("_folded"), ZONE_WORDS)})
+    df = once(
+        df,
         {
             "_locality": A.normalize_locality(F.coalesce(non_empty("locality"), F.get("_towns", F.lit(0)), F.lit(""))),
             "_zone": A.normalize_neighborhood(F.coalesce(non_empty("neighborhood"), F.get("_zones", F.lit(0)), F.lit(""))),
             "_inside": A.embedded_neighborhood("address"),
             "_listed": clean_detected("address"),
-        }
+        },
     )
-    df = df.withColumn("_address", F.coalesce(non_empty("_listed"), first_address("_text")))
-    df = df.withColumn("_zone", F.coalesce(non_empty("_zone"), f("_inside")))
+    df = once(df, {"_address": F.coalesce(non_empty("_listed"), first_address("_text"))})
+    df = once(df, {"_zone": F.coalesce(non_empty("_zone"), f("_inside"))})
     street_zone = A.neighborhood_from_address(F.coalesce(non_empty("address"), f("_address")))
-    df = df.withColumn("_street_zone", street_zone)
+    df = once(df, {"_street_zone": street_zone})
     weak = (f("_zone") == "") | f("_zone").isin("Hurlingham", "Hurlingham Centro")
-    df = df.withColumn("_zone", F.when((f("_street_zone") != "") & weak, f("_street_zone")).otherwise(f("_zone")))
+    df = once(df, {"_zone": F.when((f("_street_zone") != "") & weak, f("_street_zone")).otherwise(f("_zone"))})
     refs = F.array_compact(F.array(*[F.when(f("_folded").contains(fold_literal(r)), F.lit(r)) for r in REFERENCES]))
     placed = f("latitude").isNotNull() & f("longitude").isNotNull()
-    df = df.withColumn("detected_references", refs)
+    df = once(df, {"detected_references": refs})
     full = (f("_address") != "") & (f("_locality") != "")
     some = (f("_zone") != "") | (f("_locality") != "") | (F.size("detected_references") > 0)
     has_address = F.coalesce(f("address"), F.lit("")) != ""
@@ -145,21 +146,23 @@ def bounded(column: str, kind: str) -> Column:
 def canonicalize_listing(df: DataFrame) -> DataFrame:
     """The whole normalisation of a batch of raw adverts as one chain of column stages."""
     f = F.col
-    df = enrich_location(df).withColumn("_raw_locality", F.coalesce("locality", F.lit("")))
-    df = df.withColumns(
+    df = once(enrich_location(df), {"_raw_locality": F.coalesce("locality", F.lit(""))})
+    df = once(
+        df,
         {
             "address": bind(A.normalize_street_number("address"), lambda t: F.when(A.is_plausible_address(t), t).otherwise("")),
             "_zone": A.known_neighborhood("_raw_locality"),
             "locality": A.normalize_locality("_raw_locality"),
             "neighborhood": A.normalize_neighborhood("neighborhood"),
-        }
+        },
     )
     from_zone = (f("locality") == "") & (f("_zone") != "")
-    df = df.withColumns(
+    df = once(
+        df,
         {
             "neighborhood": F.when(from_zone, F.coalesce(non_empty("neighborhood"), f("_zone"))).otherwise(f("neighborhood")),
             "locality": F.when(from_zone, A.locality_from_neighborhood("_zone")).otherwise(f("locality")),
-        }
+        },
     )
     note = F.when((f("locality") == "") & (f("_raw_locality") != ""), F.concat(F.lit("Localidad descartada por normalizacion: "), f("_raw_locality")))
     df = df.withColumns(

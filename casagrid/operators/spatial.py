@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casagrid.functions.geo import BOUNDARY_M, edges_distance_m, haversine_m, ring_contains, ring_edges
+from casagrid.functions.geo import BOUNDARY_M, edges_distance_m, haversine_m, ray_cast, ring_contains, ring_edges
+from casagrid.functions.numbers import once
 
 M_PER_DEG = 111320.0
 LEVEL_DEG = (0.005, 0.02, 0.08, 0.32, 1.28, 5.12, 20.48)
@@ -27,15 +28,11 @@ def prepare_layer(layer: DataFrame, margin_m: float = 0.0) -> DataFrame:
     outer = F.get(F.col("rings"), F.lit(0))
     lats, lons = F.transform(outer, lambda p: p["lat"]), F.transform(outer, lambda p: p["lon"])
     dlat = F.lit((margin_m + BOUNDARY_M) / M_PER_DEG * 1.01)
-    rows = layer.withColumns(
-        {
-            "_edges": F.transform("rings", ring_edges),
-            "_south": F.array_min(lats) - dlat,
-            "_north": F.array_max(lats) + dlat,
-        }
-    )
-    dlon = dlat / F.greatest(F.cos(F.radians(F.greatest(F.abs("_south"), F.abs("_north")))), F.lit(0.01))
-    return rows.withColumns({"_west": F.array_min(lons) - dlon, "_east": F.array_max(lons) + dlon})
+    box = {"_s": F.array_min(lats), "_n": F.array_max(lats), "_w": F.array_min(lons), "_e": F.array_max(lons)}
+    rows = once(layer, {"_edges": F.transform("rings", ring_edges), **box})
+    dlon = dlat / F.greatest(F.cos(F.radians(F.greatest(F.abs("_s"), F.abs("_n")) + dlat)), F.lit(0.01))
+    wide = {"_south": F.col("_s") - dlat, "_north": F.col("_n") + dlat, "_west": F.col("_w") - dlon, "_east": F.col("_e") + dlon}
+    return once(rows, wide).drop("_s", "_n", "_w", "_e")
 
 
 def layer_cells(prepared: DataFrame) -> DataFrame:
@@ -47,7 +44,7 @@ def layer_cells(prepared: DataFrame) -> DataFrame:
     level = F.lit(len(LEVEL_DEG) - 1)
     for i in reversed(range(len(LEVEL_DEG) - 1)):
         level = F.when(span(LEVEL_DEG[i]) <= MAX_CELLS, i).otherwise(level)
-    rows = prepared.withColumn("_lvl", level).withColumn("_size", _size_of(F.col("_lvl")))
+    rows = once(once(prepared, {"_lvl": level}), {"_size": _size_of(F.col("_lvl"))})
 
     def line(low: str, high: str) -> Column:
         return F.sequence(F.floor(F.col(low) / F.col("_size")), F.floor(F.col(high) / F.col("_size")))
@@ -57,7 +54,10 @@ def layer_cells(prepared: DataFrame) -> DataFrame:
 
 
 def candidates(points: DataFrame, layer: DataFrame, margin_m: float = 0.0) -> DataFrame:
-    """Point–polygon pairs whose (widened) boxes meet, with ``covers`` and, for a margin, ``distance_m``."""
+    """Point–polygon pairs that cover or lie within the margin, with ``covers`` and ``distance_m``.
+
+    A point in a hole is not covered but has distance 0 from the outer ring.
+    """
     cells = layer_cells(prepare_layer(layer, margin_m))
     used = cells.agg(F.collect_set("_lvl"))
     keyed = points.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
@@ -69,13 +69,16 @@ def candidates(points: DataFrame, layer: DataFrame, margin_m: float = 0.0) -> Da
     pairs = pairs.filter(lat.between(F.col("_south"), F.col("_north")) & lon.between(F.col("_west"), F.col("_east")))
     outer = F.get(F.col("_edges"), F.lit(0))
     holes = F.slice("_edges", 2, F.greatest(F.size("_edges") - 1, F.lit(0)))
-    in_outer = ring_contains(lat, lon, outer)
-    pairs = pairs.withColumn("_outer", in_outer)
-    pairs = pairs.withColumn("covers", F.col("_outer") & ~F.exists(holes, lambda h: ring_contains(lat, lon, h)))
-    if margin_m > 0:
-        gap = F.when(F.col("_outer"), F.lit(0.0)).otherwise(edges_distance_m(lat, lon, outer))
-        pairs = pairs.withColumn("distance_m", gap)
-    return pairs.drop("_lvl", "_ix", "_iy", "_edges", "_south", "_north", "_west", "_east", "_outer", "rings")
+    gap = F.when(ray_cast(lat, lon, outer), F.lit(0.0)).otherwise(edges_distance_m(lat, lon, outer))
+
+    # The geometry is evaluated once, inside the generator; a plain filter would be pushed down and repeat it.
+    def verdict(g: Column) -> Column:
+        covers = (g <= BOUNDARY_M) & ~F.exists(holes, lambda h: ring_contains(lat, lon, h))
+        return F.struct(covers.alias("covers"), F.when(g <= BOUNDARY_M, 0.0).otherwise(g).alias("distance_m"))
+
+    found = F.filter(F.transform(F.array(gap), verdict), lambda v: v["covers"] | (v["distance_m"] <= margin_m))
+    hidden = {"_lvl", "_ix", "_iy", "_edges", "_south", "_north", "_west", "_east", "rings"}
+    return pairs.select(*[c for c in pairs.columns if c not in hidden], F.inline(found))
 
 
 def pick(pairs: DataFrame, key: str, order: Sequence[Column], keep: Sequence[str], smallest: bool = True) -> DataFrame:
@@ -107,18 +110,27 @@ def smallest_covering(points: DataFrame, layer: DataFrame, key: str, keep: Seque
 
 
 def covering_or_nearest(points: DataFrame, layer: DataFrame, key: str, keep: Sequence[str], cap_m: float = 800.0) -> DataFrame:
-    """First covering feature, else the nearest within the cap: adds ``match`` and ``distance_m``."""
-    pairs = candidates(points, layer, cap_m).filter(F.col("covers") | (F.col("distance_m") <= cap_m))
-    pairs = pairs.withColumns(
-        {"match": F.when(F.col("covers"), "polygon").otherwise("nearest"), "distance_m": F.when(F.col("covers"), 0.0).otherwise(F.col("distance_m"))}
-    )
-    order = [(~F.col("covers")).cast("int"), F.col("distance_m"), F.col("feature_idx")]
-    return pick(pairs, key, order, [*keep, "match", "distance_m"])
+    """First covering feature, else the nearest within the cap: adds ``match`` and ``distance_m``.
+
+    Covered points are settled first; only the others are looked up with the widened boxes.
+    """
+    inside = first_covering(points, layer, key, keep)
+    inside = inside.select(key, *keep, F.lit("polygon").alias("match"), F.lit(0.0).alias("distance_m"))
+    rest = points.join(inside.select(key), key, "left_anti")
+    near = nearest_feature(rest, layer, key, keep, cap_m)
+    return inside.unionByName(near.select(key, *keep, F.lit("nearest").alias("match"), "distance_m"))
 
 
 def nearest_feature(points: DataFrame, layer: DataFrame, key: str, keep: Sequence[str], cap_m: float = 1000.0) -> DataFrame:
-    pairs = candidates(points, layer, cap_m).filter(F.col("distance_m") <= cap_m)
-    return pick(pairs, key, [F.col("distance_m"), F.col("feature_idx")], [*keep, "distance_m"])
+    """Nearest feature within the cap. A quarter of the cap settles most points of a dense layer cheaply."""
+
+    def within(rows: DataFrame, reach: float) -> DataFrame:
+        pairs = candidates(rows, layer, reach).filter(F.col("distance_m") <= reach)
+        return pick(pairs, key, [F.col("distance_m"), F.col("feature_idx")], [*keep, "distance_m"])
+
+    close = within(points, cap_m / 4)
+    rest = points.join(close.select(key), key, "left_anti")
+    return close.unionByName(within(rest, cap_m))
 
 
 def _lon_step(iy: Column, dlat: float) -> Column:

@@ -8,7 +8,7 @@ from casagrid.functions.quality import curate
 from casagrid.operators.search import join_base
 from casagrid.plans.registry import shared
 from casagrid.sources.projections import projection
-from casagrid.sources.tables import stored
+from casagrid.sources.tables import spread, stored
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,7 +22,7 @@ def base(spark: SparkSession, folder: str) -> DataFrame:
 def curated(spark: SparkSession, folder: str) -> DataFrame:
     """The curated table every panel reads; visibility is a partition filter, boxes prune row groups."""
     return stored(
-        spark, folder, "curated", lambda: curate(base(spark, folder)), ("operation", "status"), ("latitude", "longitude")
+        spark, folder, "curated", lambda: curate(spread(base(spark, folder))), ("operation", "status"), ("latitude", "longitude")
     )
 
 

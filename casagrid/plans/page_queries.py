@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casagrid.functions.numbers import once
 from casagrid.functions.text import snake_key
 from casagrid.operators import audit as Q
 from casagrid.operators import extract as X
@@ -17,6 +18,7 @@ from casagrid.plans.text_queries import _pick as pick
 from casagrid.plans.text_queries import k as by
 from casagrid.sources import io
 from casagrid.sources.projections import table
+from casagrid.sources.tables import spread
 
 A, B = "(1+p_partkey%90)", "(100+p_partkey%900)"
 LAT = "concat('-34.', cast(5500+p_partkey%1100 as string))"
@@ -51,7 +53,7 @@ shared("v_page", "select p_partkey as page_id, p_partkey%90+1 as a, 100+p_partke
 
 
 def pages(spark, folder):
-    return table(spark, folder, "part").selectExpr(*[f"{e} as {n}" for e, n in PAGE])
+    return spread(table(spark, folder, "part")).selectExpr(*[f"{e} as {n}" for e, n in PAGE])
 
 
 @query(
@@ -117,7 +119,7 @@ def crawled_page_links(spark, folder):
 def declared_totals(spark, folder):
     from casagrid.functions.numbers import round_stat
 
-    df = pages(spark, folder).withColumn("total", X.declared_total(X.visible_text("html")).cast("bigint"))
+    df = once(once(pages(spark, folder), {"_text": X.visible_text("html")}), {"total": X.declared_total("_text").cast("bigint")})
     ratio = round_stat(F.lit(500.0) / F.col("total") * 100, 1)
     return df.select("page_id", "total", X.max_page("html").cast("bigint").alias("last_page"), ratio.alias("coverage"))
 
@@ -130,8 +132,8 @@ def declared_totals(spark, folder):
     uses=("v_page",),
 )
 def coverage_audit(spark, folder):
-    df = pages(spark, folder)
-    out = X.coverage_audit(df, F.col("page_id") % 9, X.visible_text("html"), (F.col("page_id") % 90 + 1) * 20)
+    df = once(pages(spark, folder), {"_text": X.visible_text("html")})
+    out = X.coverage_audit(df, F.col("page_id") % 9, F.col("_text"), (F.col("page_id") % 90 + 1) * 20)
     from casagrid.functions.numbers import round_stat
 
     return out.withColumn("coverage_ratio", round_stat("coverage_ratio", 1))
@@ -150,7 +152,7 @@ shared("v_raw", "select " + ", ".join(f"{e} as {n}" for e, n in RAW) + " from li
 
 
 def raw(spark, folder):
-    return table(spark, folder, "lineitem").selectExpr(*[f"{e} as {n}" for e, n in RAW])
+    return spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")).selectExpr(*[f"{e} as {n}" for e, n in RAW])
 
 
 @query(

@@ -9,6 +9,7 @@ from casagrid.operators import search as S
 from casagrid.plans.inputs import base, curated, listings, rnd, view
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
+from casagrid.sources.tables import spread
 
 ZONES = [f"Zona {i}" for i in range(16)] + [S.CENTRE_ZONE]
 VISIBLE = "status = 'active' and operation = 'sale' and not is_hidden"
@@ -109,7 +110,7 @@ _WORD = "concat(' ', regexp_replace(strip_accents(lower(text)), '[^\\p{L}\\p{N}]
     oracle=f"select doc_id from documents where contains({_WORD}, ' le') and contains({_WORD}, ' tion')",
 )
 def documents_word_search(spark, folder):
-    return table(spark, folder, "documents").filter(S.text_predicate("Lé tion", "text")).select("doc_id")
+    return spread(table(spark, folder, "documents")).filter(S.text_predicate("Lé tion", "text")).select("doc_id")
 
 
 @query(
@@ -118,7 +119,7 @@ def documents_word_search(spark, folder):
     oracle=f"select doc_id from documents where contains({_WORD}, ' the') and contains({_WORD}, ' an')",
 )
 def documents_index_search(spark, folder):
-    index = S.token_index(table(spark, folder, "documents"), "doc_id", "text")
+    index = S.token_index(spread(table(spark, folder, "documents")), "doc_id", "text")
     return S.search_index(index, "doc_id", "the an")
 
 

@@ -12,6 +12,7 @@ from casagrid.operators.quantiles import summarize
 from casagrid.plans.inputs import base, curated, rnd, view
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
+from casagrid.sources.tables import spread
 
 # Zone layer: 5 × 5 rectangles over the region keys; every fourth one has a rectangular hole.
 IDX = "(r*5+c)"
@@ -88,7 +89,7 @@ def secpoints(spark, folder):
 
 
 def located(spark, folder):
-    return view(spark, folder, "v_location").select("property_id", "latitude", "longitude")
+    return spread(view(spark, folder, "v_location").select("property_id", "latitude", "longitude"))
 
 
 def layer(df):
@@ -282,7 +283,7 @@ def _inferred(spark, folder):
     for c in ("detected_latitude", "detected_longitude", "cached_latitude", "cached_longitude"):
         df = df.withColumn(c, F.lit(None).cast("double"))
     cols = ("property_id", "source_zone", "latitude", "longitude", "coordinate_source")
-    return Z.infer_zone(Z.pick_coordinates(df).select(*cols), layer(zones(spark, folder)).select("feature_idx", "zone", "rings"))
+    return Z.infer_zone(spread(Z.pick_coordinates(df).select(*cols)), layer(zones(spark, folder)).select("feature_idx", "zone", "rings"))
 
 
 @query(
@@ -309,6 +310,7 @@ def zone_inference_report(spark, folder):
 )
 def infer_territory(spark, folder):
     df = base(spark, folder).select("property_id", "latitude", "longitude", F.col("neighborhood").alias("source_zone"), F.col("locality").alias("source_locality"))
+    df = spread(df)
     wide = layer(zones(spark, folder, True)).select("feature_idx", "zone", "confidence", "needs_manual_review", "rings")
     return Z.infer_territory(df, wide, wide, layer(zones(spark, folder)).select("feature_idx", "zone", "confidence", "needs_manual_review", "rings"))
 
@@ -340,6 +342,7 @@ def score_security(spark, folder):
 )
 def score_location(spark, folder):
     df = base(spark, folder).select("property_id", "latitude", "longitude", "detected_neighborhood", "inferred_neighborhood", "locality")
+    df = spread(df)
     s = area_layer(settlements(spark, folder))
     out = Z.score_location(df, layer(zones(spark, folder)), s.select("feature_idx", "risk_score", "rings"), s.select("feature_idx", "settlement", "rings"), ["detected_neighborhood", "inferred_neighborhood", "locality"])
     return out.withColumn("settlement_m", round_stat("settlement_m", 1))

@@ -12,6 +12,7 @@ from casagrid.operators import listing as L
 from casagrid.plans.inputs import base, listings, view
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
+from casagrid.sources.tables import spread
 
 N = "(100+p_partkey%900)"
 NS = f"cast({N} as string)"
@@ -63,7 +64,7 @@ shared("v_advert", f"select *, property_id%10 as k, 100+property_id%900 as n fro
 
 
 def adverts(spark, folder):
-    return table(spark, folder, "part").selectExpr(*[f"{e} as {n}" for e, n in ADVERT])
+    return spread(table(spark, folder, "part")).selectExpr(*[f"{e} as {n}" for e, n in ADVERT])
 
 
 def k(options: list[str], mod: int = 10, key: str = "property_id") -> str:
@@ -183,7 +184,7 @@ def display_locality(spark, folder):
 
 @query("folded_documents", "T2,T3,T4", oracle="select doc_id, md5(strip_accents(lower(text))) as folded, md5(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '', 'g')) as join_key, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as squeezed from documents")
 def folded_documents(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents"))
     return docs.select("doc_id", F.md5(T.fold_plain("text")).alias("folded"), F.md5(T.text_key("text")).alias("join_key"), F.md5(T.squeeze("text")).alias("squeezed"))
 
 
@@ -194,7 +195,7 @@ def _broken(spark, folder):
     text = F.col("text")
     for good, bad in BROKEN:
         text = F.replace(text, F.lit(good), F.lit(bad))
-    return table(spark, folder, "documents").select("doc_id", text.alias("text"))
+    return spread(table(spark, folder, "documents")).select("doc_id", text.alias("text"))
 
 
 @query("repaired_documents", "T1", oracle="select doc_id, md5(text) as repaired from documents")
@@ -231,7 +232,7 @@ shared("v_number", "select " + ", ".join(f"{e} as {n}" for e, n in NUMBERS) + "
     uses=("v_number",),
 )
 def parsed_numbers(spark, folder):
-    df = table(spark, folder, "lineitem").selectExpr(*[f"{e} as {n}" for e, n in NUMBERS]).selectExpr("row_id", f"{_NUM} as t", f"{_MONTH} as m")
+    df = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")).selectExpr(*[f"{e} as {n}" for e, n in NUMBERS]).selectExpr("row_id", f"{_NUM} as t", f"{_MONTH} as m")
     return df.select("row_id", A.parse_decimal("t").cast("double").alias("amount"), I.parse_number("t").alias("open_amount"), I.parse_month("m").alias("month"))
 
 
