@@ -18,7 +18,7 @@ from casagrid.plans.text_queries import _pick as pick
 from casagrid.plans.text_queries import k as by
 from casagrid.sources import io
 from casagrid.sources.projections import table
-from casagrid.sources.tables import spread
+from casagrid.sources.tables import spread, stored
 
 A, B = "(1+p_partkey%90)", "(100+p_partkey%900)"
 LAT = "concat('-34.', cast(5500+p_partkey%1100 as string))"
@@ -53,7 +53,8 @@ shared("v_page", "select p_partkey as page_id, p_partkey%90+1 as a, 100+p_partke
 
 
 def pages(spark, folder):
-    return spread(table(spark, folder, "part")).selectExpr(*[f"{e} as {n}" for e, n in PAGE])
+    """Advert pages as a stored table, as a crawl would leave them."""
+    return stored(spark, folder, "raw_pages", lambda: spread(table(spark, folder, "part")).selectExpr(*[f"{e} as {n}" for e, n in PAGE]))
 
 
 @query(

@@ -12,7 +12,7 @@ from casagrid.operators.quantiles import summarize
 from casagrid.plans.inputs import base, curated, rnd, view
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
-from casagrid.sources.tables import spread
+from casagrid.sources.tables import spread, stored
 
 # Zone layer: 5 × 5 rectangles over the region keys; every fourth one has a rectangular hole.
 IDX = "(r*5+c)"
@@ -63,6 +63,11 @@ def _ring(df, south="south", west="west", north="north", east="east"):
 
 
 def zones(spark, folder, wide: bool = False):
+    """The zone layer as a stored table, as a layer file would be."""
+    return stored(spark, folder, f"zones_{wide}".lower(), lambda: _zones(spark, folder, wide))
+
+
+def _zones(spark, folder, wide: bool):
     keys = table(spark, folder, "region").selectExpr("r_regionkey as r", "explode(sequence(0, 4)) as c")
     df = keys.selectExpr(*[f"{e} as {n}" for e, n in ZONE])
     if wide:
@@ -75,6 +80,10 @@ def zones(spark, folder, wide: bool = False):
 
 
 def settlements(spark, folder):
+    return stored(spark, folder, "settlements", lambda: _settlements(spark, folder))
+
+
+def _settlements(spark, folder):
     df = table(spark, folder, "supplier").selectExpr(*[f"{e} as {n}" for e, n in SETTLE])
     df = df.withColumns({"south": F.col("latitude") - 8.03e-4, "north": F.col("latitude") + 8.03e-4, "west": F.col("longitude") - 8.03e-4, "east": F.col("longitude") + 8.03e-4})
     return _ring(df)

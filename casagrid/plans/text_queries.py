@@ -12,7 +12,7 @@ from casagrid.operators import listing as L
 from casagrid.plans.inputs import base, listings, view
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
-from casagrid.sources.tables import spread
+from casagrid.sources.tables import spread, stored
 
 N = "(100+p_partkey%900)"
 NS = f"cast({N} as string)"
@@ -64,7 +64,8 @@ shared("v_advert", f"select *, property_id%10 as k, 100+property_id%900 as n fro
 
 
 def adverts(spark, folder):
-    return spread(table(spark, folder, "part")).selectExpr(*[f"{e} as {n}" for e, n in ADVERT])
+    """Raw adverts as a stored table, as a crawl would leave them."""
+    return stored(spark, folder, "raw_adverts", lambda: spread(table(spark, folder, "part")).selectExpr(*[f"{e} as {n}" for e, n in ADVERT]))
 
 
 def k(options: list[str], mod: int = 10, key: str = "property_id") -> str:

@@ -16,6 +16,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Column call sites are not recorded; plans here hold thousands of expressions.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -113,8 +113,11 @@ def normalized_headers(columns: Sequence[str]) -> list[str]:
 
 def read_open_data(spark: SparkSession, path: str, required: Sequence[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """CSV with normalised headers; missing required columns are an error, cells are trimmed text."""
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, multiLine=True, escape='"')
-    names = normalized_headers([c.lstrip("﻿") for c in df.columns])
+    options = {"sep": sep, "encoding": encoding, "escape": '"'}
+    # The reader renames repeated headers itself, so their own text is taken from the first line.
+    first = spark.read.csv(path, header=False, **options).first()
+    df = spark.read.csv(path, header=True, multiLine=True, **options)
+    names = normalized_headers([(c or "").lstrip("\ufeff") for c in first])
     missing = sorted(set(required) - set(names))
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
