@@ -69,26 +69,37 @@ def page_fields(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 LD_SCRIPT = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
+LD_DEPTH = 5
+
+
 def json_ld(pages: DataFrame, key: str, types: Sequence[str], html: str = "html") -> DataFrame:
-    """First JSON-LD object of a wanted type per page, in document order, also inside lists and @graph.
+    """First JSON-LD object of a wanted type per page: parents before children, in order of place.
 
-    Blocks that are not valid JSON are skipped. Nesting is followed through lists and one graph level.
+    Blocks that are not valid JSON are skipped. Nesting is followed five levels deep; members of an object
+    are visited in key order, which puts ``@graph`` before ordinary members.
     """
     blocks = pages.select(key, F.posexplode(F.regexp_extract_all(col(html), F.lit(LD_SCRIPT), 1)).alias("block", "_raw"))
-    blocks = blocks.withColumn("_v", F.try_parse_json(F.btrim("_raw"))).filter(F.col("_v").isNotNull())
-
-    def items(v: Column) -> Column:
-        as_list = F.try_variant_get(v, "$", "array<variant>")
-        return F.coalesce(as_list, F.array(v))
-
-    tops = blocks.select(key, "block", F.posexplode(items(F.col("_v"))).alias("place", "_item"))
-    graph = F.coalesce(F.try_variant_get("_item", "$['@graph']", "array<variant>"), F.array().cast("array<variant>"))
-    every = tops.select(key, "block", "place", F.posexplode(F.concat(F.array("_item"), graph)).alias("depth", "_item"))
-    kind = F.coalesce(F.array(F.try_variant_get("_item", "$['@type']", "string")), F.array().cast("array<string>"))
-    many = F.coalesce(F.try_variant_get("_item", "$['@type']", "array<string>"), kind)
-    hit = every.filter(F.arrays_overlap(F.array_compact(many), F.array(*[F.lit(x) for x in types])))
-    body = hit.select(key, F.struct("block", "place", "depth", F.to_json("_item").alias("object")).alias("_o"))
-    return body.groupBy(key).agg(F.min("_o").alias("_o")).select(key, F.col("_o.object").alias("object"))
+    blocks = blocks.withColumn("_v", F.try_parse_json(F.btrim("_raw"))).filter(F.col("_v").isNotNull()).drop("_raw")
+    none = F.array().cast("array<variant>")
+
+    def children(v: Column) -> Column:
+        listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)
+        return F.concat(listed, F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), none))
+
+    def deeper(nodes: Column) -> Column:
+        return F.flatten(
+            F.transform(nodes, lambda n: F.transform(children(n["v"]), lambda c, i: F.struct(F.concat(n["path"], F.array(i)).alias("path"), c.alias("v"))))
+        )
+
+    rows = blocks.withColumn("_l0", F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("_v").alias("v"))))
+    for depth in range(LD_DEPTH):
+        rows = once(rows, {f"_l{depth + 1}": deeper(F.col(f"_l{depth}"))})
+    every = rows.select(key, "block", F.explode(F.concat(*[F.col(f"_l{d}") for d in range(LD_DEPTH + 1)])).alias("n"))
+    one = F.array(F.try_variant_get("n.v", "$['@type']", "string"))
+    kinds = F.coalesce(F.try_variant_get("n.v", "$['@type']", "array<string>"), one)
+    hit = every.filter(F.arrays_overlap(F.array_compact(kinds), F.array(*[F.lit(x) for x in types])))
+    best = hit.groupBy(key).agg(F.min(F.struct("block", "n.path", F.to_json("n.v").alias("object"))).alias("_o"))
+    return best.select(key, F.col("_o.object").alias("object"))
 
 
 # How pages publish a pin, in order of trust. Each pattern captures latitude and longitude.

@@ -390,10 +390,10 @@ shared("v_mirror", f"select {_sel(MIRROR)} from lineitem")
 shared("tails", "select distinct property_id, source_id, split_part(url, chr(47), 5) as tail from v_mirror", "v_mirror")
 shared(
     "edges",
-    "select distinct t.property_id as a, h.hub as b from tails t join (select tail, min(property_id) as hub from tails group by 1 having count(distinct source_id)>1) h using (tail) where t.property_id <> h.hub",
+    "select distinct t.property_id as a, h.hub as b from tails t join (select tail, min(property_id) as hub from tails group by 1 having min(source_id)<>max(source_id)) h using (tail) where t.property_id <> h.hub",
     "tails",
 )
-_REACH = "reach(node, root) as (select a, a from (select a from edges union select b from edges) union select case when e.a=r.node then e.b else e.a end, r.root from reach r join edges e on e.a=r.node or e.b=r.node)"
+_REACH = "sym as (select a, b from edges union select b, a from edges), reach(node, root) as (select distinct a, a from sym union select e.b, r.root from reach r join sym e on e.a=r.node)"
 _COMP = "comp as (select node, min(root) as component from reach group by node)"
 
 

@@ -56,3 +56,15 @@ def test_page_values(spark):
     check(spark, X.garage_value, [("sin cochera", 0), ("cochera", 1), ("3 autos", 3), ("-2", None)])
     check(spark, X.declared_total, [("Mostrando 1 a 20 propiedades de 1.234 encontradas", 1234), ("nada", None)])
     check(spark, X.max_page, [('<a href="?page=3">', 3), ("/page/7 pagina-12", 12), ("", None)])
+
+
+def test_json_ld_is_walked_parents_first(spark):
+    page = (
+        '<script type="application/ld+json">{bad</script>'
+        '<script type="application/ld+json">[{"@type":"X","offers":{"item":{"@type":"House","name":"deep"}}},{"@type":"House","name":"later"}]</script>'
+    )
+    graph = '<script type="application/ld+json">{"@graph":[{"@type":["Place","House"],"name":"g"}]}</script>'
+    df = spark.createDataFrame([(1, page), (2, graph), (3, "<p>none</p>")], "page_id long, html string")
+    out = X.json_ld(df, "page_id", ["House"])
+    got = {r["page_id"]: r["n"] for r in out.select("page_id", F.get_json_object("object", "$.name").alias("n")).collect()}
+    assert got == {1: "deep", 2: "g"}
