@@ -19,18 +19,22 @@ def _step(v: Column) -> Column:
     return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * STEPS_PER_E)).cast("long")
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Known values per group with how often they occur: the one pass over the rows."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column]) -> DataFrame:
     """Value at each zero-based rank per group; rank expressions may use ``total``, the group size.
 
     Missing values are left out. The result has the keys, ``total`` and one double per entry of ``ranks``.
     """
+    return ranks_from_counts(value_counts(df, keys, value), keys, ranks)
+
+
+def ranks_from_counts(counts: DataFrame, keys: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
     keys = list(keys)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_step", _step(F.col("_v")))
-    )
+    counts = counts.withColumn("_step", _step(F.col("_v")))
     hist = counts.groupBy(*keys, "_step").agg(F.sum("_n").alias("_c"))
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     hist = hist.withColumns({"total": F.sum("_c").over(part), "_upto": F.sum("_c").over(part.orderBy("_step"))})
@@ -57,11 +61,15 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
 
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per group: the keys, ``total`` and one column per probability."""
+    return percentiles_from_counts(value_counts(df, keys, value), keys, probs)
+
+
+def percentiles_from_counts(counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     ranks: dict[str, Column] = {}
     for name, p in probs.items():
         at = (F.col("total") - 1) * F.lit(float(p))
         ranks[f"_lo_{name}"], ranks[f"_hi_{name}"] = F.floor(at), F.ceil(at)
-    out = values_at_ranks(df, keys, value, ranks)
+    out = ranks_from_counts(counts, keys, ranks)
     cols = []
     for name, p in probs.items():
         at = (F.col("total") - 1) * F.lit(float(p))
@@ -85,14 +93,19 @@ def summarize(df: DataFrame, keys: Sequence[str], metrics: Mapping[str, Column |
     probs = probs or {"median": 0.5}
     rows = long_metrics(df, keys, metrics)
     by = [*keys, "metric"]
-    moments = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("avg"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.stddev_pop("value").alias("std"),
-    )
-    order = percentiles(rows, by, "value", probs).drop("total")
+    # Moments and percentiles both start from the counted values, so the rows are read once.
+    counts = value_counts(rows, by, "value")
+    v, n = F.col("_v"), F.col("_n")
+    moments = counts.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(v * n) / F.sum("_n")).alias("avg"), F.min("_v").alias("min"), F.max("_v").alias("max"))
+    # Squares are taken around the mean: sums of plain squares lose the spread of nearly equal prices.
+    a, b = counts.alias("a"), moments.alias("b")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    gap = F.col("a._v") - F.col("b.avg")
+    spread = a.join(b, same).groupBy(*[F.col(f"b.{c}").alias(c) for c in (*by, "n", "avg", "min", "max")]).agg(F.sum(gap * gap * F.col("a._n")).alias("_m2"))
+    moments = spread.select(*by, "n", "avg", "min", "max", F.sqrt(F.col("_m2") / F.col("n")).alias("std"))
+    order = percentiles_from_counts(counts, by, probs).drop("total")
     left, right = moments.alias("m"), order.alias("o")
     on = F.lit(True)
     for k in by:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casagrid.functions.geo import BOUNDARY_M, haversine_m, literal_ring, radius_bbox, ring_contains, ring_edges
-from casagrid.functions.numbers import non_empty, truthy
+from casagrid.functions.numbers import bind, non_empty, truthy
 from casagrid.functions.quality import curate
 from casagrid.functions.text import fold_literal, search_text, text_key
 
@@ -110,13 +110,17 @@ def canonical_zones(params: Mapping, known: Iterable[str]) -> list[str]:
 
 def text_predicate(query: str, *columns: str) -> Column:
     """All words required, each a prefix; a word holding punctuation is a phrase."""
-    body = search_text(*columns)
-    out = F.lit(True)
-    for word in query.split():
-        parts = "".join(ch if ch.isalnum() else " " for ch in fold_literal(word)).split()
-        if parts:
-            out = out & body.contains(" " + " ".join(parts))
-    return out
+    words = [" ".join("".join(ch if ch.isalnum() else " " for ch in fold_literal(w)).split()) for w in query.split()]
+
+    def has_all(body: Column) -> Column:
+        out = F.lit(True)
+        for word in words:
+            if word:
+                out = out & body.contains(" " + word)
+        return out
+
+    # The text is folded once for all words.
+    return bind(search_text(*columns), has_all)
 
 
 def has_completeness(field: str) -> Column:
