@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casagrid.llm import exact_dedup, huffman, mixing, packing
+from casagrid.llm import exact_dedup, huffman, mixing, near_dedup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op2_huffman_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return file.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op5_superminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of five-word shingles overlap by 85 % or more."""
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), percent=85, shingle=5)
+
+
 @query()
 def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids."""

@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from casagrid.session import ensure_checkpoint_dir
@@ -46,7 +47,7 @@ def binary_column(data: np.ndarray, starts: np.ndarray) -> pa.Array:
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22):
     """Parts of a batch of about ``most`` bytes of ``column``, at least one row each."""
     values = batch.column(batch.schema.get_field_index(column))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0), np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(values), 0), np.int64)
     lo = 0
     ends = np.cumsum(sizes)
     while lo < len(sizes):
