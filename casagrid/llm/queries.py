@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casagrid.llm import exact_dedup, huffman, mixing, near_dedup, packing
+from casagrid.llm import exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,35 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+MIN_SITES = 12
+
+
+@query(
+    f"""
+    with l as (select doc_id, source, trim(line, ' ') as key, pos
+               from (select doc_id, source, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos
+                     from documents where text <> '') where trim(line, ' ') <> ''),
+    c as (select key from l group by key having count(distinct coalesce('=' || source, '')) >= {MIN_SITES}),
+    f as (select key, min(row(doc_id, pos)) as first from l join c using (key) group by key),
+    r as (select doc_id, list(pos) as drop from l join f using (key) where row(doc_id, pos) <> first group by doc_id),
+    d as (select d.doc_id, coalesce(text, '') as text, r.drop, string_split(text, chr(10)) as lines from documents d left join r using (doc_id))
+    select doc_id, case when text = '' then 0 else len(lines) end::bigint as n_lines, coalesce(len(drop), 0)::bigint as n_removed,
+           sha256(case when drop is null then text
+                  else array_to_string(list_transform(list_filter(list_zip(lines, range(len(lines))), lambda x: not list_contains(drop, x[2])), lambda x: x[1]), chr(10)) end) as kept_sha256
+    from d
+    """
+)
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without lines that stand on twelve sources or more, but for each line's first occurrence."""
+    cleaned = line_dedup.dedup_lines(table(spark, folder, "documents"), MIN_SITES)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def held_out() -> Column:
+    """Rows whose labels nothing learns from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
+
+
 @query()
 def op2_huffman_token_file(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents, written as Huffman blocks in order of doc_id and read back."""
@@ -40,6 +69,15 @@ def op2_huffman_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return file.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents by a classifier that has seen the labels of two thirds of the ids."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels").filter(~held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("toxic").alias("flagged_in_language"))
+
+
 @query()
 def op5_superminhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents whose sets of five-word shingles overlap by 85 % or more."""
@@ -94,3 +132,13 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Two ingests of ``documents``: the rows of one half are history, those of the other are looked up in it."""
     docs = table(spark, folder, "documents")
     return exact_dedup.exact_dedup(docs, F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0)
+
+
+@query()
+def op10_hierarchical_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, sources as sites and their languages as paths; learns like op4 from two thirds."""
+    docs = table(spark, folder, "documents")
+    model = quality.fit(docs, table(spark, folder, "labels").filter(~held_out()))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    found = quality.hierarchical_quality(docs, model, F.col("source"), path)
+    return found.withColumn("held_out", held_out())

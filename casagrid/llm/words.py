@@ -9,11 +9,12 @@ import numpy as np
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: For words without marks: every ASCII byte but letters and digits parts them.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _random = np.random.default_rng(20240501)
 LETTER = _random.integers(1, 2**63, 256).astype(np.uint64)[LOWER] | np.uint64(1)
-LETTER[IS_SPACE] = 0
 SPAN = 1 << 16
 with np.errstate(over="ignore"):
     POWER = np.cumprod(np.full(SPAN, 0x9E3779B97F4A7C15, np.uint64))
@@ -26,9 +27,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, at: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and lengths of words in ``raw``, and the first word of each text (with the number of words last)."""
-    letter = ~IS_SPACE[raw]
+    letter = ~parts[raw]
     fresh = np.zeros(len(raw) + 1, bool)
     fresh[at[:-1]] = True
     before = np.concatenate([[False], letter[:-1]]) if len(raw) else letter
@@ -39,9 +40,9 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends - starts, np.searchsorted(starts, at)
 
 
-def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, at: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and the first word of each text (with the number of words last)."""
-    starts, sizes, first = word_spans(raw, at)
+    starts, sizes, first = word_spans(raw, at, parts)
     if not len(starts):
         return np.zeros(0, np.uint64), first
     spans = np.diff(starts, append=len(raw))
@@ -49,7 +50,8 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     weight = POWER[place & (SPAN - 1)]
     if sizes.max() > SPAN:
         weight = weight * (2 * (place // SPAN) + 1).astype(np.uint64)
-    total = np.add.reduceat(LETTER[raw[starts[0] :]] * weight, starts - starts[0])
+    letters = np.where(parts, np.uint64(0), LETTER)
+    total = np.add.reduceat(letters[raw[starts[0] :]] * weight, starts - starts[0])
     return mixed(total + sizes.astype(np.uint64)), first
 
 
