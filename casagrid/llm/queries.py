@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casagrid.llm import exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, quality, toxicity
+from casagrid.llm import exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, prefix_forest, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,6 +69,14 @@ def op2_huffman_token_file(spark: SparkSession, folder: str) -> DataFrame:
     return file.read().select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query()
+def op3_prefix_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    vectors = table(spark, folder, "embeddings")
+    forest = prefix_forest.build_forest(vectors)
+    return forest.search(vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
 @query()
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents by a classifier that has seen the labels of two thirds of the ids."""
