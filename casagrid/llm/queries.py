@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casagrid.llm import exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, prefix_forest, quality, toxicity
+from casagrid.llm import exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, prefix_forest, quality, suffix_levels, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,6 +129,13 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(docs, mixing.word_count(F.col("text"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query()
+def op8_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without bytes of 200-byte strings that start anywhere else, indexed in two ingests."""
+    cut = suffix_levels.remove_repeats(table(spark, folder, "documents"), window=200, batches=2)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     r"""
     with n as (select doc_id, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') as norm, length(coalesce(text, '')) as chars from documents),
