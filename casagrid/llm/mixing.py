@@ -47,7 +47,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
         (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0))).alias("weight_left"),
     )
     level = sums.withColumn("level", (F.col("budget") - F.col("top_before")) / F.col("weight_left"))
-    level = level.withColumn("common", F.min(F.when(F.col("level") <= F.col("top") / F.col("weight"), F.col("level"))).over(everything))
+    # The first source that its level does not fill; the levels after it mean nothing.
+    order = Window.orderBy(F.col("top") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    level = level.withColumn("common", F.first(F.when(F.col("level") <= F.col("top") / F.col("weight"), F.col("level")), ignorenulls=True).over(order))
     return level.select("source", "place", "rows", F.col("size").alias("source_size"), F.coalesce(F.least("top", F.col("common") * F.col("weight")), "top").alias("target"))
 
 

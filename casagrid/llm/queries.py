@@ -82,7 +82,7 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents by a classifier that has seen the labels of two thirds of the ids."""
     docs = table(spark, folder, "documents")
     model = toxicity.fit(docs, table(spark, folder, "labels").filter(~held_out()))
-    scored = toxicity.score(docs, model)
+    scored = toxicity.score(docs.select("doc_id", "lang", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("toxic").alias("flagged_in_language"))
 
 
@@ -112,7 +112,7 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
                  coalesce(sum(top) over o, 0) as top_before, sum(weight) over () - coalesce(sum(weight) over o, 0) as weight_left
           from w window o as (order by top / weight, place rows between unbounded preceding and 1 preceding)),
     l as (select *, (budget - top_before) / weight_left as level from f),
-    c as (select *, min(case when level <= top / weight then level end) over () as common from l),
+    c as (select *, first_value(case when level <= top / weight then level end ignore nulls) over (order by top / weight, place rows between unbounded preceding and unbounded following) as common from l),
     t as (select source, size as source_size, coalesce(least(top, common * weight), top) as target from c),
     p as (select d.doc_id, d.size, t.source_size::bigint as source_size, t.target,
                  sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and current row) - d.size as start

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casagrid.llm.shared import binary_column, slices, stored, text_bytes
 from casagrid.llm.textcnn import TextCnn, best_cut, gather, train, words_of
@@ -77,24 +78,29 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS,
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, score, toxic): probability-like score of each whole text, and whether it reaches the threshold of
-    its language. Null and empty texts get the score of a text without words; repeated rows are scored alike; a null or
-    new language has the common threshold; an empty table gives an empty result."""
+def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` with columns score and toxic: how likely label 1 is for each whole text, and whether the score reaches
+    the threshold of its language.
+
+    Null and empty texts get the score of a text without words; repeated rows are scored alike; a null or new language
+    has the common threshold; an empty table gives an empty result. Other columns are carried, but columns named score
+    or toxic give way to the new ones.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model.cnn)  # a fixed size
+    slim = docs.drop("score", "toxic")
+    names = [*slim.columns, "score"]
+    at = names.index(text_col)
 
     def run(batches):
         cnn = shared.value
         tables = cnn.tables()
         for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                words, first = words_of(*text_bytes(part.column(2)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cnn.scores(words, first, tables))], names=["doc_id", "lang", "score"])
+            for part in slices(batch, text_col, SLICE):
+                words, first = words_of(*text_bytes(part.column(at)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cnn.scores(words, first, tables))], names=names)
 
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    kind = dict(slim.dtypes)["doc_id"]
-    scored = slim.mapInArrow(run, f"doc_id {kind}, lang string, score double")
+    scored = slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField("score", T.DoubleType())]))
     limits: Column = F.lit(CUT)
     for lang, limit in model.thresholds.items():
-        limits = F.when(F.col("lang") == lang, F.lit(limit)).otherwise(limits)
+        limits = F.when(F.col(lang_col) == lang, F.lit(limit)).otherwise(limits)
     return scored.withColumn("toxic", F.col("score") >= limits)
