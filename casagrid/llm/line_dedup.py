@@ -46,18 +46,18 @@ def dedup_lines(docs: DataFrame, min_sites: int, id_col: str = "doc_id", site_co
     result; other columns are carried, but a column named like a result column gives way to it.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    key = {"_id": F.col(id_col), "_version": F.xxhash64(F.col(text_col))}
-    keyed = docs.select(*rest, *[c.alias(n) for n, c in key.items()])
-    site = F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit(""))
-    hashed = keyed.filter(F.col(text_col) != "").select(F.col("_id").alias("id"), F.col("_version").alias("version"), site.alias("site"), F.posexplode(line_hashes(F.col(text_col))).alias("pos", "line"))
+    # Carried columns stay together, so that their names cannot meet those in use here.
+    keyed = docs.select(F.struct(*rest).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("version"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
+    site = F.coalesce(F.concat(F.lit("="), F.col("site")), F.lit(""))
+    hashed = keyed.filter("text != ''").select("id", "version", site.alias("site"), F.posexplode(line_hashes(F.col("text"))).alias("pos", "line"))
     lines = stored(hashed.filter("line != 0"), "lines")
     common = stored(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(common, "line").filter(F.expr("struct(id, version, pos) != first"))
-    drops = hits.groupBy("id", "version").agg(F.collect_set("pos").alias("_drop"))
-    found = keyed.join(drops, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_version") == F.col("version")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
-    left = F.concat_ws("\n", F.filter(parts, lambda line, i: ~F.array_contains(F.col("_drop"), i)))
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(left)
-    n_lines = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(parts)).cast("long")
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in rest]
-    return found.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    drops = hits.groupBy(F.col("id").alias("of"), F.col("version").alias("of_version")).agg(F.collect_set("pos").alias("drop"))
+    found = keyed.select("row", "id", "version").join(drops, F.col("id").eqNullSafe(F.col("of")) & (F.col("version") == F.col("of_version")), "left")
+    parts = F.split(F.col(f"row.{text_col}"), "\n", -1)
+    left = F.concat_ws("\n", F.filter(parts, lambda line, i: ~F.array_contains(F.col("drop"), i)))
+    text = F.when(F.col("drop").isNull(), F.col(f"row.{text_col}")).otherwise(left)
+    n_lines = F.when(F.coalesce(F.col(f"row.{text_col}"), F.lit("")) == "", 0).otherwise(F.size(parts)).cast("long")
+    columns = [(text if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in rest]
+    return found.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_removed"))

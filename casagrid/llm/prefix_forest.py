@@ -25,7 +25,8 @@ SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
 TREES = 64
 BITS = 32
-#: Rows that the nodes of all trees hold together before the ascent ends, as a share of the shard.
+#: Rows that the nodes of all trees hold together before the ascent ends, as a share of the shard, beside k rows a tree;
+#: a row counts in each tree, so ``TREES`` means all rows.
 ENOUGH = 0.6
 
 
@@ -54,7 +55,7 @@ def hash_strings(x: np.ndarray, lift: np.ndarray, trees: int, seed: int) -> np.n
 
 def search_shard(ids: np.ndarray, x: np.ndarray, strings: np.ndarray, order: np.ndarray, q_ids: np.ndarray, q: np.ndarray, q_strings: np.ndarray, k: int, enough: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, id and score of the ``k`` best among the rows that each query's nodes hold, its own row left out."""
-    trees, n, need = len(strings), len(ids), min(len(ids), int(np.ceil(enough * len(ids))) + k)
+    trees, n, need = len(strings), len(ids), len(strings) * min(len(ids), int(np.ceil(enough * len(ids) / len(strings))) + k)
     low, high = np.zeros((trees, len(q)), np.int64), np.zeros((trees, len(q)), np.int64)
     open_ = np.arange(len(q))
     for depth in range(BITS, -1, -1):
@@ -72,6 +73,8 @@ def search_shard(ids: np.ndarray, x: np.ndarray, strings: np.ndarray, order: np.
         for t in range(trees):
             inside[order[t, low[t, i] : high[t, i]]] = True
         rows = np.flatnonzero(inside & (ids != q_ids[i]))
+        if len(rows) < k:  # the same few rows in many trees: up to the root
+            rows = np.flatnonzero(ids != q_ids[i])
         score = (x[rows] * q[i]).sum(axis=1)  # row by row alike, so that equal vectors tie
         if len(rows) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]

@@ -100,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
     # A bounded number of small rows: the broadcast does not grow with the corpus.
-    sample = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").mapInArrow(measure, "doc_id long, quality int, x array<double>")
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality").mapInArrow(measure, "doc_id long, quality int, x array<double>")
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["x"]))
     width = features(np.zeros(0, np.uint8), np.zeros(2, np.int64)).shape[1]
     return train(np.array([r["x"] for r in rows], np.float64).reshape(-1, width), np.array([r["quality"] for r in rows], np.float64))
