@@ -20,20 +20,29 @@ ORACLE_SQL = None
 END_ID, CAPACITY = 2, 1024
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` under names that no operator uses, and those names by the old ones."""
+    names = [f"c{i}_" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under the threshold of their language; texts null or empty stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out())
-    scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    return scored.filter(~F.col("toxic")).select(*docs.columns)
+    plain, name = numbered(docs)
+    scored = toxicity.score(plain, toxicity.fit(docs, labels), name["text"], name["lang"])
+    return scored.filter(~F.col("toxic")).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of twelve sources or more, but for each line's first occurrence; a document goes if
     nothing but white space is left of a text that had such lines."""
-    cleaned = line_dedup.dedup_lines(docs, MIN_SITES)
-    left = cleaned.filter((F.col("n_removed") == 0) | F.col("text").rlike(mixing.WORD))
+    plain, name = numbered(docs)
+    cleaned = line_dedup.dedup_lines(plain, MIN_SITES, name["doc_id"], name["source"], name["text"])
     changed = F.col("n_removed") > 0
-    return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    left = cleaned.filter(~changed | F.col(name["text"]).rlike(mixing.WORD))
+    size = F.when(changed, F.length(name["text"]).cast("long")).otherwise(F.col(name["n_chars"]))
+    return left.withColumn(name["n_chars"], size).select(*plain.columns).toDF(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +54,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of 150 % of all words, sources weighing 3, 1, 2: a row for each time that a document is taken, and for
     the last of a source the words that its budget still holds. Documents without words are not part of a mix."""
-    version = F.xxhash64("text")
-    rows = docs.select("doc_id", "source", "text", version.alias("_version"))
-    mixed = mixing.mix(rows, mixing.word_count(F.col("text")), extra=("_version",)).filter("taken > 0")
-    taken = mixed.groupBy("doc_id", "_version").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).withColumnRenamed("doc_id", "_id").withColumnRenamed("_version", "_of")
-    found = docs.withColumn("_version", version).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_version") == F.col("_of")))
-    times = F.expr("transform(sequence(1, ceil(_taken / _size)), i -> least(_size, _taken - (i - 1) * _size))")
-    each = found.withColumn("_words", F.explode(times))
-    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col("text"))
-    whole = F.col("_words") == F.col("_size")
-    out = each.withColumn("text", cut).withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*docs.columns)
+    plain, name = numbered(docs)
+    text, size = F.col(name["text"]), F.col(name["n_chars"])
+    keyed = plain.withColumn("version", F.xxhash64(text))
+    slim = keyed.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["source"]).alias("source"), text.alias("text"), "version")
+    mixed = mixing.mix(slim, mixing.word_count(F.col("text")), extra=("version",)).filter("taken > 0")
+    taken = mixed.groupBy("doc_id", F.col("version").alias("of")).agg(F.max("size").alias("size"), F.max("taken").alias("taken"))
+    found = keyed.join(taken, F.col(name["doc_id"]).eqNullSafe(F.col("doc_id")) & (F.col("version") == F.col("of")))
+    each = found.withColumn("words", F.explode(F.expr("transform(sequence(1, ceil(taken / size)), i -> least(size, taken - (i - 1) * size))")))
+    whole = F.col("words") == F.col("size")
+    spaces = r"[\x20\x09-\x0D]+"
+    front = F.array_join(F.slice(F.split(F.regexp_replace(text, "^" + spaces, ""), spaces), F.lit(1), F.col("words").cast("int")), " ")
+    cut = each.withColumn(name["text"], F.when(whole, text).otherwise(front))
+    return cut.withColumn(name["n_chars"], F.when(whole, size).otherwise(F.length(name["text"]).cast("long"))).select(*plain.columns).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
