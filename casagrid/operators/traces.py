@@ -7,30 +7,26 @@ spread over tasks. Rows stream through a task in Arrow batches; no group is held
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casagrid.functions.geo import EARTH_M, TRIP_EARTH_M, bearing, haversine_m, relative_direction
+from casagrid.operators import trace_rules as R
 from casagrid.operators.spatial import radius_pairs
+from casagrid.operators.trace_rules import CONTINUITY_MS, MAX_ACCURACY_M, MAX_SPEED_KMH, MIN_DISTANCE_M, QUERY_IDLE_MS
 from casagrid.operators.windows import previous_row, running_sum
+from casagrid.session import ensure_checkpoint_dir
 
 # Limits of the drive mode.
-MAX_ACCURACY_M = 60.0
-MIN_INTERVAL_MS, MIN_DISTANCE_M, CONTINUITY_MS, MAX_SPEED_KMH = 3000, 15.0, 30000, 160.0
-QUERY_EVERY_MS, QUERY_DISTANCE_M, QUERY_IDLE_MS = 5000, 60.0, 15000
-ALERT_M, CLOSE_M, MAX_TRIP_PROPERTIES, SUSPICIOUS_GROUP, MAX_NEARBY = 120.0, 120.0, 3000, 5, 250
+ALERT_M, CLOSE_M, SUSPICIOUS_GROUP, MAX_NEARBY = 120.0, 120.0, 5, 250
 MAX_TRIP_MS, MAX_TRIP_M, MAX_TRIP_POINTS = 7 * 86400 * 1000, 2_000_000.0, 1500
 DAY_MS = 86_400_000
-
-
-def meters(lat1: float, lon1: float, lat2: float, lon2: float, radius: float = EARTH_M) -> float:
-    a1, a2 = math.radians(lat1), math.radians(lat2)
-    h = math.sin((a2 - a1) / 2) ** 2 + math.cos(a1) * math.cos(a2) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-    return 2 * radius * math.asin(min(1.0, math.sqrt(h)))
+# Stretches of a trace up to this length are simplified in one task; longer ones are split over tasks first.
+STRETCH_POINTS = 20_000
 
 
 def usable_positions(df: DataFrame, now: str = "now_ms", max_age_ms: int = 10000) -> DataFrame:
@@ -52,55 +48,32 @@ def trace_steps(df: DataFrame) -> DataFrame:
     return running_sum(rows, ["session_id"], "_day", order, F.col("step_m"), "total_m").drop("_day")
 
 
-def scan_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Callable, step: Callable, schema: str, carry: Sequence[str]) -> DataFrame:
-    """Run ``state, outputs = step(state, row)`` over each key in order; state starts with ``start()``.
+def scan_sorted(df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: R.Rule, schema: str, needs: Sequence[str]) -> DataFrame:
+    """Runs a rule of ``trace_rules`` over each key in order; ``schema`` names key and carried columns and the rule's.
 
-    Partitions are sorted, so only the running state of one key is in memory. ``outputs`` is one tuple per
-    row (or None); carried columns come first.
+    Partitions are sorted and only the columns in ``needs`` travel; a key's rows meet the rule in Arrow batches, so only
+    the running state of one key is in memory.
     """
-    keys, order, carry = list(keys), list(order), list(carry)
+    keys, order = list(keys), list(order)
     names = [f.split()[0] for f in schema.split(",")]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
-            out = []
-            cols = {c: i for i, c in enumerate(batch.columns)}
-            places = [cols[k] for k in keys]
-            kept = [cols[c] for c in carry]
-            for values in batch.itertuples(index=False, name=None):
-                key = tuple(values[i] for i in places)
+            mark = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy()
+            begins = np.flatnonzero(mark).tolist()
+            for lo, hi in zip(begins, [*begins[1:], len(batch)], strict=True):
+                frame = batch.iloc[lo:hi]
+                key = tuple(frame.iloc[0][keys])
                 if key != current:
-                    current, state = key, start()
-                state, result = step(state, {c: values[i] for c, i in cols.items()})
-                if result is not None:
-                    out.append((*[values[i] for i in kept], *result))
-            yield pd.DataFrame(out, columns=names)
-
-    sorted_rows = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-    return sorted_rows.mapInPandas(scan, schema)
-
-
-def accept_step(state: dict | None, row: dict) -> tuple[dict | None, tuple[bool, float, str]]:
-    """One acceptance decision; the state is the last accepted point."""
-    if row["accuracy"] is None or not row["accuracy"] <= MAX_ACCURACY_M:
-        return state, (False, 0.0, "accuracy")
-    point = {"ts": int(row["ts_ms"]), "lat": float(row["latitude"]), "lon": float(row["longitude"])}
-    if state is None:
-        return point, (True, 0.0, "first")
-    elapsed = point["ts"] - state["ts"]
-    if elapsed <= 0:
-        return state, (False, 0.0, "order")
-    distance = meters(state["lat"], state["lon"], point["lat"], point["lon"])
-    if distance / (elapsed / 1000) * 3.6 > MAX_SPEED_KMH:
-        return state, (False, 0.0, "jump")
-    if elapsed < MIN_INTERVAL_MS:
-        return state, (False, 0.0, "interval")
-    if distance >= MIN_DISTANCE_M:
-        return point, (True, distance, "movement")
-    if elapsed >= CONTINUITY_MS:
-        return point, (True, 0.0, "continuity")
-    return state, (False, 0.0, "noise")
+                    current, state = key, None
+                state, columns = rule(state, frame)
+                keep = columns.pop("_out", None)
+                out = frame.assign(**columns)
+                yield (out if keep is None else out[keep])[names]
+
+    columns = list(dict.fromkeys([*keys, *order, *needs]))
+    return df.select(*columns).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(scan, schema)
 
 
 ACCEPT_SCHEMA = "session_id long, segment long, event_id long, ts_ms long, latitude double, longitude double, accepted boolean, distance_m double, reason string"
@@ -113,8 +86,10 @@ def accept_trace_points(df: DataFrame) -> DataFrame:
     session could be a jump, is accepted whatever was accepted earlier: segments start there.
     """
     order = ["ts_ms", "event_id"]
-    usable = F.coalesce(F.col("accuracy") <= MAX_ACCURACY_M, F.lit(False))
-    bad = df.filter(~usable).select("session_id", "event_id", "ts_ms", F.lit(False).alias("accepted"), F.lit(0.0).alias("distance_m"), F.lit("accuracy").alias("reason"))
+    why = F.when(F.col("latitude").isNull() | F.col("longitude").isNull() | F.isnan("latitude") | F.isnan("longitude"), "invalid")
+    why = why.when(~F.coalesce(F.col("accuracy") <= MAX_ACCURACY_M, F.lit(False)), "accuracy").when(F.col("ts_ms").isNull(), "timestamp")
+    usable = why.isNull()
+    bad = df.filter(~usable).select("session_id", "event_id", "ts_ms", F.lit(False).alias("accepted"), F.lit(0.0).alias("distance_m"), why.alias("reason"))
     good = with_day(df.filter(usable))
     box = good.groupBy("session_id").agg(
         F.min("latitude").alias("_s"), F.max("latitude").alias("_n"), F.min("longitude").alias("_w"), F.max("longitude").alias("_e")
@@ -126,7 +101,7 @@ def accept_trace_points(df: DataFrame) -> DataFrame:
     cut = F.coalesce((F.col("ts_ms") - F.col("prev_ts_ms")) >= F.col("_calm"), F.lit(True)).cast("long")
     rows = running_sum(rows, ["session_id"], "_day", order, cut, "segment")
     slim = rows.select("session_id", "segment", "event_id", "ts_ms", "latitude", "longitude", "accuracy")
-    out = scan_sorted(slim, ["session_id", "segment"], order, lambda: None, accept_step, ACCEPT_SCHEMA, ["session_id", "segment", "event_id", "ts_ms", "latitude", "longitude"])
+    out = scan_sorted(slim, ["session_id", "segment"], order, R.accept_rule, ACCEPT_SCHEMA, ["latitude", "longitude", "accuracy"])
     # The head of a later segment is compared with the last point accepted in the segment before.
     tails = out.filter("accepted").groupBy("session_id", "segment").agg(F.max(F.struct("ts_ms", "event_id", "latitude", "longitude")).alias("_t"))
     tails = tails.select("session_id", (F.col("segment") + 1).alias("segment"), F.col("_t.latitude").alias("_lat"), F.col("_t.longitude").alias("_lon"))
@@ -145,17 +120,6 @@ def accept_trace_points(df: DataFrame) -> DataFrame:
     return out.unionByName(bad)
 
 
-def sample_step(state: dict | None, row: dict) -> tuple[dict, tuple | None]:
-    """Emit a position for querying; the state holds the last try and the last emitted position."""
-    ts, lat, lon = int(row["ts_ms"]), float(row["latitude"]), float(row["longitude"])
-    if state is not None:
-        if ts - state["try"] < QUERY_EVERY_MS:
-            return state, None
-        if meters(state["lat"], state["lon"], lat, lon) < QUERY_DISTANCE_M and ts - state["ts"] < QUERY_IDLE_MS:
-            return state, None
-    return {"try": ts, "ts": ts, "lat": lat, "lon": lon}, ()
-
-
 def sample_positions(df: DataFrame) -> DataFrame:
     """Positions to query from. After 15 s of silence a position is always emitted, so segments start there."""
     order = ["ts_ms", "event_id"]
@@ -164,87 +128,18 @@ def sample_positions(df: DataFrame) -> DataFrame:
     rows = running_sum(rows, ["session_id"], "_day", order, cut, "segment")
     slim = rows.select("session_id", "segment", "event_id", "ts_ms", "latitude", "longitude")
     schema = "session_id long, event_id long, ts_ms long, latitude double, longitude double"
-    return scan_sorted(slim, ["session_id", "segment"], order, lambda: None, sample_step, schema, ["session_id", "event_id", "ts_ms", "latitude", "longitude"])
-
-
-# Settings of the heading tracker.
-TRACK = {
-    "max_accuracy": 60.0, "heading_accuracy": 30.0, "max_speed": 55.0, "start_speed": 2.5, "stop_speed": 2.0, "motion_memory_ms": 4000, "anchor_age_ms": 12000,
-    "min_elapsed_ms": 700, "max_turn": 70.0, "smooth_s": 0.9, "alpha_low": 0.2, "alpha_high": 0.75,
-}
-
-
-def _course(a: dict, b: dict) -> float | None:
-    a1, a2, dl = math.radians(a["lat"]), math.radians(b["lat"]), math.radians(b["lon"] - a["lon"])
-    y, x = math.sin(dl) * math.cos(a2), math.cos(a1) * math.sin(a2) - math.sin(a1) * math.cos(a2) * math.cos(dl)
-    return None if abs(x) < 1e-12 and abs(y) < 1e-12 else (math.degrees(math.atan2(y, x)) + 360) % 360
-
-
-def _turn(target: float, origin: float) -> float:
-    return ((target - origin + 540) % 360) - 180
-
-
-def _none(value) -> float | None:
-    return None if value is None or (isinstance(value, float) and math.isnan(value)) else float(value)
-
-
-def heading_step(state: dict | None, row: dict) -> tuple[dict, tuple[float | None, bool, str]]:
-    """One fix of the heading tracker: outliers leave the base unchanged, turns are smoothed on the circle."""
-    s = dict(state or {"prev": None, "anchor": None, "heading": None, "moving": False, "motion_at": None, "heading_at": None})
-    fix = {"ts": int(row["ts_ms"]), "lat": float(row["latitude"]), "lon": float(row["longitude"]), "acc": _none(row["accuracy"])}
-    speed, told = _none(row.get("speed")), _none(row.get("heading"))
-
-    def done(reason: str) -> tuple[dict, tuple[float | None, bool, str]]:
-        return s, (s["heading"], s["moving"], reason)
-
-    if fix["acc"] is None or fix["acc"] > TRACK["max_accuracy"]:
-        return done("accuracy")
-    if s["prev"] is not None:
-        seconds = (fix["ts"] - s["prev"]["ts"]) / 1000
-        if seconds <= 0:
-            return done("order")
-        if meters(s["prev"]["lat"], s["prev"]["lon"], fix["lat"], fix["lon"]) > TRACK["max_speed"] * seconds + s["prev"]["acc"] + fix["acc"]:
-            return done("jump")
-    s["prev"] = fix
-    if fix["acc"] > TRACK["heading_accuracy"]:
-        s["anchor"], s["moving"] = None, False
-        return done("heading-accuracy")
-    if s["motion_at"] is None or fix["ts"] - s["motion_at"] > TRACK["motion_memory_ms"]:
-        s["moving"] = False
-    if speed is not None and speed < TRACK["stop_speed"]:
-        s["moving"], s["motion_at"], s["anchor"] = False, None, fix
-        return done("stopped")
-    if s["anchor"] is None or fix["ts"] - s["anchor"]["ts"] > TRACK["anchor_age_ms"]:
-        s["anchor"] = fix
-        return done("awaiting-movement")
-    elapsed = fix["ts"] - s["anchor"]["ts"]
-    distance = meters(s["anchor"]["lat"], s["anchor"]["lon"], fix["lat"], fix["lon"])
-    doubt = s["anchor"]["acc"] + fix["acc"]
-    needed = max(10.0, doubt) if speed is None else max(8.0, doubt * 0.75) if told is None else max(8.0, min(15.0, doubt * 0.5))
-    if elapsed < TRACK["min_elapsed_ms"] or distance < needed:
-        return done("moving" if s["moving"] else "awaiting-movement")
-    course, inferred = _course(s["anchor"], fix), distance / (elapsed / 1000)
-    s["anchor"] = fix
-    pace = inferred if speed is None else speed
-    if pace < (TRACK["stop_speed"] if s["moving"] else TRACK["start_speed"]) or pace > TRACK["max_speed"] or inferred < TRACK["stop_speed"]:
-        s["moving"] = False
-        return done("slow")
-    s["moving"], s["motion_at"] = True, fix["ts"]
-    aim = course if told is None or abs(_turn(told, course)) > TRACK["max_turn"] else told
-    if s["heading"] is None:
-        s["heading"] = aim
-    else:
-        seconds = (fix["ts"] - s["heading_at"]) / 1000
-        alpha = min(TRACK["alpha_high"], max(TRACK["alpha_low"], 1 - math.exp(-seconds / TRACK["smooth_s"])))
-        s["heading"] = (s["heading"] + alpha * _turn(aim, s["heading"]) + 360) % 360
-    s["heading_at"] = fix["ts"]
-    return done("moving")
+    return scan_sorted(slim, ["session_id", "segment"], order, R.sample_rule, schema, ["latitude", "longitude"])
 
 
 def track_heading(df: DataFrame) -> DataFrame:
-    """Heading, motion flag and reason of every fix. The smoothed heading has no point where it forgets, so a session is one sorted stream."""
+    """Heading, motion flag and reason of every fix; with a ``now_ms`` column, fixes too old or ahead are ``stale``.
+
+    The smoothed heading has no point where it forgets, so a session is one sorted stream.
+    """
     schema = "session_id long, event_id long, camera_heading double, moving boolean, reason string"
-    return scan_sorted(df, ["session_id"], ["ts_ms", "event_id"], lambda: None, heading_step, schema, ["session_id", "event_id"])
+    needs = [c for c in ("latitude", "longitude", "accuracy", "speed", "heading", "now_ms") if c in df.columns]
+    out = scan_sorted(df, ["session_id"], ["ts_ms", "event_id"], R.heading_rule, schema, needs)
+    return out.withColumn("camera_heading", F.nanvl("camera_heading", F.lit(None).cast("double")))
 
 
 def property_groups(properties: DataFrame) -> DataFrame:
@@ -256,27 +151,32 @@ def property_groups(properties: DataFrame) -> DataFrame:
     )
 
 
-def accumulate_encounters(positions: DataFrame, properties: DataFrame, radius_m: float = 350.0) -> DataFrame:
-    """Per trip and coordinate group: first seen, least distance, properties (at most 3000 per trip).
+def accumulate_encounters(positions: DataFrame, properties: DataFrame, radius_m: float = 350.0, most_properties: int | None = None) -> DataFrame:
+    """Per trip and coordinate group: first seen, least distance, and how many of its properties the trip holds.
 
-    Repeated positions of a trip and properties at one spot are collapsed before they meet.
+    Repeated positions of a trip and properties at one spot are collapsed before they meet. ``most_properties`` ends a
+    trip's list at so many properties, groups entering in the order they are first seen; without it nothing is cut.
     """
     stops = positions.groupBy("session_id", "latitude", "longitude").agg(F.min("ts_ms").alias("ts_ms"))
     pairs = radius_pairs(stops, property_groups(properties), radius_m)
     met = pairs.groupBy("session_id", "group_id", "group_count").agg(F.min("ts_ms").alias("first_seen"), F.min(F.round("distance_m").cast("bigint")).alias("min_distance_m"))
-    # Groups enter in the order they are first seen until the trip holds 3000 properties.
-    w = Window.partitionBy("session_id").orderBy("first_seen", "group_id").rowsBetween(Window.unboundedPreceding, 0)
-    met = met.withColumn("_total", F.sum("group_count").over(w))
-    room = F.greatest(F.lit(0), F.lit(MAX_TRIP_PROPERTIES) - (F.col("_total") - F.col("group_count")))
-    met = met.withColumn("kept_properties", F.least("group_count", room))
-    return met.filter(F.col("kept_properties") > 0).drop("_total")
+    if most_properties is None:
+        return met.withColumn("kept_properties", F.col("group_count"))
+    w = Window.partitionBy("session_id").orderBy("first_seen", "group_id").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.greatest(F.lit(0), F.lit(most_properties) - F.coalesce(F.sum("group_count").over(w), F.lit(0)))
+    return met.withColumn("kept_properties", F.least("group_count", room)).filter("kept_properties > 0")
 
 
 def trip_properties(encounters: DataFrame, properties: DataFrame, favorites: DataFrame) -> DataFrame:
     """Properties met on a trip with the marks the trip lists filter by."""
     spot = F.concat_ws(",", F.format_string("%.6f", F.col("latitude")), F.format_string("%.6f", F.col("longitude")))
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy("property_id"))
     ids = properties.filter(F.col("latitude").isNotNull()).select("property_id", spot.alias("group_id"))
-    rows = encounters.join(ids, "group_id").withColumn("favorite", F.lit(False))
+    # A group that entered in part is met by its first properties only.
+    part = encounters.filter("kept_properties < group_count")
+    ids_of_part = ids.join(part.select("group_id").distinct(), "group_id", "left_semi").withColumn("place", place)
+    some = part.join(ids_of_part, "group_id").filter("place <= kept_properties").drop("place")
+    rows = encounters.filter("kept_properties = group_count").join(ids, "group_id").unionByName(some).withColumn("favorite", F.lit(False))
     liked = favorites.select("session_id", "property_id").distinct().withColumn("_liked", F.lit(True))
     out = rows.join(liked, ["session_id", "property_id"], "full_outer")
     return out.select(
@@ -301,20 +201,11 @@ def alert_candidates(positions: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def alert_step(state: dict | None, row: dict) -> tuple[dict, tuple | None]:
-    """Candidates of one fix arrive best first: the first group not announced yet is the fix's only alert."""
-    s = state or {"done": [], "fix": None}
-    fix = f"{row['ts_ms']}-{row['event_id']}"
-    if s["fix"] == fix or row["group_id"] in s["done"]:
-        return s, None
-    return {"done": [*s["done"], row["group_id"]], "fix": fix}, ()
-
-
 def proximity_alerts(positions: DataFrame, properties: DataFrame) -> DataFrame:
     rows = alert_candidates(positions, property_groups(properties))
     schema = "session_id long, event_id long, group_id string, direction string, distance_m double"
     order = ["ts_ms", "event_id", "rank", "distance_m", "first_property"]
-    return scan_sorted(rows, ["session_id"], order, lambda: None, alert_step, schema, ["session_id", "event_id", "group_id", "direction", "distance_m"])
+    return scan_sorted(rows, ["session_id"], order, R.alert_rule, schema, ["group_id", "direction"])
 
 
 def trip_check(df: DataFrame) -> DataFrame:
@@ -382,9 +273,12 @@ def note_step(state: dict | None, row: dict) -> tuple[dict, tuple[str, int | Non
     return {"rev": revision + 1, "mutation": row["mutation_id"], "deleted": False}, ("updated", revision + 1)
 
 
+note_step.names = ("outcome", "revision_after")
+
+
 def apply_notes(mutations: DataFrame) -> DataFrame:
     schema = "note_id long, arrived long, outcome string, revision_after long"
-    return scan_sorted(mutations, ["note_id"], ["arrived"], lambda: None, note_step, schema, ["note_id", "arrived"])
+    return scan_sorted(mutations, ["note_id"], ["arrived"], R.by_row(note_step), schema, ["action", "revision", "mutation_id"])
 
 
 def trip_memory(encounters: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -406,42 +300,46 @@ def latest_trips(df: DataFrame, limit: int = 10) -> DataFrame:
     return df.join(ends.orderBy(F.desc("ended"), F.desc("session_id")).limit(limit).select("session_id"), "session_id", "left_semi")
 
 
-def simplify_indices(lat: list[float], lon: list[float], tolerance_m: float) -> list[int]:
-    """Positions kept by the farthest-point rule on a plane at the first point's latitude."""
-    n = len(lat)
-    if n <= 2:
-        return list(range(n))
-    k = math.cos(math.radians(lat[0]))
-    xs = [math.radians(v) * EARTH_M * k for v in lon]
-    ys = [math.radians(v) * EARTH_M for v in lat]
-    kept, stack = {0, n - 1}, [(0, n - 1)]
-    while stack:
-        a, b = stack.pop()
-        dx, dy = xs[b] - xs[a], ys[b] - ys[a]
-        norm, best, where = dx * dx + dy * dy, 0.0, -1
-        for i in range(a + 1, b):
-            t = 0.0 if norm == 0 else max(0.0, min(1.0, ((xs[i] - xs[a]) * dx + (ys[i] - ys[a]) * dy) / norm))
-            d = math.hypot(xs[i] - (xs[a] + t * dx), ys[i] - (ys[a] + t * dy))
-            if d > best:
-                best, where = d, i
-        if where >= 0 and best > tolerance_m:
-            kept.add(where)
-            stack += [(a, where), (where, b)]
-    return sorted(kept)
-
-
-def simplify_traces(df: DataFrame, tolerance_m: float = 8.0) -> DataFrame:
-    """Simplify each trace. Stored traces hold at most 1500 points; longer inputs are worked in blocks of that size."""
-    order = ["ts_ms", "event_id"]
-    rows = running_sum(with_day(df), ["session_id"], "_day", order, F.lit(1), "place")
-    rows = rows.withColumn("block", F.floor((F.col("place") - 1) / MAX_TRIP_POINTS)).select("session_id", "block", "place", "event_id", "latitude", "longitude")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        keep = simplify_indices(pdf["latitude"].tolist(), pdf["longitude"].tolist(), tolerance_m)
-        return pdf.iloc[keep][["session_id", "event_id", "place"]]
+def simplify_traces(df: DataFrame, tolerance_m: float = 8.0, stretch_points: int = STRETCH_POINTS) -> DataFrame:
+    """(session_id, event_id, place) of the points that stay when each stretch keeps its farthest point off the chord.
 
-    return rows.groupBy("session_id", "block").applyInPandas(work, "session_id long, event_id long, place long")
+    Traces of any length: a stretch longer than ``stretch_points`` is split at its farthest point by one aggregation a
+    round, all such stretches of all traces at once; shorter ones no longer depend on others and are finished in one
+    task each. Distances are on the plane at the trace's first latitude.
+    """
+    spark, order = df.sparkSession, ["ts_ms", "event_id"]
+    ensure_checkpoint_dir(spark)
+    rows = running_sum(with_day(df), ["session_id"], "_day", order, F.lit(1), "place").select("session_id", "event_id", "place", "latitude", "longitude")
+    whole = rows.groupBy("session_id").agg(F.min(F.struct("place", "latitude")).alias("first"), F.max("place").alias("hi"))
+    whole = whole.select("session_id", F.cos(F.radians("first.latitude")).alias("shrink"), F.lit(1).cast("long").alias("lo"), "hi")
+    rows = rows.join(whole, "session_id")
+    points = rows.select("session_id", "event_id", "place", (F.radians("longitude") * EARTH_M * F.col("shrink")).alias("x"), (F.radians("latitude") * EARTH_M).alias("y"), "lo", "hi").checkpoint()
+    settled = points.filter(F.col("hi") - F.col("lo") < stretch_points)
+    points = points.filter(F.col("hi") - F.col("lo") >= stretch_points)
+    while not points.isEmpty():
+        ends = points.filter("place = lo").select("session_id", "lo", F.col("x").alias("x1"), F.col("y").alias("y1"))
+        ends = ends.join(points.filter("place = hi").select("session_id", "lo", F.col("x").alias("x2"), F.col("y").alias("y2")), ["session_id", "lo"])
+        wide, high = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+        along = F.coalesce(F.try_divide((F.col("x") - F.col("x1")) * wide + (F.col("y") - F.col("y1")) * high, F.nullif(wide * wide + high * high, F.lit(0.0))), F.lit(0.0))
+        along = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+        off = F.hypot(F.col("x") - F.col("x1") - along * wide, F.col("y") - F.col("y1") - along * high)
+        inner = points.filter("place > lo and place < hi").join(ends, ["session_id", "lo"])
+        top = inner.groupBy("session_id", "lo").agg(F.max(F.struct(off.alias("off"), (-F.col("place")).alias("less"))).alias("top"))
+        cuts = top.filter(F.col("top.off") > tolerance_m).select("session_id", "lo", (-F.col("top.less")).alias("at"))
+        # A stretch without a cut keeps its ends; a point that cuts ends one stretch and begins the next.
+        done = points.join(cuts, ["session_id", "lo"], "left_anti").filter("place = lo or place = hi")
+        halves = F.explode(F.expr("filter(array(struct(lo as lo, at as hi), struct(at as lo, hi as hi)), s -> place between s.lo and s.hi)"))
+        split = points.join(cuts, ["session_id", "lo"]).select("session_id", "event_id", "place", "x", "y", halves.alias("s"))
+        split = split.select("session_id", "event_id", "place", "x", "y", "s.lo", "s.hi").checkpoint()
+        settled = settled.unionByName(done).unionByName(split.filter(F.col("hi") - F.col("lo") < stretch_points)).checkpoint()
+        points = split.filter(F.col("hi") - F.col("lo") >= stretch_points)
+
+    def finish(stretch: pd.DataFrame) -> pd.DataFrame:
+        stretch = stretch.sort_values("place")
+        return stretch[R.corners(stretch["x"].to_numpy(), stretch["y"].to_numpy(), tolerance_m)][["session_id", "event_id", "place"]]
+
+    kept = settled.groupBy("session_id", "lo").applyInPandas(finish, "session_id long, event_id long, place long")
+    return kept.dropDuplicates(["session_id", "place"])
 
 
 def nearby_query(positions: DataFrame, eligible: DataFrame, radius_m: float = 350.0, limit: int = MAX_NEARBY) -> DataFrame:

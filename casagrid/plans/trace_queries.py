@@ -120,7 +120,34 @@ def sampled_positions(spark, folder):
     return T.sample_positions(drive(spark, folder)).select("session_id", "event_id")
 
 
-@query("tracked_heading", "R3,G6")
+def _course(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
+    return f"(degrees(atan2(sin(radians({lon2}-{lon1}))*cos(radians({lat2})), cos(radians({lat1}))*sin(radians({lat2}))-sin(radians({lat1}))*cos(radians({lat2}))*cos(radians({lon2}-{lon1}))))+360)%360"
+
+
+def _turn(to: str, start: str) -> str:
+    return f"((({to})-({start})+540)%360-180)"
+
+
+# b: last base fix, a: anchor, cam: camera heading, mv: moving, mat / cat: when last moved and turned.
+_HEADING = f"""with recursive p as (select *, row_number() over (partition by session_id order by ts_ms, event_id) as rn, case when speed>=0 then speed end as spd, case when heading between 0 and 360 then heading%360 end as told,
+    case when latitude is null or longitude is null then 'invalid' when accuracy is null or accuracy>60 then 'accuracy' when ts_ms is null or ts_ms>now_ms+1000 or now_ms-ts_ms>10000 then 'stale' end as pre from v_drive),
+  s as (select distinct session_id, 0::bigint as rn, null::bigint as event_id, null::bigint as bts, null::double as bla, null::double as blo, null::double as bac, null::bigint as ats, null::double as ala, null::double as alo, null::double as aac,
+      null::double as cam, false as mv, null::bigint as mat, null::bigint as cat, '' as reason from v_drive
+    union all select session_id, rn, event_id, case when lost then bts else ts_ms end, case when lost then bla else latitude end, case when lost then blo else longitude end, case when lost then bac else accuracy end,
+      case when lost or r='short' then ats when r='vague' then null else ts_ms end, case when lost or r='short' then ala else latitude end, case when lost or r='short' then alo else longitude end, case when lost or r='short' then aac else accuracy end,
+      case when r<>'go' then cam when cam is null then aim else (cam+least(0.75, greatest(0.2, 1-exp(-(ts_ms-cat)/1000.0::double/0.9)))*{_turn('aim','cam')}+360)%360 end,
+      case when lost then mv when r in ('await','short') then mv1 else r='go' end, case when r='stop' then null when r='go' then ts_ms else mat end, case when r='go' then ts_ms else cat end,
+      case r when 'vague' then 'heading-accuracy' when 'stop' then 'stopped' when 'await' then 'awaiting-movement' when 'short' then case when mv1 then 'moving' else 'awaiting-movement' end when 'go' then 'moving' else r end
+    from (select *, case when told is not null and abs({_turn('told','way')})<=70 then told else way end as aim, r in ('invalid','accuracy','stale','order','jump') as lost from
+      (select *, case when r2<>'reach' then r2 when pace<(case when mv1 then 2 else 2.5 end) or pace>55 or measured<2 then 'slow' else 'go' end as r, {_course('ala','alo','latitude','longitude')} as way from
+        (select *, ad/nullif(ts_ms-ats,0)*1000 as measured, coalesce(spd, ad/nullif(ts_ms-ats,0)*1000) as pace, case when r1<>'on' then r1 when ts_ms-ats<700 or ad < (case when spd is null then greatest(10, aac+accuracy) when told is null then greatest(8, (aac+accuracy)*0.75) else greatest(8, least(15, (aac+accuracy)*0.5)) end) then 'short' else 'reach' end as r2 from
+          (select *, {hav('ala','alo','latitude','longitude')} as ad, mv and mat is not null and ts_ms-mat<=4000 as mv1,
+             case when pre is not null then pre when bts is not null and ts_ms<=bts then 'order' when bts is not null and {hav('bla','blo','latitude','longitude')}>55*(ts_ms-bts)/1000.0::double+bac+accuracy then 'jump' when accuracy>30 then 'vague' when spd<2 then 'stop' when ats is null or ts_ms-ats>12000 then 'await' else 'on' end as r1
+           from (select p.*, s.bts, s.bla, s.blo, s.bac, s.ats, s.ala, s.alo, s.aac, s.cam, s.mv, s.mat, s.cat from s join p on p.session_id=s.session_id and p.rn=s.rn+1))))))
+  select session_id, event_id, {rnd('cam',4)} as camera_heading, mv as moving, reason from s where rn>0"""
+
+
+@query("tracked_heading", "R3,G6", oracle=_HEADING, uses=("v_drive",))
 def tracked_heading(spark, folder):
     return T.track_heading(drive(spark, folder)).withColumn("camera_heading", round_stat("camera_heading", 4))
 
@@ -163,7 +190,19 @@ def trip_properties(spark, folder):
     return T.trip_properties(met(spark, folder), view(spark, folder, "v_location"), favorites)
 
 
-@query("proximity_alerts", "R6,G6")
+_SIDE = _turn(_course("d.latitude", "d.longitude", "g.latitude", "g.longitude"), "d.heading")
+_ALERTS = f"""with recursive c as (select session_id, ts_ms, event_id, group_id, first_property, dist, case when abs(side)<=35 then 'adelante' when abs(side)>=155 then 'detras' when side>0 then 'a tu derecha' when side<=0 then 'a tu izquierda' else '' end as direction
+      from (select d.*, g.group_id, g.first_property, {hav('d.latitude','d.longitude','g.latitude','g.longitude')} as dist, case when d.heading is not null and d.speed>=2 then {_SIDE} end as side from v_drive d, spot_groups g
+        where g.group_count<5 and abs(d.latitude-g.latitude)<0.002 and abs(d.longitude-g.longitude)<0.002) where dist<=120),
+  f as (select session_id, ts_ms, event_id, list({{'g': group_id, 'd': direction, 'm': dist}} order by case when direction='adelante' then 0 else 1 end, dist, first_property) as options,
+      row_number() over (partition by session_id order by ts_ms, event_id) as rn from c where direction<>'detras' group by 1,2,3),
+  s as (select distinct session_id, 0::bigint as rn, null::bigint as event_id, []::varchar[] as told, null::struct(g varchar, d varchar, m double) as hit from f
+    union all select session_id, rn, event_id, case when hit is null then told else list_append(told, hit.g) end, hit from
+      (select f.session_id, f.rn, f.event_id, s.told, list_filter(f.options, lambda o: not list_contains(s.told, o.g))[1] as hit from s join f on f.session_id=s.session_id and f.rn=s.rn+1))
+  select session_id, event_id, hit.g as group_id, hit.d as direction, {rnd('hit.m',4)} as distance_m from s where hit is not null"""
+
+
+@query("proximity_alerts", "R6,G6", oracle=_ALERTS, uses=("v_drive", "spot_groups"))
 def proximity_alerts(spark, folder):
     out = T.proximity_alerts(drive(spark, folder), view(spark, folder, "v_location"))
     return out.withColumn("distance_m", round_stat("distance_m", 4))
@@ -222,11 +261,11 @@ def simplified_traces(spark, folder):
     "downsampled_traces",
     "W11",
     oracle="""select session_id, event_id from (select *, row_number() over (partition by session_id order by ts_ms, event_id) as place, count(*) over (partition by session_id) as n from v_drive
-      where session_id in (select session_id from v_drive group by 1 order by max(ts_ms) desc, session_id desc limit 5)) where n>1 and ((place-1) % greatest(1, (n+198)//199) = 0 or place=n)""",
+      where session_id in (select session_id from v_drive group by 1 order by max(ts_ms) desc, session_id desc limit 10)) where n>1 and ((place-1) % greatest(1, (n+198)//199) = 0 or place=n)""",
     uses=("v_drive",),
 )
 def downsampled_traces(spark, folder):
-    return T.downsample(T.latest_trips(drive(spark, folder), 5)).select("session_id", "event_id")
+    return T.downsample(T.latest_trips(drive(spark, folder), 10)).select("session_id", "event_id")
 
 
 _ELIGIBLE = """operation='sale' and status='active' and not is_hidden and not outside_target and precision_kind in ('exact','manual') and ((currency='USD' and price between 1000 and 5000000) or (currency<>'USD' and price>0))

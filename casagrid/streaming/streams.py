@@ -1,8 +1,7 @@
 """Structured Streaming twins of the keyed trace, note, discovery and snapshot rules.
 
-Late rows are handled by the rules themselves: a point older than the state is rejected with reason
-``order``. Rows of a key are sorted inside each micro-batch, so cutting the same input into one or many
-batches gives the same result as the batch job.
+Rows of a key are sorted inside each micro-batch. Input whose micro-batches follow each other in time gives the result
+of the batch job; a point that comes after later ones were worked is rejected with reason ``order``.
 """
 
 from __future__ import annotations
@@ -16,18 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from casagrid.operators import trace_rules as R
 from casagrid.operators import traces as T
 
-STATE_TTL_MS = 7 * 86400 * 1000
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROWS_PER_FRAME = 10_000
 
 
 class KeyedScan(StatefulProcessor):
-    """Keeps the JSON state of a step function per key and emits one row per decision."""
+    """Keeps the state of a rule per key as JSON and emits its rows."""
 
-    def __init__(self, step: Callable, order: list[str], carry: list[str], names: list[str]) -> None:
-        self.step, self.order, self.carry, self.names = step, order, carry, names
+    def __init__(self, rule: R.Rule, order: list[str], names: list[str]) -> None:
+        self.rule, self.order, self.names = rule, order, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", StructType([StructField("json", StringType())]))
@@ -37,38 +36,36 @@ class KeyedScan(StatefulProcessor):
         state = json.loads(held[0]) if held else None
         # One key's rows of one micro-batch; the trigger's file or row limit bounds them.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="mergesort")
-        out = []
-        for row in batch.to_dict("records"):
-            state, result = self.step(state, row)
-            if result is not None:
-                out.append((*[row[c] for c in self.carry], *result))
+        for at in range(0, len(batch), ROWS_PER_FRAME):
+            frame = batch.iloc[at : at + ROWS_PER_FRAME]
+            state, columns = self.rule(state, frame)
+            keep = columns.pop("_out", None)
+            out = frame.assign(**columns)
+            yield (out if keep is None else out[keep])[self.names]
         self.state.update((json.dumps(state),))
-        for at in range(0, len(out), ROWS_PER_FRAME):
-            yield pd.DataFrame(out[at : at + ROWS_PER_FRAME], columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def keyed_stream(stream: DataFrame, key: str, step: Callable, order: list[str], carry: list[str], schema: str) -> DataFrame:
+def keyed_stream(stream: DataFrame, key: str, rule: R.Rule, order: list[str], schema: str) -> DataFrame:
     names = [part.split()[0] for part in schema.split(",")]
-    processor = KeyedScan(step, order, carry, names)
-    return stream.groupBy(key).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
+    return stream.groupBy(key).transformWithStateInPandas(KeyedScan(rule, order, names), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 def accept_stream(stream: DataFrame) -> DataFrame:
     schema = "session_id long, event_id long, ts_ms long, accepted boolean, distance_m double, reason string"
-    return keyed_stream(stream, "session_id", T.accept_step, ["ts_ms", "event_id"], ["session_id", "event_id", "ts_ms"], schema)
+    return keyed_stream(stream, "session_id", R.accept_rule, ["ts_ms", "event_id"], schema)
 
 
 def sample_stream(stream: DataFrame) -> DataFrame:
     schema = "session_id long, event_id long, ts_ms long, latitude double, longitude double"
-    return keyed_stream(stream, "session_id", T.sample_step, ["ts_ms", "event_id"], ["session_id", "event_id", "ts_ms", "latitude", "longitude"], schema)
+    return keyed_stream(stream, "session_id", R.sample_rule, ["ts_ms", "event_id"], schema)
 
 
 def heading_stream(stream: DataFrame) -> DataFrame:
     schema = "session_id long, event_id long, camera_heading double, moving boolean, reason string"
-    return keyed_stream(stream, "session_id", T.heading_step, ["ts_ms", "event_id"], ["session_id", "event_id"], schema)
+    return keyed_stream(stream, "session_id", R.heading_rule, ["ts_ms", "event_id"], schema)
 
 
 def alert_stream(stream: DataFrame, properties: DataFrame) -> DataFrame:
@@ -76,12 +73,12 @@ def alert_stream(stream: DataFrame, properties: DataFrame) -> DataFrame:
     rows = T.alert_candidates(stream, T.property_groups(properties))
     schema = "session_id long, event_id long, group_id string, direction string, distance_m double"
     order = ["ts_ms", "event_id", "rank", "distance_m", "first_property"]
-    return keyed_stream(rows, "session_id", T.alert_step, order, ["session_id", "event_id", "group_id", "direction", "distance_m"], schema)
+    return keyed_stream(rows, "session_id", R.alert_rule, order, schema)
 
 
 def note_stream(stream: DataFrame) -> DataFrame:
     schema = "note_id long, arrived long, outcome string, revision_after long"
-    return keyed_stream(stream, "note_id", T.note_step, ["arrived"], ["note_id", "arrived"], schema)
+    return keyed_stream(stream, "note_id", R.by_row(T.note_step), ["arrived"], schema)
 
 
 def fresh_positions(stream: DataFrame, ts: str = "ts", received: str = "received", delay: str = "10 seconds") -> DataFrame:
@@ -90,14 +87,18 @@ def fresh_positions(stream: DataFrame, ts: str = "ts", received: str = "received
     return stream.withWatermark(ts, delay).filter((F.col("accuracy") <= T.MAX_ACCURACY_M) & age_ms.between(-1000, 10000))
 
 
-def first_uploads(stream: DataFrame, ts: str = "ts", delay: str = "7 days") -> DataFrame:
-    """First upload of each trip; repeats inside the watermark are dropped."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["owner", "session_id"])
+def first_uploads(stream: DataFrame) -> DataFrame:
+    """First upload of each trip. A trip is saved once for ever, so the state keeps every (owner, session)."""
+    return stream.dropDuplicates(["owner", "session_id"])
 
 
-def new_snapshot_stream(stream: DataFrame, ts: str = "observed_at", delay: str = "30 days") -> DataFrame:
-    """Unseen content per advert: the price-change events of the stream."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["listing_id", "content_hash"])
+def new_snapshot_stream(stream: DataFrame) -> DataFrame:
+    """Unseen content per advert: the price-change events of the stream.
+
+    A content seen once is never new again, however late it returns, so the state keeps every (advert, hash); it lives in
+    the RocksDB store on disk and is spread over the shuffle partitions.
+    """
+    return stream.dropDuplicates(["listing_id", "content_hash"])
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -1,6 +1,10 @@
 import random
 
 
+import pandas as pd
+import pytest
+
+from casagrid.operators import trace_rules as R
 from casagrid.operators import traces as T
 from casagrid.streaming import streams
 
@@ -21,54 +25,63 @@ def walk(n=400, sessions=3, seed=5):
     return rows
 
 
-def sequential(rows, step):
-    names = [c.split()[0] for c in COLS.split(",")]
+def frame(rows):
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in COLS.split(",")])
+
+
+def one_by_one(rows, rule):
+    """The rule fed a single row at a time."""
     out, states = {}, {}
     for row in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
-        d = dict(zip(names, row))
-        states[d["session_id"]], result = step(states.get(d["session_id"]), d)
-        if result is not None:
-            out[d["event_id"]] = result
+        states[row[0]], columns = rule(states.get(row[0]), frame([row]))
+        if columns.pop("_out", [True])[0]:
+            out[row[1]] = {k: v[0] for k, v in columns.items()}
     return out
 
 
-def test_acceptance_segments_equal_sequential(spark):
+def test_acceptance_segments_equal_one_by_one(spark):
     rows = walk()
-    want = sequential(rows, T.accept_step)
+    rows += [(0, 900, rows[0][2] + 5, None, -58.0, 5.0, None, None), (0, 901, rows[0][2] + 6, -34.6, -58.65, None, None, None), (0, 902, None, -34.6, -58.65, 5.0, None, None)]
+    want = one_by_one([r for r in rows if r[2] is not None], R.accept_rule)
     got = {r["event_id"]: r for r in T.accept_trace_points(spark.createDataFrame(rows, COLS)).collect()}
+    assert (got[900]["reason"], got[901]["reason"], got.pop(902)["reason"]) == ("invalid", "accuracy", "timestamp")
     assert set(got) == set(want)
-    for k, (ok, dist, reason) in want.items():
-        assert (got[k]["accepted"], got[k]["reason"]) == (ok, reason)
-        assert abs(got[k]["distance_m"] - dist) < 1e-6
-    assert {"first", "jump", "interval", "movement", "continuity", "noise", "accuracy", "order"} & {v[2] for v in want.values()} >= {"first", "jump", "movement"}
+    for k, v in want.items():
+        assert (got[k]["accepted"], got[k]["reason"]) == (v["accepted"], v["reason"])
+        assert abs(got[k]["distance_m"] - v["distance_m"]) < 1e-6
+    assert {v["reason"] for v in want.values()} >= {"first", "jump", "movement", "invalid", "accuracy"}
+
 
+@pytest.mark.parametrize("rule", [R.accept_rule, R.heading_rule, R.sample_rule])
+def test_rules_do_not_depend_on_how_rows_are_cut(rule):
+    rows = sorted((r for r in walk(seed=3) if r[0] == 0), key=lambda r: (r[2], r[1]))
+    whole = rule(None, frame(rows))[1]
+    single = one_by_one(rows, rule)
+    for i, r in enumerate(rows):
+        if whole.get("_out", [True] * len(rows))[i]:
+            assert all(a == b or (pd.isna(a) and pd.isna(b)) for a, b in zip([v[i] for k, v in whole.items() if k != "_out"], single[r[1]].values(), strict=True))
+        else:
+            assert r[1] not in single
 
-def test_sampling_equals_sequential(spark):
+
+def test_sampling_equals_one_by_one(spark):
     rows = walk(seed=8)
     got = {r["event_id"] for r in T.sample_positions(spark.createDataFrame(rows, COLS)).collect()}
-    assert got == set(sequential(rows, T.sample_step))
+    assert got == set(one_by_one(rows, R.sample_rule))
 
 
 def test_literal_reasons():
-    base = {"session_id": 1, "event_id": 1, "latitude": -34.6, "longitude": -58.6, "accuracy": 5.0}
-    state, first = T.accept_step(None, {**base, "ts_ms": 0})
-    assert first[2] == "first"
-    assert T.accept_step(state, {**base, "ts_ms": 0})[1][2] == "order"
-    assert T.accept_step(state, {**base, "ts_ms": 1000, "latitude": -34.5})[1][2] == "jump"
-    assert T.accept_step(state, {**base, "ts_ms": 1000})[1][2] == "interval"
-    assert T.accept_step(state, {**base, "ts_ms": 5000})[1][2] == "noise"
-    assert T.accept_step(state, {**base, "ts_ms": 31000})[1][2] == "continuity"
+    def reasons(*fixes):
+        return R.accept_rule(None, frame([(1, i, ts, lat, -58.6, 5.0, None, None) for i, (ts, lat) in enumerate(fixes)]))[1]["reason"].tolist()
+
+    assert reasons((0, -34.6), (0, -34.6), (1000, -34.5), (1000, -34.6), (5000, -34.6), (31000, -34.6)) == ["first", "order", "jump", "interval", "noise", "continuity"]
 
 
 def test_heading_turns_smoothly_and_ignores_outliers():
-    state, seen = None, []
-    for i in range(12):
-        row = {"ts_ms": i * 2000, "latitude": -34.6 + i * 0.0002, "longitude": -58.6, "accuracy": 5.0, "speed": 11.0, "heading": 0.0}
-        state, out = T.heading_step(state, row)
-        seen.append(out)
-    assert seen[-1][2] == "moving" and min(abs(seen[-1][0]), abs(seen[-1][0] - 360)) < 1
-    state, out = T.heading_step(state, {"ts_ms": 24000, "latitude": -33.0, "longitude": -58.6, "accuracy": 5.0, "speed": 11.0, "heading": 0.0})
-    assert out[2] == "jump"
+    rows = [(1, i, i * 2000, -34.6 + i * 0.0002, -58.6, 5.0, 11.0, 0.0) for i in range(12)] + [(1, 12, 24000, -33.0, -58.6, 5.0, 11.0, 0.0)]
+    out = R.heading_rule(None, frame(rows))[1]
+    assert out["reason"][-2:].tolist() == ["moving", "jump"]
+    assert min(abs(out["camera_heading"][-1]), abs(out["camera_heading"][-1] - 360)) < 1
 
 
 def test_alerts_equal_brute_force(spark):
@@ -80,14 +93,14 @@ def test_alerts_equal_brute_force(spark):
     for s, e, ts, lat, lon, _acc, speed, heading in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
         options = []
         for pid, plat, plon in props:
-            d = T.meters(lat, lon, plat, plon)
+            d = float(R.metres(lat, lon, plat, plon))
             group = f"{plat:.6f},{plon:.6f}"
             if d > T.ALERT_M or group in done.setdefault(s, set()):
                 continue
             rank = 1
             if speed is not None and heading is not None and speed >= 2:
-                course = T._course({"lat": lat, "lon": lon}, {"lat": plat, "lon": plon})
-                turn = abs(T._turn(course, heading))
+                course = float(R.course(lat, lon, plat, plon))
+                turn = abs(R.turn(course, heading))
                 rank = 0 if turn <= 35 else 3 if turn >= 155 else 1
             if rank < 3:
                 options.append((rank, d, pid, group))
@@ -98,10 +111,46 @@ def test_alerts_equal_brute_force(spark):
     assert got == want and want
 
 
-def test_simplify_keeps_corners():
-    lat = [0.0, 0.0, 0.0, 0.001, 0.002]
-    lon = [0.0, 0.001, 0.002, 0.002, 0.002]
-    assert T.simplify_indices(lat, lon, 8.0) == [0, 2, 4]
+def farthest(points, lo, hi, tolerance):
+    """The farthest-point rule by recursion."""
+    if hi - lo < 2:
+        return []
+    off = [float(R.off_chord(*points[i], *points[lo], *points[hi])) for i in range(lo + 1, hi)]
+    at = lo + 1 + off.index(max(off))
+    if max(off) <= tolerance:
+        return []
+    return [*farthest(points, lo, at, tolerance), at, *farthest(points, at, hi, tolerance)]
+
+
+@pytest.mark.parametrize("stretch", [60, 10_000])
+def test_simplify_is_exact_for_any_length(spark, stretch):
+    import math
+
+    rnd, rows, lat, lon = random.Random(6), [], -34.6, -58.6
+    for i in range(240):
+        lat, lon = lat + rnd.uniform(-1, 1) * 3e-4, lon + rnd.uniform(-1, 1) * 3e-4
+        rows.append((i % 2, i, 1_700_000_000_000 + i * 1000, lat, lon, 5.0, None, None))
+    rows += [(7, 1000, 5, -34.6, -58.6, 5.0, None, None), (8, 1001, 5, -34.6, -58.6, 5.0, None, None), (8, 1002, 6, -34.7, -58.6, 5.0, None, None)]
+    got = {(r["session_id"], r["event_id"]) for r in T.simplify_traces(spark.createDataFrame(rows, COLS), 12.0, stretch).collect()}
+    want = set()
+    for session in (0, 1, 7, 8):
+        own = [r for r in rows if r[0] == session]
+        scale = T.EARTH_M * math.pi / 180
+        points = [(r[4] * scale * math.cos(math.radians(own[0][3])), r[3] * scale) for r in own]
+        want |= {(session, own[i][1]) for i in [0, *farthest(points, 0, len(own) - 1, 12.0), len(own) - 1]}
+    assert got == want and len(want) > 30
+
+
+def test_trip_lists_cut_alike(spark):
+    rows = walk(seed=2, n=150)
+    props = spark.createDataFrame([(i, -34.6 + (i % 20) * 1e-4, -58.65) for i in range(60)], "property_id long, latitude double, longitude double")
+    fixes = spark.createDataFrame(rows, COLS)
+    none = spark.createDataFrame([], "session_id long, property_id long")
+    for most in (None, 7):
+        met = T.accumulate_encounters(fixes, props, 350.0, most)
+        held = {r["session_id"]: r["n"] for r in met.groupBy("session_id").agg({"kept_properties": "sum"}).withColumnRenamed("sum(kept_properties)", "n").collect()}
+        listed = {r["session_id"]: r["count"] for r in T.trip_properties(met, props, none).groupBy("session_id").count().collect()}
+        assert held == listed and (max(held.values()) <= 7 if most else max(held.values()) > 7)
 
 
 def test_stream_in_many_batches_equals_batch(spark, tmp_path):
@@ -114,7 +163,7 @@ def test_stream_in_many_batches_equals_batch(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     streams.run_to_table(streams.accept_stream(stream), str(tmp_path / "out"), str(tmp_path / "state"))
     got = {r["event_id"]: (r["accepted"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    want = {k: (v[0], v[2]) for k, v in sequential(rows, T.accept_step).items()}
+    want = {k: (v["accepted"], v["reason"]) for k, v in one_by_one(rows, R.accept_rule).items()}
     assert got == want
 
 
