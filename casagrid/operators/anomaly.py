@@ -151,12 +151,13 @@ def regression_anomalies(df: DataFrame, threshold: float = 1.8) -> DataFrame:
     )
 
 
-def model_anomalies(df: DataFrame, cap: int | None = 80) -> DataFrame:
-    """Both models, the later row replacing an earlier one of equal (property, field, reason)."""
+def model_anomalies(df: DataFrame, shown: int | None = None) -> DataFrame:
+    """Both models, the later row replacing an earlier one of equal (property, field, reason); all rows, or the first
+    ``shown`` for a list."""
     rows = iqr_mad_outliers(df).withColumn("rank", F.lit(0)).unionByName(regression_anomalies(df).withColumn("rank", F.lit(1)))
     best = rows.groupBy("property_id", "field", "reason").agg(F.max(F.struct("rank", "value", "model", "severity")).alias("b"))
     out = best.select("property_id", "field", "reason", "b.rank", "b.value", "b.model", "b.severity")
-    return out if cap is None else out.orderBy("rank", "property_id", "reason").limit(cap)
+    return out if shown is None else out.orderBy("rank", "property_id", "reason").limit(shown)
 
 
 def anomaly_summary(rows: DataFrame) -> DataFrame:

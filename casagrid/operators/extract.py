@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,37 +71,40 @@ def page_fields(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
 LD_SCRIPT = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
-LD_DEPTH = 5
+def first_object(blocks: Sequence[str] | None, wanted: frozenset[str]) -> str | None:
+    """The first object of a wanted type in JSON blocks, at any depth: parents first, ``@graph`` before other members,
+    which come in document order. Blocks that are not JSON are skipped."""
+    for block in () if blocks is None else blocks:
+        try:
+            todo = [json.loads(block)]
+        except (ValueError, RecursionError):
+            continue
+        while todo:
+            node = todo.pop()
+            if isinstance(node, dict):
+                kind = node.get("@type")
+                if wanted.intersection(x for x in (kind if isinstance(kind, list) else [kind]) if isinstance(x, str)):
+                    return json.dumps(node, ensure_ascii=False)
+                members = list(node.values())
+                node = [node["@graph"], *members] if node.get("@graph") else members
+            if isinstance(node, list):
+                todo += [x for x in reversed(node) if isinstance(x, dict | list)]
+    return None
 
 
 def json_ld(pages: DataFrame, key: str, types: Sequence[str], html: str = "html") -> DataFrame:
-    """First JSON-LD object of a wanted type per page: parents before children, in order of place.
+    """First JSON-LD object of a wanted type per page, in the order of :func:`first_object`.
 
-    Blocks that are not valid JSON are skipped. Nesting is followed five levels deep; members of an object
-    are visited in key order, which puts ``@graph`` before ordinary members.
+    Spark cuts the blocks out of the page; only they reach Python, in Arrow batches.
     """
-    blocks = pages.select(key, F.posexplode(F.regexp_extract_all(col(html), F.lit(LD_SCRIPT), 1)).alias("block", "_raw"))
-    blocks = blocks.withColumn("_v", F.try_parse_json(F.btrim("_raw"))).filter(F.col("_v").isNotNull()).drop("_raw")
-    none = F.array().cast("array<variant>")
-
-    def children(v: Column) -> Column:
-        listed = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)
-        return F.concat(listed, F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), none))
-
-    def deeper(nodes: Column) -> Column:
-        return F.flatten(
-            F.transform(nodes, lambda n: F.transform(children(n["v"]), lambda c, i: F.struct(F.concat(n["path"], F.array(i)).alias("path"), c.alias("v"))))
-        )
-
-    rows = blocks.withColumn("_l0", F.array(F.struct(F.array().cast("array<int>").alias("path"), F.col("_v").alias("v"))))
-    for depth in range(LD_DEPTH):
-        rows = once(rows, {f"_l{depth + 1}": deeper(F.col(f"_l{depth}"))})
-    every = rows.select(key, "block", F.explode(F.concat(*[F.col(f"_l{d}") for d in range(LD_DEPTH + 1)])).alias("n"))
-    one = F.array(F.try_variant_get("n.v", "$['@type']", "string"))
-    kinds = F.coalesce(F.try_variant_get("n.v", "$['@type']", "array<string>"), one)
-    hit = every.filter(F.arrays_overlap(F.array_compact(kinds), F.array(*[F.lit(x) for x in types])))
-    best = hit.groupBy(key).agg(F.min(F.struct("block", "n.path", F.to_json("n.v").alias("object"))).alias("_o"))
-    return best.select(key, F.col("_o.object").alias("object"))
+    wanted = frozenset(types)
+
+    @F.pandas_udf("string")
+    def pick(blocks: pd.Series) -> pd.Series:
+        return blocks.map(lambda b: first_object(b, wanted))
+
+    blocks = pages.select(key, F.regexp_extract_all(col(html), F.lit(LD_SCRIPT), 1).alias("_blocks")).filter(F.size("_blocks") > 0)
+    return blocks.select(key, pick("_blocks").alias("object")).filter(F.col("object").isNotNull())
 
 
 # How pages publish a pin, in order of trust. Each pattern captures latitude and longitude.

@@ -24,12 +24,13 @@ def tail_edges(listings: DataFrame, sources: Sequence[int] | None = None) -> Dat
     return pairs.filter(F.col("property_id") != F.col("hub")).select(F.col("property_id").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Connected components as (node, component = least node).
 
     Alternates star steps: every node points its larger neighbours at its least neighbour, then points its
     smaller neighbours at the least of all. Each round is two aggregations; the frame is checkpointed
-    every round because the plan would otherwise grow, and the number of rounds is logarithmic.
+    every round because the plan would otherwise grow, and the number of rounds is logarithmic. It ends when a round
+    changes no link, and raises if ``max_rounds`` do not suffice: an unfinished result is never returned.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -46,13 +47,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         return out.filter(F.col("a") != F.col("b")).distinct()
 
     current = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
-    before = None
     for _ in range(max_rounds):
-        current = star(star(current, True), False).checkpoint()
-        mark = current.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        if mark == before:
+        after = star(star(current, True), False).checkpoint()
+        settled = after.exceptAll(current).isEmpty() and current.exceptAll(after).isEmpty()
+        current = after
+        if settled:
             break
-        before = mark
+    else:
+        raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     members = current.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return members.union(roots).groupBy("node").agg(F.min("component").alias("component"))

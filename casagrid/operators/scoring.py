@@ -333,7 +333,7 @@ def score_location(places: DataFrame, zones: DataFrame, floods: DataFrame, settl
         clamp_score("score").alias("overall_score"),
         F.when(F.col("zone").isNotNull(), location_level("score", F.col("level"))).otherwise("").alias("value_level"),
         F.when(on_point, F.col("flood_risk")).alias("flood_risk"),
-        F.when(on_point & F.col("flood_matches").isNotNull(), F.least(F.col("flood_matches"), F.lit(3).cast("bigint"))).alias("flood_matches"),
+        F.when(on_point, F.col("flood_matches")).alias("flood_matches"),
         F.when(on_point, F.round("distance_m", 1)).alias("settlement_m"),
         F.when(on_point, F.col("settlement")).alias("settlement"),
     )

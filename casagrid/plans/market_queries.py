@@ -470,14 +470,14 @@ shared(
     uses=("model_rows",),
 )
 def model_anomalies(spark, folder):
-    return A.model_anomalies(visible(spark, folder))
+    return A.model_anomalies(visible(spark, folder), shown=80)
 
 
 @query(
     "anomaly_summary",
     "A15",
     oracle=f"""with r as (select property_id, case when category='source_conflict' then 'source_conflict' else 'rules' end as model, case when category in ('price','range') then 70 else 55 end as severity from rule_rows
-        union all select property_id, model, severity from (select * from model_rows order by rank, property_id, reason limit 80))
+        union all select property_id, model, severity from model_rows)
       select m.model, count(r.property_id) as total, cast(coalesce({rnd('avg(severity)',0)},0) as bigint) as avg_severity, min(property_id) as first_property
       from (values ('rules'),('iqr_mad'),('regression'),('source_conflict')) m(model) left join r using (model) group by m.model""",
     uses=("rule_rows", "model_rows"),

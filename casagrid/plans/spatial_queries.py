@@ -343,7 +343,7 @@ def score_security(spark, folder):
     oracle=f"""with pt as (select property_id, zone, score, level from first_zone join v_zone using (feature_idx)),
       nm as (select property_id, zone, score, level from (select p.property_id, min(feature_idx) as feature_idx from v_property p join v_zone z on lower(z.zone) in (lower(p.detected_neighborhood), lower(p.inferred_neighborhood), lower(p.locality)) group by 1) join v_zone using (feature_idx)),
       m as (select *, 'coordinates' as method from pt union all select *, 'zone' from nm where property_id not in (select property_id from pt)),
-      f as (select property_id, max(risk_score) as flood_risk, least(count(*),3) as k from v_location l, v_settle where {IN_BOX.replace('latitude', 'l.latitude').replace('longitude', 'l.longitude')} group by 1)
+      f as (select property_id, max(risk_score) as flood_risk, count(*) as k from v_location l, v_settle where {IN_BOX.replace('latitude', 'l.latitude').replace('longitude', 'l.longitude')} group by 1)
       select b.property_id, coalesce(method,'') as match_method, coalesce(m.zone,'') as zone_name, m.score as overall_score, case when m.zone is null then '' when m.level<>'' then m.level when m.score is null then '' when m.score>=70 then 'alta' when m.score>=60 then 'media_alta' when m.score>=45 then 'media' else 'baja' end as value_level,
         case when method='coordinates' then flood_risk end as flood_risk, case when method='coordinates' then k end as flood_matches, case when method='coordinates' then {rnd('distance_m',1)} end as settlement_m, case when method='coordinates' then settlement end as settlement
       from v_property b left join m using (property_id) left join f using (property_id) left join near_settle using (property_id)""",
