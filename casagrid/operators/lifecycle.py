@@ -278,17 +278,37 @@ def reprocess_selection(snapshot: DataFrame, mode: str, as_of: str, stale_days:
     return rows
 
 
-def status_policy(listings: DataFrame, proposed: DataFrame, inactive: Sequence[str]) -> DataFrame:
-    """A property stays active while an advert of another source, not a mirror, is still on sale.
+def mirror_key(url: str | Column) -> Column:
+    """Last path part that ends in two numbers, in lower case; empty if there is none."""
+    path = F.regexp_extract(F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit("")), r"^[^/?#]*//[^/?#]*([^?#]*)", 1)
+    parts = F.filter(F.split(F.lower(path), "/"), lambda part: part.rlike(r"-\d+-\d+$"))
+    return F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
 
-    Instead of pairing adverts, per property the sources on sale and the mirror keys are collected as counts.
+
+def status_policy(listings: DataFrame, proposed: DataFrame, inactive: Sequence[str], origin: int, mirror: int) -> DataFrame:
+    """A property stays active while an advert of another source, not a mirror of it, is still on sale.
+
+    Source ``mirror`` repeats adverts of source ``origin``: for an advert of ``origin`` all of ``mirror``'s are mirrors,
+    for one of ``mirror`` those of ``origin`` with its mirror key. Adverts are not paired: sources, and adverts of the
+    origin by key, are counted per property.
     """
-    on_sale = listings.filter(F.col("active") & ~F.col("source_status").isin(*inactive))
-    all_sources = on_sale.groupBy("property_id").agg(F.countDistinct("source_id").alias("_sources"), F.min("source_id").alias("_only"))
-    out = proposed.join(all_sources, "property_id", "left")
-    other = (F.coalesce("_sources", F.lit(0)) > 1) | (F.col("_only") != F.col("source_id"))
+    on_sale = listings.filter(F.col("active") & ~F.coalesce(F.col("source_status"), F.lit("")).isin(*inactive)).withColumn("_key", mirror_key("url"))
+    source = F.col("source_id")
+    of_property = on_sale.groupBy("property_id").agg(
+        F.countDistinct("source_id").alias("_sources"),
+        F.min("source_id").alias("_only"),
+        F.count_if(~source.isin(origin, mirror)).alias("_third"),
+        F.count_if(source == origin).alias("_origin"),
+    )
+    same = on_sale.filter((source == origin) & (F.col("_key") != "")).groupBy("property_id", "_key").agg(F.count(F.lit(1)).alias("_same"))
+    out = proposed.withColumn("_key", mirror_key("url")).join(of_property, "property_id", "left").join(same, ["property_id", "_key"], "left")
+    other = (
+        F.when(source == origin, F.col("_third") > 0)
+        .when(source == mirror, (F.col("_third") > 0) | (F.col("_origin") > F.coalesce("_same", F.lit(0))))
+        .otherwise((F.col("_sources") > 1) | (F.col("_only") != source))
+    )
     keep = F.col("status").isin(*inactive) & F.coalesce(other, F.lit(False))
-    return out.withColumn("final_status", F.when(keep, "active").otherwise(F.col("status"))).drop("_sources", "_only")
+    return out.withColumn("final_status", F.when(keep, "active").otherwise(F.col("status"))).drop("_sources", "_only", "_third", "_origin", "_same", "_key")
 
 
 def rollback_plan(listings: DataFrame, properties: DataFrame, runs: DataFrame) -> DataFrame:

@@ -493,14 +493,16 @@ def field_diff(spark, folder):
 @query(
     "status_policy",
     "L17",
-    oracle="""select listing_id, source_id, property_id, case when exists (select 1 from adv o where o.property_id=a.property_id and o.source_id<>a.source_id and o.active and o.source_status<>'reserved') then 'active' else 'reserved' end as final_status
-      from adv a where source_status='reserved'""",
+    oracle="""with k as (select *, lower(regexp_extract(url, '(?i)([^/]*-[0-9]+-[0-9]+)$', 1)) as mkey from adv)
+      select listing_id, source_id, property_id, case when exists (select 1 from k o where o.property_id=a.property_id and o.source_id<>a.source_id and o.active and o.source_status<>'reserved'
+          and not (a.source_id=1 and o.source_id=2) and not (a.source_id=2 and o.source_id=1 and a.mkey<>'' and a.mkey=o.mkey)) then 'active' else 'reserved' end as final_status
+      from k a where source_status='reserved'""",
     uses=("adv",),
 )
 def status_policy(spark, folder):
     rows = adverts(spark, folder)
     proposed = rows.filter(F.col("source_status") == "reserved").withColumn("status", F.col("source_status"))
-    return L.status_policy(rows, proposed, ["reserved"]).select("listing_id", "source_id", "property_id", "final_status")
+    return L.status_policy(rows, proposed, ["reserved"], origin=1, mirror=2).select("listing_id", "source_id", "property_id", "final_status")
 
 
 @query(

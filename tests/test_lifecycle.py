@@ -53,3 +53,18 @@ def test_merge_fills_from_best_duplicate(spark):
     members = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
     r = M.merge_components(spark.createDataFrame(rows, cols), members, ["title", "price"]).first()
     assert (r["canonical_id"], r["title"], r["price"], r["is_favorite"], r["is_hidden"], r["status"]) == (2, "t2", 50, True, False, "active")
+
+
+def test_mirrors_do_not_keep_a_property_on_sale(spark):
+    schema = "listing_id long, property_id long, source_id long, url string, active boolean, source_status string"
+    rows = [
+        (1, 1, 1, "https://a.example/casa-1-7", True, "reserved"), (2, 1, 2, "https://b.example/x/casa-1-7/", True, ""),  # only its mirror
+        (3, 2, 2, "https://b.example/casa-2-7?x=1", True, "reserved"), (4, 2, 1, "https://a.example/CASA-2-7", True, ""),  # only what it mirrors
+        (5, 3, 2, "https://b.example/casa-3-7", True, "reserved"), (6, 3, 1, "https://a.example/casa-9-7", True, ""),  # another advert of the origin
+        (7, 4, 1, "https://a.example/casa-4-7", True, "reserved"), (8, 4, 3, "https://c.example/z", True, ""),  # a third source
+        (9, 5, 3, "https://c.example/z", True, "reserved"), (10, 5, 3, "https://c.example/y", True, ""),  # its own source only
+    ]
+    df = spark.createDataFrame(rows, schema)
+    proposed = df.filter("source_status = 'reserved'").withColumn("status", F.col("source_status"))
+    got = {r["listing_id"]: r["final_status"] for r in L.status_policy(df, proposed, ["reserved"], origin=1, mirror=2).collect()}
+    assert got == {1: "reserved", 3: "reserved", 5: "active", 7: "active", 9: "reserved"}
