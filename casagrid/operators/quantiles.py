@@ -1,8 +1,9 @@
 """Exact order statistics without bringing a group into one task.
 
 A group may hold a third of the table, so its values are never gathered in one place. Equal values are
-counted first, the counts are laid into a monotone histogram of about a thousand steps per group, and only
-the steps that hold a wanted rank are looked into.
+counted first, the counts are laid into a monotone histogram of about a thousand steps per group, the steps that
+hold a wanted rank are cut again between their own least and greatest value, and only the parts that hold
+the rank are looked into. So a group whose values all lie close together is spread as well.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEPS_PER_E = 64.0
+PARTS = 1024.0
 
 
 def _step(v: Column) -> Column:
@@ -33,32 +35,48 @@ def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str, ranks: Mappi
 
 
 def ranks_from_counts(counts: DataFrame, keys: Sequence[str], ranks: Mapping[str, Column]) -> DataFrame:
-    keys = list(keys)
+    keys, names = list(keys), list(ranks)
     counts = counts.withColumn("_step", _step(F.col("_v")))
-    hist = counts.groupBy(*keys, "_step").agg(F.sum("_n").alias("_c"))
+    hist = counts.groupBy(*keys, "_step").agg(F.sum("_n").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     hist = hist.withColumns({"total": F.sum("_c").over(part), "_upto": F.sum("_c").over(part.orderBy("_step"))})
-    names = list(ranks)
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), ranks[n].cast("long").alias("r")) for i, n in enumerate(names)])
-    inside = F.filter(wanted, lambda t: (t["r"] >= F.col("_upto") - F.col("_c")) & (t["r"] < F.col("_upto")))
-    picked = hist.select(*keys, "_step", "total", (F.col("_upto") - F.col("_c")).alias("_before"), inside.alias("_want"))
+
+    def held(want: Column | str, count: str) -> Column:
+        """The wanted ranks between the running count before a row and the one with it."""
+        return F.filter(want, lambda t: (t["r"] >= F.col("_upto") - F.col(count)) & (t["r"] < F.col("_upto")))
+
+    picked = hist.select(*keys, "_step", "_lo", "_hi", "total", (F.col("_upto") - F.col("_c")).alias("_before"), held(wanted, "_c").alias("_want"))
     picked = picked.filter(F.size("_want") > 0)
-    # Group keys may be NULL labels, so the look-back joins with null-safe equality.
-    left, right = counts.alias("c"), picked.alias("p")
-    on = F.col("c._step") == F.col("p._step")
-    for k in keys:
-        on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}"))
-    rows = left.join(right, on).select(*[F.col(f"c.{k}").alias(k) for k in keys], "c._step", "_v", "_n", "total", "_before", "_want")
-    w = Window.partitionBy(*keys, "_step").orderBy("_v")
-    rows = rows.withColumn("_end", F.col("_before") + F.sum("_n").over(w))
-    hit = F.filter(F.col("_want"), lambda t: (t["r"] >= F.col("_end") - F.col("_n")) & (t["r"] < F.col("_end")))
-    rows = rows.select(*keys, "total", "_v", F.explode(hit["i"]).alias("_i"))
+    rows = _look_up(counts, picked, keys, ["_step"])
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    rows = rows.withColumn("_part", F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width) * PARTS), F.lit(0)).cast("long"))
+    rows = rows.select(*keys, "_step", "_part", "_v", "_n", "total", "_before", "_want")
+    parts = rows.groupBy(*keys, "_step", "_part").agg(F.sum("_n").alias("_c"), F.first("total").alias("total"), F.first("_before").alias("_before"), F.first("_want").alias("_want"))
+    parts = parts.withColumn("_upto", F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys, "_step").orderBy("_part")))
+    fine = parts.select(*keys, "_step", "_part", "total", (F.col("_upto") - F.col("_c")).alias("_before"), held("_want", "_c").alias("_want")).filter(F.size("_want") > 0)
+    rows = _look_up(rows.select(*keys, "_step", "_part", "_v", "_n"), fine, keys, ["_step", "_part"])
+    w = Window.partitionBy(*keys, "_step", "_part").orderBy("_v")
+    rows = rows.withColumn("_upto", F.col("_before") + F.sum("_n").over(w))
+    rows = rows.select(*keys, "total", "_v", F.explode(held("_want", "_n")["i"]).alias("_i"))
     return rows.groupBy(*keys).agg(
         F.max("total").alias("total"),
         *[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(n) for i, n in enumerate(names)],
     )
 
 
+def _look_up(rows: DataFrame, picked: DataFrame, keys: list[str], places: list[str]) -> DataFrame:
+    """Rows of the picked places; group keys may be NULL labels, so they join with null-safe equality."""
+    left, right = rows.alias("c"), picked.alias("p")
+    on = F.lit(True)
+    for k in places:
+        on = on & (F.col(f"c.{k}") == F.col(f"p.{k}"))
+    for k in keys:
+        on = on & F.col(f"c.{k}").eqNullSafe(F.col(f"p.{k}"))
+    more = [c for c in picked.columns if c not in (*keys, *places)]
+    return left.join(right, on).select(*[F.col(f"c.{c}").alias(c) for c in rows.columns], *more)
+
+
 def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Linear-interpolated percentiles per group: the keys, ``total`` and one column per probability."""
     return percentiles_from_counts(value_counts(df, keys, value), keys, probs)
