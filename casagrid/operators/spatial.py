@@ -195,25 +195,33 @@ def point_zone_match(places: DataFrame, features: DataFrame, key: str, keep: Seq
 
 
 def bbox_conflicts(layer: DataFrame) -> DataFrame:
-    """Candidate overlaps inside one layer: boxes that meet, found per cell instead of over all pairs."""
+    """Candidate overlaps inside one layer: boxes that meet, found per cell instead of over all pairs.
+
+    Every feature lies in the cells of its own level and is looked up from those of its level or a finer one, so a huge
+    feature does not bring small ones together. A pair counts in the cell of the corner where both boxes begin only.
+    """
     cells = layer_cells(prepare_layer(layer)).select("feature_idx", "_south", "_north", "_west", "_east", "_lvl", "_ix", "_iy")
-    coarse = [F.col(c) for c in ("feature_idx", "_south", "_north", "_west", "_east")]
-    # Bring every feature to the coarsest level in use so that features of different size still meet.
-    top = cells.agg(F.max("_lvl")).scalar()
-    base = prepare_layer(layer).select(*coarse).withColumn("_lvl", top).withColumn("_size", _size_of(F.col("_lvl")))
-    base = base.withColumn("_ix", F.explode(F.sequence(F.floor(F.col("_west") / F.col("_size")), F.floor(F.col("_east") / F.col("_size")))))
-    base = base.withColumn("_iy", F.explode(F.sequence(F.floor(F.col("_south") / F.col("_size")), F.floor(F.col("_north") / F.col("_size")))))
-    a, b = base.alias("a"), base.alias("b")
+    used = cells.agg(F.array_sort(F.collect_set("_lvl"))).scalar()
+    boxes = prepare_layer(layer).select("feature_idx", "_south", "_north", "_west", "_east")
+    own = cells.groupBy("feature_idx").agg(F.first("_lvl").alias("_own"))
+    seen = boxes.join(own, "feature_idx").withColumn("_used", used).withColumn("_lvl", F.explode(F.filter("_used", lambda v: v >= F.col("_own"))))
+    size = _size_of(F.col("_lvl"))
+    seen = seen.withColumn("_ix", F.explode(F.sequence(F.floor(F.col("_west") / size), F.floor(F.col("_east") / size))))
+    seen = seen.withColumn("_iy", F.explode(F.sequence(F.floor(F.col("_south") / size), F.floor(F.col("_north") / size)))).drop("_used")
+    a, b = seen.alias("a"), cells.alias("b")
+    west, south = F.greatest("a._west", "b._west"), F.greatest("a._south", "b._south")
     meet = (
-        (F.col("a._ix") == F.col("b._ix"))
+        (F.col("a._lvl") == F.col("b._lvl"))
+        & (F.col("a._ix") == F.col("b._ix"))
         & (F.col("a._iy") == F.col("b._iy"))
-        & (F.col("a.feature_idx") < F.col("b.feature_idx"))
-        & (F.col("a._south") <= F.col("b._north"))
-        & (F.col("b._south") <= F.col("a._north"))
-        & (F.col("a._west") <= F.col("b._east"))
-        & (F.col("b._west") <= F.col("a._east"))
+        & ((F.col("a._own") < F.col("b._lvl")) | (F.col("a.feature_idx") < F.col("b.feature_idx")))
+        & (south <= F.least("a._north", "b._north"))
+        & (west <= F.least("a._east", "b._east"))
+        & (F.floor(west / _size_of(F.col("b._lvl"))) == F.col("b._ix"))
+        & (F.floor(south / _size_of(F.col("b._lvl"))) == F.col("b._iy"))
     )
-    return a.join(b, meet).select(F.col("a.feature_idx").alias("left_idx"), F.col("b.feature_idx").alias("right_idx")).distinct()
+    pairs = a.join(b, meet)
+    return pairs.select(F.least("a.feature_idx", "b.feature_idx").alias("left_idx"), F.greatest("a.feature_idx", "b.feature_idx").alias("right_idx"))
 
 
 def lattice_coverage(zones: DataFrame, points: DataFrame, radius_m: float, steps: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from casagrid.functions.geo import haversine_m
 from casagrid.operators import quantiles as K
 from casagrid.operators import spatial as G
-from casagrid.operators.traces import meters
+from casagrid.operators.trace_rules import metres
 
 RING = "array<array<struct<lon:double,lat:double>>>"
 
@@ -44,7 +44,7 @@ def test_radius_join_equals_brute_force(spark):
     a = spark.createDataFrame(left, "id long, latitude double, longitude double")
     b = spark.createDataFrame(right, "rid long, latitude double, longitude double")
     got = {(r["id"], r["rid"]) for r in G.radius_pairs(a, b, 700.0).collect()}
-    want = {(x[0], y[0]) for x in left for y in right if meters(x[1], x[2], y[1], y[2]) <= 700.0}
+    want = {(x[0], y[0]) for x in left for y in right if metres(x[1], x[2], y[1], y[2]) <= 700.0}
     assert got == want
 
 
@@ -57,3 +57,18 @@ def test_exact_percentiles_with_hot_group(spark):
         values = [v for k, v in rows if k == key]
         assert np.allclose([got[key][c] for c in ("q1", "med", "q3")], np.quantile(values, [0.25, 0.5, 0.75]))
     assert got[None]["med"] == 4.0
+
+
+def test_boxes_of_all_sizes_meet_once(spark):
+    rnd = random.Random(12)
+    boxes = [(0, -40.0, -63.0, -30.0, -53.0)]  # one feature as large as a province
+    for i in range(1, 120):
+        s, w, side = -34.6 + rnd.uniform(-0.05, 0.05), -58.6 + rnd.uniform(-0.05, 0.05), rnd.choice((0.0005, 0.004, 0.03))
+        boxes.append((i, s, w, s + side, w + side * rnd.uniform(0.5, 2)))
+    rings = [(i, [[(w, s), (e, s), (e, n), (w, n), (w, s)]]) for i, s, w, n, e in boxes]
+    layer = spark.createDataFrame(rings, "feature_idx int, rings array<array<struct<lon:double,lat:double>>>")
+    got = [tuple(r) for r in G.bbox_conflicts(layer).collect()]
+    far = 1e-4  # boxes are widened by less than this
+    want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
+    most = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] - far <= b[3] and b[1] - far <= a[3] and a[2] - far <= b[4] and b[2] - far <= a[4]}
+    assert len(got) == len(set(got)) and want <= set(got) <= most
