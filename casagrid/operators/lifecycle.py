@@ -317,11 +317,17 @@ def rollback_plan(listings: DataFrame, properties: DataFrame, runs: DataFrame) -
     ``runs``: source_id, started_on, finished_on. A property with only such adverts is deleted, or kept
     when it was edited by hand; one that also has others is restored.
     """
-    windows = runs.groupBy("source_id").agg(F.collect_set(F.struct("started_on", "finished_on")).alias("_w"))
-    rows = listings.join(windows, "source_id", "left")
-    inside = F.coalesce(F.exists("_w", lambda w: F.col("first_seen_on").between(w["started_on"], w["finished_on"])), F.lit(False))
-    state = rows.groupBy("property_id").agg(F.count_if(inside).alias("rolled_back"), F.bool_and(inside).alias("_all"))
-    state = state.filter(F.col("rolled_back") > 0).join(properties.select("property_id", "has_manual_state"), "property_id")
+    def month(day: str) -> Column:
+        return F.floor(F.unix_date(F.col(day).cast("date")) / 32)
+
+    # Windows meet adverts by source and stretch of 32 days, so a busy source is spread over its history.
+    windows = runs.select(F.col("source_id").alias("_src"), F.col("started_on").alias("_from"), F.col("finished_on").alias("_to")).distinct()
+    windows = windows.filter("_from <= _to").withColumn("_bucket", F.explode(F.sequence(month("_from"), month("_to"))))
+    rows = listings.select("property_id", "source_id", "first_seen_on", month("first_seen_on").alias("_at"))
+    met = (F.col("source_id") == F.col("_src")) & (F.col("_at") == F.col("_bucket")) & F.col("first_seen_on").between(F.col("_from"), F.col("_to"))
+    inside = rows.join(windows, met, "left_semi").groupBy("property_id").agg(F.count(F.lit(1)).alias("rolled_back"))
+    state = inside.join(rows.groupBy("property_id").agg(F.count(F.lit(1)).alias("_n")), "property_id").withColumn("_all", F.col("rolled_back") == F.col("_n"))
+    state = state.join(properties.select("property_id", "has_manual_state"), "property_id")
     action = F.when(F.col("_all") & F.col("has_manual_state"), "preserve").when(F.col("_all"), "delete").otherwise("restore")
     return state.select("property_id", "rolled_back", action.alias("action"))
 
