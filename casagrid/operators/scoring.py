@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casagrid.functions.numbers import (
@@ -194,13 +194,14 @@ def apportioned_sum(overlaps: DataFrame, amount: str, key: str = "zone") -> Data
 
 
 def route_lines(df: DataFrame, key: str = "zone", line: str = "line", top: int = 30) -> DataFrame:
-    """Routes and distinct lines per zone with the first names joined; lines are made distinct before grouping."""
+    """Routes and distinct lines per zone with the first names joined; lines are made distinct before grouping, and only
+    the first ``top`` are gathered (the rank limit applies before the shuffle)."""
     routes = df.groupBy(key).agg(F.count(F.lit(1)).alias("routes"))
     lines = df.filter(F.coalesce(F.col(line), F.lit("")) != "").select(key, line).distinct()
-    names = lines.groupBy(key).agg(
-        F.count(F.lit(1)).alias("lines"), F.array_join(F.slice(F.array_sort(F.collect_list(line)), 1, top), ",").alias("line_names")
-    )
-    return routes.join(names, key, "left").select(
+    counts = lines.groupBy(key).agg(F.count(F.lit(1)).alias("lines"))
+    first = lines.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(line))).filter(F.col("_rank") <= top)
+    names = first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(line)), ",").alias("line_names"))
+    return routes.join(counts, key, "left").join(names, key, "left").select(
         key, "routes", F.coalesce("lines", F.lit(0).cast("bigint")).alias("lines"), F.coalesce("line_names", F.lit("")).alias("line_names")
     )
 
