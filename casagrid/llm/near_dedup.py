@@ -6,7 +6,7 @@
 3. Pairs are confirmed on full shingle sets; links are joined to components.
 4. What a leader did not settle: classes of a bucket that are still in different components. Jaccard distance is a
    metric, so a class nearer to the leader than the limit and one farther than twice the limit cannot be linked; the
-   rest is compared by signature, in blocks, and pairs within 5.5 standard deviations of the limit are confirmed too.
+   rest is compared by signature, in blocks, and pairs within 5.2 standard deviations of the limit are confirmed too.
 
 A pair exactly at 0.85 escapes all 48 bands of 7 registers with a probability of 1e-8.
 """
@@ -21,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casagrid.llm.graph import components
-from casagrid.llm.shared import binary_column, slices, stored, text_bytes
+from casagrid.llm.shared import binary_column, release_shuffles, slices, stored, text_bytes
 from casagrid.llm.superminhash import band_keys, signatures
 from casagrid.llm.words import ROLE, mixed, shingle_sets, sums_by_text
 
 BANDS, ROWS = 48, 7
 REGISTERS = BANDS * ROWS
+FINE_REGISTERS = 2 * REGISTERS
 SLICE = 1 << 19
-BLOCK_CLASSES = 1024
+BLOCK_CLASSES = 256
 
 
 def profiles(docs: DataFrame, shingle: int) -> DataFrame:
@@ -49,10 +50,8 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(profile, "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """(a, b, shared, total) for pairs (a, b) of ids: sizes of intersection and union of the full shingle sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "pair-texts")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -64,21 +63,21 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
                 shared = np.array([len(np.intersect1d(x[i[r] : i[r + 1]], y[j[r] : j[r + 1]], assume_unique=True)) for r in range(part.num_rows)], np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(shared), pa.array(np.diff(i) + np.diff(j) - shared)], names=["a", "b", "shared", "total"])
 
-    both = pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.select("a", "b").join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(compare, "a long, b long, shared long, total long")
 
 
-def signature_table(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, sig): the low byte of each register."""
+def signature_table(texts: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, sig): the low byte of each register of a finer signature."""
 
     def sign(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 elements, begin = shingle_sets(*text_bytes(part.column(1)), shingle)
-                low = (signatures(elements, begin, REGISTERS) & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), binary_column(low.reshape(-1), np.arange(len(low) + 1) * REGISTERS)], names=["doc_id", "sig"])
+                low = (signatures(elements, begin, FINE_REGISTERS) & 0xFF).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([part.column(0), binary_column(low.reshape(-1), np.arange(len(low) + 1) * FINE_REGISTERS)], names=["doc_id", "sig"])
 
-    return docs.mapInArrow(sign, "doc_id long, sig binary")
+    return texts.mapInArrow(sign, "doc_id long, sig binary")
 
 
 @lru_cache(maxsize=256)
@@ -89,12 +88,12 @@ def _pairs_within(n: int) -> tuple[np.ndarray, np.ndarray]:
 def similar_pairs(members: DataFrame, least: float) -> DataFrame:
     """(a, b) of members (key, lo, hi, blk, rep, comp, far, sig) of one block pair whose signatures agree on ``least``
     of their registers and that nothing has settled yet."""
-    need = int(np.floor(least * REGISTERS))
+    need = int(np.floor(least * FINE_REGISTERS))
 
     def pairs(block: pa.Table):
         blk, rep, comp = (block.column(c).to_numpy() for c in ("blk", "rep", "comp"))
         side = block.column("near").to_numpy()
-        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, FINE_REGISTERS)
         lo, hi = block.column("lo").to_numpy()[0], block.column("hi").to_numpy()[0]
         for i in range(len(rep)) if len(rep) > 24 else (None,):
             if i is None:
@@ -166,20 +165,24 @@ def class_links(classes: DataFrame, docs: DataFrame, percent: int, shingle: int)
     ranked = stored(buckets.join(degree, "rep"), "ranked-buckets")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("less"))).alias("top")).select("key", (-F.col("top.less")).alias("leader"))
     led = stored(ranked.select("key", "rep", "n").join(leaders, "key"), "led-buckets")
+    release_shuffles(docs.sparkSession)
+    # Texts of all classes that share a bucket, by the same plan at every size.
+    texts = stored(docs.join(degree.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bucket-texts")
+    release_shuffles(docs.sparkSession)
     stars = led.filter("rep != leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    tested = stored(verify(stored(stars, "star-pairs"), docs, shingle), "star-tests")
+    tested = stored(verify(stored(stars, "star-pairs"), texts, shingle), "star-tests")
     linked = tested.filter(F.expr(f"100 * shared >= {percent} * total")).select("a", "b")
     first = components(linked)
-    more = stored(unsettled_pairs(led.filter("n > 2"), tested, first, docs, percent, shingle), "other-pairs")
-    others = stored(verify(more, docs, shingle), "other-tests").filter(F.expr(f"100 * shared >= {percent} * total")).select("a", "b")
+    more = stored(unsettled_pairs(led.filter("n > 2"), tested, first, texts, percent, shingle), "other-pairs")
+    others = stored(verify(more, texts, shingle), "other-tests").filter(F.expr(f"100 * shared >= {percent} * total")).select("a", "b")
     return linked.unionByName(others)
 
 
-def unsettled_pairs(led: DataFrame, tested: DataFrame, first: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
+def unsettled_pairs(led: DataFrame, tested: DataFrame, first: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Pairs that share a bucket, are in different components, are not excluded by their distances to the leader, and
     have signatures alike enough."""
     limit = 1 - percent / 100
-    least = percent / 100 - 5.5 * float(np.sqrt(percent / 100 * limit / REGISTERS))
+    least = percent / 100 - 5.2 * float(np.sqrt(percent / 100 * limit / FINE_REGISTERS))
     far = F.expr(f"100 * shared < {2 * percent - 100} * total")
     near = F.expr(f"100 * shared >= {percent} * total")
     # 0: as near as a link (or the leader itself), 1: between, 2: too far to be linked with any of 0
@@ -193,9 +196,9 @@ def unsettled_pairs(led: DataFrame, tested: DataFrame, first: DataFrame, docs: D
     members = rows.join(open_keys, "key").filter("between > 0 or near > 0")
     members = stored(members.withColumn("blocks", F.ceil(F.when(F.col("between") > 0, F.col("n")).otherwise(F.col("outer")) / BLOCK_CLASSES).cast("int")).select("key", "rep", "near", "comp", "blocks"), "open-members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    signed = stored(signature_table(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "signatures").withColumnRenamed("doc_id", "rep")
+    signed = stored(signature_table(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), shingle), "signatures").withColumnRenamed("doc_id", "rep")
     dealt = members.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.join(signed, "rep").select("key", F.least("blk", "with").alias("lo"), F.greatest("blk", "with").alias("hi"), "blk", "rep", "comp", F.col("near").cast("int").alias("near"), "sig")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return similar_pairs(sorted_, least).distinct()
