@@ -28,6 +28,7 @@ from casagrid.llm.words import ROLE, mixed, shingle_sets, sums_by_text
 BANDS, ROWS = 48, 7
 REGISTERS = BANDS * ROWS
 FINE_REGISTERS = 2 * REGISTERS
+SIG_BYTES = FINE_REGISTERS + 4 * BANDS
 SLICE = 1 << 19
 BLOCK_CLASSES = 256
 
@@ -68,14 +69,16 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def signature_table(texts: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, sig): the low byte of each register of a finer signature."""
+    """(doc_id, sig): the low byte of each register of a finer signature, then 32 bits of each band's key."""
 
     def sign(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 elements, begin = shingle_sets(*text_bytes(part.column(1)), shingle)
                 low = (signatures(elements, begin, FINE_REGISTERS) & 0xFF).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), binary_column(low.reshape(-1), np.arange(len(low) + 1) * FINE_REGISTERS)], names=["doc_id", "sig"])
+                keys = (band_keys(signatures(elements, begin, REGISTERS), BANDS) & 0xFFFFFFFF).astype("<u4").view(np.uint8)
+                both = np.concatenate([low, keys.reshape(len(low), 4 * BANDS)], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), binary_column(both.reshape(-1), np.arange(len(both) + 1) * SIG_BYTES)], names=["doc_id", "sig"])
 
     return texts.mapInArrow(sign, "doc_id long, sig binary")
 
@@ -86,14 +89,19 @@ def _pairs_within(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_pairs(members: DataFrame, least: float) -> DataFrame:
-    """(a, b) of members (key, lo, hi, blk, rep, comp, far, sig) of one block pair whose signatures agree on ``least``
-    of their registers and that nothing has settled yet."""
+    """(a, b) of members (key, lo, hi, blk, band, rep, comp, near, sig) of one block pair whose signatures agree on
+    ``least`` of their registers and that nothing has settled yet.
+
+    A pair is judged in the first band that it shares only; what settles it there settles it for all bands.
+    """
     need = int(np.floor(least * FINE_REGISTERS))
 
     def pairs(block: pa.Table):
         blk, rep, comp = (block.column(c).to_numpy() for c in ("blk", "rep", "comp"))
         side = block.column("near").to_numpy()
-        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, FINE_REGISTERS)
+        every = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, SIG_BYTES)
+        sig, keys = every[:, :FINE_REGISTERS], every[:, FINE_REGISTERS:].copy().view("<u4")
+        band = block.column("band").to_numpy()[0]
         lo, hi = block.column("lo").to_numpy()[0], block.column("hi").to_numpy()[0]
         for i in range(len(rep)) if len(rep) > 24 else (None,):
             if i is None:
@@ -107,6 +115,8 @@ def similar_pairs(members: DataFrame, least: float) -> DataFrame:
             x, y = x[ok], y[ok]
             same = (sig[x] == sig[y]).sum(axis=1)
             x, y = x[same >= need], y[same >= need]
+            first = (keys[x] == keys[y]).argmax(axis=1) == band
+            x, y = x[first], y[first]
             if len(x):
                 yield np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
 
@@ -158,13 +168,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
 
 def class_links(classes: DataFrame, docs: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links (a, b) that connect the same classes as all links do."""
-    places = classes.select("rep", F.explode("keys").alias("key"))
+    places = classes.select("rep", F.posexplode("keys").alias("band", "key"))
     counts = places.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = stored(places.join(counts, "key"), "buckets")
     degree = buckets.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = stored(buckets.join(degree, "rep"), "ranked-buckets")
     leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("rep")).alias("less"))).alias("top")).select("key", (-F.col("top.less")).alias("leader"))
-    led = stored(ranked.select("key", "rep", "n").join(leaders, "key"), "led-buckets")
+    led = stored(ranked.select("key", "band", "rep", "n").join(leaders, "key"), "led-buckets")
     release_shuffles(docs.sparkSession)
     # Texts of all classes that share a bucket, by the same plan at every size.
     texts = stored(docs.join(degree.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bucket-texts")
@@ -188,17 +198,17 @@ def unsettled_pairs(led: DataFrame, tested: DataFrame, first: DataFrame, texts:
     # 0: as near as a link (or the leader itself), 1: between, 2: too far to be linked with any of 0
     zone = F.when(near, 0).when(far, 2).otherwise(1)
     rows = led.withColumn("a", F.least("rep", "leader")).withColumn("b", F.greatest("rep", "leader")).join(tested, ["a", "b"], "left")
-    rows = rows.select("key", "rep", F.when(F.col("rep") == F.col("leader"), 0).otherwise(zone).alias("near"))
-    rows = rows.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "near", F.coalesce("component", "rep").alias("comp"))
+    rows = rows.select("key", "band", "rep", F.when(F.col("rep") == F.col("leader"), 0).otherwise(zone).alias("near"))
+    rows = rows.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "band", "rep", "near", F.coalesce("component", "rep").alias("comp"))
     rows = stored(rows, "zoned-buckets")
     state = rows.groupBy("key").agg(F.sum((F.col("near") == 1).cast("long")).alias("between"), F.sum((F.col("near") > 0).cast("long")).alias("outer"), (F.min("comp") != F.max("comp")).alias("apart"), F.count("*").alias("n"))
     open_keys = state.filter("apart and outer > 0 and (outer > 1 or between > 0)")
     members = rows.join(open_keys, "key").filter("between > 0 or near > 0")
-    members = stored(members.withColumn("blocks", F.ceil(F.when(F.col("between") > 0, F.col("n")).otherwise(F.col("outer")) / BLOCK_CLASSES).cast("int")).select("key", "rep", "near", "comp", "blocks"), "open-members")
+    members = stored(members.withColumn("blocks", F.ceil(F.when(F.col("between") > 0, F.col("n")).otherwise(F.col("outer")) / BLOCK_CLASSES).cast("int")).select("key", "band", "rep", "near", "comp", "blocks"), "open-members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     signed = stored(signature_table(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), shingle), "signatures").withColumnRenamed("doc_id", "rep")
     dealt = members.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.join(signed, "rep").select("key", F.least("blk", "with").alias("lo"), F.greatest("blk", "with").alias("hi"), "blk", "rep", "comp", F.col("near").cast("int").alias("near"), "sig")
+    dealt = dealt.join(signed, "rep").select("key", F.least("blk", "with").alias("lo"), F.greatest("blk", "with").alias("hi"), "blk", "band", "rep", "comp", F.col("near").cast("int").alias("near"), "sig")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return similar_pairs(sorted_, least).distinct()
