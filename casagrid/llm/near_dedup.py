@@ -8,11 +8,14 @@
    metric, so a class nearer to the leader than the limit and one farther than twice the limit cannot be linked; the
    rest is compared by signature, in blocks, and pairs within 5.2 standard deviations of the limit are confirmed too.
 
-A pair exactly at 0.85 escapes all 48 bands of 7 registers with a probability of 1e-8.
+Bands and their registers follow from the limit: a pair exactly at it escapes all bands with a probability of 1e-8 at
+most (48 bands of 7 registers at 85 %, 61 of 6 at 80 %).
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,15 +28,45 @@ from casagrid.llm.shared import binary_column, release_shuffles, slices, stored,
 from casagrid.llm.superminhash import band_keys, signatures
 from casagrid.llm.words import ROLE, mixed, shingle_sets, sums_by_text
 
-BANDS, ROWS = 48, 7
-REGISTERS = BANDS * ROWS
-FINE_REGISTERS = 2 * REGISTERS
-SIG_BYTES = FINE_REGISTERS + 4 * BANDS
+ESCAPE = 1e-8
+MOST_REGISTERS = 400
 SLICE = 1 << 19
 BLOCK_CLASSES = 256
 
 
-def profiles(docs: DataFrame, shingle: int) -> DataFrame:
+@dataclass(frozen=True)
+class Banding:
+    bands: int
+    rows: int  # registers of a band
+
+    @property
+    def registers(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def fine(self) -> int:
+        return 2 * self.registers
+
+    @property
+    def sig_bytes(self) -> int:
+        return self.fine + 4 * self.bands
+
+
+def banding(percent: int) -> Banding:
+    """The longest bands of which at most ``MOST_REGISTERS`` registers let a pair at ``percent`` escape with a
+    probability of at most ``ESCAPE``."""
+    found = None
+    for rows in range(1, 33) if 0 < percent <= 100 else ():
+        hit = (percent / 100) ** rows
+        bands = math.ceil(math.log(ESCAPE) / math.log1p(-hit)) if hit < 1 else 1
+        if bands * rows <= MOST_REGISTERS:
+            found = Banding(bands, rows)
+    if found is None:
+        raise ValueError(f"no bands for {percent} %")
+    return found
+
+
+def profiles(docs: DataFrame, shingle: int, plan: Banding) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, keys): size and identity of the shingle set, and a key for each band."""
 
     def profile(batches):
@@ -41,10 +74,10 @@ def profiles(docs: DataFrame, shingle: int) -> DataFrame:
             for part in slices(batch, "text", SLICE):
                 raw, at = text_bytes(part.column(1))
                 elements, begin = shingle_sets(raw, at, shingle)
-                keys = band_keys(signatures(elements, begin, REGISTERS), BANDS)
+                keys = band_keys(signatures(elements, begin, plan.registers), plan.bands)
                 identity = [sums_by_text(mixed(elements ^ ROLE[k]), begin).view(np.int64) for k in (60, 61)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(begin)), *map(pa.array, identity), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, pa.array(keys.reshape(-1)))],
+                    [part.column(0), pa.array(np.diff(begin)), *map(pa.array, identity), pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * plan.bands, pa.array(keys.reshape(-1)))],
                     names=["doc_id", "n_shingles", "k1", "k2", "keys"],
                 )
 
@@ -68,17 +101,17 @@ def verify(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, shared long, total long")
 
 
-def signature_table(texts: DataFrame, shingle: int) -> DataFrame:
+def signature_table(texts: DataFrame, shingle: int, plan: Banding) -> DataFrame:
     """(doc_id, sig): the low byte of each register of a finer signature, then 32 bits of each band's key."""
 
     def sign(batches):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 elements, begin = shingle_sets(*text_bytes(part.column(1)), shingle)
-                low = (signatures(elements, begin, FINE_REGISTERS) & 0xFF).astype(np.uint8)
-                keys = (band_keys(signatures(elements, begin, REGISTERS), BANDS) & 0xFFFFFFFF).astype("<u4").view(np.uint8)
-                both = np.concatenate([low, keys.reshape(len(low), 4 * BANDS)], axis=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), binary_column(both.reshape(-1), np.arange(len(both) + 1) * SIG_BYTES)], names=["doc_id", "sig"])
+                low = (signatures(elements, begin, plan.fine) & 0xFF).astype(np.uint8)
+                keys = (band_keys(signatures(elements, begin, plan.registers), plan.bands) & 0xFFFFFFFF).astype("<u4").view(np.uint8)
+                both = np.concatenate([low, keys.reshape(len(low), 4 * plan.bands)], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), binary_column(both.reshape(-1), np.arange(len(both) + 1) * plan.sig_bytes)], names=["doc_id", "sig"])
 
     return texts.mapInArrow(sign, "doc_id long, sig binary")
 
@@ -88,19 +121,19 @@ def _pairs_within(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def similar_pairs(members: DataFrame, least: float) -> DataFrame:
+def similar_pairs(members: DataFrame, least: float, plan: Banding) -> DataFrame:
     """(a, b) of members (key, lo, hi, blk, band, rep, comp, near, sig) of one block pair whose signatures agree on
     ``least`` of their registers and that nothing has settled yet.
 
     A pair is judged in the first band that it shares only; what settles it there settles it for all bands.
     """
-    need = int(np.floor(least * FINE_REGISTERS))
+    need = int(np.floor(least * plan.fine))
 
     def pairs(block: pa.Table):
         blk, rep, comp = (block.column(c).to_numpy() for c in ("blk", "rep", "comp"))
         side = block.column("near").to_numpy()
-        every = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, SIG_BYTES)
-        sig, keys = every[:, :FINE_REGISTERS], every[:, FINE_REGISTERS:].copy().view("<u4")
+        every = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(-1, plan.sig_bytes)
+        sig, keys = every[:, : plan.fine], every[:, plan.fine :].copy().view("<u4")
         band = block.column("band").to_numpy()[0]
         lo, hi = block.column("lo").to_numpy()[0], block.column("hi").to_numpy()[0]
         for i in range(len(rep)) if len(rep) > 24 else (None,):
@@ -152,8 +185,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     have no shingles and no links. A null id is linked with nothing, has a null component and is kept. Rows that repeat
     an id count as that document. An empty table gives an empty result; further columns are not looked at.
     """
+    plan = banding(percent)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stored(profiles(slim, shingle), "shingle-profiles")
+    found = stored(profiles(slim, shingle, plan), "shingle-profiles")
     usable = found.filter("n_shingles > 0 and doc_id is not null")
     classes = stored(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")), "shingle-classes")
     links = class_links(classes, slim.filter("doc_id is not null"), percent, shingle)
@@ -191,8 +225,8 @@ def class_links(classes: DataFrame, docs: DataFrame, percent: int, shingle: int)
 def unsettled_pairs(led: DataFrame, tested: DataFrame, first: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Pairs that share a bucket, are in different components, are not excluded by their distances to the leader, and
     have signatures alike enough."""
-    limit = 1 - percent / 100
-    least = percent / 100 - 5.2 * float(np.sqrt(percent / 100 * limit / FINE_REGISTERS))
+    plan, limit = banding(percent), 1 - percent / 100
+    least = percent / 100 - 5.2 * float(np.sqrt(percent / 100 * limit / plan.fine))
     far = F.expr(f"100 * shared < {2 * percent - 100} * total")
     near = F.expr(f"100 * shared >= {percent} * total")
     # 0: as near as a link (or the leader itself), 1: between, 2: too far to be linked with any of 0
@@ -206,9 +240,9 @@ def unsettled_pairs(led: DataFrame, tested: DataFrame, first: DataFrame, texts:
     members = rows.join(open_keys, "key").filter("between > 0 or near > 0")
     members = stored(members.withColumn("blocks", F.ceil(F.when(F.col("between") > 0, F.col("n")).otherwise(F.col("outer")) / BLOCK_CLASSES).cast("int")).select("key", "band", "rep", "near", "comp", "blocks"), "open-members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    signed = stored(signature_table(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), shingle), "signatures").withColumnRenamed("doc_id", "rep")
+    signed = stored(signature_table(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), shingle, plan), "signatures").withColumnRenamed("doc_id", "rep")
     dealt = members.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.join(signed, "rep").select("key", F.least("blk", "with").alias("lo"), F.greatest("blk", "with").alias("hi"), "blk", "band", "rep", "comp", F.col("near").cast("int").alias("near"), "sig")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return similar_pairs(sorted_, least).distinct()
+    return similar_pairs(sorted_, least, plan).distinct()

@@ -46,8 +46,9 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; rows with a null id all stay."""
-    kept = near_dedup.near_duplicates(docs, percent=85, shingle=5).filter("kept and doc_id is not null").select("doc_id").distinct()
+    """The document with the smallest id of each group whose sets of five-word shingles overlap by 80 % or more; rows
+    with a null id all stay."""
+    kept = near_dedup.near_duplicates(docs, percent=80, shingle=5).filter("kept and doc_id is not null").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 

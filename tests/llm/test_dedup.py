@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from casagrid.llm import anchors, exact_dedup, line_dedup, near_dedup, suffix_levels
 from casagrid.llm.graph import components
 from casagrid.llm.shared import text_bytes
@@ -107,6 +108,42 @@ def test_near_empty(make_docs):
     assert [tuple(r) for r in near_dedup.near_duplicates(make_docs([(3, "  ")])).collect()] == [(3, 0, 3, True)]
 
 
+def pairs_at(rng, low, high, n):
+    """``n`` pairs of texts, unlike all others, whose similarity is at least ``low`` and under ``high``."""
+    out = []
+    while len(out) < n:
+        one = sentence(rng, rng.randint(60, 200))
+        other = edited(rng, one, (1 - low) / 12)
+        x, y = shingles(one), shingles(other)
+        if low <= len(x & y) / len(x | y) < high:
+            out += [(one, other)]
+    return out
+
+
+@pytest.mark.parametrize("percent", [50, 70, 80])
+def test_near_pairs_just_above_the_limit(make_docs, percent):
+    rng = random.Random(percent)
+    rows = [(10 * i + j, text) for i, pair in enumerate(pairs_at(rng, percent / 100, percent / 100 + 0.05, 150)) for j, text in enumerate(pair)]
+    want = near_groups(rows, percent)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(make_docs(rows), percent).collect()} == want
+
+
+def test_no_limit_lets_pairs_escape():
+    for percent in range(5, 100):
+        plan = near_dedup.banding(percent)
+        assert (1 - (percent / 100) ** plan.rows) ** plan.bands <= 1e-8 and plan.fine < 1 << (32 - FRACTION_BITS)
+    for percent in (0, 1, 101):
+        with pytest.raises(ValueError):
+            near_dedup.banding(percent)
+
+
+def test_stage_drops_copies_between_80_and_85(spark):
+    rng = random.Random(7)
+    rows = [(10 * i + j, text) for i, pair in enumerate(pairs_at(rng, 0.8, 0.85, 40)) for j, text in enumerate(pair)]
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [i for i, _ in rows if i % 10 == 0]
+
+
 def test_blocks_compare_all_pairs(make_docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 8)
     rng = random.Random(5)
