@@ -132,6 +132,23 @@ def test_forest_recall(spark, tables):
     assert hits / sum(map(len, got.values())) >= 0.9
 
 
+@pytest.mark.parametrize("sigma", [0.5, 1.0])
+def test_forest_recall_in_a_full_shard_of_unequal_norms(spark, sigma):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(prefix_forest.SHARD_ROWS, 64))
+    x *= np.exp(sigma * rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in prefix_forest.build_forest(frame).search(frame.filter("vec_id % 80 = 0")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for i in range(0, len(x), 80):
+        score = x @ x[i]
+        score[i] = -np.inf
+        hits += len(got[i] & set(np.argsort(-score)[:20].tolist()))
+    assert hits / sum(map(len, got.values())) >= 0.9
+
+
 def test_forest_of_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(prefix_forest, "SHARD_ROWS", 8)
     monkeypatch.setattr(prefix_forest, "QUERY_BLOCK", 2)
