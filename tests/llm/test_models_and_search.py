@@ -36,6 +36,24 @@ def test_toxicity_on_rows_not_learnt_from(spark, tables, make_docs, odd_rows):
     assert toxicity.score(make_docs([]).limit(0), model).count() == 0
 
 
+def test_thresholds_learn_from_all_labels(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(4000):  # a language of one row in fifty, in which a word that is toxic elsewhere is toxic by half only
+        rare, toxic = i % 50 == 0, rng.random() < 0.3
+        marks = ["bad"] * (1 if rare else toxic) + (["worse"] if toxic and rng.random() < 0.9 else [])
+        words = [rng.choice("abcdefgh") for _ in range(6)] + marks
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "xx" if rare else "en", int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    for size in (1_000, 12_000):  # most labels outside the sample, or none
+        model = toxicity.fit(frame.drop("toxic"), frame.select("doc_id", "toxic"), training_rows=size)
+        assert set(model.thresholds) == {"en", "xx"}
+        found = toxicity.score(frame.filter("lang = 'xx'").withColumnRenamed("toxic", "label"), model).collect()
+        flagged = [r["label"] for r in found if r["toxic"]]
+        assert sum(flagged) / len(flagged) >= 0.9 and sum(flagged) >= 0.6 * sum(r["label"] for r in found)
+
+
 def test_toxicity_with_labels_of_one_kind(spark, tables, make_docs):
     docs = make_docs([(1, "a b"), (2, None)])
     for rows in ([], [(1, 0), (2, None)], [(1, 1), (5, 1)]):
