@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casagrid.llm import exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, prefix_forest, quality, suffix_levels, toxicity
+from casagrid.llm import centroids, collocations, exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, prefix_forest, quality, suffix_levels, toxicity, warc
+from casagrid.llm.shared import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,3 +159,88 @@ def op10_hierarchical_quality(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
     found = quality.hierarchical_quality(docs, model, F.col("source"), path)
     return found.withColumn("held_out", held_out())
+
+
+@query(
+    """
+    with p as (select page_id, coalesce(html, '') as html from pages),
+    h as (select page_id, strlen(html)::bigint as payload_bytes, sha1(html) as hex, max(page_id) over (partition by html) as of from p),
+    d as (select *, array_to_string(list_transform(range(0, 8), lambda i: list_transform([('0x' || substr(hex, 1 + 5 * i, 5))::int], lambda n: array_to_string(
+                 list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> s) & 31) + 1, 1)), ''))[1]), '') as payload_digest from h)
+    select page_id, payload_bytes, payload_digest, case when of is null or page_id = of then 'response' else 'revisit' end as record_type,
+           case when page_id is distinct from of then of end as refers_to
+    from d
+    """
+)
+def op11_warc_zstd(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages written to Zstandard archives with one response for each payload, and read back."""
+    read = warc.archived(table(spark, folder, "pages"), least=0)
+    number = lambda c: F.try_to_number(F.split(c, ":")[2], F.lit("S9999999999999999999")).cast("long")
+    return read.select(number("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
+def _rounds_sql(k: int = 8, rounds: int = 10, seed: int = 3, dims: int = 64, scale: int = 1024) -> str:
+    """One pair of sub-queries for each round: assignment, then means."""
+    nearest = "min(row(list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2])::hugeint * (p[1] - p[2])))::hugeint, c))"
+    steps = [
+        f"""v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+                 where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims})""",
+        f"c0 as (select (row_number() over (order by sha256('{seed}:' || vec_id), v))::int - 1 as c, v from v where vec_id is not null order by c limit {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized (select r, any_value(v.v) as v, {nearest} as best from v, c{i} as c group by r)")
+        if i < rounds:
+            steps.append(
+                f"""m{i} as (select c, list(case when s >= 0 then s // n else -((n - 1 - s) // n) end order by d) as v
+                    from (select best[2] as c, d, sum(v[d])::hugeint as s, count(*)::hugeint as n from a{i}, range(1, {dims + 1}) t(d) group by 1, 2) group by c)"""
+            )
+            steps.append(f"c{i + 1} as materialized (select c, coalesce(m.v, c{i}.v) as v from c{i} left join m{i} as m using (c))")
+    return f"""
+    with {", ".join(steps)}
+    select vec_id, best[2]::int as cluster, best[1]::bigint as distance, (sum(best[1]) over (partition by best[2]))::bigint as cluster_inertia,
+           (sum(best[1]) over ())::bigint as inertia, sha256(array_to_string(c.v, ',')) as centroid_sha256
+    from a{rounds} join v using (r) join c{rounds} as c on c.c = best[2]
+    """
+
+
+@query(_rounds_sql())
+def op12_centroid_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of all vectors of 64 components after ten rounds, with distances, inertia and the centroids' digests."""
+    rows, found = centroids.clusters(table(spark, folder, "embeddings"), k=8, rounds=10, seed=3, dims=64, scale=1024)
+    rows = stored(rows, "clusters")
+    sums = {r.cluster: int(r.total) for r in rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("total")).collect()}  # a row a centroid
+    inner = [sums.get(c, 0) for c in range(len(found))] or [0]
+    digests = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in found] or [""]
+    of = lambda values: centroids.by_cluster(values, F.col("cluster"))
+    return rows.select("*", of(inner).cast("long").alias("cluster_inertia"), F.lit(sum(inner)).cast("long").alias("inertia"), of(digests).alias("centroid_sha256"))
+
+
+PHRASES_A_LANGUAGE = 2000
+
+
+@query(
+    rf"""
+    with p as (select row_number() over () as d, coalesce(lang, 'und') as lang,
+                      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) as piece from documents),
+    w as materialized (select lang, regexp_extract_all(piece, '[^ 	]+') as w from p),
+    n as (select lang, sum(len(w))::bigint as n from w group by lang),
+    g as (select lang, o, unnest(list_transform(range(1, len(w) - o + 2), lambda i: w[i:i + o - 1])) as words from w, range(1, 4) t(o) where len(w) >= o),
+    f as materialized (select lang, o, words, count(*)::hugeint as a from g group by all having a >= 10),
+    c as (select f.lang, words, a, i, words[1:i] as front, words[i + 1:] as rest from f, range(1, 3) t(i) where i < o),
+    k as (select c.lang, c.words, c.a, min(row((1000000 * c.a * c.a) // (l.a * r.a), i, l.a, r.a)) as best
+          from c join f as l on l.lang = c.lang and l.words = c.front join f as r on r.lang = c.lang and r.words = c.rest group by all),
+    i as (select lang, a, unnest([words[1:2], words[2:3]]) as words from f where o = 3),
+    x as (select distinct i.lang, i.words from i join f using (lang, words) where 100 * i.a >= 50 * f.a),
+    z as (select *, array_to_string(words, ' ') as phrase from k anti join x using (lang, words))
+    select lang, rank, phrase, a::bigint as a, best[3]::bigint as l, best[4]::bigint as r, n, best[1]::bigint as score
+    from (select *, row_number() over (partition by lang order by best[1] desc, a desc, encode(phrase)) as rank from z) join n using (lang) where rank <= {PHRASES_A_LANGUAGE}
+    """
+)
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 firmest phrases of two or three words of each language."""
+    found = collocations.collocations(table(spark, folder, "documents"), least=10, longest=3, swallow=50)
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PHRASES_A_LANGUAGE)
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
