@@ -11,6 +11,7 @@ FAMILIES = (
     "text_queries",
     "lifecycle_queries",
     "trace_queries",
+    "stream_queries",
     "incident_queries",
     "page_queries",
 )

@@ -182,7 +182,7 @@ def ingest_listings(spark, folder):
 
 @query(
     "unseen_snapshots",
-    "L3,R13",
+    "L3",
     oracle="""select property_id, content_hash, count(*) as n from (select distinct property_id, sha256(concat(currency,'|',coalesce(cast(price as varchar),''))) as content_hash from v_snapshot where observed_on >= date '2000-01-01') x
       where not exists (select 1 from v_snapshot s where s.property_id=x.property_id and s.observed_on < date '2000-01-01' and sha256(concat(s.currency,'|',coalesce(cast(s.price as varchar),'')))=x.content_hash) group by 1,2""",
     uses=("v_snapshot",),
@@ -359,7 +359,7 @@ def discovery_counts(spark, folder):
 
 @query(
     "discovery_progress",
-    "W13,R12",
+    "W13",
     oracle="""select source_id, external_id, position, row_number() over w as place, cast(sum(case when listing_id is null then 1 else 0 end) over w as bigint) as new_so_far, cast(sum(case when listing_id is null then 0 else 1 end) over w as bigint) as existing_so_far
       from discovered window w as (partition by source_id order by position, external_id rows unbounded preceding)""",
     uses=("discovered",),

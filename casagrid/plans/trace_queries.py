@@ -90,7 +90,7 @@ def accepted_trace_points(spark, folder):
     return out.select("session_id", "event_id", "accepted", round_stat("distance_m", 4).alias("distance_m"), "reason")
 
 
-@query("streamed_trace_points", "R2,R14", oracle=_ACCEPT, uses=("v_drive",))
+@query("streamed_trace_points", "R2", oracle=_ACCEPT, uses=("v_drive",))
 def streamed_trace_points(spark, folder):
     """The same rule as a stateful stream drained from the events file into a table."""
     import uuid

@@ -10,16 +10,25 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
+from casagrid.operators import lifecycle as L
 from casagrid.operators import trace_rules as R
 from casagrid.operators import traces as T
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROWS_PER_FRAME = 10_000
+# How old a position may be, and how far ahead of the clock, when it is received.
+STALE_MS, FUTURE_MS = 10_000, 1_000
+CHANGE = StructType(
+    [
+        StructField("property_id", LongType()), StructField("snapshot_id", LongType()), StructField("observed_on", DateType()), StructField("kind", StringType()),
+        StructField("old_currency", StringType()), StructField("old_price", LongType()), StructField("currency", StringType()), StructField("price", LongType()),
+    ]
+)
 
 
 class KeyedScan(StatefulProcessor):
@@ -81,24 +90,68 @@ def note_stream(stream: DataFrame) -> DataFrame:
     return keyed_stream(stream, "note_id", R.by_row(T.note_step), ["arrived"], schema)
 
 
-def fresh_positions(stream: DataFrame, ts: str = "ts", received: str = "received", delay: str = "10 seconds") -> DataFrame:
-    """Usable positions under a watermark equal to the largest age the drive mode accepts."""
+def arrival_verdict(ts: str = "ts", received: str = "received") -> Column:
+    """``future``, ``late``, ``invalid`` or ``usable``, by the age of a position when it was received."""
     age_ms = (F.unix_millis(F.col(received)) - F.unix_millis(F.col(ts))).cast("long")
-    return stream.withWatermark(ts, delay).filter((F.col("accuracy") <= T.MAX_ACCURACY_M) & age_ms.between(-1000, 10000))
+    whole = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & F.coalesce(F.col("accuracy") <= T.MAX_ACCURACY_M, F.lit(False))
+    return F.when(age_ms.isNull() | ~whole, "invalid").when(age_ms < -FUTURE_MS, "future").when(age_ms > STALE_MS, "late").otherwise("usable")
 
 
-def first_uploads(stream: DataFrame) -> DataFrame:
-    """First upload of each trip. A trip is saved once for ever, so the state keeps every (owner, session)."""
-    return stream.dropDuplicates(["owner", "session_id"])
+def position_windows(stream: DataFrame, key: str = "session_id", ts: str = "ts", received: str = "received", width: str = "1 minute") -> DataFrame:
+    """Usable positions of each key and window of event time, given out once the watermark has passed the window.
 
+    The watermark trails the latest usable position by the age at which one goes stale, and a position whose window it
+    has passed is dropped. Future positions are put aside first, so they cannot push it ahead.
+    """
+    usable = stream.filter(arrival_verdict(ts, received) == "usable").withWatermark(ts, f"{STALE_MS} milliseconds")
+    counts = usable.groupBy(key, F.window(ts, width).alias("span")).agg(F.count("*").alias("positions"), F.min(ts).alias("first_at"), F.max(ts).alias("last_at"))
+    return counts.select(key, F.col("span.start").alias("window_start"), "positions", "first_at", "last_at")
+
+
+def arrival_counts(stream: DataFrame, key: str = "session_id", ts: str = "ts", received: str = "received", width: str = "1 minute") -> DataFrame:
+    """Positions of each verdict by key and window of the time of receipt; what :func:`position_windows` leaves out."""
+    marked = stream.withColumn("verdict", arrival_verdict(ts, received)).withWatermark(received, "0 seconds")
+    n = lambda verdict: F.count_if(F.col("verdict") == verdict).alias(verdict)
+    counts = marked.groupBy(key, F.window(received, width).alias("span")).agg(*map(n, ("usable", "late", "future", "invalid")))
+    return counts.select(key, F.col("span.start").alias("window_start"), "usable", "late", "future", "invalid")
+
+
+class ContentChanges(StatefulProcessor):
+    """Keeps which contents a key has had, as map state, and the last new one; emits each new one with that before it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        content = StructType([StructField("currency", StringType()), StructField("price", LongType())])
+        self.seen = handle.getMapState("seen", StructType([StructField("content", StringType())]), StructType([StructField("snapshot_id", LongType())]))
+        self.last = handle.getValueState("last", content)
 
-def new_snapshot_stream(stream: DataFrame) -> DataFrame:
-    """Unseen content per advert: the price-change events of the stream.
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # Rows of one key in one micro-batch, which the trigger's file limit bounds.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(["observed_on", "snapshot_id"], kind="mergesort")
+        last = self.last.get() if self.last.exists() else None
+        out = []
+        for row in batch.drop_duplicates("content_hash").itertuples(index=False):
+            if self.seen.containsKey((row.content_hash,)):
+                continue
+            self.seen.updateValue((row.content_hash,), (int(row.snapshot_id),))
+            now = (row.currency, None if pd.isna(row.price) else int(row.price))
+            out.append((key[0], row.snapshot_id, row.observed_on, "first" if last is None else "change", *(last or (None, None)), *now))
+            last = now
+        if out:
+            self.last.update(last)
+            yield pd.DataFrame(out, columns=CHANGE.names).astype({"old_price": "Int64", "price": "Int64"})
+
+    def close(self) -> None:
+        pass
 
-    A content seen once is never new again, however late it returns, so the state keeps every (advert, hash); it lives in
-    the RocksDB store on disk and is spread over the shuffle partitions.
+
+def snapshot_changes(stream: DataFrame) -> DataFrame:
+    """New contents of each property with the currency and price before and after.
+
+    ``stream``: property_id, snapshot_id, observed_on, content_hash, currency, price. A content that a property has had
+    once is never new again, however late it returns; both states live in the RocksDB store, spread over the shuffle
+    partitions. Micro-batches that follow each other in time give the events of a window over the whole history.
     """
-    return stream.dropDuplicates(["listing_id", "content_hash"])
+    return stream.groupBy("property_id").transformWithStateInPandas(ContentChanges(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -107,11 +160,45 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def classify_batches(stream: DataFrame, classify: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
-    """Discovery classification per micro-batch; each batch rewrites only its own folder, so a retry is safe."""
+class DiscoveryLog:
+    """Discovered adverts and running counters as two tables, a folder for each micro-batch.
 
-    def write(batch: DataFrame, number: int) -> None:
-        classify(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    A batch reads folders of smaller numbers only and overwrites its own, so one that is run again changes nothing.
+    """
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    ITEMS = "source_id long, external_id long, url string, position long, listing_id long, matched_by string, status string"
+    COUNTS = "source_id long, seen long, existing long, new long, out_of_phase long"
+
+    def __init__(self, spark: SparkSession, path: str, classify: Callable[[DataFrame], DataFrame]) -> None:
+        self.spark, self.path, self.classify = spark, path, classify
+
+    def table(self, name: str, schema: str, before: int | None = None) -> DataFrame:
+        if before == 0:
+            return self.spark.createDataFrame([], f"{schema}, batch int")
+        rows = self.spark.read.schema(f"{schema}, batch int").parquet(f"{self.path}/{name}")
+        return rows if before is None else rows.filter(F.col("batch") < before)
+
+    def record(self, batch: DataFrame, number: int) -> None:
+        """Classify what no earlier batch has had, and add it to the counters of the batch before."""
+        key = ["source_id", "external_id"]
+        fresh = self.classify(batch).join(self.table("items", self.ITEMS, number).select(*key), key, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{self.path}/items/batch={number}")
+        own = self.spark.read.schema(self.ITEMS).parquet(f"{self.path}/items/batch={number}")
+        names = ["seen", "existing", "new", "out_of_phase"]
+        last = self.table("counts", self.COUNTS, number).groupBy("source_id").agg(F.max_by(F.struct(*names), "batch").alias("c")).select("source_id", "c.*")
+        total = last.unionByName(L.discovery_counts(own)).groupBy("source_id").agg(*[F.sum(n).alias(n) for n in names])
+        total.write.mode("overwrite").parquet(f"{self.path}/counts/batch={number}")
+
+    def items(self) -> DataFrame:
+        return self.table("items", self.ITEMS).drop("batch")
+
+    def counts(self) -> DataFrame:
+        """Counters after the last batch of each source."""
+        rows = self.table("counts", self.COUNTS)
+        return rows.groupBy("source_id").agg(F.max_by(F.struct("seen", "existing", "new", "out_of_phase"), "batch").alias("c")).select("source_id", "c.*")
+
+
+def record_discovery(stream: DataFrame, log: DiscoveryLog, checkpoint: str) -> None:
+    """Drain what is available of a stream of discovered links into ``log``."""
+    query = stream.writeStream.foreachBatch(log.record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
