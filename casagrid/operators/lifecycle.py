@@ -60,48 +60,85 @@ def upsert_identities(identities: DataFrame, batch: DataFrame, seen_on: str) ->
     )
 
 
+ID_BUCKETS = 16**3
+
+
+def dense_ids(keys: DataFrame, order: Sequence[str], after: int, name: str) -> DataFrame:
+    """Each distinct ``order`` of ``keys`` with an id: ``after + 1`` and on, without gaps.
+
+    Keys are ordered by the first three digits of their MD5 and then by themselves. Buckets of one such prefix are
+    counted, the counts of the buckets before one are its offset, and within a bucket keys are numbered by a window. The
+    ids follow from the keys alone, so a retry or another number of tasks gives the same ones.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order])
+    rows = keys.select(*order).distinct().withColumn("_bucket", F.left(F.md5(text.cast("binary")), F.lit(3)))
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))  # ID_BUCKETS rows at most
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return rows.withColumn("_place", place).join(offsets, "_bucket").select(*order, (F.lit(after) + F.col("_before") + F.col("_place")).cast("long").alias(name))
+
+
 def resolve_batch(batch: DataFrame, listings: DataFrame, properties: DataFrame) -> DataFrame:
     """Property of each incoming advert: by advert key, else by fingerprint, else a new one.
 
-    ``batch`` holds one row per advert key. New properties get a stable id derived from the fingerprint.
+    ``batch`` holds one row per advert key. New fingerprints get the ids after the largest in use; adverts that share one
+    share the new property. A null fingerprint counts as an empty one.
     """
+    prints = F.coalesce("fingerprint", F.lit("")).alias("fingerprint")
     by_key = listings.groupBy(*KEY).agg(F.min("property_id").alias("key_property"))
-    by_print = properties.groupBy("fingerprint").agg(F.min("property_id").alias("print_property"))
-    out = batch.join(by_key, KEY, "left").join(by_print, "fingerprint", "left")
-    made = -F.abs(F.xxhash64("fingerprint"))
+    by_print = properties.groupBy(prints).agg(F.min("property_id").alias("print_property"))
+    out = batch.withColumn("fingerprint", prints).join(by_key, KEY, "left").join(by_print, "fingerprint", "left")
+    new = F.col("key_property").isNull() & F.col("print_property").isNull()
+    largest = properties.agg(F.max("property_id")).scalar()
+    made = dense_ids(out.filter(new), ["fingerprint"], 0, "_new").withColumn("_new", F.col("_new") + F.coalesce(largest, F.lit(0)))
     match = F.when(F.col("key_property").isNotNull(), "listing").when(F.col("print_property").isNotNull(), "fingerprint").otherwise("created")
-    return out.withColumns({"property_id": F.coalesce("key_property", "print_property", made), "match": match}).drop("key_property", "print_property")
+    out = out.withColumn("match", match).join(made, "fingerprint", "left")
+    return out.withColumn("property_id", F.coalesce("key_property", "print_property", "_new")).drop("key_property", "print_property", "_new")
+
+
+# What a new property has where no advert tells it.
+CREATED = {"title": "Propiedad sin título", "operation": "sale", "status": "active", "currency": "", "description": "", "address": "", "locality": "", "neighborhood": "", "condition_category": "unknown", "location_source": "unknown", "location_confidence": "unknown"}
 
 
 def merge_properties(properties: DataFrame, resolved: DataFrame, fields: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """New property state: non-empty incoming values replace, fields edited by hand stay.
+    """New property state: non-empty incoming values replace, fields edited by hand stay, new properties get defaults.
 
     ``properties`` carries ``overrides`` (array of protected field names); the last advert of a batch wins.
     """
     fresh = resolved.groupBy("property_id").agg(
         *[F.max_by(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.col(c)), F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", F.struct(*order))).alias(f"_n_{c}") for c in fields],
         F.max("seen_on").alias("_seen"),
+        F.bool_or(F.col("match") == "created" if "match" in resolved.columns else F.lit(False)).alias("_made"),
     )
     out = properties.join(fresh, "property_id", "full_outer")
     cols = []
     for c in fields:
         guarded = F.coalesce(F.array_contains("overrides", c), F.lit(False))
-        cols.append(F.when(guarded, F.col(c)).otherwise(F.coalesce(F.col(f"_n_{c}"), F.col(c))).alias(c))
-    return out.select("property_id", *cols, F.greatest("last_seen_on", "_seen").alias("last_seen_on"), F.coalesce("overrides", F.array().cast("array<string>")).alias("overrides"))
+        plain = F.coalesce(F.col(f"_n_{c}"), F.col(c))
+        filled = F.coalesce(plain, F.when(F.col("_made"), F.lit(CREATED[c]))) if c in CREATED else plain
+        cols.append(F.when(guarded, F.col(c)).otherwise(filled).alias(c))
+    made = F.coalesce("_made", F.lit(False)).alias("created")
+    return out.select("property_id", *cols, F.greatest("last_seen_on", "_seen").alias("last_seen_on"), F.coalesce("overrides", F.array().cast("array<string>")).alias("overrides"), made)
 
 
 def merge_listings(listings: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Incoming adverts become active again with no missing runs; the rest stay as they are."""
+    """Incoming adverts become active again with no missing runs, the rest stay as they are; new ones get the ids after
+    the largest in use."""
     fresh = resolved.select(*KEY, F.col("property_id").alias("_p"), F.col("url").alias("_u"), F.col("seen_on").alias("_s"))
-    out = listings.select(*KEY, "property_id", "url", "active", "missing_runs", "last_seen_on").join(fresh, KEY, "full_outer")
+    out = listings.select(*KEY, "listing_id", "property_id", "url", "active", "missing_runs", "last_seen_on").join(fresh, KEY, "full_outer")
+    largest = listings.agg(F.max("listing_id")).scalar()
+    made = dense_ids(resolved.join(listings.select(*KEY), KEY, "left_anti"), KEY, 0, "_new").withColumn("_new", F.col("_new") + F.coalesce(largest, F.lit(0)))
     hit = F.col("_u").isNotNull()
-    return out.select(
+    return out.join(made, KEY, "left").select(
         *KEY,
+        F.coalesce("listing_id", "_new").alias("listing_id"),
         F.coalesce("_p", "property_id").alias("property_id"),
         F.coalesce("_u", "url").alias("url"),
         F.when(hit, True).otherwise(F.col("active")).alias("active"),
         F.when(hit, 0).otherwise(F.col("missing_runs")).alias("missing_runs"),
         F.greatest("last_seen_on", "_s").alias("last_seen_on"),
+        F.col("_new").isNotNull().alias("created"),
     )
 
 
@@ -309,32 +346,3 @@ def status_policy(listings: DataFrame, proposed: DataFrame, inactive: Sequence[s
     )
     keep = F.col("status").isin(*inactive) & F.coalesce(other, F.lit(False))
     return out.withColumn("final_status", F.when(keep, "active").otherwise(F.col("status"))).drop("_sources", "_only", "_third", "_origin", "_same", "_key")
-
-
-def rollback_plan(listings: DataFrame, properties: DataFrame, runs: DataFrame) -> DataFrame:
-    """Listings first seen inside run windows, and what happens to their properties.
-
-    ``runs``: source_id, started_on, finished_on. A property with only such adverts is deleted, or kept
-    when it was edited by hand; one that also has others is restored.
-    """
-    def month(day: str) -> Column:
-        return F.floor(F.unix_date(F.col(day).cast("date")) / 32)
-
-    # Windows meet adverts by source and stretch of 32 days, so a busy source is spread over its history.
-    windows = runs.select(F.col("source_id").alias("_src"), F.col("started_on").alias("_from"), F.col("finished_on").alias("_to")).distinct()
-    windows = windows.filter("_from <= _to").withColumn("_bucket", F.explode(F.sequence(month("_from"), month("_to"))))
-    rows = listings.select("property_id", "source_id", "first_seen_on", month("first_seen_on").alias("_at"))
-    met = (F.col("source_id") == F.col("_src")) & (F.col("_at") == F.col("_bucket")) & F.col("first_seen_on").between(F.col("_from"), F.col("_to"))
-    inside = rows.join(windows, met, "left_semi").groupBy("property_id").agg(F.count(F.lit(1)).alias("rolled_back"))
-    state = inside.join(rows.groupBy("property_id").agg(F.count(F.lit(1)).alias("_n")), "property_id").withColumn("_all", F.col("rolled_back") == F.col("_n"))
-    state = state.join(properties.select("property_id", "has_manual_state"), "property_id")
-    action = F.when(F.col("_all") & F.col("has_manual_state"), "preserve").when(F.col("_all"), "delete").otherwise("restore")
-    return state.select("property_id", "rolled_back", action.alias("action"))
-
-
-def restore_values(restored: DataFrame, snapshots: DataFrame, cutoff: str) -> DataFrame:
-    """Last snapshot before the rolled-back window for each restored property."""
-    earlier = snapshots.filter(F.col("observed_on") < F.lit(cutoff).cast("date")).join(restored.select("property_id"), "property_id", "left_semi")
-    return latest_per_key(earlier, ["property_id"], [F.col("observed_on"), F.col("snapshot_id")], ["observed_on", "snapshot_id", "currency", "price"])
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,13 +60,28 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return members.union(roots).groupBy("node").agg(F.min("component").alias("component"))
 
 
-FILL_FIELDS = ("title", "description", "address", "locality", "neighborhood", "price", "covered_area", "total_area", "land_area", "rooms", "bedrooms", "bathrooms", "garages", "age_years")
+# What a merged property takes from its duplicates where its own value is empty.
+FILL_FIELDS = (
+    "property_type", "operation", "title", "description", "address", "normalized_address", "locality", "neighborhood", "currency", "price", "rooms", "bedrooms", "bathrooms",
+    "garages", "toilets", "covered_area", "total_area", "land_area", "uncovered_area", "semicovered_area", "front_width", "lot_depth", "building_floors", "age_years",
+    "condition_category", "features", "detected_locality", "detected_neighborhood", "detected_address", "detected_latitude", "detected_longitude", "inferred_neighborhood",
+    "inferred_neighborhood_method", "inferred_neighborhood_distance_m", "location_source", "location_confidence", "location_notes", "location_evidence",
+)
+STATE_FIELDS = ("is_favorite", "is_hidden", "is_reviewed", "status", "personal_notes", "overrides", "first_seen_on", "last_seen_on")
 
 
-def merge_score(fields: Sequence[str]) -> Column:
+def has_value(df: DataFrame, c: str) -> Column:
+    """Neither null, nor empty text, nor an empty list or map."""
+    kind = df.schema[c].dataType.typeName()
+    if kind in ("array", "map"):
+        return F.coalesce(F.size(c) > 0, F.lit(False))
+    return F.coalesce(F.col(c) != "", F.lit(False)) if kind == "string" else F.col(c).isNotNull()
+
+
+def merge_score(df: DataFrame, fields: Sequence[str]) -> Column:
     """Worth of a property as the one that stays."""
     f = F.col
-    filled = sum((F.when(F.coalesce(f(c).cast("string"), F.lit("")) != "", 1).otherwise(0) for c in fields), F.lit(0))
+    filled = sum((has_value(df, c).cast("int") for c in fields), F.lit(0))
     return (
         F.when(f("status") != "removed", 1000).otherwise(0)
         + F.when(~f("is_hidden"), 700).otherwise(0)
@@ -81,31 +96,87 @@ def merge_score(fields: Sequence[str]) -> Column:
     )
 
 
-def merge_components(properties: DataFrame, members: DataFrame, fields: Sequence[str] = FILL_FIELDS) -> DataFrame:
-    """One merged row per component: the best property filled from the others in score order.
+def joined_notes(own: Column, others: Column) -> Column:
+    """``own`` notes, and for each of ``others`` (property_id, notes) in turn its mark and notes, unless they are there."""
 
-    ``properties`` carries listing_count and image_count. Everything is an aggregate, so a component of any
-    size is combined map-side.
-    """
-    rows = properties.join(members.withColumnRenamed("node", "property_id"), "property_id").withColumn("score", merge_score(fields))
-    rank = F.struct(F.col("score"), -F.col("property_id"))
+    def add(text: Column, part: Column | str) -> Column:
+        return F.concat(text, F.when(text != "", "\n\n").otherwise(""), part)
+
+    def step(text: Column, other: Column) -> Column:
+        id, notes = other["property_id"].cast("string"), other["notes"]
+        mark = F.concat(F.lit("Fusionada con propiedad #"), id)
+        marked = F.when(text.contains(mark), text).otherwise(add(text, mark))
+        fresh = (notes != "") & ~marked.contains(notes)
+        return F.when(fresh, add(marked, F.concat(F.lit("Notas de #"), id, F.lit(": "), notes))).otherwise(marked)
+
+    return F.aggregate(others, own, step)
 
-    def best(c: str) -> Column:
-        known = F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", rank)
-        return F.max_by(F.when(known.isNotNull(), F.col(c)), known).alias(c)
 
-    # The duplicates' marks do not contain their own notes' order; they follow score order in the text.
-    return rows.groupBy("component").agg(
+def merge_components(properties: DataFrame, members: DataFrame, fields: Sequence[str] = FILL_FIELDS, normalize: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row per component: the best property, its empty fields filled from the others in the order of their scores.
+
+    ``properties`` carries listing_count, image_count, personal_notes, overrides and the fields. Each field is the value of
+    the best property that has one, so all are one aggregation, combined before the shuffle; only the notes, which hold a
+    mark of every duplicate anyway, list members. ``normalize`` makes normalized_address from an address that was filled.
+    ``pin_from`` is the property whose pin the canonical one has: its own, else that of the best duplicate with one.
+    """
+    rows = properties.join(members.withColumnRenamed("node", "property_id"), "property_id")
+    rows = rows.withColumn("score", merge_score(rows, fields))
+    rank = F.struct(F.col("score"), -F.col("property_id"))
+    notes = F.coalesce("personal_notes", F.lit(""))
+    best = [F.max_by(F.when(has_value(rows, c), F.col(c)), F.when(has_value(rows, c), rank)).alias(c) for c in fields]
+    out = rows.groupBy("component").agg(
         F.max_by("property_id", rank).alias("canonical_id"),
         F.count(F.lit(1)).alias("members"),
-        *[best(c) for c in fields],
+        *best,
         F.bool_or("is_favorite").alias("is_favorite"),
         F.bool_and("is_hidden").alias("is_hidden"),
         F.bool_or("is_reviewed").alias("is_reviewed"),
         F.when(F.bool_or(F.col("status") == "active"), "active").otherwise(F.max_by("status", rank)).alias("status"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("overrides", F.array().cast("array<string>")))))).alias("overrides"),
         F.min("first_seen_on").alias("first_seen_on"),
         F.max("last_seen_on").alias("last_seen_on"),
+        F.max_by("property_id", F.when(F.col("latitude").isNotNull(), rank)).alias("pin_from"),
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_order"), "property_id", notes.alias("notes")))).alias("_notes"),
+        *([F.max_by(has_value(rows, "address"), rank).alias("_had_address")] if "address" in fields else []),
     )
+    out = out.withColumn("personal_notes", joined_notes(F.col("_notes")[0]["notes"], F.slice("_notes", 2, F.greatest(F.size("_notes") - 1, F.lit(0)))))
+    if normalize is not None:
+        filled = ~F.col("_had_address") & F.col("address").isNotNull()
+        out = out.withColumn("normalized_address", F.when(filled, normalize(F.col("address"))).otherwise(F.col("normalized_address")))
+    return out.drop("_notes", "_had_address")
+
+
+def merged_state(properties: DataFrame, members: DataFrame, merged: DataFrame, note_time: str, fields: Sequence[str] = FILL_FIELDS) -> DataFrame:
+    """All properties after the merge: canonical ones with the merged values, absorbed ones hidden, removed and marked."""
+    names = [*fields, *STATE_FIELDS]
+    role = members.withColumnRenamed("node", "property_id").join(merged.select("component", "canonical_id"), "component").drop("component")
+    values = merged.select(F.col("canonical_id").alias("property_id"), *[F.col(c).alias(f"_m_{c}") for c in names])
+    out = properties.join(role, "property_id", "left").join(values, "property_id", "left")
+    canonical, absorbed = F.col("canonical_id") == F.col("property_id"), F.col("canonical_id") != F.col("property_id")
+    notes = F.coalesce("personal_notes", F.lit(""))
+    mark = F.concat(notes, F.when(notes != "", "\n\n").otherwise(""), F.lit("Fusionada en propiedad #"), F.col("canonical_id").cast("string"), F.lit(f" el {note_time}"))
+    columns = {c: F.when(canonical, F.coalesce(F.col(f"_m_{c}"), F.col(c))).otherwise(F.col(c)) for c in names}
+    columns |= {
+        "is_hidden": F.when(absorbed, True).otherwise(columns["is_hidden"]),
+        "status": F.when(absorbed, "removed").otherwise(columns["status"]),
+        "personal_notes": F.when(absorbed, mark).otherwise(columns["personal_notes"]),
+    }
+    return out.withColumns(columns).select(*properties.columns)
+
+
+def undo_record(before: DataFrame, after: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """What a change of ``fields`` takes to be undone: (property_id, field, old, new) of each value that differs."""
+    text = lambda df, c: (F.to_json(c) if df.schema[c].dataType.typeName() in ("array", "map") else F.col(c).cast("string"))
+    old = before.select("property_id", *[text(before, c).alias(f"_o_{c}") for c in fields])
+    new = after.select("property_id", *[text(after, c).alias(f"_n_{c}") for c in fields])
+    pairs = [F.when(~F.col(f"_o_{c}").eqNullSafe(F.col(f"_n_{c}")), F.struct(F.lit(c).alias("field"), F.col(f"_o_{c}").alias("old"), F.col(f"_n_{c}").alias("new"))) for c in fields]
+    return old.join(new, "property_id").select("property_id", F.inline(F.array_compact(F.array(*pairs))))
+
+
+def moved_pins(merged: DataFrame) -> DataFrame:
+    """Pins that move to another property."""
+    return merged.filter("pin_from <> canonical_id").select(F.col("pin_from").alias("from_id"), F.col("canonical_id").alias("property_id"))
 
 
 def repoint_listings(listings: DataFrame, members: DataFrame, merged: DataFrame) -> DataFrame:
@@ -114,12 +185,6 @@ def repoint_listings(listings: DataFrame, members: DataFrame, merged: DataFrame)
     return out.withColumn("property_id", F.coalesce("canonical_id", "property_id")).drop("canonical_id")
 
 
-def merge_notes(members: DataFrame, merged: DataFrame) -> DataFrame:
-    """Mark left on every absorbed property."""
-    rows = members.join(merged.select("component", "canonical_id"), "component").filter(F.col("node") != F.col("canonical_id"))
-    return rows.select(F.col("node").alias("property_id"), "canonical_id", F.concat(F.lit("Fusionada en propiedad #"), F.col("canonical_id").cast("string")).alias("note"))
-
-
 def split_plan(properties: DataFrame, listings: DataFrame, plausible: Column) -> DataFrame:
     """Active adverts to separate from properties that joined several without a plausible address.
 

@@ -10,6 +10,7 @@ FAMILIES = (
     "spatial_queries",
     "text_queries",
     "lifecycle_queries",
+    "repair_queries",
     "trace_queries",
     "stream_queries",
     "incident_queries",

@@ -22,7 +22,7 @@ BATCH = [
     ("cast(floor(o_totalprice) as bigint)", "price"),
     ("case when o_custkey%7=0 then '' else o_orderpriority end", "title"),
     ("case when o_orderstatus='F' then 'ARS' when o_orderstatus='P' then '' else 'USD' end", "currency"),
-    ("concat('fp', cast(o_custkey%3000 as string))", "fingerprint"),
+    ("case when o_orderkey%9=0 then concat('new', cast(o_custkey%50 as string)) else concat('fp', cast(o_custkey%3000 as string)) end", "fingerprint"),
     ("o_orderkey", "position"),
 ]
 RUN = [
@@ -137,8 +137,10 @@ def resolved(spark, folder):
 
 shared(
     "resolved",
-    """select b.*, coalesce(a.property_id, p.property_id) as property_id, case when a.property_id is not null then 'listing' when p.property_id is not null then 'fingerprint' else 'created' end as match
-      from v_batch b left join (select source_id, external_id, min(property_id) as property_id from adv group by 1,2) a using (source_id, external_id) left join v_property p on b.fingerprint = concat('fp', cast(p.property_id as varchar))""",
+    """with m as (select b.*, a.property_id as by_key, p.property_id as by_print
+        from v_batch b left join (select source_id, external_id, min(property_id) as property_id from adv group by 1,2) a using (source_id, external_id) left join v_property p on b.fingerprint = concat('fp', cast(p.property_id as varchar))),
+      made as (select fingerprint, row_number() over (order by left(md5(fingerprint),3), fingerprint) + (select max(property_id) from v_property) as made from (select distinct fingerprint from m where by_key is null and by_print is null))
+      select m.* exclude (by_key, by_print), coalesce(by_key, by_print, made) as property_id, case when by_key is not null then 'listing' when by_print is not null then 'fingerprint' else 'created' end as match from m left join made using (fingerprint)""",
     "v_batch",
     "adv",
     "v_property",
@@ -147,37 +149,37 @@ shared(
 
 @query("ingest_resolution", "L1", oracle="select source_id, external_id, match, property_id from resolved", uses=("resolved",))
 def ingest_resolution(spark, folder):
-    return resolved(spark, folder).select(*L.KEY, "match", F.when(F.col("match") != "created", F.col("property_id")).alias("property_id"))
+    return resolved(spark, folder).select(*L.KEY, "match", "property_id")
 
 
 @query(
     "ingest_properties",
     "L1",
-    oracle="""with f as (select property_id, max(seen_on) as seen_on, arg_max(nullif(title,''), (seen_on, source_id, external_id)) filter (title<>'') as title, arg_max(nullif(currency,''), (seen_on, source_id, external_id)) filter (currency<>'') as currency,
-        arg_max(price, (seen_on, source_id, external_id)) as price from resolved where match<>'created' group by 1)
-      select property_id, case when override_field='title' then p.title else coalesce(f.title, p.title) end as title, coalesce(f.currency, p.currency) as currency,
-        case when override_field='price' then p.price else coalesce(f.price, p.price) end::double as price, greatest(last_seen_on, seen_on) as last_seen_on from v_property p left join f using (property_id)""",
+    oracle="""with f as (select property_id, bool_or(match='created') as made, max(seen_on) as seen_on, arg_max(nullif(title,''), (seen_on, source_id, external_id)) filter (title<>'') as title, arg_max(nullif(currency,''), (seen_on, source_id, external_id)) filter (currency<>'') as currency,
+        arg_max(price, (seen_on, source_id, external_id)) as price from resolved group by 1)
+      select property_id, case when override_field='title' then p.title else coalesce(f.title, p.title, case when made then 'Propiedad sin título' end) end as title, coalesce(f.currency, p.currency, case when made then '' end) as currency,
+        case when override_field='price' then p.price else coalesce(f.price, p.price) end::double as price, greatest(last_seen_on, seen_on) as last_seen_on, coalesce(made, false) as created from v_property p full join f using (property_id)""",
     uses=("resolved",),
 )
 def ingest_properties(spark, folder):
     props = view(spark, folder, "v_property").select(
         "property_id", "title", "currency", "price", "last_seen_on", F.when(F.col("override_field") != "", F.array("override_field")).otherwise(F.array().cast("array<string>")).alias("overrides")
     )
-    known = resolved(spark, folder).filter(F.col("match") != "created")
     order = [F.col("seen_on"), F.col("source_id"), F.col("external_id")]
-    out = L.merge_properties(props, known.withColumn("price", F.col("price").cast("decimal(16,2)")), ["title", "currency", "price"], order)
-    return out.select("property_id", "title", "currency", F.col("price").cast("double").alias("price"), "last_seen_on")
+    out = L.merge_properties(props, resolved(spark, folder).withColumn("price", F.col("price").cast("decimal(16,2)")), ["title", "currency", "price"], order)
+    return out.select("property_id", "title", "currency", F.col("price").cast("double").alias("price"), "last_seen_on", "created")
 
 
 @query(
     "ingest_listings",
     "L1",
-    oracle="""select source_id, external_id, coalesce(r.url, a.url) as url, case when r.url is not null then true else a.active end as active, case when r.url is not null then 0 else a.missing_runs end as missing_runs,
-      greatest(a.last_seen_on, r.seen_on) as last_seen_on from adv a full join resolved r using (source_id, external_id)""",
+    oracle="""with made as (select source_id, external_id, row_number() over (order by left(md5(concat(source_id, chr(31), external_id)),3), source_id, external_id) + (select max(listing_id) from adv) as made from resolved anti join adv using (source_id, external_id))
+      select source_id, external_id, coalesce(a.listing_id, made) as listing_id, coalesce(r.property_id, a.property_id) as property_id, coalesce(r.url, a.url) as url, case when r.url is not null then true else a.active end as active, case when r.url is not null then 0 else a.missing_runs end as missing_runs,
+      greatest(a.last_seen_on, r.seen_on) as last_seen_on, made is not null as created from adv a full join resolved r using (source_id, external_id) left join made using (source_id, external_id)""",
     uses=("resolved",),
 )
 def ingest_listings(spark, folder):
-    return L.merge_listings(adverts(spark, folder), resolved(spark, folder)).drop("property_id")
+    return L.merge_listings(adverts(spark, folder), resolved(spark, folder))
 
 
 @query(
@@ -411,45 +413,6 @@ def duplicate_components(spark, folder):
     return M.components(M.tail_edges(mirrors(spark, folder)))
 
 
-_FILLED = "+".join(f"(coalesce(cast({c} as varchar),'')<>'')::int" for c in M.FILL_FIELDS)
-_SCORE = f"(case when status<>'removed' then 1000 else 0 end + case when not is_hidden then 700 else 0 end + case when status='active' then 200 else 0 end + {_FILLED} + coalesce(lc,0)*3 + least(coalesce(ic,0),8) + case when is_favorite then 12 else 0 end + case when personal_notes<>'' then 6 else 0 end + case when latitude is not null then 5 else 0 end + case when is_reviewed then 2 else 0 end)"
-
-
-def _merged(spark, folder):
-    facts = listings(spark, folder).groupBy("property_id").agg(F.count(F.lit(1)).alias("listing_count"), F.count_if(F.col("image_url") != "").alias("image_count"))
-    props = base(spark, folder).join(facts, "property_id", "left")
-    members = M.components(M.tail_edges(mirrors(spark, folder)))
-    return members, M.merge_components(props, members)
-
-
-@query(
-    "merged_properties",
-    "L14",
-    oracle=f"""with recursive {_REACH}, {_COMP}, f as (select property_id, count(*) as lc, count(*) filter (image_url<>'') as ic from v_listing group by 1),
-      s as (select b.*, component, {_SCORE} as score from base b join comp on node=property_id left join f using (property_id))
-      select component, arg_max(property_id, (score, -property_id)) as canonical_id, count(*) as members, arg_max(age_years, (score, -property_id)) filter (age_years is not null) as age_years,
-        arg_max(price, (score, -property_id)) filter (price is not null)::double as price, arg_max(address, (score, -property_id)) filter (address<>'') as address, bool_or(is_favorite) as is_favorite, bool_and(is_hidden) as is_hidden,
-        case when bool_or(status='active') then 'active' else arg_max(status, (score, -property_id)) end as status, min(first_seen_on) as first_seen_on, max(last_seen_on) as last_seen_on from s group by component""",
-    uses=("edges", "base", "v_listing"),
-)
-def merged_properties(spark, folder):
-    _, merged = _merged(spark, folder)
-    return merged.select("component", "canonical_id", "members", "age_years", F.col("price").cast("double").alias("price"), "address", "is_favorite", "is_hidden", "status", "first_seen_on", "last_seen_on")
-
-
-@query(
-    "merge_listing_moves",
-    "L14",
-    oracle=f"""with recursive {_REACH}, {_COMP}, f as (select property_id, count(*) as lc, count(*) filter (image_url<>'') as ic from v_listing group by 1),
-      s as (select component, arg_max(property_id, ({_SCORE}, -property_id)) as c from base b join comp on node=property_id left join f using (property_id) group by 1)
-      select coalesce(c, property_id) as property_id, count(*) as adverts from v_listing left join comp on node=property_id left join s using (component) group by 1""",
-    uses=("edges", "base", "v_listing"),
-)
-def merge_listing_moves(spark, folder):
-    members, merged = _merged(spark, folder)
-    return M.repoint_listings(listings(spark, folder), members, merged).groupBy("property_id").agg(F.count(F.lit(1)).alias("adverts"))
-
-
 @query(
     "split_listings",
     "L15",
@@ -476,7 +439,7 @@ _AFTER = [
 
 @query(
     "field_diff",
-    "L16,L24",
+    "L16",
     oracle="""with a as (select p.property_id, override_field, p.price as p0, p.address as a0, p.locality as l0, p.location_notes as n0, case when property_id%5=0 then price+100 else price end as p1,
         case when property_id%7=0 then '' when property_id%11=0 then 'Calle' when property_id%13=0 then 'Calle 9 999' else address end as a1, case when property_id%6=0 then 'Moron' else locality end as l1, case when property_id%8=0 then '' else location_notes end as n1 from v_property p)
       select property_id, 'price' as field, cast(p0 as varchar) as old, cast(p1 as varchar) as new from a where p0 is distinct from p1 and override_field<>'price'
@@ -587,36 +550,6 @@ def condition_backfill(spark, folder):
     return out.filter((F.col("old") == "unknown") & (F.col("new") != "unknown"))
 
 
-shared("v_window", "select source_id, min(finished_on) as s, max(finished_on) as f from v_run where status='partial' and source_id<6 group by source_id", "v_run")
-
-
-@query(
-    "rollback_plan",
-    "L23",
-    oracle="""with l as (select v.property_id, coalesce(last_seen_on between s and f, false) as inside from v_listing v left join (select distinct source_id, s, s + 600 as f from v_window) w using (source_id)),
-      g as (select property_id, count(*) filter (inside) as rolled_back, bool_and(inside) as al from l group by 1)
-      select property_id, rolled_back, case when al and override_field<>'' then 'preserve' when al then 'delete' else 'restore' end as action from g join v_property using (property_id) where rolled_back>0""",
-    uses=("v_listing", "v_window", "v_property"),
-)
-def rollback_plan(spark, folder):
-    w = runs(spark, folder).filter((F.col("status") == "partial") & (F.col("source_id") < 6)).groupBy("source_id").agg(F.min("finished_on").alias("started_on"))
-    w = w.withColumn("finished_on", F.date_add("started_on", 600))
-    rows = listings(spark, folder).withColumn("first_seen_on", F.col("last_seen_on"))
-    props = view(spark, folder, "v_property").select("property_id", (F.col("override_field") != "").alias("has_manual_state"))
-    return L.rollback_plan(rows, props, w)
-
-
-@query(
-    "rollback_restore",
-    "L23",
-    oracle="select property_id, observed_on, snapshot_id from (select *, row_number() over (partition by property_id order by observed_on desc, snapshot_id desc) as rn from v_snapshot where observed_on < date '2000-01-01' and property_id in (select property_id from v_property where status='reserved')) where rn=1",
-    uses=("v_snapshot", "v_property"),
-)
-def rollback_restore(spark, folder):
-    wanted = view(spark, folder, "v_property").filter(F.col("status") == "reserved")
-    return L.restore_values(wanted, view(spark, folder, "v_snapshot"), "2000-01-01").select("property_id", "observed_on", "snapshot_id")
-
-
 @query(
     "applied_edits",
     "L25",

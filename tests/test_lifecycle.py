@@ -48,11 +48,23 @@ def test_ingest_twice_changes_nothing_and_keeps_manual_edits(spark):
 
 
 def test_merge_fills_from_best_duplicate(spark):
-    cols = "property_id long, title string, price long, status string, is_hidden boolean, listing_count long, image_count long, is_favorite boolean, personal_notes string, latitude double, is_reviewed boolean, first_seen_on date, last_seen_on date"
-    rows = [(1, "", None, "removed", True, 0, 0, True, "", None, False, None, None), (2, "t2", None, "active", False, 1, 1, False, "", 1.0, False, None, None), (3, "t3", 50, "active", False, 0, 0, False, "", None, True, None, None)]
-    members = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "node long, component long")
-    r = M.merge_components(spark.createDataFrame(rows, cols), members, ["title", "price"]).first()
-    assert (r["canonical_id"], r["title"], r["price"], r["is_favorite"], r["is_hidden"], r["status"]) == (2, "t2", 50, True, False, "active")
+    cols = "property_id long, title string, price long, status string, is_hidden boolean, listing_count long, image_count long, is_favorite boolean, personal_notes string, latitude double, is_reviewed boolean, first_seen_on date, last_seen_on date, overrides array<string>"
+    rows = [
+        (1, "", None, "removed", True, 0, 0, True, "", None, False, None, None, ["title"]), (2, "t2", None, "active", False, 1, 1, False, "own", None, False, None, None, None),
+        (3, "t3", 50, "active", False, 0, 0, False, "three", 1.0, True, None, None, ["price"]), (4, "", None, "removed", True, 0, 0, False, "own", 2.0, True, None, None, []),
+    ]
+    members = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1)], "node long, component long")
+    props = spark.createDataFrame(rows, cols)
+    merged = M.merge_components(props, members, ["title", "price"])
+    r = merged.first()
+    assert (r["canonical_id"], r["title"], r["price"], r["is_favorite"], r["is_hidden"], r["status"]) == (3, "t3", 50, True, False, "active")
+    assert r["overrides"] == ["price", "title"] and r["pin_from"] == 3 and not M.moved_pins(merged).collect()
+    assert r["personal_notes"] == "three\n\nFusionada con propiedad #2\n\nNotas de #2: own\n\nFusionada con propiedad #4\n\nFusionada con propiedad #1"
+    after = {s["property_id"]: s for s in M.merged_state(props, members, merged, "now", ["title", "price"]).collect()}
+    assert {i: (s["is_hidden"], s["status"]) for i, s in after.items()} == {1: (True, "removed"), 2: (True, "removed"), 3: (False, "active"), 4: (True, "removed")}
+    assert after[2]["personal_notes"] == "own\n\nFusionada en propiedad #3 el now" and after[1]["title"] == ""
+    undo = M.undo_record(props, M.merged_state(props, members, merged, "now", ["title", "price"]), ["title", "status", "overrides"]).collect()
+    assert {(u["property_id"], u["field"]) for u in undo} == {(2, "status"), (3, "overrides")}
 
 
 def test_mirrors_do_not_keep_a_property_on_sale(spark):
@@ -68,3 +80,16 @@ def test_mirrors_do_not_keep_a_property_on_sale(spark):
     proposed = df.filter("source_status = 'reserved'").withColumn("status", F.col("source_status"))
     got = {r["listing_id"]: r["final_status"] for r in L.status_policy(df, proposed, ["reserved"], origin=1, mirror=2).collect()}
     assert got == {1: "reserved", 3: "reserved", 5: "active", 7: "active", 9: "reserved"}
+
+
+def test_new_properties_get_the_next_ids_without_gaps(spark):
+    listings = spark.createDataFrame([(1, 10, 5, 100, "u", True, 0, None)], LISTING)
+    props = spark.createDataFrame([(100, "a"), (120, "b"), (90, "b")], "property_id long, fingerprint string")
+    rows = [(1, 10, "zz"), (1, 11, "b"), (2, 1, "new1"), (2, 2, "new1"), (2, 3, "new2"), (2, 4, None), (2, 5, "")] + [(3, i, f"p{i}") for i in range(300)]
+    batch = spark.createDataFrame(rows, "source_id long, external_id long, fingerprint string")
+    got = {(r["source_id"], r["external_id"]): (r["match"], r["property_id"]) for r in L.resolve_batch(batch.repartition(7), listings, props).collect()}
+    assert got == {(r["source_id"], r["external_id"]): (r["match"], r["property_id"]) for r in L.resolve_batch(batch.coalesce(1), listings, props).collect()}
+    assert got[1, 10] == ("listing", 100) and got[1, 11] == ("fingerprint", 90)
+    made = {k: v[1] for k, v in got.items() if v[0] == "created"}
+    assert sorted(set(made.values())) == list(range(121, 121 + 303))
+    assert made[2, 1] == made[2, 2] and made[2, 4] == made[2, 5]
