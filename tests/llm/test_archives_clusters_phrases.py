@@ -131,13 +131,11 @@ def brute_clusters(rows, k, rounds, seed, dims, scale):
     return sorted(repr((i, near(v)[1], near(v)[0])) for i, v in kept) if middle else [], middle
 
 
-@pytest.mark.parametrize(("size", "spread"), [(300, 1.0), (5, 1.0), (200, 2.0**40)])
+@pytest.mark.parametrize(("size", "spread"), [(300, 1.0), (5, 1.0), (200, 3e5)])
 def test_clusters_against_brute_force(spark, monkeypatch, size, spread):
     monkeypatch.setattr(centroids, "BLOCK", 64)
     rng = random.Random(size)
     rows = [(i, [rng.gauss(i % 3, 0.5) * (spread if i % 50 == 7 else 1) for _ in range(6)]) for i in range(size)]
-    if spread > 1:
-        rows = [(i, [x * 1e-4 for x in v]) for i, v in rows]
     rows += [(None, [0.5] * 6), (1, None), (2, [1.0] * 5), (3, []), (4, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (6, [math.nan] * 6), (7, [math.inf] * 6), rows[0], rows[0], (8, [1e300] * 6)]
     frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "vec_id long, embedding array<double>, cluster string, id string").repartition(3)
     got, middle = centroids.clusters(frame, k=4, rounds=3, seed=3, dims=6, scale=1024)
