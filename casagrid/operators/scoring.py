@@ -19,7 +19,8 @@ from casagrid.functions.numbers import (
     weighted_score,
 )
 from casagrid.functions.text import fold_plain
-from casagrid.operators.spatial import best_score_covering, candidates, covering_or_nearest, first_covering, nearest_feature, nearby_points
+from casagrid.operators.geocode import from_cache
+from casagrid.operators.spatial import candidates, covering_or_nearest, first_covering, nearby_points, nearest_feature, pick, radius_pairs
 
 
 def min_max(df: DataFrame, columns: Sequence[str], prefix: str = "n_") -> DataFrame:
@@ -290,20 +291,57 @@ def integrate_layers(zones: DataFrame, layers: Sequence[DataFrame], key: str = "
     return out
 
 
-def score_security(places: DataFrame, zones: DataFrame, points: DataFrame, key: str = "property_id", radius_m: float = 500.0) -> DataFrame:
-    """Best covering zone, its risk and level, and the security points around each property."""
-    zone = best_score_covering(places, zones, key, ["score", "zone", "level"])
-    counts, _near = nearby_points(places, points, key, radius_m)
-    around = counts.groupBy(key).agg(F.sum("n").alias("points_nearby"))
-    out = places.join(zone, key, "left").join(around, key, "left")
-    cover = clamp_score("score")
+def pins_of(places: DataFrame) -> DataFrame:
+    """Distinct pins with ``pin`` as key: a pin that many properties share is looked up once."""
+    spots = places.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).select("latitude", "longitude").distinct()
+    return spots.withColumn("pin", F.struct("latitude", "longitude"))
+
+
+def at_pins(places: DataFrame, *found: DataFrame) -> DataFrame:
+    """``places`` with what was found for their pins; every frame of ``found`` has one row per pin."""
+    out = places
+    for frame in found:
+        plain = frame.select(F.col("pin.latitude").alias("latitude"), F.col("pin.longitude").alias("longitude"), *[c for c in frame.columns if c not in ("pin", "latitude", "longitude")])
+        out = out.join(plain, ["latitude", "longitude"], "left")
+    return out
+
+
+# Fixed value: how far a zone that is only a point reaches.
+POINT_ZONE_M = 250.0
+
+
+def score_security(
+    places: DataFrame, zones: DataFrame, points: DataFrame, key: str = "property_id", radius_m: float = 500.0, point_zones: DataFrame | None = None, facts: Sequence[str] = (), nearest: int = 8
+) -> DataFrame:
+    """Best zone of each property, its risk and level, and the evidence around it.
+
+    Zones are polygons, and points (``point_zones``: feature_idx, zone, score, level, the facts, latitude, longitude) that
+    reach ``POINT_ZONE_M``; the highest score wins, then the earlier feature. Evidence: ``facts`` of the zone,
+    ``points_nearby``, ``points_by_type`` (map; points without a type are ``otro``) and ``nearest`` points, nearest first.
+    Everything is looked up for distinct pins. Nearest points are a rank within the pin whose limit applies before the
+    shuffle, so each task hands on no more than ``nearest`` points of a pin.
+    """
+    pins = pins_of(places)
+    keep = ["feature_idx", "score", "zone", "level", *facts]
+    pairs = candidates(pins, zones).filter("covers").select("pin", *keep)
+    if point_zones is not None:
+        pairs = pairs.unionByName(radius_pairs(pins, point_zones, POINT_ZONE_M).select("pin", *keep))
+    best = pick(pairs, "pin", [F.coalesce(F.col("score"), F.lit(-1.0)), -F.col("feature_idx")], ["score", "zone", "level", *facts], smallest=False)
+    typed = points.withColumn("point_type", F.coalesce(non_empty("point_type"), F.lit("otro")))
+    counts, near = nearby_points(pins, typed, "pin", radius_m, nearest)
+    entries = F.array_sort(F.collect_list(F.struct("point_type", "n")))
+    around = counts.groupBy("pin").agg(F.sum("n").alias("points_nearby"), F.map_from_entries(entries).alias("points_by_type"))
+    out = at_pins(places, best, around, near.select("pin", "nearest"))
     return out.select(
         key,
-        cover.alias("coverage_score"),
+        clamp_score("score").alias("coverage_score"),
         risk_from_coverage("score").alias("risk_score"),
         F.coalesce(non_empty("level"), F.when(F.col("zone").isNotNull(), security_level("score")), F.lit("")).alias("security_level"),
         F.coalesce("zone", F.lit("")).alias("zone_label"),
+        *facts,
         F.coalesce("points_nearby", F.lit(0).cast("bigint")).alias("points_nearby"),
+        "points_by_type",
+        "nearest",
     )
 
 
@@ -316,51 +354,84 @@ def name_match(places: DataFrame, zones: DataFrame, key: str, columns: Sequence[
     return best.select(key, *[F.col(f"_z.{c}").alias(c) for c in keep])
 
 
-def score_location(places: DataFrame, zones: DataFrame, floods: DataFrame, settlements: DataFrame, names: Sequence[str], key: str = "property_id") -> DataFrame:
-    """Zone by coordinates, else by name; exact flood matches and the nearest settlement for placed ones."""
-    keep = ["zone", "score", "level"]
-    by_point = first_covering(places, zones, key, keep).withColumn("match_method", F.lit("coordinates"))
-    rest = places.join(by_point.select(key), key, "left_anti")
-    by_name = name_match(rest, zones, key, names, keep).withColumn("match_method", F.lit("zone"))
-    matched = by_point.unionByName(by_name)
-    flood = candidates(places, floods).filter("covers").groupBy(key).agg(F.max("risk_score").alias("flood_risk"), F.count(F.lit(1)).alias("flood_matches"))
-    near = nearest_feature(places, settlements, key, ["settlement"], 1000.0)
-    on_point = F.col("match_method") == "coordinates"
-    out = places.join(matched, key, "left").join(flood, key, "left").join(near, key, "left")
+def flood_matches(pins: DataFrame, floods: DataFrame, zoned: DataFrame, top: int = 3) -> DataFrame:
+    """Flood areas that cover each pin: their number, greatest risk and the ``top`` by risk.
+
+    Where any flood area is assigned to the zone of the pin (``zoned``: pin, zone), only those of that zone count.
+    """
+    own = fold_plain(F.btrim(F.coalesce("assigned_zone", F.lit(""))))
+    named = floods.filter(own != "").select(own.alias("_zone")).distinct().withColumn("_zoned", F.lit(True))
+    wanted = zoned.select("pin", fold_plain(F.btrim("zone")).alias("_zone")).join(named, "_zone").select("pin", F.col("_zone").alias("_only"))
+    hits = candidates(pins, floods).filter("covers").join(wanted, "pin", "left").filter(F.col("_only").isNull() | (own == F.col("_only")))
+    ranked = hits.withColumn("_rank", F.row_number().over(Window.partitionBy("pin").orderBy(F.desc(F.coalesce("risk_score", F.lit(0.0))), "feature_idx")))
+    listed = ranked.filter(F.col("_rank") <= top).groupBy("pin").agg(F.array_sort(F.collect_list(F.struct("_rank", "feature_idx", "risk_score"))).alias("_l"))
+    totals = hits.groupBy("pin").agg(F.max("risk_score").alias("flood_risk"), F.count(F.lit(1)).alias("flood_matches"))
+    return totals.join(listed.select("pin", F.transform("_l", lambda x: F.struct(x["feature_idx"].alias("feature_idx"), x["risk_score"].alias("risk_score"))).alias("flood_list")), "pin")
+
+
+def score_location(
+    places: DataFrame, zones: DataFrame, floods: DataFrame, settlements: DataFrame, names: Sequence[str], key: str = "property_id", components: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Zone by coordinates, else by name; flood areas and the nearest settlement of those found by coordinates.
+
+    ``components`` names the zone's component scores by result column; each is clamped to 0 to 100. Distinct pins are
+    looked up once in each layer, and floods and settlements only for pins inside a zone.
+    """
+    parts = dict(components or {})
+    keep = ["zone", "score", "level", *parts.values()]
+    zoned = first_covering(pins_of(places), zones, "pin", keep)
+    inside = zoned.select("pin", "pin.latitude", "pin.longitude")
+    flood = flood_matches(inside, floods, zoned)
+    near = nearest_feature(inside, settlements, "pin", ["settlement"], 1000.0)
+    by_point = at_pins(places, zoned.withColumn("match_method", F.lit("coordinates")), flood, near)
+    by_name = name_match(by_point.filter("match_method is null").select(key, *names), zones, key, names, keep).select(key, F.struct(*keep).alias("_named"))
+    out = by_point.join(by_name, key, "left")
+    on_point = F.col("match_method").isNotNull()
+    pick_of = lambda c: F.when(on_point, F.col(c)).otherwise(F.col(f"_named.{c}"))
+    zone = pick_of("zone")
     return out.select(
         key,
-        F.coalesce("match_method", F.lit("")).alias("match_method"),
-        F.coalesce("zone", F.lit("")).alias("zone_name"),
-        clamp_score("score").alias("overall_score"),
-        F.when(F.col("zone").isNotNull(), location_level("score", F.col("level"))).otherwise("").alias("value_level"),
-        F.when(on_point, F.col("flood_risk")).alias("flood_risk"),
-        F.when(on_point, F.col("flood_matches")).alias("flood_matches"),
-        F.when(on_point, F.round("distance_m", 1)).alias("settlement_m"),
-        F.when(on_point, F.col("settlement")).alias("settlement"),
+        F.coalesce("match_method", F.when(F.col("_named").isNotNull(), "zone"), F.lit("")).alias("match_method"),
+        F.coalesce(zone, F.lit("")).alias("zone_name"),
+        clamp_score(pick_of("score")).alias("overall_score"),
+        F.when(zone.isNotNull(), location_level(pick_of("score"), pick_of("level"))).otherwise("").alias("value_level"),
+        *[clamp_score(pick_of(c)).alias(name) for name, c in parts.items()],
+        "flood_risk",
+        "flood_matches",
+        "flood_list",
+        F.round("distance_m", 1).alias("settlement_m"),
+        "settlement",
     )
 
 
-def pick_coordinates(df: DataFrame) -> DataFrame:
-    """Pin, else detected coordinates, else the geocode cache; with the name of the source used."""
+def resolve_coordinates(df: DataFrame, cache: DataFrame) -> DataFrame:
+    """Coordinates of each property by tiers: its pin, what its text told, the first cached one of its ``candidates``.
+
+    Adds coordinate_source, geocode_query and geocoding_status: ``not_needed``, ``no_query``, ``cache_hit`` (the query
+    itself is in the cache), ``cache_applied`` (only a later candidate is) and ``cache_miss``. Only properties without
+    coordinates ask the cache, and each distinct list of candidates asks once.
+    """
     f = F.col
-    source = (
-        F.when(f("latitude").isNotNull(), F.when(f("manually_corrected"), "manual_location").otherwise("location"))
-        .when(f("detected_latitude").isNotNull() & f("detected_longitude").isNotNull(), "detected_coordinates")
-        .when(f("cached_latitude").isNotNull(), "geocode_cache")
-        .otherwise("")
-    )
-    return df.withColumn("coordinate_source", source).withColumns(
-        {
-            "latitude": F.coalesce("latitude", F.when(source == "detected_coordinates", f("detected_latitude")), "cached_latitude"),
-            "longitude": F.coalesce("longitude", F.when(source == "detected_coordinates", f("detected_longitude")), "cached_longitude"),
-        }
+    pinned = f("latitude").isNotNull() & f("longitude").isNotNull()
+    told = f("detected_latitude").isNotNull() & f("detected_longitude").isNotNull()
+    asked = df.filter(~pinned & ~told & (F.size("candidates") > 0)).select("candidates").distinct()
+    found = from_cache(asked, cache, "candidates").select("candidates", f("latitude").alias("_lat"), f("longitude").alias("_lon"), f("query").alias("_query"))
+    first = asked.withColumn("query", f("candidates")[0]).join(cache.select("query").distinct(), "query", "left_semi").select("candidates", F.lit(True).alias("_known"))
+    out = df.join(found, "candidates", "left").join(first, "candidates", "left")
+    cached = ~pinned & ~told & f("_lat").isNotNull()
+    source = F.when(pinned, F.when(F.coalesce("manually_corrected", F.lit(False)), "manual_location").otherwise("location")).when(told, "detected_coordinates").when(cached, "geocode_cache").otherwise("")
+    status = (
+        F.when(pinned | told, "not_needed").when(F.coalesce(F.size("candidates"), F.lit(0)) < 1, "no_query").when(~cached, "cache_miss").when(f("_known"), "cache_hit").otherwise("cache_applied")
     )
+    lat = F.when(pinned, f("latitude")).when(told, f("detected_latitude")).when(cached, f("_lat"))
+    lon = F.when(pinned, f("longitude")).when(told, f("detected_longitude")).when(cached, f("_lon"))
+    return out.withColumns({"coordinate_source": source, "geocoding_status": status, "geocode_query": F.when(cached, f("_query")), "latitude": lat, "longitude": lon}).drop("_lat", "_lon", "_query", "_known")
 
 
 def infer_zone(df: DataFrame, zones: DataFrame, max_m: float = 800.0, key: str = "property_id") -> DataFrame:
-    """Zone by polygon, else nearest within the limit; ``df`` carries coordinates, their source and source_zone."""
-    hit = covering_or_nearest(df.select(key, "latitude", "longitude"), zones, key, ["zone"], max_m)
-    out = df.join(hit, key, "left")
+    """Zone by polygon, else nearest within the limit; ``df`` carries what :func:`resolve_coordinates` gives and source_zone."""
+    hit = covering_or_nearest(pins_of(df), zones, "pin", ["zone"], max_m)
+    out = at_pins(df, hit)
     method = (
         F.when(F.col("latitude").isNull(), "no_coordinates")
         .when(F.col("zone").isNull(), F.concat(F.col("coordinate_source"), F.lit("_no_match")))
@@ -374,6 +445,9 @@ def infer_zone(df: DataFrame, zones: DataFrame, max_m: float = 800.0, key: str =
         F.round("distance_m", 2).alias("distance_m"),
         ((F.coalesce("source_zone", F.lit("")) != "") & (zone != "") & (F.col("source_zone") != zone)).alias("zone_conflict"),
         F.col("zone").isNull().alias("needs_review"),
+        "coordinate_source",
+        "geocoding_status",
+        "geocode_query",
     )
 
 
@@ -391,39 +465,44 @@ def zone_report(inferred: DataFrame) -> DataFrame:
     )
 
 
-def infer_territory(df: DataFrame, municipalities: DataFrame, localities: DataFrame, zones: DataFrame, key: str = "property_id") -> DataFrame:
-    """Municipality, locality and zone in one pass with the confidence of the finest level found."""
-    keep = ["zone", "confidence", "needs_manual_review"]
-    points = df.select(key, "latitude", "longitude")
-    levels = {}
+def infer_territory(df: DataFrame, municipalities: DataFrame, localities: DataFrame, zones: DataFrame, key: str = "property_id", near_m: float = 2000.0) -> DataFrame:
+    """Municipality, locality and zone of each property, with confidence and method of the finest level found.
+
+    Each layer carries zone, confidence, source_method and needs_manual_review. ``review_reasons`` lists why a row needs
+    review; the nearest zone, a hint for the reviewer, is looked for within ``near_m``.
+    """
+    keep = ["zone", "confidence", "source_method", "needs_manual_review"]
+    pins = pins_of(df)
+    found = []
     for name, layer in (("p", municipalities), ("l", localities), ("z", zones)):
-        hit = first_covering(points, layer, key, keep)
-        levels[name] = hit.select(key, *[F.col(c).alias(f"{name}_{c}") for c in keep])
-    out = df.join(levels["p"], key, "left").join(levels["l"], key, "left").join(levels["z"], key, "left")
+        hit = first_covering(pins, layer, "pin", keep)
+        found.append(hit.select("pin", *[F.col(c).alias(f"{name}_{c}") for c in keep]))
+    near = nearest_feature(pins, zones, "pin", ["zone"], near_m).select("pin", F.col("zone").alias("nearest_zone"), F.col("distance_m").alias("nearest_m"))
+    out = at_pins(df, *found, near)
     f = F.col
 
-    def conflict(source: str, found: str) -> Column:
-        a, b = F.coalesce(f(source), F.lit("")), F.coalesce(f(found), F.lit(""))
+    def conflict(source: str, name: str) -> Column:
+        a, b = F.coalesce(f(source), F.lit("")), F.coalesce(f(name), F.lit(""))
         return (a != "") & (b != "") & (a != b)
 
-    review = (
-        f("p_zone").isNull()
-        | f("l_zone").isNull()
-        | f("z_zone").isNull()
-        | F.coalesce(f("z_needs_manual_review"), F.lit(False))
-        | conflict("source_zone", "z_zone")
-        | conflict("source_locality", "l_zone")
-    )
+    # Fixed order of the reasons.
+    reasons = {
+        "no_municipality": f("p_zone").isNull(), "no_locality": f("l_zone").isNull(), "no_zone": f("z_zone").isNull(), "manual_review": F.coalesce(f("z_needs_manual_review"), F.lit(False)),
+        "zone_conflict": conflict("source_zone", "z_zone"), "locality_conflict": conflict("source_locality", "l_zone"),
+    }
+    why = F.when(f("latitude").isNull() | f("longitude").isNull(), F.array(F.lit("no_coordinates"))).otherwise(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in reasons.items()])))
+    finest = lambda c: F.when(f("z_zone").isNotNull(), f(f"z_{c}")).when(f("l_zone").isNotNull(), f(f"l_{c}")).otherwise(F.coalesce(f"p_{c}", F.lit("")))
     return out.select(
         key,
         F.coalesce("p_zone", F.lit("")).alias("municipality"),
         F.coalesce("l_zone", F.lit("")).alias("locality"),
         F.coalesce("z_zone", F.lit("")).alias("zone"),
-        F.when(f("z_zone").isNotNull(), f("z_confidence"))
-        .when(f("l_zone").isNotNull(), f("l_confidence"))
-        .otherwise(F.coalesce("p_confidence", F.lit("")))
-        .alias("confidence"),
-        review.alias("needs_review"),
+        finest("confidence").alias("confidence"),
+        finest("source_method").alias("source_method"),
+        (F.size(why) > 0).alias("needs_review"),
+        why.alias("review_reasons"),
+        "nearest_zone",
+        F.round("nearest_m", 2).alias("nearest_m"),
     )
 
 

@@ -8,7 +8,7 @@ from casagrid.functions.numbers import round_stat
 from casagrid.operators import geocode as G
 from casagrid.operators import incidents as I
 from casagrid.operators import lifecycle as L
-from casagrid.plans.inputs import rnd, view
+from casagrid.plans.inputs import CACHE, rnd, view
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
 
@@ -180,15 +180,6 @@ def alias_merge(spark, folder):
     return L.keep_first(rows.unionByName(extra), ["alias"], ["origin"])
 
 
-CACHE = [
-    ("concat('calle ', cast(c_custkey%60 as string))", "query"),
-    ("case when c_custkey%60%4=0 then null else -3.46e1 - cast(c_custkey%60 as double)*2e-3 end", "latitude"),
-    ("case when c_custkey%60%4=0 then null else -5.865e1 end", "longitude"),
-    ("5e-1", "confidence"),
-]
-shared("v_cache", "select " + ", ".join(f"{e} as {n}" for e, n in CACHE) + " from customer")
-
-
 @query(
     "geocode_cache_hits",
     "J20,F21,F25",

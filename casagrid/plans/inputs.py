@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from casagrid.functions.quality import curate
 from casagrid.operators.search import join_base
 from casagrid.plans.registry import shared
-from casagrid.sources.projections import projection
+from casagrid.sources.projections import projection, table
 from casagrid.sources.tables import spread, stored
 
 
@@ -97,3 +97,33 @@ shared(
           from ranged)""",
     "ranged",
 )
+
+K = "p_partkey"
+MORE = [
+    (K, "property_id"),
+    (f"case when {K}%4=0 then null else cast({K}%3 as int) end", "toilets"),
+    (f"case when {K}%3=0 then null else cast(p_size*3 as decimal(10,2)) end", "uncovered_area"),
+    (f"case when {K}%5=0 then null else cast(p_size*2 as decimal(10,2)) end", "semicovered_area"),
+    (f"case when {K}%6=0 then null else cast(8+{K}%7 as decimal(8,2)) end", "front_width"),
+    (f"case when {K}%7=0 then null else cast(20+{K}%30 as decimal(8,2)) end", "lot_depth"),
+    (f"case when {K}%9=0 then cast(1+{K}%3 as int) else null end", "building_floors"),
+    (f"case when {K}%8=0 then '' else concat('f', cast({K}%8 as string)) end", "features"),
+    (f"case when {K}%16=0 or {K}%5=1 then -3.461e1 - cast({K}%50 as double)/1e3 else null end", "detected_latitude"),
+    (f"case when {K}%16=0 or {K}%5=1 then -5.863e1 - cast({K}%40 as double)/1e3 else null end", "detected_longitude"),
+    (f"case when {K}%8=0 then '' else 'location_polygon' end", "inferred_neighborhood_method"),
+    (f"case when {K}%3=0 then null else cast({K}%400 as double) end", "inferred_neighborhood_distance_m"),
+    (f"case when {K}%10<4 then '' else concat('e', cast({K}%10 as string)) end", "location_evidence"),
+]
+shared("v_more", "select " + ", ".join(f"{e} as {n}" for e, n in MORE) + " from part")
+
+
+def more_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").selectExpr(*[f"{e} as {n}" for e, n in MORE])
+
+CACHE = [
+    ("concat('calle ', cast(c_custkey%60 as string))", "query"),
+    ("case when c_custkey%60%4=0 then null else -3.46e1 - cast(c_custkey%60 as double)*2e-3 end", "latitude"),
+    ("case when c_custkey%60%4=0 then null else -5.865e1 end", "longitude"),
+    ("5e-1", "confidence"),
+]
+shared("v_cache", "select " + ", ".join(f"{e} as {n}" for e, n in CACHE) + " from customer")

@@ -8,41 +8,21 @@ from casagrid.functions import address as A
 from casagrid.operators import lifecycle as L
 from casagrid.operators import merge as M
 from casagrid.operators import repair as R
-from casagrid.plans.inputs import base, listings, view
+from casagrid.plans.inputs import base, listings, more_columns, view
 from casagrid.plans.lifecycle_queries import _COMP, _REACH, identities, mirrors, runs
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
 
-K = "p_partkey"
-MORE = [
-    (K, "property_id"),
-    (f"case when {K}%4=0 then null else cast({K}%3 as int) end", "toilets"),
-    (f"case when {K}%3=0 then null else cast(p_size*3 as decimal(10,2)) end", "uncovered_area"),
-    (f"case when {K}%5=0 then null else cast(p_size*2 as decimal(10,2)) end", "semicovered_area"),
-    (f"case when {K}%6=0 then null else cast(8+{K}%7 as decimal(8,2)) end", "front_width"),
-    (f"case when {K}%7=0 then null else cast(20+{K}%30 as decimal(8,2)) end", "lot_depth"),
-    (f"case when {K}%9=0 then cast(1+{K}%3 as int) else null end", "building_floors"),
-    (f"case when {K}%8=0 then '' else concat('f', cast({K}%8 as string)) end", "features"),
-    (f"case when {K}%8=0 or {K}%5=1 then -3.461e1 - cast({K}%50 as double)/1e3 else null end", "detected_latitude"),
-    (f"case when {K}%8=0 or {K}%5=1 then -5.863e1 - cast({K}%40 as double)/1e3 else null end", "detected_longitude"),
-    (f"case when {K}%8=0 then '' else 'location_polygon' end", "inferred_neighborhood_method"),
-    (f"case when {K}%3=0 then null else cast({K}%400 as double) end", "inferred_neighborhood_distance_m"),
-    (f"case when {K}%10<4 then '' else concat('e', cast({K}%10 as string)) end", "location_evidence"),
-]
+shared("full_property", "select * from base join v_more using (property_id)", "base", "v_more")
 
 
 def _sel(exprs) -> str:
     return ", ".join(f"{e} as {n}" for e, n in exprs)
 
 
-shared("v_more", f"select {_sel(MORE)} from part")
-shared("full_property", "select * from base join v_more using (property_id)", "base", "v_more")
-
-
 def full_properties(spark, folder):
     """Every column that a merge, a rollback or a repair may change."""
-    more = table(spark, folder, "part").selectExpr(*[f"{e} as {n}" for e, n in MORE])
-    rows = base(spark, folder).join(more, "property_id")
+    rows = base(spark, folder).join(more_columns(spark, folder), "property_id")
     return rows.withColumn("overrides", F.when(F.col("override_field") != "", F.array("override_field")).otherwise(F.array().cast("array<string>")))
 
 

@@ -9,7 +9,7 @@ from casagrid.operators import scoring as Z
 from casagrid.operators import search as S
 from casagrid.operators import spatial as G
 from casagrid.operators.quantiles import summarize
-from casagrid.plans.inputs import base, curated, rnd, view
+from casagrid.plans.inputs import CACHE, base, curated, more_columns, rnd, view
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
 from casagrid.sources.tables import spread, stored
@@ -30,6 +30,11 @@ ZONE = [
     (f"{IDX}%7=3", "needs_manual_review"),
     (f"{IDX}%4=1", "has_hole"),
     (f"cast({IDX}%10+1 as double)/2e0", "area_km2"),
+    (f"concat('m', cast({IDX}%3 as string))", "source_method"),
+    (f"concat('fuente ', cast({IDX}%4 as string))", "source"),
+    (f"case when {IDX}%5=0 then null else {IDX}*3 end", "camera_count"),
+    (f"case when {IDX}%4=2 then null else cast(({IDX}*17)%130 as double) end", "transport"),
+    (f"case when {IDX}%7=1 then null else cast(({IDX}*23)%110-5 as double) end", "health"),
 ]
 SETTLE = [
     ("s_suppkey", "feature_idx"),
@@ -37,6 +42,7 @@ SETTLE = [
     ("cast((s_suppkey%5)*25 as double)", "risk_score"),
     ("cast(100+(s_suppkey%4)*100 as double)", "radius_m"),
     ("case when s_suppkey%5=2 then null else cast((s_suppkey%3)*30 as double) end", "score"),
+    ("case when s_suppkey%2=0 then concat('zona ', cast(cast(floor((s_suppkey*619)%1000*1.1e-4/2.2e-2)*5+floor((s_suppkey*389)%1000*1e-4/1.8e-2) as int) as string)) else '' end", "assigned_zone"),
     ("-3.4659947e1 + cast((s_suppkey*619)%1000 as double)*1.1e-4", "latitude"),
     ("-5.8699953e1 + cast((s_suppkey*389)%1000 as double)*1e-4", "longitude"),
 ]
@@ -54,6 +60,8 @@ def _cols(exprs) -> str:
 
 shared("v_zone", f"select {_cols(ZONE)} from (select a.r_regionkey as r, b.r_regionkey as c from region a cross join region b)")
 shared("v_wide", "select * replace (south-6.03e-3 as south, north+6.03e-3 as north, west-6.03e-3 as west, east+6.03e-3 as east) from v_zone", "v_zone")
+shared("v_strip", "select r_regionkey as feature_idx, concat('Partido ', r_regionkey) as zone, -3.4665e1+r_regionkey*2.2e-2 as south, -3.4665e1+(r_regionkey+1)*2.2e-2 as north, -5.8705e1 as west, -5.8610e1 as east, 'low' as confidence, 'strip' as source_method, false as needs_manual_review from region where r_regionkey<4")
+shared("v_column", "select r_regionkey as feature_idx, case r_regionkey when 0 then 'Hurlingham' when 1 then 'Villa Tesei' when 2 then 'William C. Morris' else concat('Localidad ', r_regionkey) end as zone, -3.4665e1 as south, -3.4550e1 as north, -5.870503e1+r_regionkey*1.9e-2 as west, -5.870503e1+(r_regionkey+1)*1.9e-2 as east, 'medium' as confidence, 'column' as source_method, false as needs_manual_review from region where r_regionkey<>3")
 shared("v_settle", f"select *, latitude-8.03e-4 as south, latitude+8.03e-4 as north, longitude-8.03e-4 as west, longitude+8.03e-4 as east from (select {_cols(SETTLE)} from supplier)")
 shared("v_secpoint", f"select {_cols(SECPOINT)} from customer")
 
@@ -275,86 +283,150 @@ def camera_lattice_coverage(spark, folder):
     return df.withColumn("coverage_pct", round_stat("coverage_pct", 4))
 
 
+_CANDIDATES = "array(concat('calle ', cast(p_partkey%100 as string)), concat('calle ', cast((p_partkey+1)%100 as string)), concat('calle ', cast((p_partkey*7)%100 as string)))"
+shared(
+    "v_resolved",
+    """with a as (select p_partkey as property_id, case when p_partkey%7<>0 then [concat('calle ', p_partkey%100), concat('calle ', (p_partkey+1)%100), concat('calle ', (p_partkey*7)%100)] else [] end as cs from part),
+      b as (select l.property_id, cs, l.latitude as la, l.longitude as lo, manually_corrected as mc, detected_latitude as dla, detected_longitude as dlo, neighborhood as source_zone from base l join v_more using (property_id) join a using (property_id)),
+      h as (select property_id, min((pos, q, c.latitude, c.longitude)) as h from (select property_id, unnest(cs) as q, generate_subscripts(cs,1) as pos from b where la is null and dla is null) join v_cache c on c.query=q and c.latitude is not null group by 1)
+      select property_id, source_zone, coalesce(la, dla, h[3]) as latitude, coalesce(lo, dlo, h[4]) as longitude, case when la is not null then case when mc then 'manual_location' else 'location' end when dla is not null then 'detected_coordinates' when h is not null then 'geocode_cache' else '' end as src,
+        case when la is not null or dla is not null then 'not_needed' when len(cs)=0 then 'no_query' when h is null then 'cache_miss' when cs[1] in (select query from v_cache) then 'cache_hit' else 'cache_applied' end as status, h[2] as geocode_query from b left join h using (property_id)""",
+    "base",
+    "v_more",
+    "v_cache",
+)
+shared(
+    "v_inferred",
+    f"""select *, case when latitude is null then 'no_coordinates' when zone is null then concat(src,'_no_match') else concat(src,'_',match) end as method from v_resolved left join (select property_id, zone, match, distance_m from (select *, row_number() over (partition by property_id order by kind, distance_m, feature_idx) as rn from
+        (select property_id, feature_idx, zone, case when {IN_BOX} and not {IN_HOLE} then 0 else 1 end as kind, case when {IN_BOX} and not {IN_HOLE} then 'polygon' else 'nearest' end as match,
+           {BOX_GAP} as distance_m from v_resolved, v_zone where latitude is not null) where kind = 0 or distance_m <= 800) where rn = 1) using (property_id)""",
+    "v_resolved",
+    "v_zone",
+)
+
+
 @query(
     "infer_zone",
-    "G7",
-    oracle=f"""select l.property_id, coalesce(z.zone,'') as inferred_zone, case when latitude is null then 'no_coordinates' when z.zone is null then concat(src,'_no_match') else concat(src,'_',match) end as method,
-      {rnd('distance_m')} as distance_m, (neighborhood<>'' and coalesce(z.zone,'')<>'' and neighborhood<>coalesce(z.zone,'')) as zone_conflict, z.zone is null as needs_review
-      from (select *, case when manually_corrected then 'manual_location' else 'location' end as src from base) l left join zone_or_near z using (property_id)""",
-    uses=("base", "zone_or_near"),
+    "G7,J20",
+    oracle=f"""select property_id, coalesce(zone,'') as inferred_zone, method, {rnd('distance_m')} as distance_m, (source_zone<>'' and coalesce(zone,'')<>'' and source_zone<>coalesce(zone,'')) as zone_conflict, zone is null as needs_review,
+      src as coordinate_source, status as geocoding_status, geocode_query from v_inferred""",
+    uses=("v_inferred",),
 )
 def infer_zone(spark, folder):
     return _inferred(spark, folder).withColumn("distance_m", round_stat("distance_m"))
 
 
 def _inferred(spark, folder):
-    df = base(spark, folder).withColumn("source_zone", F.col("neighborhood"))
-    for c in ("detected_latitude", "detected_longitude", "cached_latitude", "cached_longitude"):
-        df = df.withColumn(c, F.lit(None).cast("double"))
-    cols = ("property_id", "source_zone", "latitude", "longitude", "coordinate_source")
-    return Z.infer_zone(spread(Z.pick_coordinates(df).select(*cols)), layer(zones(spark, folder)).select("feature_idx", "zone", "rings"))
+    asked = table(spark, folder, "part").selectExpr("p_partkey as property_id", f"case when p_partkey%7<>0 then {_CANDIDATES} else cast(array() as array<string>) end as candidates")
+    df = base(spark, folder).withColumn("source_zone", F.col("neighborhood")).join(more_columns(spark, folder), "property_id").join(asked, "property_id")
+    cols = ("property_id", "source_zone", "latitude", "longitude", "manually_corrected", "detected_latitude", "detected_longitude", "candidates")
+    found = Z.resolve_coordinates(df.select(*cols), table(spark, folder, "customer").selectExpr(*[f"{e} as {n}" for e, n in CACHE]))
+    return Z.infer_zone(found, layer(zones(spark, folder)).select("feature_idx", "zone", "rings"))
 
 
 @query(
     "zone_inference_report",
     "A32",
-    oracle="""select count(*) as processed, count(z.zone) as inferred, count(*) filter (match='polygon') as strict_polygon, count(*) filter (match='nearest') as nearest_fallback,
-      count(*) filter (neighborhood<>'' and z.zone<>'' and neighborhood<>z.zone) as conflicts, count(*) filter (z.zone is null) as needs_review, count(*) filter (latitude is null) as no_data, 0 as from_cache
-      from base left join zone_or_near z using (property_id)""",
-    uses=("base", "zone_or_near"),
+    oracle="""select count(*) as processed, count(zone) as inferred, count(*) filter (match='polygon') as strict_polygon, count(*) filter (match='nearest') as nearest_fallback,
+      count(*) filter (source_zone<>'' and zone<>'' and source_zone<>zone) as conflicts, count(*) filter (zone is null) as needs_review, count(*) filter (latitude is null) as no_data, count(*) filter (src='geocode_cache') as from_cache
+      from v_inferred""",
+    uses=("v_inferred",),
 )
 def zone_inference_report(spark, folder):
     return Z.zone_report(_inferred(spark, folder))
 
 
+def _boxes(spark, folder, name: str):
+    """Municipalities (strips) and localities (columns), with a gap in either layer."""
+    r = "r_regionkey"
+    df = table(spark, folder, "region").filter(f"{r} < 4" if name == "strip" else f"{r} <> 3")
+    if name == "strip":
+        df = df.selectExpr(f"{r} as feature_idx", f"concat('Partido ', cast({r} as string)) as zone", f"-3.4665e1+{r}*2.2e-2 as south", f"-3.4665e1+({r}+1)*2.2e-2 as north", "-5.8705e1 as west", "-5.8610e1 as east", "'low' as confidence")
+    else:
+        label = f"case {r} when 0 then 'Hurlingham' when 1 then 'Villa Tesei' when 2 then 'William C. Morris' else concat('Localidad ', cast({r} as string)) end as zone"
+        df = df.selectExpr(f"{r} as feature_idx", label, "-3.4665e1 as south", "-3.4550e1 as north", f"-5.870503e1+{r}*1.9e-2 as west", f"-5.870503e1+({r}+1)*1.9e-2 as east", "'medium' as confidence")
+    return layer(_ring(df.withColumns({"source_method": F.lit(name), "needs_manual_review": F.lit(False)})))
+
+
+def _first(name: str, source: str, test: str) -> str:
+    return f"{name} as (select property_id, zone, confidence, source_method, needs_manual_review from (select *, row_number() over (partition by property_id order by feature_idx) as rn from v_location, {source} where {test}) where rn=1)"
+
+
 @query(
     "infer_territory",
     "G8",
-    oracle=f"""with z as (select property_id, zone, confidence, needs_manual_review from first_zone join v_zone using (feature_idx)),
-      w as (select property_id, zone, confidence from (select property_id, zone, confidence, row_number() over (partition by property_id order by feature_idx) as rn from v_location, v_wide where {IN_BOX}) where rn=1)
-      select b.property_id, coalesce(w.zone,'') as municipality, coalesce(w.zone,'') as locality, coalesce(z.zone,'') as zone, coalesce(z.confidence, w.confidence, '') as confidence,
-        w.zone is null or z.zone is null or coalesce(needs_manual_review,false) or (neighborhood<>'' and coalesce(z.zone,'')<>'' and neighborhood<>z.zone) or (b.locality<>'' and coalesce(w.zone,'')<>'' and b.locality<>w.zone) as needs_review
-      from base b left join z using (property_id) left join w using (property_id)""",
-    uses=("base", "first_zone", "v_wide"),
+    oracle=f"""with {_first('p', 'v_strip', IN_BOX)}, {_first('l', 'v_column', IN_BOX)}, {_first('z', 'v_zone', f'{IN_BOX} and not {IN_HOLE}')},
+      n as (select property_id, zone, d from (select property_id, zone, {BOX_GAP} as d, row_number() over (partition by property_id order by {BOX_GAP}, feature_idx) as rn from v_location, v_zone where latitude is not null and {BOX_GAP} <= 2000) where rn=1),
+      j as (select b.*, p.zone as pz, l.zone as lz, z.zone as zz, coalesce(case when z.zone is not null then z.confidence when l.zone is not null then l.confidence else p.confidence end, '') as conf, coalesce(case when z.zone is not null then z.source_method when l.zone is not null then l.source_method else p.source_method end, '') as sm, z.needs_manual_review as mr, n.zone as nz, n.d
+        from base b left join p using (property_id) left join l using (property_id) left join z using (property_id) left join n using (property_id)),
+      w as (select *, case when latitude is null then 'no_coordinates' else concat_ws(',', case when pz is null then 'no_municipality' end, case when lz is null then 'no_locality' end, case when zz is null then 'no_zone' end, case when mr then 'manual_review' end,
+        case when neighborhood<>'' and zz<>'' and neighborhood<>zz then 'zone_conflict' end, case when locality<>'' and lz<>'' and locality<>lz then 'locality_conflict' end) end as reasons from j)
+      select property_id, coalesce(pz,'') as municipality, coalesce(lz,'') as locality, coalesce(zz,'') as zone, conf as confidence, sm as source_method, reasons<>'' as needs_review, reasons as review_reasons, nz as nearest_zone, {rnd('d')} as nearest_m from w""",
+    uses=("base", "v_location", "v_strip", "v_column", "v_zone"),
 )
 def infer_territory(spark, folder):
     df = base(spark, folder).select("property_id", "latitude", "longitude", F.col("neighborhood").alias("source_zone"), F.col("locality").alias("source_locality"))
-    df = spread(df)
-    wide = layer(zones(spark, folder, True)).select("feature_idx", "zone", "confidence", "needs_manual_review", "rings")
-    return Z.infer_territory(df, wide, wide, layer(zones(spark, folder)).select("feature_idx", "zone", "confidence", "needs_manual_review", "rings"))
+    fine = layer(zones(spark, folder)).select("feature_idx", "zone", "confidence", "source_method", "needs_manual_review", "rings")
+    out = Z.infer_territory(df, _boxes(spark, folder, "strip"), _boxes(spark, folder, "column"), fine)
+    return out.withColumns({"review_reasons": F.array_join("review_reasons", ","), "nearest_m": round_stat("nearest_m")})
+
+
+# Zones that are only a point, above the polygons in number: every third settlement.
+_POINT_ZONE = "select feature_idx+100 as feature_idx, settlement as zone, score, case when feature_idx%4=0 then 'punto' else '' end as level, 'punto' as source, cast(null as bigint) as camera_count, latitude, longitude from v_settle where feature_idx%3=0"
 
 
 @query(
     "score_security",
     "G9,L26",
-    oracle=f"""with b as (select * from (select property_id, zone, score, level, row_number() over (partition by property_id order by coalesce(score,-1) desc, feature_idx) as rn from v_location, v_wide where {IN_BOX}) where rn=1),
-      n as (select property_id, count(*) as k from near_points group by 1)
+    oracle=f"""with m as (select property_id, feature_idx, zone, score, level, source, camera_count from v_location, v_wide where {IN_BOX} union all select property_id, feature_idx, zone, score, level, source, camera_count from v_location l, ({_POINT_ZONE}) s where {hav('l.latitude','l.longitude','s.latitude','s.longitude')} <= 250),
+      b as (select * from (select *, row_number() over (partition by property_id order by coalesce(score,-1) desc, feature_idx) as rn from m) where rn=1),
+      t as (select property_id, point_type, count(*) as n from near_points group by 1,2), c as (select property_id, sum(n)::bigint as k, string_agg(concat(point_type,':',n), ',' order by point_type) as by_type from t group by 1),
+      e as (select property_id, string_agg(concat(dist,':',point_id), ',' order by dist, point_id) as nearest from (select *, row_number() over (partition by property_id order by dist, point_id) as rn from near_points) where rn<=8 group by 1)
       select property_id, score as coverage_score, 100-score as risk_score, case when zone is null then '' when level<>'' then level when score is null then '' when score>=65 then 'alta' when score>=45 then 'media' else 'baja' end as security_level,
-        coalesce(zone,'') as zone_label, coalesce(k,0) as points_nearby from v_location left join b using (property_id) left join n using (property_id)""",
-    uses=("v_location", "v_wide", "near_points"),
+        coalesce(zone,'') as zone_label, source, camera_count, coalesce(k,0) as points_nearby, by_type as points_by_type, nearest from v_location left join b using (property_id) left join c using (property_id) left join e using (property_id)""",
+    uses=("v_location", "v_wide", "v_settle", "near_points"),
 )
 def score_security(spark, folder):
-    return Z.score_security(located(spark, folder), layer(zones(spark, folder, True)), secpoints(spark, folder))
+    points = settlements(spark, folder).filter("feature_idx % 3 = 0").selectExpr(
+        "feature_idx + 100 as feature_idx", "settlement as zone", "score", "case when feature_idx%4=0 then 'punto' else '' end as level", "'punto' as source", "cast(null as bigint) as camera_count", "latitude", "longitude"
+    )
+    places = view(spark, folder, "v_location").select("property_id", "latitude", "longitude")
+    out = Z.score_security(places, layer(zones(spark, folder, True)), secpoints(spark, folder), point_zones=points, facts=["source", "camera_count"])
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("points_by_type")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    near = F.array_join(F.transform("nearest", lambda s: F.concat(s["dist"].cast("string"), F.lit(":"), s["point_id"].cast("string"))), ",")
+    return out.withColumns({"points_by_type": kinds, "nearest": near})
+
+
+_COMPONENTS = {"transport_score": "transport", "health_score": "health"}
+
+
+def _clamped(c: str) -> str:
+    return f"case when {c} is not null then greatest(0.0, least(100.0, {c})) end"
 
 
 @query(
     "score_location",
     "G10,L26",
-    oracle=f"""with pt as (select property_id, zone, score, level from first_zone join v_zone using (feature_idx)),
-      nm as (select property_id, zone, score, level from (select p.property_id, min(feature_idx) as feature_idx from v_property p join v_zone z on lower(z.zone) in (lower(p.detected_neighborhood), lower(p.inferred_neighborhood), lower(p.locality)) group by 1) join v_zone using (feature_idx)),
+    oracle=f"""with pt as (select property_id, z.* from first_zone join v_zone z using (feature_idx)),
+      nm as (select property_id, z.* from (select p.property_id, min(feature_idx) as feature_idx from v_property p join v_zone z on lower(z.zone) in (lower(p.detected_neighborhood), lower(p.inferred_neighborhood), lower(p.locality)) group by 1) join v_zone z using (feature_idx)),
       m as (select *, 'coordinates' as method from pt union all select *, 'zone' from nm where property_id not in (select property_id from pt)),
-      f as (select property_id, max(risk_score) as flood_risk, count(*) as k from v_location l, v_settle where {IN_BOX.replace('latitude', 'l.latitude').replace('longitude', 'l.longitude')} group by 1)
+      h as (select l.property_id, s.feature_idx, risk_score from v_location l join pt on pt.property_id=l.property_id, v_settle s where {IN_BOX.replace('latitude', 'l.latitude').replace('longitude', 'l.longitude').replace('south', 's.south').replace('north', 's.north').replace('west', 's.west').replace('east', 's.east')}
+        and (lower(pt.zone) not in (select assigned_zone from v_settle) or s.assigned_zone=lower(pt.zone))),
+      f as (select property_id, max(risk_score) as flood_risk, count(*) as k, string_agg(concat(feature_idx, ':', risk_score::int), ',' order by risk_score desc, feature_idx) filter (rn<=3) as l from (select *, row_number() over (partition by property_id order by risk_score desc, feature_idx) as rn from h) group by 1)
       select b.property_id, coalesce(method,'') as match_method, coalesce(m.zone,'') as zone_name, m.score as overall_score, case when m.zone is null then '' when m.level<>'' then m.level when m.score is null then '' when m.score>=70 then 'alta' when m.score>=60 then 'media_alta' when m.score>=45 then 'media' else 'baja' end as value_level,
-        case when method='coordinates' then flood_risk end as flood_risk, case when method='coordinates' then k end as flood_matches, case when method='coordinates' then {rnd('distance_m',1)} end as settlement_m, case when method='coordinates' then settlement end as settlement
+        {_clamped('m.transport')} as transport_score, {_clamped('m.health')} as health_score, flood_risk, k as flood_matches, l as flood_list,
+        case when method='coordinates' then {rnd('distance_m',1)} end as settlement_m, case when method='coordinates' then settlement end as settlement
       from v_property b left join m using (property_id) left join f using (property_id) left join near_settle using (property_id)""",
     uses=("v_property", "first_zone", "near_settle"),
 )
 def score_location(spark, folder):
     df = base(spark, folder).select("property_id", "latitude", "longitude", "detected_neighborhood", "inferred_neighborhood", "locality")
-    df = spread(df)
     s = area_layer(settlements(spark, folder))
-    out = Z.score_location(df, layer(zones(spark, folder)), s.select("feature_idx", "risk_score", "rings"), s.select("feature_idx", "settlement", "rings"), ["detected_neighborhood", "inferred_neighborhood", "locality"])
-    return out.withColumn("settlement_m", round_stat("settlement_m", 1))
+    names = ["detected_neighborhood", "inferred_neighborhood", "locality"]
+    floods, settled = s.select("feature_idx", "risk_score", "assigned_zone", "rings"), s.select("feature_idx", "settlement", "rings")
+    out = Z.score_location(df, layer(zones(spark, folder)), floods, settled, names, components=_COMPONENTS)
+    listed = F.array_join(F.transform("flood_list", lambda x: F.concat(x["feature_idx"].cast("string"), F.lit(":"), x["risk_score"].cast("int").cast("string"))), ",")
+    return out.withColumns({"settlement_m": round_stat("settlement_m", 1), "flood_list": listed})
 
 
 @query(
