@@ -292,6 +292,13 @@ def _chosen(packed: DataFrame, least: int) -> DataFrame:
     return packed.join(few, key).select(*names).unionByName(rest.select(*names))
 
 
+def _sample(pages: DataFrame) -> list[bytes]:
+    """Starts of at most ``SAMPLE_ROWS`` pages with the smallest hashes; the hashes are found first, without the texts."""
+    keyed = pages.filter("html <> ''").select(F.xxhash64("id", "uri").alias("order"), F.substring("html", 1, SAMPLE_CHARS).alias("html"))
+    last = keyed.select("order").orderBy("order").limit(SAMPLE_ROWS).agg(F.max("order")).first()[0]
+    return sorted(r.html.encode() for r in keyed.filter(F.col("order") <= F.lit(last)).limit(SAMPLE_ROWS).collect()) if last is not None else []
+
+
 def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = NO_DATE, level: int = 3, id: str = "page_id", uri: str = "url", html: str = "html") -> None:
     """A record for each page in ``.warc.zst`` archives of about ``ARCHIVE_BYTES`` below ``path``.
 
@@ -303,9 +310,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, date: str = NO_D
     """
     spark = pages.sparkSession
     slim = pages.select(F.col(id).cast("long").alias("id"), F.col(uri).alias("uri"), F.col(html).alias("html"))
-    order = F.xxhash64("id", "uri")
-    sample = slim.select(order.alias("order"), F.substring("html", 1, SAMPLE_CHARS).alias("html")).filter("html <> ''").orderBy("order", "html").limit(SAMPLE_ROWS)
-    dictionary = trained([r.html.encode() for r in sample.collect()])
+    dictionary = trained(_sample(slim))
     packed = stored(_packed(slim, dictionary, date, level), "warc-packed")
     size = packed.agg(F.sum(F.length("frame"))).first()[0] or 0
     lead = dictionary_frame(dictionary) if dictionary else b""
