@@ -17,13 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casagrid.llm.shared import slices, stored, text_bytes
 from casagrid.llm.words import LOWER, ROLE, mixed, word_hashes, word_spans
 
 FILTER_BITS = 1 << 26
+SLICE_BYTES = 1 << 21
 #: The followers (or forerunners) of one word are dealt to this many ranges; the word's own row goes to each.
 SPREAD = 16
 # Fixed value: what parts pieces, besides line ends.
@@ -94,21 +95,21 @@ def _bytes(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
-def _bit(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(FILTER_BITS)).astype(np.int64)
+def _bit(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes % np.uint64(size)).astype(np.int64)
 
 
 def _count(order: int, kept) -> object:
     """Counts the phrases of ``order`` words in each slice of texts; order 1 also counts all words as phrase ``""``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = np.frombuffer(kept.value, np.uint8) if kept is not None else None
+        may = np.frombuffer(kept.value, np.uint8) if kept is not None else np.zeros(0, np.uint8)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 text = Text(part.column("lang"), part.column("text"))
                 places = text.places(order)
-                for shift in (0, 1) if may is not None else ():
-                    bit = _bit(text.hashes(places + shift, order - 1))
+                for shift in (0, 1) if kept is not None else ():
+                    bit = _bit(text.hashes(places + shift, order - 1), 8 * len(may))
                     places = places[(may[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
                 phrases, count = text.counts(places, order)
                 yield pa.RecordBatch.from_arrays([phrases, pa.array(count, pa.int64())], ["key", "a"])
@@ -118,22 +119,22 @@ def _count(order: int, kept) -> object:
     return run
 
 
-def _filter(frequent: DataFrame, order: int):
+def _filter(frequent: DataFrame, order: int, size: int):
     """Bits of the frequent phrases of ``order`` words, the same for every task; its size is fixed."""
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = Text(batch.column("lang"), batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(_bit(text.hashes(text.places(order), order)))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(text.hashes(text.places(order), order), size))], ["bit"])
 
     found = frequent.select("lang", F.array_join("words", " ").alias("text")).mapInArrow(bits, "bit long")
     rows = found.groupBy((F.col("bit") / 8).cast("long").alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits")).toArrow()
-    array = np.zeros(FILTER_BITS // 8, np.uint8)
+    array = np.zeros(size // 8, np.uint8)
     array[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return frequent.sparkSession.sparkContext.broadcast(array.tobytes())
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, lang: str = "lang", text: str = "text") -> list[DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, lang: str = "lang", text: str = "text", filter_bits: int = FILTER_BITS) -> list[DataFrame]:
     """For each length from 0 to ``longest`` the phrases with ``least`` occurrences or more: (lang, words, a).
 
     Length 0 has the number of all words of a language. Each table is written to the shared folder once.
@@ -150,7 +151,7 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, lang: s
             table = table.filter(F.size("words") == 1)
         tables.append(table)
         if order < longest:
-            kept = _filter(table, order)
+            kept = _filter(table, order, filter_bits)
     return tables
 
 
@@ -183,19 +184,20 @@ def _in_step(stream: DataFrame, longest: int, name: str, order) -> DataFrame:
     return dealt.drop("ordered", "head", "slot").mapInArrow(_parents(longest, name), f"lang string, words array<string>, n int, a long, {names}")
 
 
-def collocations(docs: DataFrame, least: int = 10, longest: int = 3, swallow: int = 50, lang: str = "lang", text: str = "text") -> DataFrame:
+def collocations(docs: DataFrame, least: int = 10, longest: int = 3, swallow: int = 50, lang: str = "lang", text: str = "text", top: int | None = None, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Phrases of 2 to ``longest`` words with ``least`` occurrences or more of a language, and how firmly they hold.
 
     A-Z count as a-z; ``.,;:!?`` and line ends part pieces, spaces and tabs part words within a piece. A phrase is cut
     where ``floor(1000000 * a * a / (l * r))`` is least (``a``, ``l``, ``r``: occurrences of the phrase and its two
     parts), at the first such place. Phrases go that lie in a longer one with at least ``swallow`` percent of their
-    occurrences. Result: lang, phrase, words, cut, a, l, r, n (all words of the language), score.
+    occurrences. Result: lang, phrase, words, cut, a, l, r, n (all words of the language), score, and with ``top`` the
+    ``rank`` of the first ``top`` of a language, by score and ``a`` descending and phrase.
 
     Null texts are empty and have no words; a null language is ``und``, together with rows that say ``und``. Texts of any
     length are read whole; a repeated row counts each time. An empty table, or one without frequent phrases, gives no
     rows. Further columns are not read. Counts over 10^15 raise.
     """
-    totals, *orders = frequent_phrases(docs, least, longest, lang, text)
+    totals, *orders = frequent_phrases(docs, least, longest, lang, text, filter_bits)
     stream = orders[0]
     for table in orders[1:]:
         stream = stream.unionByName(table)
@@ -223,5 +225,8 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, swallow: in
     swallows = lambda side: merged.filter((F.col("n") > 2) & (100 * F.col("a") >= swallow * part(side, F.col("n") - 1)))
     inner = swallows("l").select("lang", F.expr("slice(words, 1, n - 1)").alias("words")).unionByName(swallows("r").select("lang", F.expr("slice(words, 2, n - 1)").alias("words")))
     kept = scored.join(inner.hint("merge"), ["lang", "words"], "left_anti")
-    named = totals.select("lang", F.col("a").alias("n"))
-    return kept.drop("n").join(named, "lang").select("lang", F.array_join("words", " ").alias("phrase"), "words", "best.cut", "a", "best.l", "best.r", "n", "best.score")
+    found = kept.select("lang", F.array_join("words", " ").alias("phrase"), "words", "best.cut", "a", "best.l", "best.r", "best.score")
+    if top is not None:  # at most ``top`` rows of a language leave each task
+        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    return found.join(totals.select("lang", F.col("a").alias("n")), "lang")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casagrid.llm import centroids, collocations, exact_dedup, huffman, line_dedup, mixing, near_dedup, packing, prefix_forest, quality, suffix_levels, toxicity, warc
@@ -240,7 +240,5 @@ PHRASES_A_LANGUAGE = 2000
 )
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """The 2000 firmest phrases of two or three words of each language."""
-    found = collocations.collocations(table(spark, folder, "documents"), least=10, longest=3, swallow=50)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= PHRASES_A_LANGUAGE)
-    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    found = collocations.collocations(table(spark, folder, "documents"), least=10, longest=3, swallow=50, top=PHRASES_A_LANGUAGE)
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

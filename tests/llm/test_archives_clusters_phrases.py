@@ -132,8 +132,7 @@ def brute_clusters(rows, k, rounds, seed, dims, scale):
 
 
 @pytest.mark.parametrize(("size", "spread"), [(300, 1.0), (5, 1.0), (200, 3e5)])
-def test_clusters_against_brute_force(spark, monkeypatch, size, spread):
-    monkeypatch.setattr(centroids, "BLOCK", 64)
+def test_clusters_against_brute_force(spark, size, spread):
     rng = random.Random(size)
     rows = [(i, [rng.gauss(i % 3, 0.5) * (spread if i % 50 == 7 else 1) for _ in range(6)]) for i in range(size)]
     rows += [(None, [0.5] * 6), (1, None), (2, [1.0] * 5), (3, []), (4, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (6, [math.nan] * 6), (7, [math.inf] * 6), rows[0], rows[0], (8, [1e300] * 6)]
@@ -175,15 +174,14 @@ def brute_phrases(rows, least, longest, swallow):
 
 
 @pytest.mark.parametrize(("longest", "least", "swallow", "bits"), [(3, 3, 50, 1 << 26), (4, 2, 70, 1 << 26), (2, 2, 50, 1 << 26), (3, 2, 100, 64)])
-def test_phrases_against_brute_force(spark, monkeypatch, longest, least, swallow, bits):
-    monkeypatch.setattr(collocations, "FILTER_BITS", bits)
+def test_phrases_against_brute_force(spark, longest, least, swallow, bits):
     rng = random.Random(longest)
     words = ["the", "The", "ka", "lo", "mi", "É", "é", "x\x1fy", "\x01", "\xa0", "the\x01", "a b"]
     text = lambda n: "".join(rng.choice(words) + rng.choice((" ", " ", " ", "  ", "\t", ". ", ",", "\n", " ! ")) for _ in range(n))
     rows = [(rng.choice(("en", "de", None, "und", "", "x\ny")), text(rng.randint(0, 60))) for _ in range(120)]
     rows += [("en", None), ("en", ""), (None, None), ("en", " ., \n"), ("en", "the " * 3000), ("en", text(20_000)), rows[0], rows[0], ("de", "the")]
     frame = spark.createDataFrame([(i, t, g, "x", "y") for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string, words string, n string").repartition(3)
-    got = collocations.collocations(frame, least, longest, swallow).collect()
+    got = collocations.collocations(frame, least, longest, swallow, filter_bits=bits).collect()
     assert {(r.lang, tuple(r.words)): (r.score, r.cut, r.l, r.r, r.a, r.n) for r in got} == brute_phrases(rows, least, longest, swallow)
     assert len(got) == len({(r.lang, r.phrase) for r in got}) > 10
 
