@@ -35,23 +35,72 @@ def mojibake_pairs() -> tuple[tuple[str, str], ...]:
     return tuple(sorted(found.items(), key=lambda item: -len(item[0])))
 
 
+HANGUL = range(0xAC00, 0xD7A4)
+
+
+def plain_letters(char: str) -> str:
+    """Compatibility decomposition without combining marks."""
+    return "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x))
+
+
 @lru_cache(maxsize=1)
-def accent_pairs() -> tuple[str, str]:
-    """Single characters whose compatibility decomposition is one base character plus marks."""
-    source, target = [], []
-    for code in range(0xA0, min(sys.maxunicode, 0xFFFF)):
-        char = chr(code)
-        if 0xAC00 <= code <= 0xD7A3:
+def decompositions() -> tuple[dict[str, str], dict[str, str], str]:
+    """Characters with one plain letter, those with several or none, and the combining marks; all of Unicode.
+
+    Hangul syllables, which decompose by arithmetic, are in neither table.
+    """
+    one, several, marks = {}, {}, []
+    for code in range(0x80, sys.maxunicode + 1):
+        if code in HANGUL or 0xD800 <= code < 0xE000:
             continue
-        plain = "".join(x for x in unicodedata.normalize("NFKD", char) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != char:
-            source.append(char)
-            target.append(plain)
-    return "".join(source), "".join(target)
+        char = chr(code)
+        if unicodedata.combining(char):
+            marks.append(char)
+        elif (plain := plain_letters(char)) != char:
+            (one if len(plain) == 1 else several)[char] = plain
+    return one, several, "".join(marks)
+
+
+def char_class(chars: str) -> str:
+    """A pattern for any of ``chars``, runs of neighbours as ranges."""
+    codes, runs = sorted(map(ord, chars)), []
+    for code in codes:
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
+
+
+@lru_cache(maxsize=1)
+def mark_class() -> str:
+    return char_class(decompositions()[2])
+
+
+@lru_cache(maxsize=1)
+def several_class() -> str:
+    return char_class("".join(decompositions()[1]) + "".join(map(chr, HANGUL)))
+
+
+def hangul_letters(c: Column) -> Column:
+    """The two or three letters of one Hangul syllable."""
+    place = F.ascii(c) - HANGUL.start
+    codes = F.array(place.cast("long") / 588 + 0x1100, F.pmod(place, F.lit(588)) / 28 + 0x1161, F.when(F.pmod(place, F.lit(28)) > 0, F.pmod(place, F.lit(28)) + 0x11A7))
+    units = F.transform(F.array_compact(codes), lambda n: F.lpad(F.hex(F.floor(n)), 4, "0"))
+    return F.decode(F.unhex(F.array_join(units, "")), "UTF-16BE")
+
+
+def expand_several(c: Column) -> Column:
+    """Every character that decomposes into several letters, or none, replaced; each that occurs is looked up once."""
+    table = decompositions()[1]
+    known = F.from_json(F.lit(json.dumps(list(table))), "array<string>")
+    plain = F.from_json(F.lit(json.dumps(list(table.values()))), "array<string>")
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(f"({several_class()})")))
 
+    def letters(x: Column) -> Column:
+        return F.when(F.ascii(x).between(HANGUL.start, HANGUL.stop - 1), hangul_letters(x)).otherwise(F.element_at(plain, F.array_position(known, x).cast("int")))
 
-# Compatibility characters that unfold to several characters.
-MULTI = (("…", "..."), ("ﬁ", "fi"), ("ﬂ", "fl"), ("½", "1⁄2"), ("¼", "1⁄4"), ("¾", "3⁄4"), ("™", "TM"), ("№", "No"))
+    return F.when(c.rlike(several_class()), F.reduce(found, c, lambda acc, x: F.replace(acc, x, letters(x)))).otherwise(c)
 
 
 def replace_all(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -66,11 +115,10 @@ def repair_mojibake(c: Column | str) -> Column:
 
 
 def strip_marks(c: Column | str) -> Column:
-    """Drop accents: compatibility folding for single characters plus removal of combining marks."""
-    source, target = accent_pairs()
-    out = replace_all(col(c), MULTI)
-    out = F.regexp_replace(F.translate(out, source, target), r"\p{Mn}+", "")
-    return F.when(col(c).rlike(r"[^\x00-\x7F]"), out).otherwise(col(c))
+    """Compatibility decomposition without combining marks, for every character of Unicode."""
+    one = decompositions()[0]
+    out = F.translate(expand_several(col(c)), "".join(one), "".join(one.values()))
+    return F.when(col(c).rlike(r"[^\x00-\x7F]"), F.regexp_replace(out, mark_class() + "+", "")).otherwise(col(c))
 
 
 def fold_plain(c: Column | str) -> Column:
@@ -116,7 +164,7 @@ def fold_literal(text: str) -> str:
     """Driver-side twin of :func:`fold_text` for query strings."""
     for old, new in mojibake_pairs():
         text = text.replace(old, new)
-    return "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x)).lower()
+    return plain_letters(text).lower()
 
 
 def contains_folded(c: Column, words: list[str]) -> Column:
