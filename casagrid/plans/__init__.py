@@ -15,6 +15,7 @@ FAMILIES = (
     "stream_queries",
     "incident_queries",
     "page_queries",
+    "file_queries",
 )
 
 

@@ -29,7 +29,7 @@ def incident_groups(spark, folder):
 
 @query(
     "standard_incident_rows",
-    "U1,S3",
+    "U1",
     oracle="""select source_key, period_year, period_month, incident_group, measure, value::double as value from inc union all select 'snic_departamentos_mensual', period_year, period_month, incident_group, 'cantidad_victimas', victims::double from inc""",
     uses=("inc",),
 )
@@ -169,7 +169,7 @@ def missing_zone_keys(spark, folder):
 
 @query(
     "alias_merge",
-    "U5,S4",
+    "U5",
     oracle="""select alias, canonical, origin from (select *, row_number() over (partition by alias order by origin, canonical) as rn from (select distinct concat('a', p_partkey%300) as alias, concat('c', p_partkey%300%50) as canonical, 0 as origin from part where p_partkey%300<200
         union all select distinct concat('a', s_suppkey%400), 'agregado', 1 from supplier)) where rn=1""",
 )

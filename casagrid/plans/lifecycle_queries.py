@@ -318,7 +318,7 @@ def audited_unavailable(spark, folder):
     return L.apply_link_audit(adverts(spark, folder), audit(spark, folder)).select(*L.KEY, "listing_id")
 
 
-@query("audit_pending", "L10,S6", oracle="select source_id, external_id, listing_id from adv where listing_id not in (select listing_id from v_audit)", uses=("adv", "v_audit"))
+@query("audit_pending", "L10", oracle="select source_id, external_id, listing_id from adv where listing_id not in (select listing_id from v_audit)", uses=("adv", "v_audit"))
 def audit_pending(spark, folder):
     done = audit(spark, folder).join(adverts(spark, folder).select("listing_id", "url"), "listing_id")
     return L.pending_audit(adverts(spark, folder), done).select(*L.KEY, "listing_id")

@@ -199,7 +199,7 @@ def page_total(spark, folder):
 
 @query(
     "joined_base",
-    "J1,S1",
+    "J1",
     oracle="select property_id, price::double as price, latitude, longitude, overall_score, level from base",
     uses=("base",),
 )

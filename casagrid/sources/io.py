@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,6 @@ _FEATURE = T.StructType(
         T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])),
     ]
 )
-_LAYER = T.StructType([T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(_FEATURE))])
 LAYER_SCHEMA = "feature_idx long, part int, name string, level string, rings array<array<struct<lon:double,lat:double>>>, props map<string,string>"
 
 
@@ -81,15 +80,68 @@ def layer_rows(features: DataFrame, level: str) -> DataFrame:
     return rows.select("feature_idx", "part", "name", F.lit(level).alias("level"), "rings", "props")
 
 
+def ordered_pieces(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
+    """Text between separators with its place: (file, block, seq, value), a large file split over many tasks.
+
+    A piece belongs to the split in which it starts; within a split ``seq`` grows in file order.
+    """
+    reader = spark.read if sep is None else spark.read.option("lineSep", sep)
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    return rows.withColumn("seq", F.monotonically_increasing_id())
+
+
+def running(pieces: DataFrame, value: Column, name: str) -> DataFrame:
+    """Sum of ``value`` over all pieces of a file before each one: sums of the splits first, then within each split."""
+    rows = pieces.withColumn("_v", value.cast("long"))
+    sums = rows.groupBy("file", "block").agg(F.sum("_v").alias("_s"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    offsets = sums.select("file", "block", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(offsets, ["file", "block"]).withColumn(name, F.col("_o") + F.coalesce(F.sum("_v").over(inside), F.lit(0))).drop("_v", "_o")
+
+
+# What a pattern calls a string that may have begun before the piece or go on after it.
+JSON_STRING = r'"[^"]*(?:"|$)'
+JSON_LEAD = r'^(?:[^"{]++|"(?:[^"\\]++|\\.)*+")*+'
+
+
+def collection_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Objects directly inside the top object of JSON files, or inside its arrays: (file, number, body).
+
+    Files are cut at ``}``. Running sums of quotes tell which braces are inside strings, those of braces how deep a piece
+    is; pieces of one object then meet by file and number, so no task reads a whole file.
+    """
+    plain = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    rows = running(ordered_pieces(spark, path, "}"), quotes, "_quotes")
+    inside = F.col("_quotes") % 2 == 1
+    bare = F.regexp_replace(F.when(inside, F.concat(F.lit('"'), plain)).otherwise(plain), JSON_STRING, "")
+    opens = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
+    closes = F.when((F.col("_quotes") + quotes) % 2 == 0, 1).otherwise(0)
+    rows = rows.withColumns({"_inside": inside, "_opens": opens, "_delta": opens - closes})
+    rows = running(rows, F.col("_delta"), "_depth")
+    depth = F.col("_depth")
+    begins = ~F.col("_inside") & (depth <= 1) & (depth + F.col("_opens") >= 2)
+    rows = running(rows.withColumn("_begins", begins), F.col("_begins").cast("int"), "_number")
+    first = F.regexp_replace(F.when(depth == 0, F.regexp_replace("value", JSON_LEAD + r"\{", "")).otherwise(F.col("value")), JSON_LEAD, "")
+    rows = rows.withColumns({"text": F.when(F.col("_begins"), first).otherwise(F.col("value")), "number": F.col("_number") + F.col("_begins").cast("int")})
+    part = rows.filter(F.col("_begins") | (depth >= 2)).groupBy("file", "number").agg(F.array_sort(F.collect_list(F.struct("block", "seq", "text"))).alias("_p"))
+    return part.select("file", (F.col("number") - 1).alias("number"), F.concat(F.array_join(F.transform("_p", lambda x: x["text"]), "}"), F.lit("}")).alias("body"))
+
+
 def read_geo_layer(spark: SparkSession, path: str, level: str) -> DataFrame:
-    """Polygons of a FeatureCollection file; a missing or invalid file is an empty layer."""
+    """Polygons of FeatureCollection files of any size; a missing file, or one without features, is an empty layer."""
     try:
-        raw = spark.read.schema(_LAYER).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        found = collection_objects(spark, path)
     except AnalysisException:
         return spark.createDataFrame([], LAYER_SCHEMA)
-    found = raw.filter(F.col("type") == "FeatureCollection").select(F.posexplode("features").alias("feature_idx", "f"))
-    found = found.select(F.col("feature_idx").cast("long").alias("feature_idx"), "f.geometry", "f.properties")
-    return layer_rows(found, level)
+    typed = T.StructType([T.StructField("type", T.StringType()), *_FEATURE.fields])
+    rows = found.withColumn("f", F.from_json("body", typed)).withColumn("_is", F.coalesce(F.col("f.type") == "Feature", F.lit(False)))
+    # Objects that are no features (a reference system, metadata) do not count; they are few.
+    others = rows.filter(~F.col("_is")).groupBy("file").agg(F.collect_list("number").alias("_others"))
+    rows = rows.filter("_is").join(others, "file", "left")
+    before = F.coalesce(F.size(F.filter("_others", lambda n: n < F.col("number"))), F.lit(0))
+    return layer_rows(rows.select((F.col("number") - F.when(F.col("_others").isNull(), 0).otherwise(before)).cast("long").alias("feature_idx"), "f.geometry", "f.properties"), level)
 
 
 def _snake(name: str) -> str:
@@ -111,24 +163,55 @@ def normalized_headers(columns: Sequence[str]) -> list[str]:
     return out
 
 
-def read_open_data(spark: SparkSession, path: str, required: Sequence[str], sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """CSV with normalised headers; missing required columns are an error, cells are trimmed text."""
-    options = {"sep": sep, "encoding": encoding, "escape": '"'}
-    # The reader renames repeated headers itself, so their own text is taken from the first line.
-    first = spark.read.csv(path, header=False, **options).first()
-    df = spark.read.csv(path, header=True, multiLine=True, **options)
-    names = normalized_headers([(c or "").lstrip("\ufeff") for c in first])
+def csv_records(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Whole CSV records (file, block, seq, record) of files that many tasks read: a line break inside quotes does not
+    end a record.
+
+    Running sums of quotes tell where records begin; only records of several lines are put together by a shuffle.
+    """
+    lines = ordered_pieces(spark, path)
+    if encoding.upper() != "UTF-8":
+        lines = lines.withColumn("value", F.decode(F.col("value").cast("binary"), encoding))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    rows = running(lines, quotes, "_quotes")
+    open_before, open_after = F.col("_quotes") % 2 == 1, (F.col("_quotes") + quotes) % 2 == 1
+    rows = rows.withColumns({"_begins": ~open_before, "_alone": ~open_before & ~open_after})
+    alone = rows.filter("_alone").select("file", "block", "seq", F.col("value").alias("record"))
+    rest = running(rows, F.col("_begins").cast("int"), "_number").filter("not _alone")
+    number = F.col("_number") + F.col("_begins").cast("int")
+    parts = rest.groupBy("file", number.alias("_n")).agg(F.array_sort(F.collect_list(F.struct("block", "seq", "value"))).alias("_p"))
+    joined = parts.select("file", F.col("_p")[0]["block"].alias("block"), F.col("_p")[0]["seq"].alias("seq"), F.array_join(F.transform("_p", lambda x: x["value"]), "\n").alias("record"))
+    return alone.unionByName(joined)
+
+
+def read_open_data(spark: SparkSession, path: str, required: Sequence[str], sep: str = ",", encoding: str = "UTF-8", order: str | None = None) -> DataFrame:
+    """CSV with normalised headers; missing required columns are an error, cells are trimmed text, blank lines go.
+
+    The first record of each file is its header; all files have the same. ``order`` names a column for the place of a
+    record: (file, block, seq).
+    """
+    records = csv_records(spark, path, encoding).withColumn("record", F.regexp_replace("record", "^\ufeff|\r$", "")).filter(F.trim("record") != "")
+    heads = records.groupBy("file").agg(F.min(F.struct("block", "seq")).alias("_first"))
+    options = {"sep": sep, "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    top = records.join(heads, "file").filter(F.struct("block", "seq") == F.col("_first")).select("record").first()
+    if top is None:
+        raise ValueError(f"{path}: missing columns {sorted(required)}")
+    import csv
+
+    names = normalized_headers([c.lstrip("\ufeff") for c in next(csv.reader([top.record], delimiter=sep))])
     missing = sorted(set(required) - set(names))
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
-    df = df.toDF(*names)
-    return df.select(*[F.trim(F.col(c)).alias(c) for c in names])
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    body = records.join(heads, "file").filter(F.struct("block", "seq") != F.col("_first")).withColumn("_r", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), options))
+    cells = [F.trim(F.col(f"_r.c{i}")).alias(n) for i, n in enumerate(names)]
+    return body.select(*cells, *([F.struct("file", "block", "seq").alias(order)] if order else []))
 
 
 def read_alias_lookup(spark: SparkSession, path: str) -> DataFrame:
     """Alias text to canonical zone and locality, keyed by the folded text; the first row of a key wins."""
-    df = read_open_data(spark, path, ["source_text_normalized", "canonical_name"])
-    rows = df.withColumns({"alias_key": text_key("source_text_normalized"), "_at": F.monotonically_increasing_id()})
+    df = read_open_data(spark, path, ["source_text_normalized", "canonical_name"], order="_at")
+    rows = df.withColumn("alias_key", text_key("source_text_normalized"))
     best = rows.groupBy("alias_key").agg(F.min(F.struct("_at", "canonical_name")).alias("_b"))
     return best.select("alias_key", "_b.canonical_name")
 

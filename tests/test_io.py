@@ -36,3 +36,42 @@ def test_alias_lookup_and_audit_log(spark, tmp_path):
     log = tmp_path / "log.jsonl"
     log.write_text('{"id": 1, "url": "u", "result": "active"}\n')
     assert io.read_audit_log(spark, str(log)).first()["result"] == "active"
+
+
+def test_large_files_are_read_by_many_tasks(spark, tmp_path):
+    """Split at every few hundred bytes, in the middle of strings, records and features."""
+    import csv
+    import random
+
+    rng = random.Random(6)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        odd = ('a}b{', 'q"x', "back\\slash", 'tail\\"}', "line\nbreak", "é", "", "plain", "{", '"')
+        ring = lambda i: [[i, 0], [i + 1, 0], [i + 1, 1], [i, 1]]
+        features = []
+        for i in range(120):
+            shape = {"type": "Polygon", "coordinates": [ring(i)]} if i % 3 else {"type": "MultiPolygon", "coordinates": [[ring(i)], [ring(i + 0.5)]]}
+            feature = {"properties": {"name": f"Z{i}", "note": rng.choice(odd), "inner": {"a": 1}}, "geometry": shape, "type": "Feature"}
+            features.append(dict(rng.sample(list(feature.items()), 3)))
+        crs = {"type": "name", "properties": {"name": "urn:crs"}}
+        path = tmp_path / "z.geojson"
+        for layout in ({"crs": crs, "type": "FeatureCollection", "features": features}, {"features": features, "type": "FeatureCollection", "crs": crs}):
+            for indent in (None, 2):
+                path.write_text(json.dumps(layout, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+                pieces = io.ordered_pieces(spark, str(path), "}")
+                assert pieces.rdd.getNumPartitions() > 10
+                rows = io.read_geo_layer(spark, str(path), "zona").collect()
+                assert sorted((r["feature_idx"], r["name"], r["part"], r["rings"][0][0]["lon"], r["props"]["note"]) for r in rows) == sorted(
+                    (i, f"Z{i}", p, i + p / 2, f["properties"]["note"]) for i, f in enumerate(features) for p in range(1 if i % 3 else 2)
+                )
+        records = [[str(i), rng.choice(odd) + rng.choice(("", ", x", ";y")), rng.choice(("", "z", "multi\nline\n\nend"))] for i in range(200)]
+        table = tmp_path / "t.csv"
+        with open(table, "w", newline="", encoding="utf-8") as f:
+            csv.writer(f, lineterminator="\n").writerows([["Número", "Texto", "Texto"], *records])
+        df = io.read_open_data(spark, str(table), ["numero", "texto"])
+        assert df.columns == ["numero", "texto", "texto_2"]
+        assert sorted(tuple(r) for r in df.fillna("").collect()) == sorted((a, b.strip(" "), c) for a, b, c in records)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
