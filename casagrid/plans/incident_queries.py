@@ -170,12 +170,11 @@ def missing_zone_keys(spark, folder):
 @query(
     "alias_merge",
     "U5",
-    oracle="""select alias, canonical, origin from (select *, row_number() over (partition by alias order by origin, canonical) as rn from (select distinct concat('a', p_partkey%300) as alias, concat('c', p_partkey%300%50) as canonical, 0 as origin from part where p_partkey%300<200
+    oracle="""select alias, canonical, origin from (select *, row_number() over (partition by alias order by origin, canonical) as rn from (select distinct concat('a', p_partkey%300) as alias, concat('c', p_partkey%300%50) as canonical, 0 as origin from part
         union all select distinct concat('a', s_suppkey%400), 'agregado', 1 from supplier)) where rn=1""",
 )
 def alias_merge(spark, folder):
-    rows = table(spark, folder, "part").selectExpr("concat('a', cast(p_partkey%300 as string)) as alias", "concat('c', cast(p_partkey%300%50 as string)) as canonical", "0 as origin", "p_partkey%300<200 as listed")
-    rows = rows.filter("listed").drop("listed")
+    rows = table(spark, folder, "part").selectExpr("concat('a', cast(p_partkey%300 as string)) as alias", "concat('c', cast(p_partkey%300%50 as string)) as canonical", "0 as origin")
     extra = table(spark, folder, "supplier").selectExpr("concat('a', cast(s_suppkey%400 as string)) as alias", "'agregado' as canonical", "1 as origin")
     return L.keep_first(rows.unionByName(extra), ["alias"], ["origin"])
 

@@ -55,6 +55,10 @@ shared(
 )
 
 
+_OLD_LINK = [(BATCH[0][0], "source_id"), ("o_orderkey-7", "external_id"), (BATCH[2][0], "old_url")]
+shared("ident", f"select source_id, external_id, coalesce(old_url, url) as url, last_seen_on as first_seen_on, last_seen_on, 'seed' as last_seen_reason from adv left join (select {_sel(_OLD_LINK)} from orders) using (source_id, external_id)", "adv")
+
+
 def batch(spark, folder):
     return L.keep_first(table(spark, folder, "orders").selectExpr(*[f"{e} as {n}" for e, n in BATCH]), L.KEY, ["position"])
 
@@ -70,7 +74,10 @@ def adverts(spark, folder):
 
 
 def identities(spark, folder):
-    return adverts(spark, folder).select(*L.KEY, "url", F.col("last_seen_on").alias("first_seen_on"), "last_seen_on", F.lit("seed").alias("last_seen_reason"))
+    """Remembered adverts; some under a link that is not the advert's present one."""
+    old = table(spark, folder, "orders").selectExpr(*[f"{e} as {n}" for e, n in _OLD_LINK])
+    rows = adverts(spark, folder).join(old, L.KEY, "left")
+    return rows.select(*L.KEY, F.coalesce("old_url", "url").alias("url"), F.col("last_seen_on").alias("first_seen_on"), "last_seen_on", F.lit("seed").alias("last_seen_reason"))
 
 
 @query("latest_adverts", "W2", oracle="select source_id, external_id, listing_id, property_id, active, missing_runs from adv", uses=("adv",))
@@ -123,8 +130,8 @@ def known_identities(spark, folder):
     "identity_upsert",
     "L2",
     oracle="""select source_id, external_id, coalesce(b.url, a.url) as url, coalesce(a.last_seen_on, date '2001-01-01') as first_seen_on, case when b.url is not null then greatest(coalesce(a.last_seen_on, date '2001-01-01'), date '2001-01-01') else a.last_seen_on end as last_seen_on,
-      case when b.url is not null then 'ingest' else 'seed' end as last_seen_reason from adv a full join v_batch b using (source_id, external_id)""",
-    uses=("v_batch", "adv"),
+      case when b.url is not null then 'ingest' else 'seed' end as last_seen_reason from ident a full join v_batch b using (source_id, external_id)""",
+    uses=("v_batch", "ident"),
 )
 def identity_upsert(spark, folder):
     return L.upsert_identities(identities(spark, folder), batch(spark, folder), "2001-01-01")
@@ -326,12 +333,17 @@ def audit_pending(spark, folder):
 
 shared(
     "discovered",
-    """select source_id, external_id, url, position, listing_id, matched_by, case when listing_id is null then 'new_pending' else 'existing_pending' end as status from (select *, row_number() over (partition by source_id, external_id order by position, url, listing_id nulls first, matched_by) as rn from
-        (select b.source_id, coalesce(case when i.lid is not null then b.external_id else u.ext end, b.external_id) as external_id, b.url, b.position, coalesce(i.lid, u.lid) as listing_id, case when i.lid is not null then 'id' when u.lid is not null then 'url' else 'none' end as matched_by
-          from v_batch b left join (select source_id, external_id, min(listing_id) as lid from adv where active group by 1,2) i using (source_id, external_id)
-          left join (select source_id, url, min(listing_id) as lid, arg_min(external_id, listing_id) as ext from adv where active group by 1,2) u on u.source_id=b.source_id and u.url=b.url)) where rn=1""",
+    """with i as (select source_id, external_id, min(listing_id) as lid from adv where active group by 1,2),
+      m as (select n.source_id, n.url, max((last_seen_on, n.external_id, lid)) as h from ident n join i using (source_id, external_id) group by 1,2)
+      select source_id, external_id, url, position, listing_id, matched_by, case when listing_id is null then 'new_pending' else 'existing_pending' end as status from (select *, row_number() over (partition by source_id, external_id order by position, url, listing_id nulls first, matched_by) as rn from
+        (select b.source_id, coalesce(case when i.lid is not null then b.external_id else coalesce(u.ext, h[2]) end, b.external_id) as external_id, b.url, b.position, coalesce(i.lid, u.lid, h[3]) as listing_id,
+            case when i.lid is not null then 'id' when u.lid is not null then 'url' when h is not null then 'memory' else 'none' end as matched_by
+          from v_batch b left join i using (source_id, external_id)
+          left join (select source_id, url, min(listing_id) as lid, arg_min(external_id, listing_id) as ext from adv where active group by 1,2) u on u.source_id=b.source_id and u.url=b.url
+          left join m on m.source_id=b.source_id and m.url=b.url)) where rn=1""",
     "adv",
     "v_batch",
+    "ident",
 )
 
 

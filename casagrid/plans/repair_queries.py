@@ -204,9 +204,9 @@ def rollback_listings(spark, folder):
     "rollback_identities",
     "L23",
     oracle="""with g as (select source_id, external_id, arg_max(url, (listing_id, url)) as url, min(first_seen_on) as first_seen_on from back group by 1,2)
-      select source_id, external_id, coalesce(g.url, a.url) as url, coalesce(a.last_seen_on, g.first_seen_on) as first_seen_on, case when g.url is not null then date '2026-01-01' else a.last_seen_on end as last_seen_on, case when g.url is not null then 'rollback' else 'seed' end as last_seen_reason
-      from adv a full join g using (source_id, external_id)""",
-    uses=("back", "adv"),
+      select source_id, external_id, coalesce(g.url, a.url) as url, coalesce(a.first_seen_on, g.first_seen_on) as first_seen_on, case when g.url is not null then date '2026-01-01' else a.last_seen_on end as last_seen_on, case when g.url is not null then 'rollback' else 'seed' end as last_seen_reason
+      from ident a full join g using (source_id, external_id)""",
+    uses=("back", "ident"),
 )
 def rollback_identities(spark, folder):
     return R.remembered_identities(identities(spark, folder), R.rolled_back(_seen(spark, folder), _windows(spark, folder)), "2026-01-01", "rollback")

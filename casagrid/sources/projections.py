@@ -92,9 +92,9 @@ INTELLIGENCE = [
 _SRC = "l_suppkey%6"
 LISTING = [
     ("l_orderkey*10+l_linenumber", "listing_id"),
-    ("l_partkey", "property_id"),
+    ("case when l_partkey%37=0 then l_partkey+1 else l_partkey end", "property_id"),
     (_SRC, "source_id"),
-    ("case when l_orderkey%7=0 then null else l_orderkey%40 end", "agency_id"),
+    ("case when l_orderkey%7=0 or l_partkey%29=0 then null else l_orderkey%40 end", "agency_id"),
     ("l_orderkey-l_linenumber", "external_id"),
     (
         f"concat('https://site', cast({_SRC} as string), '.example/', case when l_orderkey%33=0 then 'inmuebles-pagina/' "
@@ -108,7 +108,7 @@ LISTING = [
     ("cast(l_quantity as int)", "quantity"),
     ("l_linenumber", "line_no"),
     (
-        "case when l_orderkey%3=0 then '' when l_orderkey%11=1 then 'http://img.example/a.jpg' "
+        "case when l_orderkey%3=0 or l_partkey%23=0 then '' when l_orderkey%11=1 then 'http://img.example/a.jpg' "
         "else concat('https://img.example/', cast(l_orderkey as string), '-', cast(l_linenumber%4 as string), '.jpg') end",
         "image_url",
     ),
