@@ -236,12 +236,6 @@ def mark_removed(listings: DataFrame, removed: DataFrame, properties: DataFrame)
     return after.drop("_gone"), state.select("property_id", status.alias("status"))
 
 
-def apply_link_audit(listings: DataFrame, audit: DataFrame) -> DataFrame:
-    """Only links found unavailable deactivate their advert."""
-    bad = audit.filter(F.col("result") == "unavailable").select("listing_id").distinct()
-    return listings.join(bad, "listing_id", "left_semi")
-
-
 def pending_audit(listings: DataFrame, audit: DataFrame) -> DataFrame:
     """Adverts still to check when an audit resumes."""
     return listings.join(audit.select("listing_id", "url").distinct(), ["listing_id", "url"], "left_anti")

@@ -280,13 +280,6 @@ def remap_agencies(listings: DataFrame, agencies: DataFrame, canonical: Column)
     return moved, kept
 
 
-def sibling_prices(listings: DataFrame) -> DataFrame:
-    """Last valid parsed price among a property's adverts, kept when another advert parses without one."""
-    known = F.when(F.col("parsed_price").isNotNull(), F.struct("listing_id", "parsed_price", "parsed_currency"))
-    best = listings.groupBy("property_id").agg(F.max(known).alias("_p"))
-    return best.select("property_id", F.col("_p.parsed_price").alias("price"), F.col("_p.parsed_currency").alias("currency"))
-
-
 def sample_per_category(df: DataFrame, category: str, key: str, n: int) -> DataFrame:
     """First ids per category; the rank limit is applied before the shuffle."""
     w = Window.partitionBy(category).orderBy(key)

@@ -7,7 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casagrid.operators.lifecycle import KEY, latest_per_key
+from casagrid.functions import address as A
+from casagrid.functions.text import normalize_whitespace
+from casagrid.operators.lifecycle import KEY, latest_per_key, mark_removed
+from casagrid.operators.listing import canonical_zone_name, coerce_edit, replace_zone_in_json
 
 STRETCH_DAYS = 32
 
@@ -133,3 +136,128 @@ def with_changes(stored: DataFrame, changes: DataFrame, fields: Mapping[str, str
     for field, others in (copies or {}).items():
         columns |= {name: F.when(F.col(f"_n_{field}").isNotNull(), value).otherwise(F.col(name)) for name, value in others.items()}
     return out.withColumns(columns).select(*stored.columns)
+
+
+def link_audit(listings: DataFrame, audit: DataFrame, properties: DataFrame, apply: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Adverts, property states and log after a link audit (``audit``: listing_id, result).
+
+    Only links found unavailable retire their advert, and a property without active adverts is removed. A dry run leaves
+    both tables and says in the log what it would have done.
+    """
+    log = audit.select("listing_id", "result", ((F.col("result") == "unavailable") & F.lit(apply)).alias("applied"), F.lit(not apply).alias("dry_run"))
+    if not apply:
+        return listings, properties.select("property_id", "status"), log
+    gone = audit.filter(F.col("result") == "unavailable").select("listing_id").distinct().join(listings.select("listing_id", *KEY), "listing_id")
+    return (*mark_removed(listings, gone, properties), log)
+
+
+def page_kind_changes(listings: DataFrame, properties: DataFrame, kind: Column, parsed_operation: str | None = None) -> DataFrame:
+    """Changes (listing_id, property_id, field, old, new) of adverts that are no sale: search pages, rentals, other offers.
+
+    ``kind`` tells ``listing`` or ``rent`` from the link; otherwise the operation read from the page counts. Such a
+    property gets that operation and is hidden.
+    """
+    rows = listings.withColumn("_kind", kind).join(properties.select("property_id", "operation", "is_hidden"), "property_id")
+    told = F.col(parsed_operation) if parsed_operation else F.lit(None).cast("string")
+    new = F.coalesce(F.col("_kind"), F.when(~told.isin("sale", ""), told))
+    as_row = lambda field, old, value: F.struct(F.lit(field).alias("field"), old.cast("string").alias("old"), value.cast("string").alias("new"))
+    pairs = F.array_compact(F.array(F.when(~F.col("operation").eqNullSafe(new), as_row("operation", F.col("operation"), new)), F.when(~F.col("is_hidden"), as_row("is_hidden", F.col("is_hidden"), F.lit(True)))))
+    return rows.filter(new.isNotNull()).select("listing_id", "property_id", F.inline(pairs))
+
+
+def repair_status_and_price(properties: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Status and price of properties from adverts read again, and adverts whose source status changes.
+
+    ``parsed``: property_id, listing_id, source_status, and the new parsed_status, parsed_source_status, parsed_price and
+    parsed_currency. Adverts of a property count in the order of their ids: the last one's status, and the last price that
+    any of them has; without one the price goes. Price and currency are protected together.
+    """
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    last = F.struct("listing_id", F.coalesce("parsed_status", F.lit("active")).alias("status"), blank("parsed_currency").alias("currency"))
+    priced = F.when(F.col("parsed_price").isNotNull(), F.struct("listing_id", "parsed_price", blank("parsed_currency").alias("currency")))
+    found = parsed.groupBy("property_id").agg(F.max(last).alias("_last"), F.max(priced).alias("_priced"))
+    out = properties.join(found, "property_id")
+    held = F.coalesce("overrides", F.array().cast("array<string>"))
+    priced_held = F.array_contains(held, "price") | F.array_contains(held, "currency")
+    after = out.select(
+        "property_id",
+        F.when(F.array_contains(held, "status"), F.col("status")).otherwise(F.col("_last.status")).alias("status"),
+        F.when(priced_held, F.col("price")).otherwise(F.col("_priced.parsed_price").cast(properties.schema["price"].dataType)).alias("price"),
+        F.when(priced_held, F.col("currency")).otherwise(F.coalesce("_priced.currency", "_last.currency")).alias("currency"),
+    )
+    adverts = parsed.filter(blank("source_status") != blank("parsed_source_status")).select("listing_id", "property_id", F.col("source_status").alias("old_status"), blank("parsed_source_status").alias("new_status"))
+    return after, adverts
+
+
+def repair_localities(df: DataFrame) -> DataFrame:
+    """Localities written as towns; zones and other texts that stand in a locality move or go, each with a note.
+
+    Columns read and returned: locality, detected_locality, neighborhood, detected_neighborhood, location_notes; edited
+    ones (``overrides``) stay.
+    """
+    f, empty = F.col, F.lit("")
+    held = lambda c: F.coalesce(F.array_contains("overrides", c), F.lit(False))
+    df = df.withColumns({f"_{c}": normalize_whitespace(c) for c in ("locality", "detected_locality")})
+    df = df.withColumns({f"{c}_town": A.normalize_locality(c) for c in ("_locality", "_detected_locality")} | {f"{c}_zone": A.known_neighborhood(c) for c in ("_locality", "_detected_locality")})
+    town, zone = lambda c: f(f"_{c}_town"), lambda c: F.coalesce(f(f"_{c}_zone"), empty)
+    other = F.coalesce(F.nullif(town("detected_locality"), empty), F.nullif(town("locality"), empty))
+    as_town = lambda c: (f(f"_{c}") != "") & (town(c) != "") & (f(f"_{c}") != town(c))
+    as_zone = lambda c: (f(f"_{c}") != "") & (town(c) == "") & (zone(c) != "")
+    as_none = lambda c: (f(f"_{c}") != "") & (town(c) == "") & (zone(c) == "")
+    own = ~held("locality")
+    moved = F.coalesce(other, F.nullif(A.locality_from_neighborhood("_locality_zone"), empty), F.lit(A.DEFAULT_LOCALITY))
+    gap = ~held("neighborhood") & (F.coalesce("neighborhood", empty) == "")
+    gap_detected = ~gap & (F.coalesce("detected_neighborhood", empty) == "")
+    first, second = own & as_zone("locality"), as_zone("detected_locality")
+    into = lambda free, c: F.when(first & free, zone("locality")).when(second & free, zone("detected_locality")).otherwise(f(c))
+    note = lambda c, when: F.when(
+        when,
+        F.when(as_town(c), F.concat(F.lit(f"{c}: "), f(f"_{c}"), F.lit(" -> "), town(c)))
+        .when(as_zone(c), F.concat(F.lit(f"{c}: se movio localidad invalida a zona "), zone(c), F.lit(": "), f(f"_{c}")))
+        .when(as_none(c), F.concat(F.lit(f"{c}: se descarto valor no-localidad: "), f(f"_{c}"))),
+    )
+    notes = F.transform(F.array_compact(F.array(note("locality", own), note("detected_locality", F.lit(True)))), lambda n: F.concat(F.lit("[repair_localities] "), n))
+    known = normalize_whitespace("location_notes")
+    lines = F.concat(F.when(known != "", F.array(known)).otherwise(F.array().cast("array<string>")), F.filter(notes, lambda n: n != known))
+    out = df.select(
+        *[c for c in df.columns if not c.startswith("_") and c not in ("locality", "detected_locality", "neighborhood", "detected_neighborhood", "location_notes")],
+        F.when(own & as_town("locality"), town("locality")).when(own & as_zone("locality"), moved).when(own & as_none("locality"), F.coalesce(F.nullif(town("detected_locality"), empty), F.lit(A.DEFAULT_LOCALITY))).otherwise(f("locality")).alias("locality"),
+        F.when(as_town("detected_locality"), town("detected_locality")).when(as_zone("detected_locality") | as_none("detected_locality"), empty).otherwise(f("detected_locality")).alias("detected_locality"),
+        into(gap, "neighborhood").alias("neighborhood"),
+        into(gap_detected, "detected_neighborhood").alias("detected_neighborhood"),
+        F.when(F.size(notes) > 0, F.array_join(F.array_distinct(lines), "\n")).otherwise(f("location_notes")).alias("location_notes"),
+    )
+    return out
+
+
+def unify_zone(df: DataFrame, columns: list[str], json_columns: list[str]) -> DataFrame:
+    """The one name of a zone with aliases in plain columns and, at any depth, in JSON texts."""
+    return df.withColumns({c: canonical_zone_name(c) for c in columns} | {c: replace_zone_in_json(c) for c in json_columns})
+
+
+def apply_edits(properties: DataFrame, edits: DataFrame, fields: Mapping[str, str]) -> DataFrame:
+    """Properties after all valid edits (property_id, edit_id, field, value), with the edit that last changed each field.
+
+    An edit is its own request: refused ones, unknown fields and an empty title change nothing. Edits of a field apply in
+    the order of their ids; ``edited_at`` maps each changed field to the last edit that gave it another value, which is
+    the first after the last one with a value other than the final. Aggregations only: a field with very many edits is
+    combined before the shuffle. A changed address is normalised again.
+    """
+    result, error = coerce_edit("field", "value")
+    rows = edits.filter(F.col("field").isin(*fields)).withColumns({"_result": result, "_error": error})
+    rows = rows.filter((F.col("_error") == "") & ~((F.col("field") == "title") & (F.coalesce("_result", F.lit("")) == ""))).select("property_id", "edit_id", "field", F.col("_result").alias("result"))
+    stored = properties.select("property_id", F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast(t).cast("string").alias("before")) for c, t in fields.items()])))
+    final = rows.groupBy("property_id", "field").agg(F.max_by(F.struct("result"), "edit_id").alias("_f")).select("property_id", "field", F.col("_f.result").alias("final"))
+    both = rows.join(final, ["property_id", "field"])
+    turns = both.groupBy("property_id", "field").agg(F.max(F.when(~F.col("result").eqNullSafe(F.col("final")), F.col("edit_id"))).alias("_other"))
+    since = both.join(turns, ["property_id", "field"]).filter(F.col("_other").isNull() | (F.col("edit_id") > F.col("_other")))
+    at = since.groupBy("property_id", "field").agg(F.min("edit_id").alias("edit_id"), F.max("_other").alias("_other"))
+    changes = final.join(at, ["property_id", "field"]).join(stored, ["property_id", "field"]).filter(F.col("_other").isNotNull() | ~F.col("final").eqNullSafe(F.col("before")))
+    wide = changes.groupBy("property_id").pivot("field", list(fields)).agg(F.first(F.struct("final", "edit_id")))
+    out = properties.join(wide.select("property_id", *[F.col(c).alias(f"_e_{c}") for c in fields]), "property_id", "left")
+    columns = {c: F.when(F.col(f"_e_{c}").isNotNull(), F.col(f"_e_{c}.final").cast(t)).otherwise(F.col(c)) for c, t in fields.items()}
+    if "address" in fields and "normalized_address" in properties.columns:
+        columns["normalized_address"] = F.when(F.col("_e_address").isNotNull(), A.normalize_address(F.col("_e_address.final"))).otherwise(F.col("normalized_address"))
+    entries = F.array_compact(F.array(*[F.when(F.col(f"_e_{c}").isNotNull(), F.struct(F.lit(c).alias("key"), F.col(f"_e_{c}.edit_id").alias("value"))) for c in fields]))
+    columns["edited_at"] = F.map_from_entries(entries)
+    return out.withColumns(columns).select(*properties.columns, "edited_at")

@@ -176,6 +176,18 @@ def kpi_counts(df: DataFrame, facts: DataFrame, latest_run: str) -> DataFrame:
     return counts.withColumn("possible_duplicates", dup.scalar().cast("bigint"))
 
 
+# Fixed order: the parts of a property that the panel counts.
+QUALITY_PARTS = ("price", "surface", "address", "location", "image", "link", "agency")
+
+
+def kpi_quality(counts: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """Percentages of the counts of :func:`kpi_counts` (whole, half to even; 0 without properties), and the inconsistent:
+    properties with an anomaly, plus those with location notes."""
+    odd = anomalies.agg(F.countDistinct("property_id")).scalar()
+    share = lambda part: F.when(F.col("total") > 0, F.bround(F.col(f"with_{part}") / F.col("total") * 100, 0)).otherwise(0).cast("int").alias(f"{part}_percent")
+    return counts.select("total", *map(share, QUALITY_PARTS), (odd + F.col("with_location_notes")).alias("inconsistent"))
+
+
 def location_zone_matrix(df: DataFrame, top: int = 80) -> DataFrame:
     zone = F.coalesce(non_empty("geo_zone"), non_empty("detected_neighborhood"), non_empty("neighborhood"), F.lit(MISSING_LABEL))
     rows = df.withColumn("zone", zone)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casagrid.functions import address as A
-from casagrid.functions import urls as U
 from casagrid.operators import lifecycle as L
 from casagrid.operators import listing as C
 from casagrid.operators import merge as M
@@ -320,11 +319,6 @@ def audit(spark, folder):
     return table(spark, folder, "orders").selectExpr("o_orderkey*10+1+o_custkey%3 as listing_id", f"{_RESULT} as result")
 
 
-@query("audited_unavailable", "L10", oracle="select source_id, external_id, listing_id from adv where listing_id in (select listing_id from v_audit where result='unavailable')", uses=("adv", "v_audit"))
-def audited_unavailable(spark, folder):
-    return L.apply_link_audit(adverts(spark, folder), audit(spark, folder)).select(*L.KEY, "listing_id")
-
-
 @query("audit_pending", "L10", oracle="select source_id, external_id, listing_id from adv where listing_id not in (select listing_id from v_audit)", uses=("adv", "v_audit"))
 def audit_pending(spark, folder):
     done = audit(spark, folder).join(adverts(spark, folder).select("listing_id", "url"), "listing_id")
@@ -480,30 +474,6 @@ def status_policy(spark, folder):
     return L.status_policy(rows, proposed, ["reserved"], origin=1, mirror=2).select("listing_id", "source_id", "property_id", "final_status")
 
 
-@query(
-    "page_kind_changes",
-    "L18",
-    oracle="select listing_id, url, case when url like '%/inmuebles-pagina/%' then 'listing' else 'rent' end as new_operation from adv where url like '%/inmuebles-pagina/%' or url like '%/alquiler/%'",
-    uses=("adv",),
-)
-def page_kind_changes(spark, folder):
-    kind = F.when(U.is_listing_url("url"), "listing").when(U.is_rental_url("url"), "rent")
-    return adverts(spark, folder).select("listing_id", "url", kind.alias("new_operation")).filter(F.col("new_operation").isNotNull())
-
-
-@query(
-    "sibling_prices",
-    "L19",
-    oracle="""select property_id, arg_max(external_id*100, (listing_id, external_id*100)) filter (external_id%3<>0) as price, case when bool_or(external_id%3<>0) then 'USD' end as currency from adv group by 1""",
-    uses=("adv",),
-)
-def sibling_prices(spark, folder):
-    rows = adverts(spark, folder).withColumns(
-        {"parsed_price": F.when(F.col("external_id") % 3 != 0, F.col("external_id") * 100), "parsed_currency": F.when(F.col("external_id") % 3 != 0, "USD")}
-    )
-    return M.sibling_prices(rows)
-
-
 @query(
     "address_repairs",
     "L20,J26,J27",
@@ -536,19 +506,6 @@ def agency_remap(spark, folder):
     return moved.groupBy("agency_id").agg(F.count(F.lit(1)).alias("adverts"))
 
 
-@query(
-    "neighborhood_repairs",
-    "L21,L22",
-    oracle="""select property_id, 'neighborhood' as field, detected_neighborhood as old, case detected_neighborhood when 'Santos Tesei' then 'Villa Santos' end as new from v_property where false
-      union all select p_partkey, 'zone', raw, canon from (select p_partkey, case p_partkey%4 when 0 then 'Barrio Inglés' when 1 then 'Jhonston' else p_brand end as raw, case p_partkey%4 when 0 then 'Hurlingham Centro (Barrio Ingles)' when 1 then 'Parque Johnston' else p_brand end as canon from part) where raw<>canon""",
-    uses=("v_property",),
-)
-def neighborhood_repairs(spark, folder):
-    df = table(spark, folder, "part").selectExpr("p_partkey as property_id", "case p_partkey%4 when 0 then 'Barrio Inglés' when 1 then 'Jhonston' else p_brand end as zone")
-    after = df.withColumn("zone", C.canonical_zone_name("zone"))
-    return M.field_diff(df, after, "property_id", ["zone"])
-
-
 @query(
     "condition_backfill",
     "L22",
@@ -562,24 +519,6 @@ def condition_backfill(spark, folder):
     return out.filter((F.col("old") == "unknown") & (F.col("new") != "unknown"))
 
 
-@query(
-    "applied_edits",
-    "L25",
-    oracle="""with e as (select *, row_number() over (partition by property_id order by edit_id desc, value desc) as rn from (select distinct property_id, edit_id, value from v_edit where field='bedrooms' and value='3'))
-      select p.property_id, case when e.value is not null then 3 else bedrooms end as bedrooms, e.value is not null as edited from v_property p left join (select * from e where rn=1) e using (property_id)""",
-    uses=("v_property", "v_edit"),
-)
-def applied_edits(spark, folder):
-    from casagrid.plans.text_queries import EDIT
-
-    edits = table(spark, folder, "lineitem").selectExpr(*[f"{e} as {n}" for e, n in EDIT]).filter(F.col("field") == "bedrooms")
-    result, error = C.coerce_edit("field", "value")
-    good = edits.withColumns({"result": result, "error": error}).filter((F.col("error") == "") & F.col("result").isNotNull())
-    last = good.groupBy("property_id").agg(F.max(F.struct("edit_id", "result")).alias("b")).select("property_id", F.col("b.result").cast("int").alias("new"))
-    out = view(spark, folder, "v_property").select("property_id", "bedrooms").join(last, "property_id", "left")
-    return out.select("property_id", F.coalesce("new", "bedrooms").alias("bedrooms"), F.col("new").isNotNull().alias("edited"))
-
-
 _DECISION = [
     ("event_id%700", "property_id"),
     ("event_id", "decided_at"),

@@ -488,6 +488,20 @@ def anomaly_summary(spark, folder):
     return A.anomaly_summary(rules.unionByName(A.model_anomalies(df).select("property_id", "field", "model", "severity")))
 
 
+@query(
+    "dashboard_quality",
+    "A9",
+    oracle="""with a as (select property_id from rule_rows union select property_id from model_rows), c as (select count(*) as total, count(valid_price) as price, count(valid_area) as surface, count(*) filter (detected_address<>'' or address<>'') as address, count(latitude) as location,
+        count(*) filter (has_image) as image, count(*) filter (listing_count>0) as link, count(*) filter (has_agency) as agency, count(*) filter (location_notes<>'') as notes from scored)
+      select total, """ + ", ".join(f"cast(round_even({p}/total*100, 0) as int) as {p}_percent" for p in M.QUALITY_PARTS) + """, notes + (select count(*) from a) as inconsistent from c""",
+    uses=("scored", "rule_rows", "model_rows"),
+)
+def dashboard_quality(spark, folder):
+    df, adverts = visible(spark, folder), listings(spark, folder)
+    odd = A.rule_anomalies(df, adverts).select("property_id").union(A.model_anomalies(df).select("property_id"))
+    return M.kpi_quality(M.kpi_counts(df, S.listing_facts(adverts), "2024-04-01"), odd)
+
+
 @query(
     "security_arbitrage",
     "Q11,O4",

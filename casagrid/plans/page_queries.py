@@ -243,20 +243,48 @@ def target_area_pages(spark, folder):
 _TYPES = by([f"'{v}'" for v in ("Casa", "Departamento", "PH", "Dúplex", "Terreno", "Quinta", "Otro")], 7)
 
 
+# What territory and location scoring add to the curated table.
+_TERRITORY = [
+    ("case when property_id%9=0 then '' else 'Hurlingham' end", "inferred_municipality"),
+    ("case property_id%3 when 0 then 'high' when 1 then 'medium' else '' end", "territory_confidence"),
+    ("property_id%4=0", "territory_needs_review"),
+    ("concat('m', cast(property_id%3 as string))", "territory_method"),
+    ("case when property_id%5=0 then '' else 'Hurlingham' end", "intel_municipality"),
+    ("case when property_id%5=1 then '' else locality end", "intel_locality"),
+    ("case property_id%3 when 0 then 'coordinates' when 1 then 'zone' else '' end", "match_method"),
+    ("case when property_id%6=0 then null else cast(property_id%101 as double) end", "education_score"),
+    ("case when property_id%7=0 then null else cast(property_id*3%101 as double) end", "health_score"),
+]
+_YES = {"revision_territorial": "territory_needs_review", "conflicto_zona": "zone_conflict", "zona_requiere_revision": "zone_needs_review", "favorita": "is_favorite", "oculta": "is_hidden", "revisada": "is_reviewed"}
+
+
+def _labels(column: str, labels: dict) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v}'" for k, v in labels.items()) + " end"
+
+
+_EXPORT_SQL = {
+    **{name: f"t.{source}" for name, source in io.EXPORT_COLUMNS.items() if source},
+    **{name: f"case when t.{c} then 'Si' else 'No' end" for name, c in _YES.items()},
+    "tipo": _TYPES.replace("property_id", "t.property_id"), "condicion": _labels("condition_category", io.CONDITION_LABELS), "fuente_localizacion": _labels("location_source", io.SOURCE_LABELS),
+    "confianza_localizacion": _labels("location_confidence", io.CONFIDENCE_LABELS), "riesgo_hidrico": "case when in_flood_risk_zone is null then '' when in_flood_risk_zone then 'Si' else 'No' end",
+    "inmobiliaria": "coalesce(c_name,'')", "fuente": "coalesce(s_name,'')", "link_original": "coalesce(p.url,'')",
+}
+_MONEY = ("precio", "precio_m2", "banos", "cubierta_m2", "terreno_m2")
+
+
 @query(
     "export_rows",
     "S7",
-    oracle=f"""select v.property_id as id, {_TYPES.replace('property_id', 'v.property_id')} as tipo, case when v.property_id%3=0 then 'A estrenar' when v.property_id%3=1 then 'Usada' else 'Sin dato' end as condicion, valid_price::double as precio, price_m2 as precio_m2,
-      case when in_flood_risk_zone is null then '' when in_flood_risk_zone then 'Si' else 'No' end as riesgo_hidrico, case when is_favorite then 'Si' else 'No' end as favorita, valid_bedrooms as dormitorios, coalesce(s_name,'') as fuente, coalesce(c_name,'') as inmobiliaria, coalesce(p.url,'') as link_original
-      from visible v left join primary_listing p on p.property_id=v.property_id left join supplier on s_suppkey=p.source_id left join customer on c_custkey=p.agency_id""",
+    oracle=f"""select {', '.join(f"({_EXPORT_SQL[n]})::double as {n}" if n in _MONEY else f"{_EXPORT_SQL[n]} as {n}" for n in io.EXPORT_COLUMNS)}
+      from (select v.*, {', '.join(f'{e} as {n}' for e, n in _TERRITORY)} from visible v) t left join primary_listing p on p.property_id=t.property_id left join supplier on s_suppkey=p.source_id left join customer on c_custkey=p.agency_id""",
     uses=("visible", "primary_listing"),
 )
 def export_rows(spark, folder):
     best = S.primary_listing(listings(spark, folder), "source_id", "agency_id", "url")
     names = best.join(table(spark, folder, "supplier").selectExpr("s_suppkey as source_id", "s_name as source_name"), "source_id", "left")
     names = names.join(table(spark, folder, "customer").selectExpr("c_custkey as agency_id", "c_name as agency_name"), "agency_id", "left").select("property_id", "url", "source_name", "agency_name")
-    out = io.export_rows(visible(spark, folder), names)
-    return out.select("id", "tipo", "condicion", F.col("precio").cast("double").alias("precio"), F.col("precio_m2").cast("double").alias("precio_m2"), "riesgo_hidrico", "favorita", "dormitorios", "fuente", "inmobiliaria", "link_original")
+    rows = visible(spark, folder).selectExpr("*", *[f"{e} as {n}" for e, n in _TERRITORY])
+    return io.export_rows(rows, names).withColumns({c: F.col(c).cast("double") for c in _MONEY})
 
 
 @query(

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casagrid.functions import address as A
+from casagrid.functions import urls as U
 from casagrid.operators import lifecycle as L
 from casagrid.operators import merge as M
 from casagrid.operators import repair as R
+from casagrid.operators import scoring as Z
 from casagrid.plans.inputs import base, listings, more_columns, view
-from casagrid.plans.lifecycle_queries import _COMP, _REACH, identities, mirrors, runs
-from casagrid.plans.registry import query, shared
+from casagrid.plans.lifecycle_queries import _COMP, _REACH, adverts, identities, mirrors, runs
+from casagrid.plans.registry import ORACLE, QUERIES, SHARED, query, shared
 from casagrid.sources.projections import table
 
 shared("full_property", "select * from base join v_more using (property_id)", "base", "v_more")
@@ -285,3 +287,198 @@ def repaired_details(spark, folder):
     out = R.with_changes(full_properties(spark, folder), _detail_changes(spark, folder), DETAIL_FIELDS, copies)
     names = [F.col(c).cast("double").alias(c) if t.startswith("decimal") else c for c, t in DETAIL_FIELDS.items()]
     return out.select("property_id", *names, "detected_address", "normalized_address", "detected_locality")
+
+
+# Repairs of single rules
+
+_FATE = "case when listing_id%4=0 then 'unavailable' when listing_id%4=1 then 'active' when listing_id%4=2 then 'uncertain' else 'error' end"
+shared("retired", "select source_id, external_id, listing_id%4=0 as gone, active and listing_id%4<>0 as active, case when listing_id%4=0 then 'removed' else source_status end as source_status, case when listing_id%4=0 then greatest(missing_runs, 2) else missing_runs end as missing_runs, property_id, listing_id from adv", "adv")
+
+
+def _audit(spark, folder, apply: bool):
+    known = adverts(spark, folder)
+    checked = known.select("listing_id", F.expr(_FATE).alias("result"))
+    return R.link_audit(known, checked, view(spark, folder, "v_property"), apply)
+
+
+@query("audited_listings", "L10", oracle="select source_id, external_id, active, source_status, missing_runs from retired", uses=("retired",))
+def audited_listings(spark, folder):
+    return _audit(spark, folder, True)[0].select(*L.KEY, "active", "source_status", "missing_runs")
+
+
+@query(
+    "audited_properties",
+    "L10",
+    oracle="select property_id, case when g and not a and override_field<>'status' then 'removed' else status end as status from v_property left join (select property_id, bool_or(gone) as g, bool_or(active) as a from retired group by 1) using (property_id)",
+    uses=("retired", "v_property"),
+)
+def audited_properties(spark, folder):
+    return _audit(spark, folder, True)[1]
+
+
+@query("audit_dry_run", "L10", oracle=f"select listing_id, {_FATE} as result, false as applied, true as dry_run from adv", uses=("adv",))
+def audit_dry_run(spark, folder):
+    return _audit(spark, folder, False)[2]
+
+
+_KIND = "case when url like '%/inmuebles-pagina/%' then 'listing' when url like '%/alquiler/%' then 'rent' when listing_id%10=3 then 'rent' end"
+
+
+@query(
+    "page_kind_changes",
+    "L18",
+    oracle=f"""with k as (select a.listing_id, property_id, operation, is_hidden, {_KIND} as kind from adv a join v_property using (property_id))
+      select listing_id, property_id, 'operation' as field, operation as old, kind as new from k where kind is not null and operation is distinct from kind union all select listing_id, property_id, 'is_hidden', 'false', 'true' from k where kind is not null and not is_hidden""",
+    uses=("adv", "v_property"),
+)
+def page_kind_changes(spark, folder):
+    rows = adverts(spark, folder).withColumn("parsed", F.expr("case when listing_id%10=3 then 'rent' when listing_id%10=4 then '' when listing_id%10=5 then 'sale' end"))
+    kind = F.when(U.is_listing_url("url"), "listing").when(U.is_rental_url("url"), "rent")
+    return R.page_kind_changes(rows, view(spark, folder, "v_property"), kind, "parsed")
+
+
+_REREAD = [
+    ("case when listing_id%5=0 then 'reserved' when listing_id%5=1 then null else 'active' end", "parsed_status"),
+    ("case when listing_id%5=0 then 'reserved' else '' end", "parsed_source_status"),
+    ("case when property_id%3=0 or listing_id%3=0 then null else cast(listing_id%900*1000 as bigint) end", "parsed_price"),
+    ("case when listing_id%4=0 then null else 'USD' end", "parsed_currency"),
+]
+shared("v_reread", f"select listing_id, property_id, source_status, {_sel(_REREAD)} from adv", "adv")
+
+
+def _status_repairs(spark, folder):
+    parsed = adverts(spark, folder).selectExpr("listing_id", "property_id", "source_status", *[f"{e} as {n}" for e, n in _REREAD])
+    return R.repair_status_and_price(full_properties(spark, folder), parsed)
+
+
+@query(
+    "status_price_repairs",
+    "L19",
+    oracle="""with x as (select property_id, max((listing_id, coalesce(parsed_status,'active'), coalesce(parsed_currency,''))) as l, max((listing_id, parsed_price, coalesce(parsed_currency,''))) filter (parsed_price is not null) as p from v_reread group by 1)
+      select property_id, l[2] as status, case when override_field='price' then price::double else p[2]::double end as price, case when override_field='price' then currency else coalesce(p[3], l[3]) end as currency from v_property join x using (property_id)""",
+    uses=("v_reread", "v_property"),
+)
+def status_price_repairs(spark, folder):
+    return _status_repairs(spark, folder)[0].withColumn("price", F.col("price").cast("double"))
+
+
+@query(
+    "source_status_repairs",
+    "L19",
+    oracle="select listing_id, property_id, source_status as old_status, parsed_source_status as new_status from v_reread where coalesce(source_status,'')<>parsed_source_status",
+    uses=("v_reread",),
+)
+def source_status_repairs(spark, folder):
+    return _status_repairs(spark, folder)[1]
+
+
+_TOWNS = {"Hurlingham": "Hurlingham", "hurlingham": "Hurlingham", "Villa Tesei": "Villa Tesei", "William Morris": "William C. Morris", "morris": "William C. Morris"}
+_ZONES = {"Parque Quirno": "Parque Quirno", "Barrio Inglés": "Hurlingham Centro (Barrio Ingles)"}
+_LOCALITY = "case property_id%8 when 0 then 'Hurlingham' when 1 then 'hurlingham' when 2 then 'Villa Tesei' when 3 then 'Parque Quirno' when 4 then '' when 5 then 'Moron' when 6 then '  William Morris ' else 'Barrio Inglés' end"
+_DETECTED = "case property_id%5 when 0 then 'morris' when 1 then '' when 2 then 'Barrio Inglés' when 3 then 'Moron' else 'Villa Tesei' end"
+_NEAR = "case property_id%3 when 0 then '' else neighborhood end"
+_FOUND = "case property_id%4 when 0 then detected_neighborhood else '' end"
+_NOTE = "case property_id%7 when 0 then 'vieja' else '' end"
+
+
+def _lookup(c: str, table: dict) -> str:
+    return f"case {c} " + " ".join(f"when '{k}' then '{v}'" for k, v in table.items()) + " else '' end"
+
+
+@query(
+    "locality_repairs",
+    "L21",
+    oracle=f"""with r as (select property_id, trim({_LOCALITY}) as lo, {_LOCALITY} as lo0, {_DETECTED} as de, {_NEAR} as ne, {_FOUND} as fo, {_NOTE} as no, property_id%11=0 as hl, property_id%13=0 as hn from v_property),
+      t as (select *, {_lookup('lo', _TOWNS)} as lt, {_lookup('lo', _ZONES)} as lz, {_lookup('de', _TOWNS)} as dt, {_lookup('de', _ZONES)} as dz from r),
+      u as (select *, not hl and lo<>'' and lt='' and lz<>'' as f1, dt='' and dz<>'' as f2, not hn and ne='' as g1, not (not hn and ne='') and fo='' as g2,
+        concat_ws(chr(10), nullif(no,''), case when hl or lo='' then null when lt<>'' and lo<>lt then concat('[repair_localities] locality: ', lo, ' -> ', lt) when lt='' and lz<>'' then concat('[repair_localities] locality: se movio localidad invalida a zona ', lz, ': ', lo) when lt='' then concat('[repair_localities] locality: se descarto valor no-localidad: ', lo) end,
+          case when de='' then null when dt<>'' and de<>dt then concat('[repair_localities] detected_locality: ', de, ' -> ', dt) when dt='' and dz<>'' then concat('[repair_localities] detected_locality: se movio localidad invalida a zona ', dz, ': ', de) when dt='' then concat('[repair_localities] detected_locality: se descarto valor no-localidad: ', de) end) as lines from t)
+      select property_id, case when hl or lo='' then lo0 when lt<>'' then case when lo<>lt then lt else lo0 end else coalesce(nullif(dt,''), 'Hurlingham') end as locality, case when de='' then de when dt<>'' then dt else '' end as detected_locality,
+        case when f1 and g1 then lz when f2 and g1 then dz else ne end as neighborhood, case when f1 and g2 then lz when f2 and g2 then dz else fo end as detected_neighborhood, lines as location_notes from u""",
+    uses=("v_property",),
+)
+def locality_repairs(spark, folder):
+    held = "array_compact(array(case when property_id%11=0 then 'locality' end, case when property_id%13=0 then 'neighborhood' end)) as overrides"
+    rows = view(spark, folder, "v_property").selectExpr("property_id", f"{_LOCALITY} as locality", f"{_DETECTED} as detected_locality", f"{_NEAR} as neighborhood", f"{_FOUND} as detected_neighborhood", f"{_NOTE} as location_notes", held)
+    return R.repair_localities(rows).drop("overrides")
+
+
+_CENTRE = "Hurlingham Centro (Barrio Ingles)"
+_ALIASES = [
+    ("case property_id%4 when 0 then 'Barrio Inglés' when 1 then 'hurlingham-centro' else neighborhood end", "neighborhood"),
+    ("case property_id%5 when 0 then 'BARRIO INGLÉS' else detected_neighborhood end", "detected_neighborhood"),
+    ("case property_id%6 when 0 then 'b. ingles' else inferred_neighborhood end", "inferred_neighborhood"),
+    ("concat('{\"a\":{\"zone\":\"', case property_id%3 when 0 then 'Barrio Inglés' else 'otra' end, '\",\"n\":', cast(property_id as string), '}}')", "evidence"),
+]
+
+
+@query(
+    "zone_name_backfill",
+    "L22",
+    oracle=f"""select property_id, case when property_id%4 in (0,1) then '{_CENTRE}' else neighborhood end as neighborhood, case when property_id%5=0 then '{_CENTRE}' else detected_neighborhood end as detected_neighborhood, case when property_id%6=0 then '{_CENTRE}' else inferred_neighborhood end as inferred_neighborhood,
+      concat('{{"a":{{"zone":"', case property_id%3 when 0 then '{_CENTRE}' else 'otra' end, '","n":', property_id, '}}}}') as evidence from v_property""",
+    uses=("v_property",),
+)
+def zone_name_backfill(spark, folder):
+    rows = view(spark, folder, "v_property").selectExpr("property_id", *[f"{e} as {n}" for e, n in _ALIASES])
+    return R.unify_zone(rows, [n for _, n in _ALIASES[:3]], ["evidence"])
+
+
+# Fields that a user may edit here and their types.
+EDIT_FIELDS = {"price": "decimal(16,2)", "bedrooms": "int", "property_type": "string", "currency": "string", "covered_area": "decimal(10,2)", "title": "string", "rooms": "int"}
+_VARCHAR = {c: t.replace("string", "varchar") for c, t in EDIT_FIELDS.items()}
+
+
+@query(
+    "applied_edits",
+    "L25",
+    oracle=f"""with g as (select property_id, edit_id, field, case ln when 1 then concat(o%90+1,'500.00') when 2 then '3' when 3 then value when 4 then 'USD' when 6 then 'Casa' end as result from v_edit where not (ln=2 and o%2<>0) and not (ln=3 and o%3=0) and ln<7),
+      b as ({' union all '.join(f"select property_id, '{c}' as field, {c}::{t}::varchar as before from v_property" for c, t in _VARCHAR.items())}),
+      w as (select g.*, b.before, case when row_number() over r=1 then b.before else lag(result) over r end as was, max_by(result, edit_id) over (partition by property_id, field) as fin from g join b using (property_id, field) window r as (partition by property_id, field order by edit_id)),
+      c as (select property_id, field, max(edit_id) filter (result is distinct from was) as last_id, (list(result order by edit_id desc))[1] as fin from w group by 1,2 having count(*) filter (result is distinct from was)>0)
+      select property_id, {', '.join(f"case when count(*) filter (field='{c}')>0 then any_value(fin) filter (field='{c}')::{t} else any_value(p.{c}) end::{'double' if t.startswith('decimal') else t} as {c}" for c, t in _VARCHAR.items())},
+        coalesce(string_agg(concat(field, ':', last_id), ',' order by field), '') as edited_at from v_property p left join c using (property_id) group by property_id""",
+    uses=("v_property", "v_edit"),
+)
+def applied_edits(spark, folder):
+    from casagrid.plans.text_queries import EDIT
+
+    edits = table(spark, folder, "lineitem").selectExpr(*[f"{e} as {n}" for e, n in EDIT])
+    out = R.apply_edits(view(spark, folder, "v_property"), edits, EDIT_FIELDS)
+    names = [F.col(c).cast("double").alias(c) if t.startswith("decimal") else c for c, t in EDIT_FIELDS.items()]
+    at = F.array_join(F.transform(F.array_sort(F.map_entries("edited_at")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.select("property_id", *names, at.alias("edited_at"))
+
+
+# Backfills: what fresh results change in the stored columns
+
+
+def _changed(name: str, stored: str, pairs: dict[str, str]) -> str:
+    """SQL of the rows of query ``name`` (fresh column by stored column) that differ from the stored ones."""
+    differs = " or ".join(f"f.{new} is distinct from p.{old}" for old, new in pairs.items())
+    return f"select property_id, {', '.join(f'f.{new} as {old}' for old, new in pairs.items())} from ({ORACLE[name]}) f join ({stored}) p using (property_id) where {differs}"
+
+
+def _backfill(spark, folder, name: str, stored, pairs: dict[str, str]):
+    fresh = QUERIES[name](spark, folder).select("property_id", *[F.col(new).alias(old) for old, new in pairs.items()])
+    return Z.changed_rows(stored, fresh, "property_id", list(pairs)).select("property_id", *pairs)
+
+
+_ZONE_PAIRS = {"inferred_neighborhood": "inferred_zone", "inferred_neighborhood_method": "method", "zone_conflict": "zone_conflict", "zone_needs_review": "needs_review"}
+_TERRITORY_PAIRS = {"inferred_locality": "locality", "inferred_zone": "zone"}
+_LOCATION_PAIRS = {"overall_score": "overall_score", "level": "value_level", "zone_name": "zone_name", "transport_score": "transport_score"}
+
+
+@query("zone_backfill_changes", "L26", oracle=_changed("infer_zone", f"with {', '.join(f'{n} as ({SHARED[n][0]})' for n in ('v_property', 'v_more'))} select * from v_property join v_more using (property_id)", _ZONE_PAIRS))
+def zone_backfill_changes(spark, folder):
+    return _backfill(spark, folder, "infer_zone", full_properties(spark, folder), _ZONE_PAIRS)
+
+
+@query("territory_backfill_changes", "L26", oracle=_changed("infer_territory", SHARED["v_property"][0], _TERRITORY_PAIRS))
+def territory_backfill_changes(spark, folder):
+    return _backfill(spark, folder, "infer_territory", view(spark, folder, "v_property"), _TERRITORY_PAIRS)
+
+
+@query("location_backfill_changes", "L26", oracle=_changed("score_location", SHARED["v_intel"][0], _LOCATION_PAIRS))
+def location_backfill_changes(spark, folder):
+    return _backfill(spark, folder, "score_location", view(spark, folder, "v_intel"), _LOCATION_PAIRS)

@@ -237,59 +237,37 @@ CONDITION_LABELS = {"new": "A estrenar", "renovated": "Refaccionada", "used": "U
 CONFIDENCE_LABELS = {"high": "Alta", "medium": "Media", "low": "Baja", "unknown": "Sin dato"}
 
 
+# Columns of the flat export in their order, and where plain ones come from.
+EXPORT_COLUMNS = {
+    "id": "property_id", "titulo": "title", "tipo": None, "condicion": None, "antiguedad": "age_years", "precio": "valid_price", "moneda": "currency", "precio_m2": "price_m2",
+    "direccion": "address", "localidad": "locality", "barrio": "neighborhood", "localidad_detectada": "detected_locality", "barrio_detectado": "detected_neighborhood",
+    "barrio_inferido": "inferred_neighborhood", "partido_territorial": "inferred_municipality", "localidad_territorial": "inferred_locality", "zona_territorial_operativa": "inferred_zone",
+    "confianza_territorial": "territory_confidence", "revision_territorial": None, "metodo_territorial": "territory_method", "conflicto_zona": None, "zona_requiere_revision": None,
+    "direccion_detectada": "detected_address", "fuente_localizacion": None, "confianza_localizacion": None, "score_territorial": "overall_score", "nivel_territorial": "level",
+    "zona_territorial": "zone_name", "partido_inteligencia": "intel_municipality", "localidad_inteligencia": "intel_locality", "match_territorial": "match_method",
+    "score_transporte": "transport_score", "score_educacion": "education_score", "score_salud": "health_score", "penalidad_inundacion": "flood_penalty_score", "riesgo_hidrico": None,
+    "distancia_renabap_m": "nearest_settlement_m", "dormitorios": "valid_bedrooms", "banos": "valid_bathrooms", "cubierta_m2": "valid_covered_area", "terreno_m2": "valid_land_area",
+    "inmobiliaria": None, "fuente": None, "link_original": None, "favorita": None, "oculta": None, "revisada": None, "notas": "personal_notes",
+}
+# Labels of where a location came from.
+SOURCE_LABELS = {"listing": "Listado", "detail": "Detalle", "map": "Mapa", "description": "Descripcion", "inferred": "Inferida", "unknown": "Sin dato"}
+
+
 def export_rows(df: DataFrame, adverts: DataFrame) -> DataFrame:
-    """Flat export: display labels, yes/no marks and only plausible metrics.
+    """Flat export of 48 columns: display labels, yes/no marks and only plausible metrics.
 
-    ``df`` is the curated, filtered table; ``adverts`` has the main advert of each property with names.
+    ``df`` is the curated, filtered table with territory and location results; ``adverts`` has the main advert of each
+    property with names. A property without adverts has empty names and link.
     """
     rows = df.join(adverts, "property_id", "left")
-    f = F.col
-    flood = F.when(f("in_flood_risk_zone").isNull(), "").otherwise(yes_no("in_flood_risk_zone"))
-    cols = {
-        "id": f("property_id"),
-        "titulo": f("title"),
-        "tipo": label_of("property_type", TYPE_LABELS),
-        "condicion": label_of("condition_category", CONDITION_LABELS),
-        "antiguedad": f("age_years"),
-        "precio": f("valid_price"),
-        "moneda": f("currency"),
-        "precio_m2": f("price_m2"),
-        "direccion": f("address"),
-        "localidad": f("locality"),
-        "barrio": f("neighborhood"),
-        "localidad_detectada": f("detected_locality"),
-        "barrio_detectado": f("detected_neighborhood"),
-        "barrio_inferido": f("inferred_neighborhood"),
-        "localidad_territorial": f("inferred_locality"),
-        "zona_territorial_operativa": f("inferred_zone"),
-        "conflicto_zona": yes_no("zone_conflict"),
-        "zona_requiere_revision": yes_no("zone_needs_review"),
-        "direccion_detectada": f("detected_address"),
-        "fuente_localizacion": f("location_source"),
-        "confianza_localizacion": label_of("location_confidence", CONFIDENCE_LABELS),
-        "score_territorial": f("overall_score"),
-        "nivel_territorial": f("level"),
-        "zona_territorial": f("zone_name"),
-        "score_transporte": f("transport_score"),
-        "penalidad_inundacion": f("flood_penalty_score"),
-        "riesgo_hidrico": flood,
-        "distancia_asentamiento_m": f("nearest_settlement_m"),
-        "dormitorios": f("valid_bedrooms"),
-        "banos": f("valid_bathrooms"),
-        "cubierta_m2": f("valid_covered_area"),
-        "terreno_m2": f("valid_land_area"),
-        "inmobiliaria": F.coalesce("agency_name", F.lit("")),
-        "fuente": F.coalesce("source_name", F.lit("")),
-        "link_original": F.coalesce("url", F.lit("")),
-        "favorita": yes_no("is_favorite"),
-        "oculta": yes_no("is_hidden"),
-        "revisada": yes_no("is_reviewed"),
-        "notas": f("personal_notes"),
-    }
-    # Columns of the full export that a caller's table carries under their own names.
-    extra = ("partido_territorial", "confianza_territorial", "revision_territorial", "metodo_territorial", "partido_inteligencia", "localidad_inteligencia", "match_territorial", "score_educacion", "score_salud")
-    cols |= {c: f(c) for c in extra if c in rows.columns}
-    return rows.select(*[c.alias(n) for n, c in cols.items()])
+    flood = F.when(F.col("in_flood_risk_zone").isNull(), "").otherwise(yes_no("in_flood_risk_zone"))
+    made = {
+        "tipo": label_of("property_type", TYPE_LABELS), "condicion": label_of("condition_category", CONDITION_LABELS), "revision_territorial": yes_no("territory_needs_review"),
+        "conflicto_zona": yes_no("zone_conflict"), "zona_requiere_revision": yes_no("zone_needs_review"), "fuente_localizacion": label_of("location_source", SOURCE_LABELS),
+        "confianza_localizacion": label_of("location_confidence", CONFIDENCE_LABELS), "riesgo_hidrico": flood, "inmobiliaria": F.coalesce("agency_name", F.lit("")),
+        "fuente": F.coalesce("source_name", F.lit("")), "link_original": F.coalesce("url", F.lit("")), "favorita": yes_no("is_favorite"), "oculta": yes_no("is_hidden"), "revisada": yes_no("is_reviewed"),
+    }
+    return rows.select(*[(F.col(source) if source else made[name]).alias(name) for name, source in EXPORT_COLUMNS.items()])
 
 
 def write_export(df: DataFrame, path: str) -> None:
