@@ -8,7 +8,8 @@ File format: Parquet rows, each an independent block of whole documents in order
 * ``payload``: the codes, most significant bit first; ``checkpoints``: int64 array, the bit at which every
   ``CHECKPOINT``-th token begins, so that reading may start there.
 
-The code book is a table beside the blocks: (id, bits). Codes are canonical: counted up by (bits, id).
+A file is a folder: ``blocks`` holds these rows, ``book`` the code book (id, bits), so a reader needs its path only.
+Codes are canonical: counted up by (bits, id).
 
 Decoding looks ``limit`` bits up in one table of 2^limit entries and runs all checkpoints of a block in step.
 """
@@ -29,6 +30,7 @@ from casagrid.llm.tokens import as_ids, encoder, vocabulary_size
 LIMIT = 16
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 19
+BOOK = "id int, bits int"
 BLOCK = "part int, first long, start long, n_docs long, n_tokens long, doc_ids binary, sizes binary, checkpoints binary, payload binary"
 
 
@@ -119,20 +121,27 @@ def unpack_codes(payload: bytes, checkpoints: np.ndarray, n: int, table: tuple[n
 
 @dataclass
 class TokenFile:
-    """Where the blocks are, and the code book (an entry for each id in use, so bounded by the vocabulary)."""
+    """A token file by its path; the code book has an entry for each id in use, so it is bounded by the vocabulary."""
 
     spark: SparkSession
-    blocks: str
-    bits: np.ndarray
+    path: str
+
+    def bits(self) -> np.ndarray:
+        """Code length of each id; 0 for ids without a code."""
+        book = self.spark.read.schema(BOOK).parquet(f"{self.path}/book").toArrow()
+        ids = book.column("id").to_numpy()
+        bits = np.zeros(int(ids.max()) + 1 if len(ids) else 0, np.int64)
+        bits[ids] = book.column("bits").to_numpy()
+        return bits
 
     def read(self) -> DataFrame:
         """Per document: part, at (place among the task's documents), doc_id, start (ids of all documents before),
         n_tokens, ids (little-endian unsigned 32-bit integers)."""
-        blocks = self.spark.read.schema(BLOCK).parquet(self.blocks)
+        blocks = self.spark.read.schema(BLOCK).parquet(f"{self.path}/blocks")
         # A row for each task that wrote, not for each document or block.
         sums = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
         before = dict(zip([p for p, _ in sums], np.cumsum([0, *(n for _, n in sums)]).tolist(), strict=False))
-        shared = self.spark.sparkContext.broadcast((self.bits, before))
+        shared = self.spark.sparkContext.broadcast((self.bits(), before))
 
         def decode(batches):
             bits, before = shared.value
@@ -207,11 +216,14 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int, path: st
     path = path or shared_path(spark, "token-file")
     tokens = stored(tokenize_in_order(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
     bits = code_lengths(count_ids(tokens, max(vocabulary_size(tokenizer_path), end_id + 1)))
-    shared = spark.sparkContext.broadcast(bits)
+    used = np.flatnonzero(bits)
+    book = pa.table({"id": pa.array(used, pa.int32()), "bits": pa.array(bits[used], pa.int32())})
+    spark.createDataFrame(book, BOOK).coalesce(1).write.parquet(f"{path}/book")
+    shared = spark.sparkContext.broadcast((bits, canonical_codes(bits)))
 
     def block(part: int, first: int, start: int, names: list, ids: list) -> pa.RecordBatch:
         known, sizes = [x is not None for x in names], np.array([len(x) // 4 for x in ids], np.int64)
-        payload, checkpoints = pack_codes(as_ids(b"".join(ids)), shared.value, canonical_codes(shared.value))
+        payload, checkpoints = pack_codes(as_ids(b"".join(ids)), *shared.value)
         doc_ids = np.array([x or 0 for x in names], np.int64).tobytes() + np.packbits(known).tobytes()
         values = [[part], [first], [start], [len(ids)], [int(sizes.sum())], [doc_ids], [sizes.tobytes()], [checkpoints.astype(np.int64).tobytes()], [payload]]
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
@@ -233,5 +245,5 @@ def write_token_file(docs: DataFrame, tokenizer_path: str, end_id: int, path: st
         if ids:
             yield block(part, first, start, names, ids)
 
-    tokens.mapInArrow(encode, BLOCK).write.parquet(path)
-    return TokenFile(spark, path, bits)
+    tokens.mapInArrow(encode, BLOCK).write.parquet(f"{path}/blocks")
+    return TokenFile(spark, path)

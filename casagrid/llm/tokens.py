@@ -18,8 +18,10 @@ import numpy as np
 # White space besides space and line end, by the broader of the usual definitions.
 ODD_SPACES = "".join(map(chr, [0x9, 0xD, 0xB, 0xC, 0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 ODD_ASCII = ODD_SPACES[:8]
-REMEMBERED_PIECES = 600_000
+REMEMBERED_PIECES = 900_000
 REMEMBERED_WORDS = 200_000
+#: Marks that often follow a word; both patterns part them from it.
+TAIL = ".,;:!?"
 # Fixed value: the pattern of byte-level BPE, which its files imply by "use_regex".
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -31,6 +33,16 @@ def byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)}
 
 
+def latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Words(dict):
     """Ids of a word or mark, by the library's model."""
 
@@ -42,33 +54,46 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED_WORDS:
             self.clear()
+        ids = self[word] = self.ids(word)
+        return ids
+
+    def ids(self, word: str) -> bytes:
         plain = word.isascii() and word.isprintable()
         found = self.model.tokenize(word.replace(" ", self.space) if plain else word.encode().decode("latin-1").translate(self.letters))
-        ids = self[word] = array("I", [t.id for t in found]).tobytes()
-        return ids
+        return array("I", [t.id for t in found]).tobytes()
 
 
 class Pieces(dict):
-    """Ids of pieces as little-endian unsigned 32-bit integers."""
+    """Ids of pieces as little-endian unsigned 32-bit integers.
+
+    ``sure`` pieces are Latin-1 in the case that the tokenizer wants; others are looked at one by one.
+    """
 
-    def __init__(self, of: Encoder, lead: str):
+    def __init__(self, of: Encoder, lead: str, sure: bool):
         super().__init__()
-        self.of, self.lead = of, lead
+        self.of, self.lead, self.sure = of, lead, sure
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED_PIECES:
             self.clear()
-        text = self.lead + piece
-        try:
-            text.encode("latin-1")  # beyond, Unicode versions may differ about letters
-            text = text.lower() if self.of.mode == "dropped" else text
-            words = (text,) if piece.isalpha() else self.of.pattern.findall(text)
-            ids = b"".join(map(self.of.words.__getitem__, words))
-        except UnicodeEncodeError:
-            ids = self.of.whole(text)
-        self[piece] = ids
+        self[piece] = ids = self.found(piece)
         return ids
 
+    def found(self, piece: str) -> bytes:
+        of = self.of
+        if not self.sure:
+            try:
+                piece.encode("latin-1")  # beyond, Unicode versions may differ about letters
+            except UnicodeEncodeError:
+                return of.whole(self.lead + piece)
+            piece = piece.lower() if of.mode == "dropped" else piece
+        if piece.isalpha():
+            return of.words.ids(self.lead + piece)
+        word = piece.rstrip(TAIL)
+        if word.isalpha() and word != piece:  # most often known already
+            return self[word] + b"".join(map(of.words.__getitem__, of.pattern.findall(piece[len(word) :])))
+        return b"".join(map(of.words.__getitem__, of.pattern.findall(self.lead + piece)))
+
 
 class Encoder:
     def __init__(self, path: str):
@@ -84,7 +109,8 @@ class Encoder:
         self.mode, pattern = self.kind(spec)
         self.pattern = regex.compile(pattern)
         self.words = Words(self.tokenizer.model)
-        self.first, self.led = Pieces(self, ""), Pieces(self, " ")
+        self.first, self.led = Pieces(self, "", False), Pieces(self, " ", False)
+        self.sure_first, self.sure_led = Pieces(self, "", True), Pieces(self, " ", True)
         self.line_end = self.whole("\n") if self.mode == "led" else b""
         self.size = self.tokenizer.get_vocab_size()
 
@@ -116,12 +142,13 @@ class Encoder:
             return b""
         if self.mode == "whole" or not self.plain(text):
             return self.whole(text)
+        first, led = (self.sure_first, self.sure_led) if latin(text) else (self.first, self.led)
         if self.mode == "dropped":
-            return b"".join(map(self.first.__getitem__, text.split()))
+            return b"".join(map(first.__getitem__, (text.lower() if first.sure else text).split()))
         lines = []
         for line in text.split("\n"):
             head, *rest = line.split(" ")
-            lines.append(self.first[head] + b"".join(map(self.led.__getitem__, rest)))
+            lines.append(first[head] + b"".join(map(led.__getitem__, rest)))
         return self.line_end.join(lines)
 
 

@@ -65,7 +65,8 @@ def test_code_lengths_are_limited_and_best():
 def test_token_file_holds_all_rows(spark, make_docs, odd_rows, monkeypatch):
     path = tokenizer_path(FILES[0])
     encode = Encoder(path)
-    got = sorted(huffman.write_token_file(make_docs(odd_rows), path, end_id=1).read().collect(), key=lambda r: r["start"])
+    written = huffman.write_token_file(make_docs(odd_rows), path, end_id=1)
+    got = sorted(huffman.TokenFile(spark, written.path).read().collect(), key=lambda r: r["start"])  # a reader that knows the path only
     want = sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     start = 0
     for row, (doc_id, text, *_) in zip(got, want, strict=True):
