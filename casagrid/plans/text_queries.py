@@ -10,7 +10,8 @@ from casagrid.functions import urls as U
 from casagrid.operators import incidents as I
 from casagrid.operators import listing as L
 from casagrid.plans.inputs import base, listings, view
-from casagrid.plans.registry import query, shared
+from casagrid.operators import aliases as V
+from casagrid.plans.registry import ORACLE, query, shared
 from casagrid.sources.projections import table
 from casagrid.sources.tables import spread, stored
 
@@ -74,7 +75,8 @@ def k(options: list[str], mod: int = 10, key: str = "property_id") -> str:
 
 STREET = k(["concat('Av. Vergara 1', n)", "concat('Jauretche ', n, ', Hurlingham, B1686ABC, Argentina')", "'Cañuelas 100'", "concat('Delfor Díaz ', n)", "'Roca y Jauretche'", "'Hurlingham, Buenos Aires'", "concat('Schubert ', n, ' Barrio Parque Quirno')", "''", "concat('Güemes ', n)", "'Contacto buscador tipo de propiedad'"])
 NORMAL = k(["concat('avenida vergara 1', n)", "concat('jauretche ', n, ' hurlingham b1686abc argentina')", "'canuelas 100'", "concat('delfor diaz ', n)", "'roca y jauretche'", "'hurlingham buenos aires'", "concat('schubert ', n, ' barrio parque quirno')", "''", "concat('guemes ', n)", "'contacto buscador tipo de propiedad'"])
-CLEAN = k(["concat('Av. Gdor. Vergara 1', n)", "concat('Jauretche ', n)", "'Cañuelas 100'", "concat('Dr. Delfor Díaz ', n)", "'Roca y Jauretche'", "''", "concat('Schubert ', n)", "''", "concat('Gral. Martín Güemes ', n)", "'Contacto buscador tipo de propiedad'"])
+CLEAN_OF = ["concat('Av. Gdor. Vergara 1', n)", "concat('Jauretche ', n)", "'Cañuelas 100'", "concat('Dr. Delfor Díaz ', n)", "'Roca y Jauretche'", "''", "concat('Schubert ', n)", "''", "concat('Gral. Martín Güemes ', n)", "'Contacto buscador tipo de propiedad'"]
+CLEAN = k(CLEAN_OF)
 
 
 @query(
@@ -111,6 +113,13 @@ def address_spellings(spark, folder):
     return adverts(spark, folder).select("property_id", F.explode(A.address_variants("address")).alias("variant"))
 
 
+@query("address_spellings_by_rules", "T15", oracle=ORACLE["address_spellings"])
+def address_spellings_by_rules(spark, folder):
+    """The same from all rules as a table."""
+    found = V.alias_variants(adverts(spark, folder).select("property_id", "address"), V.street_rules(spark), "address")
+    return found.select("property_id", F.explode("variants").alias("variant"))
+
+
 _QUERY = k(["concat('Av. Vergara 1', n)", "concat('Jauretche ', n)", "'Cañuelas 100'", "concat('Delfor Díaz ', n)", "'Roca y Jauretche'", "null", "concat('Schubert ', n)", "null", "concat('Güemes ', n)", "null"])
 _TOWN = k(["'Hurlingham'", "'Villa Tesei'", "'William C. Morris'", "'Hurlingham'", "'Hurlingham'", "'Hurlingham'", "'William C. Morris'"], 7)
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from casagrid.operators import repair as R
 
 DAY = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
@@ -57,3 +59,40 @@ def test_corrections_beat_details_beat_stored_values(spark):
     after = R.with_changes(stored, changes, fields, {"address": {"copy": stored["address"]}})
     assert {r["property_id"]: (r["address"], r["rooms"], r["copy"]) for r in after.collect()} == {1: ("fixed", 9, "a"), 2: ("b", 2, ""), 3: ("c", 3, ""), 4: ("d", 5, "")}
     assert R.overlay(stored, parsed.limit(0), fixes.limit(0), fields).count() == 0
+
+
+def test_edits_apply_in_order_and_leave_their_time(spark):
+    fields = {"price": "decimal(16,2)", "title": "string", "rooms": "int"}
+    stored = spark.createDataFrame([(1, 5, "a", 2), (2, None, "b", None), (3, 7, "c", 1)], "property_id long, price long, title string, rooms int").withColumn("price", F.col("price").cast("decimal(16,2)"))
+    edits = [
+        (1, 10, "rooms", "3"), (1, 11, "rooms", "2"), (1, 12, "rooms", "2"),  # changed and changed back
+        (1, 13, "title", ""), (1, 14, "title", " a "), (1, 15, "unknown", "x"),  # refused, equal, unknown
+        (2, 16, "price", "1.500"), (2, 17, "price", "abc"), (2, 18, "rooms", ""),
+        (3, 19, "rooms", "4"), (3, 20, "rooms", "4"), (3, 21, "price", ""), (9, 22, "rooms", "1"),
+    ]
+    out = R.apply_edits(stored, spark.createDataFrame(edits, "property_id long, edit_id long, field string, value string"), fields)
+    got = {r["property_id"]: (r["price"], r["title"], r["rooms"], r["edited_at"]) for r in out.collect()}
+    assert (got[1][1:3], got[1][3]) == (("a", 2), {"rooms": 11})
+    assert (float(got[2][0]), got[2][2], got[2][3]) == (1500.0, None, {"price": 16})
+    assert got[3] == (None, "c", 4, {"rooms": 19, "price": 21})
+
+
+def test_link_audit_changes_nothing_in_a_dry_run(spark):
+    adverts = spark.createDataFrame([(1, 1, 1, 7, True, "", 0), (1, 2, 2, 7, True, "", 0), (1, 3, 3, 8, True, "", 1)], "source_id long, external_id long, listing_id long, property_id long, active boolean, source_status string, missing_runs int")
+    props = spark.createDataFrame([(7, "active", ""), (8, "active", ""), (9, "active", "")], "property_id long, status string, override_field string")
+    audit = spark.createDataFrame([(1, "unavailable"), (2, "error"), (3, "unavailable")], "listing_id long, result string")
+    after, states, log = R.link_audit(adverts, audit, props, True)
+    assert {r["listing_id"]: (r["active"], r["source_status"], r["missing_runs"]) for r in after.collect()} == {1: (False, "removed", 2), 2: (True, "", 0), 3: (False, "removed", 2)}
+    assert {r["property_id"]: r["status"] for r in states.collect()} == {7: "active", 8: "removed", 9: "active"}
+    assert {r["listing_id"]: r["applied"] for r in log.collect()} == {1: True, 2: False, 3: True}
+    after, states, log = R.link_audit(adverts, audit, props, False)
+    assert all(r["active"] for r in after.collect()) and {r["status"] for r in states.collect()} == {"active"} and not any(r["applied"] for r in log.collect())
+
+
+def test_a_sibling_price_stays_and_protection_is_joint(spark):
+    props = spark.createDataFrame([(i, "active", 5, "USD", o) for i, o in ((1, []), (2, ["currency"]), (3, []), (4, ["status"]))], "property_id long, status string, price long, currency string, overrides array<string>")
+    rows = [(1, 1, "", None, "", 9, "ARS"), (1, 2, "x", "reserved", "x", None, None), (2, 3, "", "active", "r", 9, "ARS"), (3, 4, None, None, None, None, "ARS"), (4, 5, "", "removed", "", 1, None)]
+    parsed = spark.createDataFrame(rows, "property_id long, listing_id long, source_status string, parsed_status string, parsed_source_status string, parsed_price long, parsed_currency string")
+    after, adverts = R.repair_status_and_price(props, parsed)
+    assert {tuple(r) for r in after.collect()} == {(1, "reserved", 9, "ARS"), (2, "active", 5, "USD"), (3, "active", None, "ARS"), (4, "active", 1, "")}
+    assert [tuple(r) for r in adverts.collect()] == [(3, 2, "", "r")]

@@ -68,3 +68,28 @@ def test_json_ld_is_walked_parents_first(spark):
     out = X.json_ld(df, "page_id", ["House"])
     got = {r["page_id"]: r["n"] for r in out.select("page_id", F.get_json_object("object", "$.name").alias("n")).collect()}
     assert got == {1: "deep", 2: "g"}
+
+
+def test_folding_equals_the_standard_for_all_characters(spark):
+    import pyarrow as pa
+
+    texts = [f"a{chr(c)}b{chr(c)}" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    got = spark.createDataFrame(pa.table({"t": texts})).repartition(4).select("t", T.strip_marks("t").alias("p")).toArrow().to_pydict()
+    assert sum(p != T.plain_letters(t) for t, p in zip(got["t"], got["p"], strict=True)) == 0
+
+
+def test_rules_as_a_table_equal_rules_as_columns(spark):
+    import random
+    import re
+
+    from casagrid.functions.street_rules import STREET_RULES
+    from casagrid.operators import aliases as V
+
+    rng = random.Random(7)
+    words = sorted({w for p, r in STREET_RULES for w in re.findall(r"[A-Za-zÁ-ú]+\.?", re.sub(r"\\.", " ", p) + " " + r)})
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) + f" {rng.randint(1, 9000)}" for _ in range(1500)]
+    texts += [re.sub(r"\\d.*", "123", re.sub(r"\\s[+*]", " ", re.sub(r"\(\?<?[!=][^)]*\)|\\b|\?:|[()?$]|\\\.", "", p))).split("|")[-1] + " 55" for p, _ in STREET_RULES] + ["", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    plain = {r["i"]: r["v"] for r in df.filter("not coalesce(t, '') rlike '(?i)solis'").select("i", A.address_variants("t").alias("v")).collect()}
+    table = {r["i"]: r["variants"] for r in V.alias_variants(df, V.street_rules(spark), "t").collect()}
+    assert {i: table[i] for i in plain} == plain and sum(map(bool, plain.values())) > 500
