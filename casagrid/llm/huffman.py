@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casagrid.llm.shared import binary_column, shared_path, stored
+from casagrid.llm.shared import binary_column, shared_path, slices, stored
 from casagrid.llm.tokens import as_ids, encoder, vocabulary_size
 
 LIMIT = 16
@@ -192,10 +192,8 @@ def count_ids(tokens: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(as_ids(x), minlength=size) if len(x) > size else 0
-                if len(x) <= size:
-                    np.add.at(total, as_ids(x), 1)
+            for part in slices(batch, "ids"):
+                total += np.bincount(as_ids(b"".join(part.column(0).to_pylist())), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 

@@ -133,8 +133,8 @@ def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op8_suffix_levels(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents without bytes of 200-byte strings that start anywhere else, indexed in two ingests."""
-    cut = suffix_levels.remove_repeats(table(spark, folder, "documents"), window=200, batches=2)
+    """Documents without bytes of 200-byte strings that start anywhere else, indexed in three ingests."""
+    cut = suffix_levels.remove_repeats(table(spark, folder, "documents"), window=200, batches=3)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

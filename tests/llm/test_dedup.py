@@ -238,9 +238,9 @@ def repeats(texts, window):
     return out
 
 
-@pytest.mark.parametrize("batches", [1, 2, 5])
-def test_repeats(make_docs, batches, monkeypatch):
-    monkeypatch.setattr(suffix_levels, "HOT_SPANS", 8)
+@pytest.mark.parametrize(("batches", "window", "hot"), [(1, 64, 0), (2, 64, 512), (5, 64, 8), (3, 20, 8), (3, 200, 0), (2, 400, 8), (1, 3, 4)])
+def test_repeats(make_docs, batches, window, hot, monkeypatch):
+    monkeypatch.setattr(suffix_levels, "HOT_SPANS", hot)
     rng = random.Random(batches)
     shared = [sentence(rng, rng.randint(8, 40)) for _ in range(6)]
     rows = [(1, None), (2, ""), (3, "short"), (4, "a" * 300), (5, "ab" * 200 + "é" * 150), (6, sentence(rng, 3000)), (None, shared[0] * 2), (7, shared[1])]
@@ -248,8 +248,8 @@ def test_repeats(make_docs, batches, monkeypatch):
         parts = [sentence(rng, rng.randint(1, 12)), rng.choice(shared), sentence(rng, rng.randint(1, 12)), rng.choice(shared)[rng.randint(0, 60) :]]
         rows.append((10 + i, " ".join(parts)))
     rows += [rows[12], (90, rows[13][1])]
-    got = suffix_levels.remove_repeats(make_docs(rows), window=64, batches=batches).collect()
-    want = [(r[0], *w) for r, w in zip(rows, repeats([r[1] for r in rows], 64), strict=True)]
+    got = suffix_levels.remove_repeats(make_docs(rows), window=window, batches=batches).collect()
+    want = [(r[0], *w) for r, w in zip(rows, repeats([r[1] for r in rows], window), strict=True)]
     assert sorted(repr((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"]))) for r in got) == sorted(map(repr, want))
 
 
@@ -263,6 +263,24 @@ def test_levels_merge_geometrically(make_docs):
     assert ranks == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0]]
 
 
+def test_windows_out_of_range_raise(make_docs):
+    for window in (0, 1 << 16):
+        with pytest.raises(ValueError):
+            suffix_levels.remove_repeats(make_docs([(1, "a")]), window=window)
+
+
+def test_a_hot_key_is_settled_either_way(make_docs, monkeypatch):
+    """Texts that share 80 bytes in different contexts, settled by halving and in a task."""
+    rng = random.Random(1)
+    common = sentence(rng, 200)[:80]
+    rows = [(i, sentence(rng, 60) + common + sentence(rng, 60)) for i in range(400)]
+    want = repeats([t for _, t in rows], 64)
+    for hot in (0, 512):
+        monkeypatch.setattr(suffix_levels, "HOT_SPANS", hot)
+        got = suffix_levels.remove_repeats(make_docs(rows), window=64, batches=1).collect()
+        assert sorted((r["n_removed"], bytes(r["kept"])) for r in got) == sorted((w[1], w[3]) for w in want)
+
+
 def test_repeats_empty(make_docs):
     assert suffix_levels.remove_repeats(make_docs([]).limit(0)).count() == 0
 
