@@ -72,3 +72,14 @@ def test_boxes_of_all_sizes_meet_once(spark):
     want = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
     most = {(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and a[1] - far <= b[3] and b[1] - far <= a[3] and a[2] - far <= b[4] and b[2] - far <= a[4]}
     assert len(got) == len(set(got)) and want <= set(got) <= most
+
+
+def test_copies_of_pins_and_shapes_are_met_once(spark, monkeypatch):
+    shape = [ring([(0, 0), (0.001, 0), (0.001, 0.001), (0, 0.001)])]
+    areas = layer(spark, [(i, f"z{i}", 1.0, 1.0, shape) for i in range(9, -1, -1)])
+    pts = spark.createDataFrame([(i, 0.002, 0.0005) for i in range(20)] + [(20, 0.9, 0.9), (21, None, 0.1)], "id long, latitude double, longitude double")
+    met, plain = [], G.candidates
+    monkeypatch.setattr(G, "candidates", lambda points, shapes, margin: met.append((points.count(), shapes.count())) or plain(points, shapes, margin))
+    got = G.nearest_feature(pts, areas, "id", ["zone"], 1000.0).collect()
+    assert sorted((r["id"], r["zone"], round(r["distance_m"])) for r in got) == [(i, "z0", 111) for i in range(20)]
+    assert met[0] == (2, 1) and met[1][1] == 1
