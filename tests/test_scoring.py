@@ -45,3 +45,27 @@ def test_flood_areas_of_the_own_zone_alone(spark):
     floods = boxes(spark, [box(1, 90.0, None), box(2, 20.0, " centro "), box(3, 30.0, "CENTRO"), box(4, 5.0, ""), box(5, 40.0, "centro")], "feature_idx long, risk_score double, assigned_zone string, south double, west double, north double, east double")
     got = {round(r["pin"]["latitude"], 2): (r["flood_risk"], r["flood_matches"], [x["feature_idx"] for x in r["flood_list"]]) for r in Z.flood_matches(pins, floods, zoned).collect()}
     assert got == {-34.6: (40.0, 3, [5, 3, 2]), -34.65: (90.0, 5, [1, 5, 3])}
+
+
+def test_flood_areas_of_one_shape_are_met_once(spark, monkeypatch):
+    ring = [{"lon": x, "lat": y} for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))]
+    rows = [(i, float(i % 4), "zona 1" if i % 2 else None, [ring]) for i in range(12)]
+    floods = spark.createDataFrame(rows, "feature_idx long, risk_score double, assigned_zone string, rings array<array<struct<lon:double,lat:double>>>")
+    pins = Z.pins_of(spark.createDataFrame([(0.5, 0.5), (0.25, 0.5), (5.0, 5.0)], "latitude double, longitude double"))
+    zoned = pins.selectExpr("pin", "case when latitude = 0.25 then 'Zona 1' else 'Zona 2' end as zone")
+    met, plain = [], Z.candidates
+    monkeypatch.setattr(Z, "candidates", lambda points, shapes: met.append(shapes.count()) or plain(points, shapes))
+    got = {r["pin"]["latitude"]: (r["flood_risk"], r["flood_matches"], [tuple(x) for x in r["flood_list"]]) for r in Z.flood_matches(pins, floods, zoned).collect()}
+    assert got == {0.5: (3.0, 12, [(3, 3.0), (7, 3.0), (11, 3.0)]), 0.25: (3.0, 6, [(3, 3.0), (7, 3.0), (11, 3.0)])}
+    assert met == [2]
+
+
+def test_tables_of_the_properties_are_not_broadcast(spark, tmp_path):
+    from casagrid.operators.search import join_base
+
+    for name in ("a", "b", "c"):
+        spark.range(2000).selectExpr("id as property_id", f"id % 7 as {name}").write.parquet(f"{tmp_path}/{name}")
+    df = join_base(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("a", "b", "c")))
+    before = df.selectExpr("property_id", "a + 1 as a")
+    plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (df, Z.changed_rows(before, df, "property_id", ["a"]))]
+    assert not any("Broadcast" in plan for plan in plans) and df.count() == 2000
