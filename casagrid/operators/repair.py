@@ -11,6 +11,7 @@ from casagrid.functions import address as A
 from casagrid.functions.text import normalize_whitespace
 from casagrid.operators.lifecycle import KEY, latest_per_key, mark_removed
 from casagrid.operators.listing import canonical_zone_name, coerce_edit, replace_zone_in_json
+from casagrid.sources.tables import join_rows
 
 STRETCH_DAYS = 32
 
@@ -252,9 +253,9 @@ def apply_edits(properties: DataFrame, edits: DataFrame, fields: Mapping[str, st
     turns = both.groupBy("property_id", "field").agg(F.max(F.when(~F.col("result").eqNullSafe(F.col("final")), F.col("edit_id"))).alias("_other"))
     since = both.join(turns, ["property_id", "field"]).filter(F.col("_other").isNull() | (F.col("edit_id") > F.col("_other")))
     at = since.groupBy("property_id", "field").agg(F.min("edit_id").alias("edit_id"), F.max("_other").alias("_other"))
-    changes = final.join(at, ["property_id", "field"]).join(stored, ["property_id", "field"]).filter(F.col("_other").isNotNull() | ~F.col("final").eqNullSafe(F.col("before")))
+    changes = join_rows(final.join(at, ["property_id", "field"]), stored, ["property_id", "field"]).filter(F.col("_other").isNotNull() | ~F.col("final").eqNullSafe(F.col("before")))
     wide = changes.groupBy("property_id").pivot("field", list(fields)).agg(F.first(F.struct("final", "edit_id")))
-    out = properties.join(wide.select("property_id", *[F.col(c).alias(f"_e_{c}") for c in fields]), "property_id", "left")
+    out = join_rows(properties, wide.select("property_id", *[F.col(c).alias(f"_e_{c}") for c in fields]), "property_id", "left")
     columns = {c: F.when(F.col(f"_e_{c}").isNotNull(), F.col(f"_e_{c}.final").cast(t)).otherwise(F.col(c)) for c, t in fields.items()}
     if "address" in fields and "normalized_address" in properties.columns:
         columns["normalized_address"] = F.when(F.col("_e_address").isNotNull(), A.normalize_address(F.col("_e_address.final"))).otherwise(F.col("normalized_address"))

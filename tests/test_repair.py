@@ -96,3 +96,12 @@ def test_a_sibling_price_stays_and_protection_is_joint(spark):
     after, adverts = R.repair_status_and_price(props, parsed)
     assert {tuple(r) for r in after.collect()} == {(1, "reserved", 9, "ARS"), (2, "active", 5, "USD"), (3, "active", None, "ARS"), (4, "active", 1, "")}
     assert [tuple(r) for r in adverts.collect()] == [(3, 2, "", "r")]
+
+
+def test_edits_broadcast_no_stored_values(spark, tmp_path):
+    spark.createDataFrame([(i, "t") for i in range(50)], "property_id long, title string").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([(i, i, "title", "new") for i in range(0, 50, 2)], "property_id long, edit_id long, field string, value string").write.parquet(f"{tmp_path}/e")
+    out = R.apply_edits(spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/e"), {"title": "string"})
+    joins = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftOuter" in line or "Join" in line]
+    assert any("SortMergeJoin" in line and "LeftOuter" in line for line in joins)
+    assert sum("SortMergeJoin" in line for line in joins) >= 2 and out.filter("title = 'new'").count() == 25
