@@ -111,6 +111,20 @@ def test_alerts_equal_brute_force(spark):
     assert got == want and want
 
 
+def test_sampling_works_short_segments_as_one_run(spark, monkeypatch):
+    rows = [(s, i * 2 + s, 1_700_000_000_000 + i * 9000 * (1 + i % 3), -34.6 + i % 7 * 4e-4, -58.6, 5.0, None, None) for s in (0, 1) for i in range(600)]
+    frames, rule = spark.sparkContext.accumulator(0), R.sample_rule
+    monkeypatch.setattr(R, "sample_rule", lambda last, frame: (frames.add(1), rule(last, frame))[1])
+    got = {(r["session_id"], r["event_id"]) for r in T.sample_positions(spark.createDataFrame(rows, COLS)).collect()}
+    want, last = set(), {}
+    for s, e, ts, lat, lon, *_ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        then = last.get(s)
+        if then is None or (ts - then[0] >= 5000 and (ts - then[0] >= 15000 or R.metres(then[1], then[2], lat, lon) >= 60)):
+            want.add((s, e))
+            last[s] = ts, lat, lon
+    assert got == want and len(want) < len(rows) and frames.value < 100
+
+
 def farthest(points, lo, hi, tolerance):
     """The farthest-point rule by recursion."""
     if hi - lo < 2:
