@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casagrid.sources.tables import join_rows
 
 KEY = ["source_id", "external_id"]
 
@@ -241,19 +242,19 @@ def pending_audit(listings: DataFrame, audit: DataFrame) -> DataFrame:
     return listings.join(audit.select("listing_id", "url").distinct(), ["listing_id", "url"], "left_anti")
 
 
-def resolve_discovery(found: DataFrame, listings: DataFrame, identities: DataFrame) -> DataFrame:
-    """Advert of each discovered link: by id, then by link, then by a remembered link.
-
-    ``found`` carries source_id, external_id, url, position; every lookup side is one row per key.
-    """
+def discovery_lookups(listings: DataFrame, identities: DataFrame) -> dict[str, DataFrame]:
+    """Active adverts by id, by link and by remembered link, one row per key."""
     active = listings.filter("active")
     by_id = active.groupBy(*KEY).agg(F.min("listing_id").alias("id_hit"))
     by_url = active.groupBy("source_id", "url").agg(F.min(F.struct("listing_id", F.col("external_id").alias("url_ext"))).alias("url_hit"))
-    remembered = identities.select("source_id", "url", "external_id", "last_seen_on").join(
-        by_id.withColumnRenamed("id_hit", "listing_id"), KEY
-    )
+    remembered = join_rows(identities.select("source_id", "url", "external_id", "last_seen_on"), by_id.withColumnRenamed("id_hit", "listing_id"), KEY)
     by_memory = remembered.groupBy("source_id", "url").agg(F.max(F.struct("last_seen_on", "external_id", "listing_id")).alias("memory_hit"))
-    out = found.join(by_id, KEY, "left").join(by_url, ["source_id", "url"], "left").join(by_memory, ["source_id", "url"], "left")
+    return {"by_id": by_id, "by_url": by_url, "by_memory": by_memory}
+
+
+def resolve_links(found: DataFrame, by_id: DataFrame, by_url: DataFrame, by_memory: DataFrame) -> DataFrame:
+    """Advert of each discovered link from the tables of :func:`discovery_lookups`."""
+    out = join_rows(join_rows(join_rows(found, by_id, KEY, "left"), by_url, ["source_id", "url"], "left"), by_memory, ["source_id", "url"], "left")
     listing = F.coalesce("id_hit", "url_hit.listing_id", "memory_hit.listing_id")
     external = F.when(F.col("id_hit").isNotNull(), F.col("external_id")).otherwise(F.coalesce("url_hit.url_ext", "memory_hit.external_id", "external_id"))
     how = F.when(F.col("id_hit").isNotNull(), "id").when(F.col("url_hit").isNotNull(), "url").when(F.col("memory_hit").isNotNull(), "memory").otherwise("none")
@@ -261,6 +262,14 @@ def resolve_discovery(found: DataFrame, listings: DataFrame, identities: DataFra
     return keep_first(out, KEY, ["position"])
 
 
+def resolve_discovery(found: DataFrame, listings: DataFrame, identities: DataFrame) -> DataFrame:
+    """Advert of each discovered link: by id, then by link, then by a remembered link.
+
+    ``found`` carries source_id, external_id, url, position; every lookup side is one row per key.
+    """
+    return resolve_links(found, **discovery_lookups(listings, identities))
+
+
 def discovery_status(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("status", F.when(F.col("listing_id").isNotNull(), "existing_pending").otherwise("new_pending"))
 

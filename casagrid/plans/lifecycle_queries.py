@@ -12,6 +12,7 @@ from casagrid.operators import search as S
 from casagrid.plans.inputs import base, listings, view
 from casagrid.plans.registry import query, shared
 from casagrid.sources.projections import table
+from casagrid.sources.tables import join_rows
 
 BATCH = [
     ("cast(o_custkey%6 as bigint)", "source_id"),
@@ -72,10 +73,10 @@ def adverts(spark, folder):
     return out.select(*L.KEY, "listing_id", "property_id", "url", "active", "missing_runs", "last_seen_on", "source_status")
 
 
-def identities(spark, folder):
+def identities(spark, folder, known=None):
     """Remembered adverts; some under a link that is not the advert's present one."""
     old = table(spark, folder, "orders").selectExpr(*[f"{e} as {n}" for e, n in _OLD_LINK])
-    rows = adverts(spark, folder).join(old, L.KEY, "left")
+    rows = join_rows(adverts(spark, folder) if known is None else known, old, L.KEY, "left")
     return rows.select(*L.KEY, F.coalesce("old_url", "url").alias("url"), F.col("last_seen_on").alias("first_seen_on"), "last_seen_on", F.lit("seed").alias("last_seen_reason"))
 
 

@@ -18,6 +18,7 @@ from casagrid.plans.lifecycle_queries import adverts, batch, identities
 from casagrid.plans.registry import query, shared
 from casagrid.session import ensure_checkpoint_dir
 from casagrid.sources.projections import table
+from casagrid.sources.tables import stored
 from casagrid.streaming import streams
 
 
@@ -102,14 +103,17 @@ def streamed_snapshot_changes(spark, folder):
 
 def _discovery_log(spark, folder) -> streams.DiscoveryLog:
     """All discovered links in the order of their positions, in three slices; the last is recorded once more."""
-    rows = batch(spark, folder)
+    rows = stored(spark, folder, "discovered_links", lambda: batch(spark, folder))
     last = rows.agg(F.max("position")).scalar()
     rows = rows.withColumn("slice", F.floor(F.col("position") * SLICES / (last + 1)).cast("int"))
-    known, remembered = adverts(spark, folder), identities(spark, folder)
+    known = stored(spark, folder, "latest_adverts", lambda: adverts(spark, folder))
+    # Every micro-batch reads these; they are worked once.
+    lookups = L.discovery_lookups(known, identities(spark, folder, known))
+    lookups = {name: stored(spark, folder, f"adverts_{name}", lambda rows=rows: rows) for name, rows in lookups.items()}
     logs = []
 
     def drain(stream: DataFrame, path: str) -> None:
-        log = streams.DiscoveryLog(spark, path, lambda found: L.discovery_status(L.resolve_discovery(found, known, remembered)))
+        log = streams.DiscoveryLog(spark, path, lambda found: L.discovery_status(L.resolve_links(found, **lookups)))
         streams.record_discovery(stream, log, f"{path}/state")
         logs.append(log)
 
