@@ -10,14 +10,16 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DateType, LongType, StringType, StructField, StructType
 
 from casagrid.operators import lifecycle as L
 from casagrid.operators import trace_rules as R
 from casagrid.operators import traces as T
+from casagrid.sources.tables import join_rows
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROWS_PER_FRAME = 10_000
@@ -116,29 +118,39 @@ def arrival_counts(stream: DataFrame, key: str = "session_id", ts: str = "ts", r
     return counts.select(key, F.col("span.start").alias("window_start"), "usable", "late", "future", "invalid")
 
 
+# Ids that differ in their last eight bits only share one state value.
+BUCKET_BITS = 8
+
+
 class ContentChanges(StatefulProcessor):
-    """Keeps which contents a key has had, as map state, and the last new one; emits each new one with that before it."""
+    """Keeps the contents that the properties of a bucket have had, in order; emits each new one with that before it.
+
+    A bucket holds 256 ids at most, so its state and its frames are bounded, and one call works all of them at once.
+    """
+
+    KEPT = ["property_id", "content_hash", "currency", "price"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        content = StructType([StructField("currency", StringType()), StructField("price", LongType())])
-        self.seen = handle.getMapState("seen", StructType([StructField("content", StringType())]), StructType([StructField("snapshot_id", LongType())]))
-        self.last = handle.getValueState("last", content)
+        self.kept = handle.getValueState("kept", StructType([StructField("contents", BinaryType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Rows of one key in one micro-batch, which the trigger's file limit bounds.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["observed_on", "snapshot_id"], kind="mergesort")
-        last = self.last.get() if self.last.exists() else None
-        out = []
-        for row in batch.drop_duplicates("content_hash").itertuples(index=False):
-            if self.seen.containsKey((row.content_hash,)):
-                continue
-            self.seen.updateValue((row.content_hash,), (int(row.snapshot_id),))
-            now = (row.currency, None if pd.isna(row.price) else int(row.price))
-            out.append((key[0], row.snapshot_id, row.observed_on, "first" if last is None else "change", *(last or (None, None)), *now))
-            last = now
-        if out:
-            self.last.update(last)
-            yield pd.DataFrame(out, columns=CHANGE.names).astype({"old_price": "Int64", "price": "Int64"})
+        # Rows of one bucket in one micro-batch, which the trigger's file limit bounds.
+        types = {"property_id": "Int64", "price": "Int64"}
+        batch = pd.concat(list(rows), ignore_index=True).astype(types).sort_values(["observed_on", "snapshot_id"], kind="mergesort").assign(fresh=True)
+        if self.kept.exists():
+            had = pa.ipc.open_stream(self.kept.get()[0]).read_all().to_pandas().astype(types)
+            batch = pd.concat([had.assign(fresh=False), batch], ignore_index=True)
+        batch = batch.drop_duplicates(["property_id", "content_hash"]).sort_values("property_id", kind="mergesort")
+        before = batch.groupby("property_id", dropna=False)[["currency", "price"]].shift()
+        first = ~batch["property_id"].duplicated()
+        out = batch.assign(kind=first.map({True: "first", False: "change"}), old_currency=before["currency"], old_price=before["price"])[batch["fresh"].to_numpy(bool)]
+        if len(out):
+            table = pa.Table.from_pandas(batch[self.KEPT], preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table)
+            self.kept.update((sink.getvalue().to_pybytes(),))
+            yield out.astype({"snapshot_id": "Int64"})[CHANGE.names]
 
     def close(self) -> None:
         pass
@@ -148,10 +160,11 @@ def snapshot_changes(stream: DataFrame) -> DataFrame:
     """New contents of each property with the currency and price before and after.
 
     ``stream``: property_id, snapshot_id, observed_on, content_hash, currency, price. A content that a property has had
-    once is never new again, however late it returns; both states live in the RocksDB store, spread over the shuffle
+    once is never new again, however late it returns; the state lives in the RocksDB store, spread over the shuffle
     partitions. Micro-batches that follow each other in time give the events of a window over the whole history.
     """
-    return stream.groupBy("property_id").transformWithStateInPandas(ContentChanges(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
+    rows = stream.withColumn("bucket", F.shiftright("property_id", BUCKET_BITS))
+    return rows.groupBy("bucket").transformWithStateInPandas(ContentChanges(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -181,7 +194,7 @@ class DiscoveryLog:
     def record(self, batch: DataFrame, number: int) -> None:
         """Classify what no earlier batch has had, and add it to the counters of the batch before."""
         key = ["source_id", "external_id"]
-        fresh = self.classify(batch).join(self.table("items", self.ITEMS, number).select(*key), key, "left_anti")
+        fresh = join_rows(self.classify(batch), self.table("items", self.ITEMS, number).select(*key), key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{self.path}/items/batch={number}")
         own = self.spark.read.schema(self.ITEMS).parquet(f"{self.path}/items/batch={number}")
         names = ["seen", "existing", "new", "out_of_phase"]

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from casagrid.operators import lifecycle as L
@@ -51,6 +52,32 @@ def test_changes_equal_the_whole_history(spark, tmp_path):
     assert sorted(map(repr, map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()))) == sorted(map(repr, want))
 
 
+def test_one_call_works_all_properties_of_a_bucket():
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        update = lambda self, value: setattr(self, "held", value)
+
+    work = streams.ContentChanges()
+    work.kept = Value()
+    day = dt.date(2024, 1, 1)
+    frame = lambda *rows: pd.DataFrame(rows, columns=["property_id", "snapshot_id", "observed_on", "content_hash", "currency", "price"])
+    call = lambda *rows: [tuple(None if pd.isna(v) else v for v in r) for out in work.handleInputRows((0,), iter([frame(*rows)]), None) for r in out.itertuples(index=False)]
+    assert call((2, 11, day, "b", "USD", 5), (1, 10, day, "a", "USD", None), (2, 12, day, "b", "USD", 5)) == [(1, 10, day, "first", None, None, "USD", None), (2, 11, day, "first", None, None, "USD", 5)]
+    assert call((1, 13, day, "b", "USD", 5), (2, 14, day, "b", "USD", 5), (2, 15, day, "c", "ARS", None)) == [(1, 13, day, "change", "USD", None, "USD", 5), (2, 15, day, "change", "USD", 5, "ARS", None)]
+    assert call((1, 16, day, "a", "USD", None)) == []
+
+
+def test_lookups_are_worked_once_for_all_batches(spark):
+    known = spark.createDataFrame([(1, 10, 100, 7, "u10", True), (1, 20, 200, 8, "u20", False)], "source_id long, external_id long, listing_id long, property_id long, url string, active boolean")
+    remembered = spark.createDataFrame([(1, 10, "old10", dt.date(2024, 1, 1))], "source_id long, external_id long, url string, last_seen_on date")
+    lookups = {name: spark.createDataFrame(rows.collect(), rows.schema) for name, rows in L.discovery_lookups(known, remembered).items()}
+    found = [(1, 10, "x", 1), (1, 99, "u10", 2), (1, 98, "old10", 3), (1, 20, "u20", 4), (2, 10, "u10", 5)]
+    got = {(r.source_id, r.external_id, r.position, r.listing_id, r.matched_by) for part in (found[:1], found[1:2], found[2:3], found[3:]) for r in L.resolve_links(spark.createDataFrame(part, "source_id long, external_id long, url string, position long"), **lookups).collect()}
+    assert got == {(1, 10, 1, 100, "id"), (1, 10, 2, 100, "url"), (1, 10, 3, 100, "memory"), (1, 20, 4, None, "none"), (2, 10, 5, None, "none")}
+
+
 def test_a_replayed_discovery_batch_changes_nothing(spark, tmp_path):
     known = spark.createDataFrame([(1, 10, 100, 7, "u10", True)], "source_id long, external_id long, listing_id long, property_id long, url string, active boolean")
     remembered = spark.createDataFrame([(1, 10, "old10", dt.date(2024, 1, 1))], "source_id long, external_id long, url string, last_seen_on date")
