@@ -93,3 +93,8 @@ def test_rules_as_a_table_equal_rules_as_columns(spark):
     plain = {r["i"]: r["v"] for r in df.filter("not coalesce(t, '') rlike '(?i)solis'").select("i", A.address_variants("t").alias("v")).collect()}
     table = {r["i"]: r["variants"] for r in V.alias_variants(df, V.street_rules(spark), "t").collect()}
     assert {i: table[i] for i in plain} == plain and sum(map(bool, plain.values())) > 500
+
+
+def test_patterns_of_many_ranges_skip_plain_letters():
+    for pattern in (T.mark_class(), T.several_class()):
+        assert pattern.startswith(r"[\x{80}-\x{10FFFF}&&[") and pattern.endswith("]]")
