@@ -1,9 +1,12 @@
 """Anomalies over Parquet files of few bytes and many rows."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from casagrid.operators import anomaly as A
+from casagrid.operators import stats as M
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +44,21 @@ def test_models_broadcast_no_properties(properties):
     iqr, trend = A.iqr_mad_outliers(properties), A.regression_anomalies(properties)
     assert not broadcast_scans(iqr) and not broadcast_scans(trend)
     assert [r["property_id"] for r in iqr.collect()] == [5] and [r["property_id"] for r in trend.collect()] == [9]
+
+
+def test_rules_broadcast_no_properties(spark, properties, tmp_path):
+    day = dt.date(2024, 1, 1)
+    adverts = [
+        (1, 3, "https://a.example/ficha/1", True, day, ""), (2, 3, "https://a.example/x/pagina-2", False, day, ""), (3, 4, "https://a.example/ficha/3", True, day, "metric_conflict_review"),
+        (4, 5, None, True, None, ""), (5, 900, "https://a.example/x/pagina-5", True, day, "metric_conflict_review"),
+    ]
+    spark.createDataFrame(adverts, "listing_id long, property_id long, url string, active boolean, last_seen_on date, source_status string").write.parquet(f"{tmp_path}/adverts")
+    out = A.rule_anomalies(properties, spark.read.parquet(f"{tmp_path}/adverts"))
+    assert not broadcast_scans(out)
+    assert sorted((r["property_id"], r["category"], r["value"]) for r in out.collect()) == [(3, "listing_page", "https://a.example/ficha/1"), (4, "source_conflict", "metric_conflict_review")]
+
+
+def test_distinct_properties_broadcast_no_properties(spark, properties):
+    pairs = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (900, 7), (2, None)], "property_id long, agency_id long")
+    out = M.distinct_properties(properties, pairs, "agency_id")
+    assert not broadcast_scans(out) and [tuple(r) for r in out.collect()] == [(7, 2)]
