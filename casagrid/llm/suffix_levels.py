@@ -31,6 +31,8 @@ from casagrid.llm.shared import release_shuffles, slices, stored, text_bytes
 from casagrid.llm.words import ROLE, mixed
 
 SLICE = 1 << 20
+#: Bytes of texts whose windows are worked at once, so that the arrays of a step stay in a core's cache.
+BLOCK = 1 << 17
 #: The number of windows of an anchor is kept beside the first one in one integer.
 PACK = 1 << 16
 #: Keys with at most so many spans are compared within a task, others by halving, which moves the bytes of a span each
@@ -38,6 +40,8 @@ PACK = 1 << 16
 HOT_SPANS = 512
 #: Groups of more than this share of all rows, so a thousand at most, meet their rows by broadcast.
 HOT_SHARE = 1000
+#: Places of a span that holds over a thousandth of all anchors are dealt over so many groups.
+SALTS = 64
 
 
 def gram_of(window: int) -> int:
@@ -49,7 +53,17 @@ def gram_of(window: int) -> int:
 
 def text_anchors(raw: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Of all texts in ``raw``: key and span of each anchor, its first window (place in ``raw``), how many it has, and the
-    place of the anchor in the first window."""
+    place of the anchor in the first window. Texts are worked some at a time; no window touches two."""
+    parts, lo = [], 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + BLOCK, side="right")) - 1)
+        key, span, first, *rest = _block_anchors(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], window)
+        parts.append((key, span, first + at[lo], *rest))
+        lo = hi
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else _block_anchors(raw, at, window)
+
+
+def _block_anchors(raw: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     gram = gram_of(window)
     if len(raw) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
@@ -110,8 +124,13 @@ def places(texts: DataFrame, window: int) -> DataFrame:
     return texts.select("doc", "text").mapInArrow(run, "span long, doc long, pos long")
 
 
+#: Kept as plain columns, which Spark aggregates by hashing; a struct of them it would sort.
+AT = ("doc", "pos", "off")
+
+
 def combined(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("key", "span").agg(F.sum("n").alias("n"), F.first(F.struct("doc", "pos", "off")).alias("at")).select("key", "span", "n", "at.*")
+    """One row for each (key, span), with the place of its first row; all of ``AT`` are of that row."""
+    return rows.groupBy("key", "span").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in AT])
 
 
 @dataclass
@@ -120,7 +139,7 @@ class SuffixLevels:
 
     window: int
     levels: list[tuple[int, DataFrame]] = field(default_factory=list)
-    repeated: list[DataFrame] = field(default_factory=list)  # (span)
+    repeated: list[DataFrame] = field(default_factory=list)  # (span, n)
     open: list[DataFrame] = field(default_factory=list)  # (key, span, doc, pos, off)
 
     def add(self, texts: DataFrame) -> None:
@@ -131,9 +150,9 @@ class SuffixLevels:
         tagged = [level.withColumn("fresh", F.lit(1))] + [old.withColumn("fresh", F.lit(0)) for _, old in self.levels]
         both = reduce(DataFrame.unionByName, tagged)
         if self.levels:
-            both = both.groupBy("key", "span").agg(F.sum("n").alias("n"), F.first(F.struct("doc", "pos", "off")).alias("at"), F.max("fresh").alias("fresh")).select("key", "span", "n", "at.*", "fresh")
+            both = both.groupBy("key", "span").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in AT], F.max("fresh").alias("fresh"))
         keys = both.groupBy("key").agg(F.count("*").alias("spans"), F.max("fresh").alias("fresh")).filter("spans > 1 and fresh = 1").select("key")
-        self.repeated.append(stored(both.filter("n > 1 and fresh = 1").select("span"), "repeated-spans"))
+        self.repeated.append(stored(both.filter("n > 1 and fresh = 1").select("span", "n"), "repeated-spans"))
         self.open.append(stored(both.join(keys, "key").select("key", "span", "doc", "pos", "off"), "open-spans"))
         release_shuffles(texts.sparkSession)
         self.levels.append((0, level))
@@ -273,6 +292,15 @@ def in_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataF
     return rows.join(few, key, "left_semi").unionByName(rows.join(few, key, "left_anti").join(groups.filter(~hot).select(key), key, "left_semi"))
 
 
+def in_spans(rows: DataFrame, spans: DataFrame, total: int) -> DataFrame:
+    """Rows (span, doc, pos) whose span is among ``spans`` (span, n); those of a hot span are dealt over groups."""
+    hot = F.col("n") * HOT_SHARE > total
+    few = F.broadcast(spans.filter(hot).select("span", F.lit(True).alias("hot")))
+    dealt = rows.join(few, "span", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS))).otherwise(0))
+    every = F.when(hot, F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint")))
+    return dealt.join(spans.select("span", F.explode(every).alias("salt")), ["span", "salt"])
+
+
 def shared_windows(fetched: DataFrame, window: int) -> DataFrame | None:
     """(doc, pos) of runs of windows that a row (key, doc, pos, off, bytes) shares with another of its key.
 
@@ -343,8 +371,9 @@ def remove_repeats(docs: DataFrame, window: int = 200, batches: int = 2, batch_o
         family.add(keyed(docs.filter(F.coalesce(number, F.lit(0)) == i), id_col, text_col))
     texts = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
-    repeated = reduce(DataFrame.unionByName, family.repeated).distinct()
-    full = stored(places(texts, window).join(repeated, "span").select("doc", "pos"), "repeated-windows")
+    repeated = reduce(DataFrame.unionByName, family.repeated).groupBy("span").agg(F.max("n").alias("n"))
+    total = sum(level.agg(F.sum("n")).first()[0] or 0 for _, level in family.levels)
+    full = stored(in_spans(places(texts, window), repeated, total).select("doc", "pos"), "repeated-windows")
     release_shuffles(spark)
     open_spans = reduce(DataFrame.unionByName, family.open).dropDuplicates(["key", "span"])
     fetched = stored(with_bytes(open_spans, texts, window), "open-bytes")

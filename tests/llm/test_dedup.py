@@ -281,6 +281,27 @@ def test_a_hot_key_is_settled_either_way(make_docs, monkeypatch):
         assert sorted((r["n_removed"], bytes(r["kept"])) for r in got) == sorted((w[1], w[3]) for w in want)
 
 
+def test_places_of_a_hot_span_are_dealt_over_groups(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2000, 7, id) as span", "id as doc", "id * 65536 + 1 as pos")
+    spans = spark.createDataFrame([(7, 2000), (2500, 1)], "span long, n long")
+    got = suffix_levels.in_spans(rows, spans, 3000).collect()
+    assert sorted(r["doc"] for r in got) == [*range(2000), 2500]
+    assert len({r["salt"] for r in got if r["span"] == 7}) == suffix_levels.SALTS and {r["salt"] for r in got if r["span"] != 7} == {0}
+
+
+def test_levels_are_combined_by_hashing_and_anchors_by_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 2, 1, 5, 6, 7), (1, 2, 3, 8, 9, 10), (1, 3, 1, 0, 0, 0)], "key long, span long, n long, doc long, pos long, off long")
+    found = suffix_levels.combined(rows)
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["n"] for r in found.collect()) == [1, 4] and {tuple(r)[3:] for r in found.collect()} <= {(5, 6, 7), (8, 9, 10), (0, 0, 0)}
+    rng = np.random.default_rng(3)
+    at = np.cumsum([0, *rng.integers(0, 900, 60)])
+    raw = rng.integers(97, 100, at[-1]).astype(np.uint8)
+    whole = suffix_levels.text_anchors(raw, at, 64)
+    monkeypatch.setattr(suffix_levels, "BLOCK", 1000)
+    assert len(whole[0]) and all(np.array_equal(a, b) for a, b in zip(whole, suffix_levels.text_anchors(raw, at, 64), strict=True))
+
+
 def test_repeats_empty(make_docs):
     assert suffix_levels.remove_repeats(make_docs([]).limit(0)).count() == 0
 
