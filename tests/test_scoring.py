@@ -69,3 +69,13 @@ def test_tables_of_the_properties_are_not_broadcast(spark, tmp_path):
     before = df.selectExpr("property_id", "a + 1 as a")
     plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (df, Z.changed_rows(before, df, "property_id", ["a"]))]
     assert not any("Broadcast" in plan for plan in plans) and df.count() == 2000
+
+
+def test_the_curated_table_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    from casagrid.plans import inputs
+    from casagrid.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 25)
+    spark.range(400).selectExpr("id as p_partkey", "concat('n', id) as p_name", "'b' as p_brand", "1 as p_size", "100.0D as p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    sizes = [r["count"] for r in inputs.curated(spark, str(tmp_path)).groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > 12 and max(sizes) <= 50
