@@ -79,3 +79,15 @@ def test_the_curated_table_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
     spark.range(400).selectExpr("id as p_partkey", "concat('n', id) as p_name", "'b' as p_brand", "1 as p_size", "100.0D as p_retailprice").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     sizes = [r["count"] for r in inputs.curated(spark, str(tmp_path)).groupBy(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1)).count().collect()]
     assert sum(sizes) == 400 and len(sizes) > 12 and max(sizes) <= 50
+
+
+def test_location_is_scored_with_a_short_plan(spark):
+    places = spark.createDataFrame([(1, -34.6, -58.6, "x"), (2, -34.6, -58.6, "x"), (3, None, None, "Far"), (4, None, None, "x")], "property_id long, latitude double, longitude double, locality string")
+    zones = boxes(spark, [(1, "near", 10.0, "", -34.61, -58.61, -34.59, -58.59), (2, "far", 80.0, "", -35.0, -59.0, -34.9, -58.9)])
+    floods = boxes(spark, [(5, 40.0, None, -34.61, -58.61, -34.59, -58.59)], "feature_idx long, risk_score double, assigned_zone string, south double, west double, north double, east double")
+    settled = boxes(spark, [(7, "s", -34.61, -58.61, -34.59, -58.59)], "feature_idx long, settlement string, south double, west double, north double, east double")
+    out = Z.score_location(places, zones, floods, settled, ["locality"])
+    got = {r["property_id"]: (r["match_method"], r["zone_name"], r["overall_score"], r["flood_matches"], r["settlement"]) for r in out.collect()}
+    assert got == {1: ("coordinates", "near", 10.0, 1, "s"), 2: ("coordinates", "near", 10.0, 1, "s"), 3: ("zone", "far", 80.0, None, None), 4: ("", "", None, None, None)}
+    # The driver holds a plan and all its later forms.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate ") < 300
